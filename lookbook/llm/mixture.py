@@ -21,7 +21,8 @@ from .common import WORD, cut, small
 
 MAX_REPEATS = 3
 BLOCK_WORDS = 1024
-RUN = 1 << 14
+#: Blocks in a run: small enough that the runs of a source with a third of all rows keep many tasks busy.
+RUN = 1 << 9
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
