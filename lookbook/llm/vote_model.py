@@ -39,9 +39,11 @@ class VoteModel:
         return 1 / (1 + F.exp(-z))
 
 
-def fit(counts: list[tuple[tuple[int, ...], float]], labelers: list[str], one_against: float, rounds: int = 60, smooth: float = 2.0) -> VoteModel:
+def fit(counts: list[tuple[tuple[int, ...], float]], labelers: list[str], one_against: float, least_right: float = 0.5, rounds: int = 60, smooth: float = 2.0) -> VoteModel:
     """``one_against``: the starting belief in the positive class where one labeler votes -1 and no more is known.
 
+    ``least_right``: how often a labeler votes +1 on the positive class, at least. Kinds of negatives that each trip one
+    labeler only would otherwise pass as positives on which that labeler errs.
     A labeler keeps the meaning of its votes: +1 is never made likelier by the negative class. No rows give the start.
     """
     m = len(labelers)
@@ -58,7 +60,7 @@ def fit(counts: list[tuple[tuple[int, ...], float]], labelers: list[str], one_ag
             voted_neg = sum(n * (1 - pos[p]) for p, n in counts if p[j])
             a = (up + smooth * 0.98) / (voted + smooth)
             b = (up_neg + smooth * 0.5) / (voted_neg + smooth)
-            a = min(max(a, 0.5), 0.9995)
+            a = min(max(a, least_right), 0.9995)
             given_pos.append(a)
             given_neg.append(min(max(b, 0.0005), a - 0.0002))
         model = VoteModel(labelers, min(max((whole + 1) / (total + 2), 0.02), 0.98), given_pos, given_neg)
