@@ -4,22 +4,35 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark import StorageLevel
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import squared_distance, weighted_concat
 
 
+#: Doubles sent to every executor at most (some 32 MB), a row counted as ``ROW_CELLS`` besides its vector.
+BROADCAST_CELLS, ROW_CELLS = 4_000_000, 16
+
+
+def small(df: DataFrame, width: Column | None = None) -> DataFrame:
+    """``df``, kept, and marked for broadcast if its counted size is within the bound; beyond it joins shuffle."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cells = df.agg(F.sum(F.lit(ROW_CELLS) + (F.lit(1) if width is None else width))).head()[0] or 0
+    return F.broadcast(df) if cells <= BROADCAST_CELLS else df
+
+
 def standardise(df: DataFrame, vec: str = "vec", group: str | None = None) -> DataFrame:
     """Zero mean and unit population deviation in each dimension; no deviation: 0. With ``group``, within each group."""
     if group is None:
-        table = df.withColumn("_v", array_to_vector(vec))
-        fitted = StandardScaler(inputCol="_v", outputCol="_s", withMean=True).fit(table)  # one aggregate over vectors, whatever their width
-        n = df.where(F.col(vec).isNotNull()).count()
-        mean, std = fitted.mean.toArray(), fitted.std.toArray() * ((n - 1) / n) ** 0.5 if n > 1 else fitted.std.toArray() * 0
-        shift, size = F.array(*map(F.lit, mean.tolist())), F.array(*map(F.lit, std.tolist()))
+        vectors = df.where(F.col(vec).isNotNull()).select(array_to_vector(vec).alias("_v"))
+        found = vectors.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")).select("s.*").head()  # one aggregate over vectors, whatever their width
+        mean, n = found["mean"].toArray().tolist(), found["count"]
+        std = [(x * (n - 1) / n) ** 0.5 for x in found["variance"].toArray().tolist()] if n > 1 else [0.0] * len(mean)
+        shift, size = F.array(*map(F.lit, mean)).cast("array<double>"), F.array(*map(F.lit, std)).cast("array<double>")
         scaled = F.transform(vec, lambda x, i: F.when(F.get(F.col("_std"), i) > 0, (x - F.get(F.col("_mean"), i)) / F.get(F.col("_std"), i)).otherwise(0.0))
         return df.withColumn("_mean", shift).withColumn("_std", size).withColumn(vec, scaled).drop("_mean", "_std")
     cells = df.select(group, F.posexplode(vec).alias("i", "x")).groupBy(group, "i").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))

@@ -7,9 +7,11 @@ centroids stand for the points, and points follow their micro-cluster. ``mode``
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -20,26 +22,37 @@ from .rank import strict_k, tolerant_k
 from .trees import cut_tree, density_labels, merge_tree
 
 CAP = 4000
+#: Models fitted at the same time.
+FITS = 4
 
 
 def kmeans(df: DataFrame, k: int, seed: int = 42, n_init: int = 1, init: str = "k-means||", vec: str = "vec") -> DataFrame:
     """``df`` with ``cluster``: the run of lowest cost among ``n_init`` seeds."""
-    table = df.drop("cluster").withColumn("_v", array_to_vector(vec)).persist(StorageLevel.MEMORY_AND_DISK)
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, initMode=init, featuresCol="_v", predictionCol="cluster").fit(table)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    out = best.transform(table).drop("_v")
-    return out
+    sets = kmeans_sets(df.drop("cluster"), [{"k": k, "n_init": n_init, "init": init}], seed, vec, "_labels")
+    return sets.withColumn("cluster", F.get("_labels", F.lit(0))).drop("_labels")
+
+
+def kmeans_sets(df: DataFrame, configs: list[dict], seed: int = 42, vec: str = "vec", labels: str = "labels") -> DataFrame:
+    """``df`` with ``labels``: array<int>, a k-means label for each of ``configs`` (k, n_init 1, init k-means||).
+
+    All models are fitted on one cached table, ``FITS`` at a time; of the ``n_init`` seeds of a config the lowest cost wins.
+    """
+    table, out = df.select(array_to_vector(vec).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK), df.withColumn("_v", array_to_vector(vec))
+    runs = [(i, KMeans(k=c["k"], seed=seed + s, initMode=c.get("init", "k-means||"), featuresCol="_v", predictionCol=f"_k{i}")) for i, c in enumerate(configs) for s in range(c.get("n_init", 1))]
+    with ThreadPool(min(FITS, len(runs))) as pool:
+        models = pool.map(inheritable_thread_target(df.sparkSession)(lambda r: r[1].fit(table)), runs)
+    for i in range(len(configs)):
+        mine = [m for (j, _), m in zip(runs, models, strict=True) if j == i]
+        out = (mine[0] if len(mine) == 1 else min(mine, key=lambda m: m.summary.trainingCost)).transform(out)
+    table.unpersist()
+    names = [f"_k{i}" for i in range(len(configs))]
+    return out.withColumn(labels, F.array(*names)).drop("_v", *names)
 
 
 def search_kmeans(df: DataFrame, ks: range | list[int], seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Scores (k, score) and assignments with the best k: all label sets are scored by one pass over distances."""
-    ks, sets = list(ks), df
-    for k in ks:
-        sets = kmeans(sets, k, seed).withColumnRenamed("cluster", f"_k{k}")
-    labels = sets.withColumn("labels", F.array(*(F.col(f"_k{k}").cast("int") for k in ks))).drop(*(f"_k{k}" for k in ks)).persist(StorageLevel.MEMORY_AND_DISK)
+    ks = list(ks)
+    labels = kmeans_sets(df, [{"k": k} for k in ks], seed).persist(StorageLevel.MEMORY_AND_DISK)
     scores = scored_sets(labels, ks)
     best = strict_k(scores, ["group"]).head()
     chosen = labels.withColumn("cluster", F.get("labels", F.lit(ks.index(best["best_k"]) if best else 0))).drop("labels")
@@ -129,4 +142,4 @@ def density(df: DataFrame, min_size: int = 3, min_samples: int = 1, eps: float =
     return members.join(cut, ["group", "rep"]).select("group", "key", "cluster", "mode")
 
 
-__all__ = ["agglomerative", "density", "kmeans", "merge_table", "search_agglomerative", "search_kmeans", "scored_sets", "with_labels"]
+__all__ = ["agglomerative", "density", "kmeans", "kmeans_sets", "merge_table", "search_agglomerative", "search_kmeans", "scored_sets", "with_labels"]

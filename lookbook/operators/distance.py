@@ -2,7 +2,8 @@
 
 Points are dealt over blocks by hash; each pair of blocks meets in one task as a matrix product and leaves, for each point,
 label set and cluster, a sum of distances. Silhouette, dispersion and separation follow from these sums, and one pass
-serves any number of label sets. Blocks go by point, not by cluster, so one giant cluster is no hot task.
+serves any number of label sets. Blocks go by point, not by cluster, so one giant cluster is no hot task;
+a group has as many of them as its own size asks for.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import small
+
 BLOCK = 2000
 
 
@@ -31,11 +34,14 @@ def cluster_sums(df: DataFrame, vec: str = "vec", labels: str = "labels", group:
     ``labels`` is an array<int>, a label set each; run is its index. Points of cluster -1 take no part in that run.
     """
     points = df.select(F.col(group).cast("string").alias("group") if group else F.lit("").alias("group"), F.col("key").cast("string").alias("key"), F.col(vec).alias("vec"), F.col(labels).alias("labels"))
-    largest = points.groupBy("group").count().agg(F.max("count")).head()[0] or 0
-    b = max(1, -(-largest // block))
-    own = F.pmod(F.xxhash64("key"), F.lit(b)).cast("int")
-    meets = F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
-    dealt = points.withColumn("own", own).withColumn("with", meets).withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with"))
+    sizes = points.groupBy(F.col("group").alias("_group")).count()
+    named = points.withColumn("blocks", F.lit(1))
+    if (sizes.agg(F.max("count")).head()[0] or 0) > block:
+        large = small(sizes.where(F.col("count") > block))  # at most points / block rows
+        named = points.join(large, F.col("group").eqNullSafe(F.col("_group")), "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")).drop("_group", "count")
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = named.withColumn("own", own).withColumn("with", meets).drop("blocks").withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with"))
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import family_name
-from .blocks import centroids, nearest_centroid
+from .blocks import centroids, nearest_centroid, small
 
 DESCRIPTORS = ("aspect_ratio", "circularity", "edge_density", "mean_saturation", "tortoise_score", "lens_darkness")
 
@@ -15,11 +15,11 @@ def enforce_min_size(df: DataFrame, min_size: int = 6, merge: bool = False, key:
     """``df`` with small clusters as noise, or (``merge``) their points in the nearest big cluster; no big one: all noise."""
     sizes = df.groupBy(cluster).agg(F.count("*").alias("_n")).where(F.col(cluster).isNotNull())
     big = sizes.where((F.col("_n") >= min_size) & (F.col(cluster) >= 0)).select(F.col(cluster).alias("_big"))
-    out = df.join(F.broadcast(big), F.col(cluster) == F.col("_big"), "left")  # a row a cluster
+    out = df.join(small(big), F.col(cluster) == F.col("_big"), "left")
     if merge:
         centres = centroids(out.where("_big is not null").select(vec, F.col("_big").alias("cluster")), vec)
-        small = out.where("_big is null").drop("_big")
-        moved = small.join(nearest_centroid(small, centres, vec, key), key).withColumn("_big", F.col("nearest")).drop("nearest", "dist2")
+        rest = out.where("_big is null").drop("_big")
+        moved = rest.join(nearest_centroid(rest, centres, vec, key), key).withColumn("_big", F.col("nearest")).drop("nearest", "dist2")
         out = out.where("_big is not null").unionByName(moved.select(out.columns))
     return out.withColumn(cluster, F.coalesce("_big", F.lit(-1))).drop("_big")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import small
+
 
 def rank_clusters(stats: DataFrame, value: str, partner: str | None = None) -> DataFrame:
     """(group, run, cluster, rank, value, partner): 0 for the largest value; the smaller cluster first among equals."""
@@ -16,7 +18,7 @@ def rank_clusters(stats: DataFrame, value: str, partner: str | None = None) -> D
 def relabel(assignments: DataFrame, ranks: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Clusters renamed by rank; noise stays -1. ``ranks`` has a row a cluster."""
     table = ranks.select(F.col("cluster").alias("_old"), F.col("rank").alias("_new"))
-    return assignments.join(F.broadcast(table), F.col(cluster) == F.col("_old"), "left").withColumn(cluster, F.coalesce("_new", F.lit(-1))).drop("_old", "_new")
+    return assignments.join(small(table), F.col(cluster) == F.col("_old"), "left").withColumn(cluster, F.coalesce("_new", F.lit(-1))).drop("_old", "_new")
 
 
 def best_run(runs: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -1,52 +1,72 @@
-"""Scores of a clustering: Calinski-Harabasz, Davies-Bouldin, the bundle and the composite score."""
+"""Scores of a clustering: Calinski-Harabasz, Davies-Bouldin, the bundle and the composite score.
+
+All are made for any number of label sets at once: points are read once for the distances and once for the centroids,
+whatever the number of sets.
+"""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, squared_distance
-from .blocks import centroids
+from .blocks import centroids, small
 from .distance import cluster_sums, silhouette, with_labels
 
 
-def _spread(df: DataFrame, vec: str, cluster: str) -> DataFrame:
-    """(cluster, n, centroid, within, mean_dist): sums of squares and mean distance to the centroid."""
-    centres = centroids(df, vec, cluster)
-    joined = df.where(F.col(cluster) >= 0).join(F.broadcast(centres), cluster)  # a row a cluster
-    d2 = squared_distance(F.col(vec), F.col("centroid"))
-    sums = joined.groupBy(cluster).agg(F.sum(d2).alias("within"), F.avg(F.sqrt(d2)).alias("mean_dist"))
-    return centres.join(sums, cluster)
+def _spread(flat: DataFrame) -> DataFrame:
+    """(run, cluster, n, centroid, within, mean_dist): sums of squares and mean distance to the centroid."""
+    by = ["run", "cluster"]
+    centres = small(centroids(flat, "vec", "cluster", "run"), F.size("centroid"))  # a row a cluster
+    d2 = squared_distance(F.col("vec"), F.col("centroid"))
+    sums = flat.where("cluster >= 0").join(centres, by).groupBy(by).agg(F.sum(d2).alias("within"), F.avg(F.sqrt(d2)).alias("mean_dist"))
+    return centres.join(sums, by).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _ch(spread: DataFrame) -> DataFrame:
+    """(run, ch): null unless 2 <= clusters <= points - 1."""
+    cells = spread.select("run", "n", F.posexplode("centroid").alias("i", "x")).groupBy("run", "i").agg(F.sum(F.col("n") * F.col("x")).alias("s1"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("s2"), F.sum("n").alias("total"))
+    between = cells.groupBy("run").agg(F.sum(F.col("s2") - F.col("s1") * F.col("s1") / F.col("total")).alias("between"))
+    within = spread.groupBy("run").agg(F.sum("within").alias("within"), F.count("*").alias("k"), F.sum("n").alias("n"))
+    ch = F.try_divide(F.col("between") * (F.col("n") - F.col("k")), F.col("within") * (F.col("k") - 1))
+    return between.join(within, "run").select("run", F.when((F.col("k") >= 2) & (F.col("n") > F.col("k")), F.coalesce(ch, F.lit(1.0))).alias("ch"))
+
+
+def _db(spread: DataFrame) -> DataFrame:
+    """(run, db): missing with fewer than two clusters. The pairs are of a run's clusters, not of points."""
+    a, b = (spread.select("run", F.col("cluster").alias(f"c{i}"), F.col("centroid").alias(f"v{i}"), F.col("mean_dist").alias(f"m{i}")) for i in (1, 2))
+    ratio = F.coalesce(F.try_divide(F.col("m1") + F.col("m2"), distance(F.col("v1"), F.col("v2"))), F.lit(0.0))
+    worst = a.join(b, "run").where("c1 <> c2").groupBy("run", "c1").agg(F.max(ratio).alias("r"))
+    return worst.groupBy("run").agg(F.avg("r").alias("db"))
+
+
+def _flat(df: DataFrame, vec: str, labels: Column) -> DataFrame:
+    return df.select(F.col(vec).alias("vec"), F.posexplode(labels).alias("run", "cluster"))
 
 
 def calinski_harabasz(df: DataFrame, vec: str = "vec", cluster: str = "cluster") -> DataFrame:
     """One row (ch): null unless 2 <= clusters <= points - 1; noise left out."""
-    spread = _spread(df, vec, cluster)
-    cells = spread.select("n", F.posexplode("centroid").alias("i", "x")).groupBy("i").agg(F.sum(F.col("n") * F.col("x")).alias("s1"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("s2"), F.sum("n").alias("total"))
-    between = cells.agg(F.sum(F.col("s2") - F.col("s1") * F.col("s1") / F.col("total")).alias("between"))
-    within = spread.agg(F.sum("within").alias("within"), F.count("*").alias("k"), F.sum("n").alias("n"))
-    both = between.withColumn("one", F.lit(1)).join(within.withColumn("one", F.lit(1)), "one")
-    ch = F.try_divide(F.col("between") * (F.col("n") - F.col("k")), F.col("within") * (F.col("k") - 1))
-    return both.select(F.when((F.col("k") >= 2) & (F.col("n") > F.col("k")), F.coalesce(ch, F.lit(1.0))).alias("ch"))
+    return _ch(_spread(_flat(df, vec, F.array(cluster)))).agg(F.max("ch").alias("ch"))
 
 
 def davies_bouldin(df: DataFrame, vec: str = "vec", cluster: str = "cluster") -> DataFrame:
-    """One row (db): null with fewer than two clusters; noise left out. The pairs are of clusters, not of points."""
-    s = _spread(df, vec, cluster).select(F.col(cluster).alias("c"), "centroid", "mean_dist")
-    a, b = s.select(F.col("c").alias("c1"), F.col("centroid").alias("v1"), F.col("mean_dist").alias("m1")), s.select(F.col("c").alias("c2"), F.col("centroid").alias("v2"), F.col("mean_dist").alias("m2"))
-    ratio = F.coalesce(F.try_divide(F.col("m1") + F.col("m2"), distance(F.col("v1"), F.col("v2"))), F.lit(0.0))
-    worst = a.join(b, F.col("c1") != F.col("c2")).groupBy("c1").agg(F.max(ratio).alias("r"))
-    return worst.agg(F.avg("r").alias("db"))
+    """One row (db): null with fewer than two clusters; noise left out."""
+    return _db(_spread(_flat(df, vec, F.array(cluster)))).agg(F.max("db").alias("db"))
+
+
+def score_sets(df: DataFrame, vec: str = "vec", labels: str = "labels", key: str = "key") -> DataFrame:
+    """(run, n_clusters, noise_frac, silhouette, ch, db): a row a label set of the array ``labels``, noise left out of the scores."""
+    points = df.select(F.col(key).alias("key"), F.col(vec).alias("vec"), F.col(labels).alias("labels")).persist(StorageLevel.MEMORY_AND_DISK)
+    flat = _flat(points, "vec", F.col("labels"))
+    counts = flat.groupBy("run").agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n_clusters"), F.try_divide(F.count_if(F.col("cluster") < 0), F.count("*")).alias("noise_frac"))
+    spread, sil = _spread(flat), silhouette(cluster_sums(points)).select("run", "silhouette")
+    return counts.join(sil, "run", "left").join(_ch(spread), "run", "left").join(_db(spread), "run", "left")
 
 
 def score_bundle(df: DataFrame, vec: str = "vec", cluster: str = "cluster", key: str = "key") -> DataFrame:
-    """One row (n_clusters, noise_frac, silhouette, ch, db), noise left out of the scores."""
-    points = df.select(F.col(key).alias("key"), F.col(vec).alias("vec"), F.col(cluster).alias("cluster"))
-    one = F.lit(1).alias("one")
-    counts = points.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n_clusters"), F.try_divide(F.count_if(F.col("cluster") < 0), F.count("*")).alias("noise_frac")).select("*", one)
-    sil = silhouette(cluster_sums(with_labels(points))).agg(F.max("silhouette").alias("silhouette")).select("*", one)
-    out = counts.join(sil, "one", "left").join(calinski_harabasz(points).select("*", one), "one", "left").join(davies_bouldin(points).select("*", one), "one", "left")
-    return out.drop("one")
+    """(n_clusters, noise_frac, silhouette, ch, db) of one clustering: a row, or none for an empty table."""
+    return score_sets(with_labels(df.select(F.col(key).alias("key"), F.col(vec).alias("vec"), F.col(cluster).alias("cluster")))).drop("run")
 
 
 def composite(sil: Column, ch: Column, db: Column) -> Column:

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalise
 from .blocks import project, standardise
-from .cluster import agglomerative, density, kmeans
-from .distance import cluster_sums, silhouette
+from .cluster import agglomerative, density, kmeans, kmeans_sets
+from .distance import cluster_sums, silhouette, with_labels
 from .rank import best_run
-from .scores import composite, score_bundle
-
-RUNS = "run_id string, algo string, params string, n_clusters long, noise_frac double, silhouette double, ch double, db double"
+from .scores import composite, score_bundle, score_sets
 
 
 def choose_projection(df: DataFrame, sizes: tuple[int, ...] = (16, 32, 48, 64), fallback: int = 32, seed: int = 42) -> tuple[DataFrame, dict]:
@@ -30,38 +30,39 @@ def choose_projection(df: DataFrame, sizes: tuple[int, ...] = (16, 32, 48, 64),
     if not usable:
         return scaled, info
     whole = project(scaled, max(usable)).persist(StorageLevel.MEMORY_AND_DISK)
-    scores = {}
-    for s in usable:
-        cut = kmeans(whole.withColumn("vec", F.slice("vec", 1, s)), 3, seed)
-        found = silhouette(cluster_sums(cut.withColumn("labels", F.array(F.col("cluster").cast("int"))))).head()
-        if found and found["silhouette"] is not None:
-            scores[s] = found["silhouette"]
-    best = max(sorted(scores), key=scores.get) if scores else min(fallback, max(usable))
-    return whole.withColumn("vec", F.slice("vec", 1, best)), info | {"n_components": best, "scaled_dim": best}
 
+    def score(size: int) -> float | None:
+        cut = kmeans(whole.withColumn("vec", F.slice("vec", 1, size)), 3, seed)
+        found = silhouette(cluster_sums(with_labels(cut))).head()
+        return found["silhouette"] if found else None
 
-def _run_row(points: DataFrame, run_id: str, algo: str, params: str) -> DataFrame:
-    return score_bundle(points).select(F.lit(run_id).alias("run_id"), F.lit(algo).alias("algo"), F.lit(params).alias("params"), "n_clusters", "noise_frac", "silhouette", "ch", "db")
+    with ThreadPool(len(usable)) as pool:  # a few candidate sizes, tried side by side
+        found = pool.map(inheritable_thread_target(df.sparkSession)(score), usable)
+    scores = {s: x for s, x in zip(usable, found, strict=True) if x is not None}
+    best = max(sorted(scores), key=scores.get) if scores else min(fallback, max(usable))
+    return whole.withColumn("vec", F.slice("vec", 1, best)), info | {"n_components": best, "scaled_dim": best}
 
 
-def _collected(spark, rows: list[DataFrame]) -> DataFrame:
-    """The run table: one row a run, computed run by run."""
-    got = [tuple(r) for df in rows for r in df.collect()]
-    return spark.createDataFrame(got, RUNS)
+def _run_rows(sets: DataFrame, named: list[tuple[str, str, str]]) -> DataFrame:
+    """The run table of the label sets of ``sets``; ``named`` has (run_id, algo, params) of each, in order."""
+    names = sets.sparkSession.createDataFrame([(i, *n) for i, n in enumerate(named)], "run int, run_id string, algo string, params string")
+    return names.join(score_sets(sets), "run").select("run_id", "algo", "params", "n_clusters", "noise_frac", "silhouette", "ch", "db")
 
 
 def grid_search(df: DataFrame, ks: list[int] = tuple(range(2, 21)), min_sizes: tuple[int, ...] = (5, 10, 20, 30), seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The run table of k-means, Ward and density runs, the best run overall and that of each algorithm."""
-    points = df.select(F.col("key").cast("string").alias("key"), "vec").persist(StorageLevel.MEMORY_AND_DISK)
-    ks, rows = list(ks), []
-    tree = points.join(agglomerative(points, ks).select("key", "labels"), "key").persist(StorageLevel.MEMORY_AND_DISK)
-    for i, k in enumerate(ks):
-        rows.append(_run_row(kmeans(points, k, seed), f"kmeans-{k:02}", "kmeans", f"k={k}"))
-        rows.append(_run_row(tree.withColumn("cluster", F.get("labels", F.lit(i))), f"ward-{k:02}", "ward", f"k={k}"))
+    """The run table of k-means, Ward and density runs, the best run overall and that of each algorithm.
+
+    One tree serves every k of Ward, and one pass over distances scores the label sets of all runs.
+    """
+    points, ks = df.select(F.col("key").cast("string").alias("key"), "vec").persist(StorageLevel.MEMORY_AND_DISK), list(ks)
+    named = [*((f"kmeans-{k:02}", "kmeans", f"k={k}") for k in ks), *((f"ward-{k:02}", "ward", f"k={k}") for k in ks), *((f"density-{m:02}", "density", f"min_size={m}") for m in min_sizes)]
+    sets = kmeans_sets(points, [{"k": k} for k in ks], seed).join(agglomerative(points, ks).select("key", F.col("labels").alias("_ward")), "key")
+    parts = ["labels", "_ward"]
     for m in min_sizes:
-        labels = density(points, m, m, metric="euclidean").select("key", "cluster")
-        rows.append(_run_row(points.join(labels, "key"), f"density-{m:02}", "density", f"min_size={m}"))
-    runs = _collected(df.sparkSession, rows)
+        labels = density(points, m, m, metric="euclidean").select("key", F.array("cluster").alias(f"_density{m}"))
+        sets, parts = sets.join(labels, "key"), [*parts, f"_density{m}"]
+    sets = sets.select("key", "vec", F.concat(*parts).alias("labels")).persist(StorageLevel.MEMORY_AND_DISK)
+    runs = _run_rows(sets, named).persist(StorageLevel.MEMORY_AND_DISK)
     return runs, best_run(runs), best_run(runs, ["algo"])
 
 
@@ -77,32 +78,50 @@ def sample_configs(n: int, width: int, seed: int = 42) -> list[dict]:
     return out
 
 
+def _label_sets(x: DataFrame, configs: list[dict], seed: int) -> DataFrame:
+    """``x`` with ``labels``, one of each config: all k-means fits on one table, one tree for each linkage and metric."""
+    flat, place = [c for c in configs if c["algo"] == "kmeans"], {}
+    out = kmeans_sets(x, flat, seed, labels="_kmeans") if flat else x
+    place |= {c["trial_id"]: F.get("_kmeans", F.lit(i)) for i, c in enumerate(flat)}
+    for kind in sorted({(c["linkage"], c["metric"]) for c in configs if c["algo"] != "kmeans"}):
+        mine, name = [c for c in configs if c["algo"] != "kmeans" and (c["linkage"], c["metric"]) == kind], "_".join(("", *kind))
+        out = out.join(agglomerative(x, [c["k"] for c in mine], *kind).select("key", F.col("labels").alias(name)), "key")
+        place |= {c["trial_id"]: F.get(name, F.lit(i)) for i, c in enumerate(mine)}
+    return out.select("key", "vec", F.array(*(place[c["trial_id"]] for c in configs)).alias("labels")).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _trial_scores(x: DataFrame, configs: list[dict], seed: int) -> list[float]:
+    """Composite scores; where the configs fail together they are tried one by one, and one that fails alone scores -1e9."""
+    try:
+        scored = score_sets(_label_sets(x, configs, seed)).select("run", composite(F.col("silhouette"), F.col("ch"), F.col("db")).alias("s")).collect()  # a row a config
+        by = {r["run"]: float(r["s"]) for r in scored}
+        return [by.get(i, -1e9) for i in range(len(configs))]
+    except Exception:  # a configuration that this table can't take
+        return [-1e9] if len(configs) == 1 else [s for c in configs for s in _trial_scores(x, [c], seed)]
+
+
 def random_search(df: DataFrame, trials: int = 50, seed: int = 42, name: str = "") -> DataFrame:
-    """(features, trial_id, config, score) of seeded trials; a trial that fails scores -1e9. Each preprocessing is cached once."""
+    """(features, trial_id, config, score) of seeded trials; a trial that fails scores -1e9.
+
+    Each preprocessing is made and kept once; all of its trials are scored by one pass over distances.
+    """
     width = df.select(F.size("vec").alias("d")).head()["d"]
-    ready: dict[tuple, DataFrame] = {}
-    rows = []
+    by: dict[tuple, list[dict]] = {}
     for c in sample_configs(trials, width, seed):
-        try:
-            shape = (c["standardise"], c["l2"], c["pca"])
-            if shape not in ready:
-                x = df.select(F.col("key").cast("string").alias("key"), "vec")
-                x = standardise(x) if c["standardise"] else x
-                x = x.withColumn("vec", l2_normalise(F.col("vec"))) if c["l2"] else x
-                ready[shape] = (project(x, c["pca"]) if c["pca"] else x).persist(StorageLevel.MEMORY_AND_DISK)
-            x = ready[shape]
-            if c["algo"] == "kmeans":
-                labelled = kmeans(x, c["k"], seed, c["n_init"], c["init"])
-            else:
-                labelled = x.join(agglomerative(x, [c["k"]], c["linkage"], c["metric"]).select("key", F.get("labels", F.lit(0)).alias("cluster")), "key")
-            score = score_bundle(labelled).select(composite(F.col("silhouette"), F.col("ch"), F.col("db")).alias("s")).head()["s"]
-        except Exception:  # a configuration that this table can't take
-            score = -1e9
-        rows.append((name, c["trial_id"], ", ".join(f"{k}={v}" for k, v in c.items() if k != "trial_id"), float(score)))
-    return df.sparkSession.createDataFrame(rows, "features string, trial_id int, config string, score double")
+        by.setdefault((c["standardise"], c["l2"], c["pca"]), []).append(c)
+    rows = []
+    for (scale, l2, pca), configs in by.items():
+        x = df.select(F.col("key").cast("string").alias("key"), "vec")
+        x = standardise(x) if scale else x
+        x = x.withColumn("vec", l2_normalise(F.col("vec"))) if l2 else x
+        x = (project(x, pca) if pca else x).persist(StorageLevel.MEMORY_AND_DISK)
+        for c, score in zip(configs, _trial_scores(x, configs, seed), strict=True):
+            rows.append((name, c["trial_id"], ", ".join(f"{k}={v}" for k, v in c.items() if k != "trial_id"), score))
+        x.unpersist()
+    return df.sparkSession.createDataFrame(sorted(rows), "features string, trial_id int, config string, score double")
 
 
 def compare_feature_sets(sets: dict[str, DataFrame]) -> DataFrame:
     """One scored row a feature set; each has (key, vec, cluster)."""
-    spark = next(iter(sets.values())).sparkSession
-    return _collected(spark, [_run_row(df, name, "given", "") for name, df in sets.items()]).withColumnRenamed("run_id", "feature_set").drop("algo", "params")
+    parts = [score_bundle(df).select(F.lit(name).alias("feature_set"), "n_clusters", "noise_frac", "silhouette", "ch", "db") for name, df in sets.items()]
+    return reduce(DataFrame.unionByName, parts)
