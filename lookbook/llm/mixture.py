@@ -6,15 +6,16 @@ documents in shuffled order, shuffled anew for each pass over the source (at mos
 three times the source). Blocks exist up to the target only, the last one cut to size; slots beyond them stay unused, and
 the few blocks that the points leave without a slot follow after the last one, so each source gets its target to the word.
 
-Ranks and running sums of a source with a third of all rows are made in two steps: counts or sums of small runs of slots
-(or of ranges of the shuffled order), summed up over runs, then ranks within a run. No source meets in one task.
+Ranks and running sums of a source with a third of all rows are made in three steps: sums of small runs of slots (or of
+ranges of the shuffled order) and of spans of runs, summed up over the spans, then over the runs of a span, then within a
+run. No source meets in one task: the longest sort is over a source's spans, a row per ``RUN * SPAN`` blocks.
 """
 
 from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, small
@@ -22,7 +23,9 @@ from .common import WORD, cut, small
 MAX_REPEATS = 3
 BLOCK_WORDS = 1024
 #: Blocks in a run: small enough that the runs of a source with a third of all rows keep many tasks busy.
-RUN = 1 << 9
+RUN = 1 << 6
+#: Runs in a span.
+SPAN = 1 << 10
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -57,13 +60,19 @@ def targets(sized: DataFrame) -> DataFrame:
     return out.select("source", "source_size", "target", "share", (F.col("high") - F.col("share")).alias("low"), "high")
 
 
-def _numbered(rows: DataFrame, order: str, run: str, amount: str) -> DataFrame:
-    """``rows`` with ``start``, the sum of ``amount`` over the source's rows before this one in the order of (run, order)."""
-    runs = rows.groupBy("sid", run).agg(F.sum(amount).alias("in_run"))
-    before = Window.partitionBy("sid").orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("sid", run, F.coalesce(F.sum("in_run").over(before), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("sid", run).orderBy(order, "rid").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("start", F.coalesce(F.sum(amount).over(inside), F.lit(0))).join(runs, ["sid", run]).withColumn("start", F.col("start") + F.col("ahead")).drop("ahead")
+def _numbered(rows: DataFrame, order: str, amount: str) -> DataFrame:
+    """``rows`` with ``start``, the sum of ``amount`` over the source's rows before this one in the order of (turn, run, order)."""
+
+    def ahead(within: list[str], by: list[str], what: str) -> Column:
+        return F.coalesce(F.sum(what).over(Window.partitionBy(*within).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    run, span = ["sid", "turn", "run"], ["sid", "turn", "span"]
+    runs = rows.groupBy(run).agg(F.sum(amount).alias("in_run")).withColumn("span", F.floor(F.col("run") / SPAN))
+    spans = runs.groupBy(span).agg(F.sum("in_run").alias("in_span"))
+    spans = spans.select(*span, ahead(["sid"], ["turn", "span"], "in_span").alias("to_span"))
+    runs = runs.withColumn("to_run", ahead(span, ["run"], "in_run")).join(spans, span).select(*run, (F.col("to_span") + F.col("to_run")).alias("to_run"))
+    inside = rows.withColumn("start", ahead(run, [order, "rid"], amount))
+    return inside.join(runs, run).withColumn("start", F.col("start") + F.col("to_run")).drop("to_run")
 
 
 def golden_points(slots: DataFrame) -> DataFrame:
@@ -95,8 +104,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, Dat
     streams = named.where("size > 0 and round(target) > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), passes - 1)))
     streams = streams.withColumn("mark", F.xxhash64("doc_id", "size", "turn"))
     runs = max(1, ceil(total / block / RUN))
-    streams = streams.withColumn("part", F.struct("turn", F.pmod("mark", F.lit(runs))))
-    placed = _numbered(streams, "mark", "part", "size")
+    streams = streams.withColumn("run", F.pmod("mark", F.lit(runs)))
+    placed = _numbered(streams, "mark", "size")
     end = F.least(F.col("start") + F.col("size"), F.round("target").cast("long"))
     placed = placed.withColumn("end", end).where("start < end")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)
@@ -111,8 +120,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, Dat
     spans = goals.where("share > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)))))
     at = F.least(F.floor(F.col("point") * cells), F.lit(cells - 1))
     owned = slots.withColumn("cell", at).join(small(spans.select("cell", "low", "high", "sid"), 5 * n_sources), "cell").where("point >= low and point < high")
-    owned = owned.select("slot", "sid", F.lit(1).alias("one"), F.col("slot").alias("rid"), F.floor(F.col("slot") / RUN).alias("part"))
-    ranked = _numbered(owned, "slot", "part", "one").select("slot", "sid", F.col("start").alias("block"))
+    owned = owned.select("slot", "sid", F.lit(1).alias("one"), F.col("slot").alias("rid"), F.lit(0).alias("turn"), F.floor(F.col("slot") / RUN).alias("run"))
+    ranked = _numbered(owned, "slot", "one").select("slot", "sid", F.col("start").alias("block"))
     slot = F.coalesce("slot", F.lit(n) + F.pmod(F.xxhash64("sid", "block"), F.lit(n)))
     return named, pieces.join(ranked, ["sid", "block"], "left").select(slot.alias("slot"), "sid", "block", "rid", "words")
 

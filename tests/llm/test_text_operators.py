@@ -239,7 +239,10 @@ def brute_targets(sizes):
         stopped |= over
 
 
-def test_mixture(spark):
+@pytest.mark.parametrize(("run", "span"), [(64, 1024), (2, 2)])
+def test_mixture(spark, monkeypatch, run, span):
+    monkeypatch.setattr(mixture, "RUN", run)
+    monkeypatch.setattr(mixture, "SPAN", span)
     rng = random.Random(4)
     sources = [rng.choice(["a", "b", "b", "b", "b", "c", "dé", "Z", None]) for _ in range(300)] + ["tiny", "none", "none"]
     texts = [" ".join(["w"] * rng.randint(0, 3000)) for _ in range(300)] + ["one two", None, ""]
