@@ -69,8 +69,21 @@ def nearest_centroid(df: DataFrame, centres: DataFrame, vec: str = "vec", key: s
     """(key, nearest, dist2): the closest centroid by squared euclidean distance, the smallest cluster among equals.
 
     The centroids, a row a cluster, are gathered into one array that goes along with every point, so no pairs are made.
+    Beyond the broadcast bound they are cut into chunks within it, which points meet by a shuffle, salted by point; each
+    chunk leaves its best and the best of those stays, a row a key.
     """
-    table = centres.agg(F.array_sort(F.collect_list(F.struct("cluster", "centroid"))).alias("_all")).withColumn("_one", F.lit(1))
+    centres = centres.persist(StorageLevel.MEMORY_AND_DISK)
+    cells = centres.agg(F.sum(F.lit(ROW_CELLS) + F.size("centroid"))).head()[0] or 0
+    chunks = int(max(1, -(-cells // BROADCAST_CELLS)))
     ranked = F.transform("_all", lambda c: F.struct(squared_distance(F.col(vec), c["centroid"]).alias("d"), c["cluster"].alias("c")))
-    best = F.array_min(ranked)
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(table), "_one").withColumn("_best", best).select(key, F.col("_best")["c"].alias("nearest"), F.col("_best")["d"].alias("dist2"))
+    gathered = F.array_sort(F.collect_list(F.struct("cluster", "centroid"))).alias("_all")
+    if chunks == 1:  # no centroids: an empty array, and nearest is null
+        table = centres.agg(gathered).withColumn("_chunk", F.lit(0))
+        best = df.withColumn("_chunk", F.lit(0)).join(F.broadcast(table), "_chunk").select(key, F.array_min(ranked).alias("_best"))
+    else:
+        salts = df.sparkSession.sparkContext.defaultParallelism
+        table = centres.groupBy(F.pmod(F.xxhash64("cluster"), F.lit(chunks)).cast("int").alias("_chunk")).agg(gathered)
+        table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        dealt = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        best = dealt.join(table.hint("shuffle_hash"), ["_chunk", "_salt"]).groupBy(key).agg(F.min(F.array_min(ranked)).alias("_best"))
+    return best.select(key, F.col("_best")["c"].alias("nearest"), F.col("_best")["d"].alias("dist2"))

@@ -215,3 +215,16 @@ def test_pixels(spark):
     assert q["aspect_ratio"] == 2.5 and q["circularity"] == 0.4
     means = minsize.describe_clusters(px.full_descriptors(df).withColumn("cluster", F.lit(1)))
     assert minsize.name_clusters(means).head()["name"].startswith("Slim Rectangle")
+
+
+@pytest.mark.parametrize("bound", [4_000_000, 40])
+def test_nearest_centroid(spark, data, monkeypatch, bound):
+    monkeypatch.setattr(blocks, "BROADCAST_CELLS", bound)
+    x, y = data
+    points = frame(spark, x, y)
+    centres = {c: x[y == c].mean(axis=0) for c in range(4)}
+    got = {r["key"]: (r["nearest"], r["dist2"]) for r in blocks.nearest_centroid(points, blocks.centroids(points)).collect()}
+    assert len(got) == len(x)
+    for i, p in enumerate(x):
+        d, c = min((float(((p - m) ** 2).sum()), c) for c, m in centres.items())
+        assert got[i][0] == c and abs(got[i][1] - d) < 1e-9
