@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: A word in the base contracts: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Ids sent to every executor at most (8 bytes each, some 30 MB as a hash table); beyond it joins shuffle.
+#: Ids (or array elements) sent to every executor at most (8 bytes each, some 30 MB as a hash table); beyond it joins shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -32,7 +32,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if ``rows``, its counted size, is within the bound; unmarked otherwise."""
+    """``df`` marked for broadcast if ``rows``, its counted size with the elements of its arrays, is within the bound; else unmarked."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 

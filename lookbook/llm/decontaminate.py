@@ -73,15 +73,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = cut(benchmark_items(benchmark))
     probes = cut(sketches(items))
-    n_probes = probes.count()
+    n_probes, n_shingles = probes.count(), items.agg(F.sum("n")).head()[0] or 0
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most five values
     texts = docs.select("doc_id", words(F.col("text")).alias("w")).where("doc_id is not null")
     hashes = F.concat(*(shingle_hashes(F.col("w"), n) for n in widths)) if widths else F.array().cast("array<bigint>")
     found = texts.select("doc_id", F.explode(hashes).alias("hash")).join(small(probes, n_probes), "hash").select("doc_id", "item").distinct()
     found = cut(found.groupBy("doc_id").agg(F.collect_set("item").alias("items")))  # at most the number of items
-    again = texts.join(small(found, found.count()), "doc_id")
+    n_found = found.agg(F.sum(F.size("items") + 1)).head()[0] or 0
+    again = texts.join(small(found, n_found), "doc_id")
     every = F.array_distinct(F.concat(*(shingles(F.col("w"), n) for n in widths))) if widths else F.array().cast("array<string>")
-    pairs = again.select("doc_id", every.alias("has"), F.explode("items").alias("item")).join(small(items.select("item", "item_id", "n", "shingles"), n_probes), "item")
+    pairs = again.select("doc_id", every.alias("has"), F.explode("items").alias("item")).join(small(items.select("item", "item_id", "n", "shingles"), n_shingles), "item")
     pairs = pairs.select("doc_id", "item_id", "n", F.size(F.array_intersect("shingles", "has")).alias("n_found"))
     pairs = pairs.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_shingles"), F.max("n_found").alias("n_found"))
     pairs = pairs.withColumn("containment", F.col("n_found") / F.col("n_shingles"))

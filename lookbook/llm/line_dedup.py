@@ -64,7 +64,8 @@ def remove_units(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """``docs`` with the text of the repeated units taken out; the separators stay. n_chars follows."""
     spans = repeated.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_gone"))
     spans = cut(spans)  # at most a document's own units
-    joined = docs.join(small(spans, spans.count()), "doc_id", "left")
+    n_spans = spans.agg(F.sum(F.size("_gone") + 1)).head()[0] or 0
+    joined = docs.join(small(spans, n_spans), "doc_id", "left")
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     piece = lambda acc, g: F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (g["start"] - acc["at"]).cast("int"))
     kept = F.aggregate("_gone", begin, lambda acc, g: F.struct(g["end"].alias("at"), F.concat(acc["out"], F.array(piece(acc, g))).alias("out")))
