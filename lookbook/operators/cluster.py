@@ -1,8 +1,9 @@
 """Clustering: k-means, agglomerative with merge table, density based; each with its search over k.
 
-Agglomerative and density clustering need all distances of a group. A group of up to ``CAP`` points is done exactly, in
-one task. A larger one is first cut into micro-clusters by k-means (``CAP`` / 2 of them, on Spark); their weighted
-centroids stand for the points, and points follow their micro-cluster. ``mode`` in the result says which it was.
+Agglomerative and density clustering need all distances of a group, and are exact at every size: a group of up to ``CAP``
+points is done in one task, a larger one by the rounds of ``rounds``. Only a caller who gives ``cap`` gets an approximation:
+a group of over ``cap`` points is then first cut into micro-clusters by k-means (``cap`` / 2 of them), whose weighted centroids
+stand for the points. ``mode`` in the result says which it was.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .distance import cluster_sums, matrix, silhouette, with_labels
 from .rank import strict_k, tolerant_k
-from .trees import cut_tree, density_labels, merge_tree
+from .rounds import merges, numbered, spanning_tree
+from .trees import cut_tree, density_labels, merge_tree, ordered, tree_labels
 
+#: Points of a group, or clusters left of one, whose distances one task holds.
 CAP = 4000
 #: Models fitted at the same time.
 FITS = 4
@@ -84,28 +87,58 @@ def _representatives(df: DataFrame, group: str | None, cap: int) -> tuple[DataFr
     return reps, members
 
 
+def _parted(df: DataFrame, group: str | None, cap: int | None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """``_representatives``, and the points of each group that goes by rounds: those of over ``CAP`` points, without a ``cap``."""
+    if cap is not None:
+        return *_representatives(df, group, cap), {}
+    name = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")
+    sizes = df.groupBy(name.alias("group")).count().where(F.col("count") > CAP)
+    large = [r["group"] for r in sizes.collect()]  # groups of over ``CAP`` points
+    rest = df.where(~name.isin(*large)) if large else df
+    points = {g: df.where(name == g).select(F.col("key").cast("string").alias("key"), "vec") for g in large}
+    return *_representatives(rest, group, CAP), points
+
+
+def _looked_up(points: DataFrame, g: str, values: np.ndarray, column: str, kind: str) -> DataFrame:
+    """(group, key, column, mode): the row of ``values`` for each numbered point."""
+    known = points.sparkSession.sparkContext.broadcast(values)
+    value = F.pandas_udf(lambda idx: pd.Series(list(known.value[idx.to_numpy()])), kind)
+    return points.select(F.lit(g).alias("group"), "key", value("idx").alias(column), F.lit("exact").alias("mode"))
+
+
 def _arrays(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
     pdf = pdf.sort_values("rep", kind="stable").reset_index(drop=True)
     return pdf, np.stack(pdf["vec"]).astype(float), pdf["weight"].to_numpy(float)
 
 
-def merge_table(df: DataFrame, linkage: str = "ward", metric: str = "euclidean", group: str | None = None, cap: int = CAP) -> DataFrame:
+def merge_table(df: DataFrame, linkage: str = "ward", metric: str = "euclidean", group: str | None = None, cap: int | None = None) -> DataFrame:
     """(group, step, left, right, height, size, mode): the hierarchy of each group, heights rising."""
-    reps, _ = _representatives(df, group, cap)
+    reps, _, large = _parted(df, group, cap)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, x, w = _arrays(pdf)
         m = merge_tree(x, matrix(x, x, metric), w, linkage)
         return pd.DataFrame({"group": pdf["group"].iloc[0], "step": range(len(m)), "left": m[:, 0].astype(int), "right": m[:, 1].astype(int), "height": m[:, 2], "size": m[:, 3].astype(int), "mode": pdf["mode"].iloc[0]})
 
-    return reps.groupBy("group").applyInPandas(run, "group string, step int, left int, right int, height double, size long, mode string")
+    out = reps.groupBy("group").applyInPandas(run, "group string, step int, left int, right int, height double, size long, mode string")
+    for g, rows in large.items():
+        points, n = numbered(rows)
+        steps = points.sparkSession.sparkContext.broadcast(ordered(merges(points, n, linkage, metric, CAP), np.ones(n)))
+
+        def named(batches, g=g, steps=steps):
+            for pdf in batches:
+                m = steps.value[pdf["id"].to_numpy()]
+                yield pd.DataFrame({"group": g, "step": pdf["id"], "left": m[:, 0].astype(int), "right": m[:, 1].astype(int), "height": m[:, 2], "size": m[:, 3].astype(int), "mode": "exact"})
+
+        out = out.unionByName(points.sparkSession.range(n - 1).mapInPandas(named, out.schema))
+    return out
 
 
-def agglomerative(df: DataFrame, ks: list[int], linkage: str = "ward", metric: str = "euclidean", group: str | None = None, cap: int = CAP) -> DataFrame:
+def agglomerative(df: DataFrame, ks: list[int], linkage: str = "ward", metric: str = "euclidean", group: str | None = None, cap: int | None = None) -> DataFrame:
     """(group, key, labels, mode): the tree of each group, built once and cut at every k."""
     if linkage == "ward" and metric != "euclidean":
         raise ValueError("ward needs euclidean distances")
-    reps, members = _representatives(df, group, cap)
+    reps, members, large = _parted(df, group, cap)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, x, w = _arrays(pdf)
@@ -114,10 +147,15 @@ def agglomerative(df: DataFrame, ks: list[int], linkage: str = "ward", metric: s
         return pd.DataFrame({"group": pdf["group"], "rep": pdf["rep"], "labels": list(cuts), "mode": pdf["mode"]})
 
     cut = reps.groupBy("group").applyInPandas(run, "group string, rep string, labels array<int>, mode string")
-    return members.join(cut, ["group", "rep"]).select("group", "key", "labels", "mode")
+    out = members.join(cut, ["group", "rep"]).select("group", "key", "labels", "mode")
+    for g, rows in large.items():
+        points, n = numbered(rows)
+        m = ordered(merges(points, n, linkage, metric, CAP), np.ones(n))
+        out = out.unionByName(_looked_up(points, g, np.stack([cut_tree(m, n, k) for k in ks], axis=1), "labels", "array<int>"))
+    return out
 
 
-def search_agglomerative(df: DataFrame, ks: range | list[int] = range(3, 21), group: str | None = None, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
+def search_agglomerative(df: DataFrame, ks: range | list[int] = range(3, 21), group: str | None = None, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Scores (group, k, score) and assignments (group, key, cluster, best_k) by the tolerant choice of k."""
     ks = list(ks)
     labels = agglomerative(df, ks, group=group, cap=cap).persist(StorageLevel.MEMORY_AND_DISK)
@@ -130,16 +168,21 @@ def search_agglomerative(df: DataFrame, ks: range | list[int] = range(3, 21), gr
     return scores, labels.join(best, "group", "left").select("group", "key", F.get("labels", place).alias("cluster"), "best_k")
 
 
-def density(df: DataFrame, min_size: int = 3, min_samples: int = 1, eps: float = 0.0, metric: str = "cosine", group: str | None = None, cap: int = CAP) -> DataFrame:
+def density(df: DataFrame, min_size: int = 3, min_samples: int = 1, eps: float = 0.0, metric: str = "cosine", group: str | None = None, cap: int | None = None) -> DataFrame:
     """(group, key, cluster, mode): density clusters, -1 for noise."""
-    reps, members = _representatives(df, group, cap)
+    reps, members, large = _parted(df, group, cap)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, x, w = _arrays(pdf)
         return pd.DataFrame({"group": pdf["group"], "rep": pdf["rep"], "cluster": density_labels(np.maximum(matrix(x, x, metric), 0), w, min_size, min_samples, eps), "mode": pdf["mode"]})
 
     cut = reps.groupBy("group").applyInPandas(run, "group string, rep string, cluster int, mode string")
-    return members.join(cut, ["group", "rep"]).select("group", "key", "cluster", "mode")
+    out = members.join(cut, ["group", "rep"]).select("group", "key", "cluster", "mode")
+    for g, rows in large.items():
+        points, n = numbered(rows)
+        labels = tree_labels(*spanning_tree(points, n, min_samples, metric), np.ones(n), min_size, eps) if n >= min_size else np.full(n, -1)
+        out = out.unionByName(_looked_up(points, g, labels, "cluster", "int"))
+    return out
 
 
 __all__ = ["agglomerative", "density", "kmeans", "kmeans_sets", "merge_table", "search_agglomerative", "search_kmeans", "scored_sets", "with_labels"]

@@ -13,9 +13,22 @@ def merge_tree(points: np.ndarray, dist: np.ndarray, sizes: np.ndarray, linkage:
     n = len(dist)
     if n < 2:
         return np.zeros((0, 4))
-    d, w = dist.astype(float).copy(), sizes.astype(float).copy()
+    d, w = dist.astype(float), sizes.astype(float)
     if linkage == "ward":  # distances of weighted points to start with
-        d *= np.sqrt(2 * w[:, None] * w[None, :] / (w[:, None] + w[None, :]))
+        d = d * np.sqrt(2 * w[:, None] * w[None, :] / (w[:, None] + w[None, :]))
+    return ordered(chain_merges(d, w, linkage), sizes)
+
+
+def root_of(root: list[int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
+def chain_merges(dist: np.ndarray, sizes: np.ndarray, linkage: str) -> list[tuple[int, int, float]]:
+    """(a, b, height) of a nearest-neighbour chain over the linkage's own distances; a cluster is named by one of its points."""
+    n, d, w = len(dist), dist.copy(), sizes.astype(float).copy()
     np.fill_diagonal(d, np.inf)
     alive, chain, raw = np.ones(n, bool), [], []
     for _ in range(n - 1):
@@ -48,19 +61,18 @@ def merge_tree(points: np.ndarray, dist: np.ndarray, sizes: np.ndarray, linkage:
         d[b], d[:, b] = new, new
         d[a], d[:, a] = np.inf, np.inf
         alive[a], w[b] = False, w[a] + w[b]
-    order = np.argsort([h for _, _, h in raw], kind="stable")
-    name, weight, out = np.arange(n), sizes.astype(float).copy(), []
-    root = np.arange(n)
+    return raw
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
+def ordered(raw: list[tuple[int, int, float]], sizes: np.ndarray) -> np.ndarray:
+    """``raw`` merges as (left, right, height, size) by rising height."""
+    n = len(sizes)
+    order = np.argsort([h for _, _, h in raw], kind="stable")
+    name, weight, out = list(range(n)), sizes.astype(float).copy(), []
+    root = list(range(n))
     for step, i in enumerate(order):
         a, b, h = raw[i]
-        a, b = find(a), find(b)
+        a, b = root_of(root, a), root_of(root, b)
         left, right = sorted((name[a], name[b]))
         root[a], weight[b], name[b] = b, weight[a] + weight[b], n + step
         out.append((left, right, h, weight[b]))
@@ -70,13 +82,11 @@ def merge_tree(points: np.ndarray, dist: np.ndarray, sizes: np.ndarray, linkage:
 def cut_tree(merges: np.ndarray, n: int, k: int) -> np.ndarray:
     """Labels 0..k-1 of the tree cut into ``k`` clusters, numbered by their first point."""
     k = max(1, min(k, n))
-    label = {i: [i] for i in range(n)}
+    root = list(range(2 * n))
     for step, (a, b, _, _) in enumerate(merges[: n - k]):
-        label[n + step] = label.pop(int(a)) + label.pop(int(b))
-    out = np.empty(n, int)
-    for c, members in enumerate(sorted(label.values(), key=min)):
-        out[members] = c
-    return out
+        root[int(a)] = root[int(b)] = n + step
+    place: dict[int, int] = {}
+    return np.array([place.setdefault(root_of(root, i), len(place)) for i in range(n)], int)
 
 
 def density_labels(dist: np.ndarray, weight: np.ndarray, min_size: int, min_samples: int, eps: float = 0.0) -> np.ndarray:
@@ -87,25 +97,26 @@ def density_labels(dist: np.ndarray, weight: np.ndarray, min_size: int, min_samp
     order = np.sort(dist, axis=1)
     core = order[:, min(min_samples, n - 1)]
     reach = np.maximum(dist, np.maximum(core[:, None], core[None, :]))
-    inside, best, link, edges = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), []
+    inside, best, link, edges, ids = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), [], np.arange(n)
     at = 0
-    for _ in range(n - 1):
+    for _ in range(n - 1):  # among equal edges the smaller (a, b) first
         inside[at] = True
-        closer = (reach[at] < best) & ~inside
+        earlier = (np.minimum(ids, at) < np.minimum(ids, link)) | ((np.minimum(ids, at) == np.minimum(ids, link)) & (np.maximum(ids, at) < np.maximum(ids, link)))
+        closer = ((reach[at] < best) | ((reach[at] == best) & earlier)) & ~inside
         best[closer], link[closer] = reach[at][closer], at
-        at = int(np.argmin(np.where(inside, np.inf, best)))
-        edges.append((best[at], link[at], at))
-    edges.sort(key=lambda e: e[0])
-    root, node, kids, height, size = list(range(n)), list(range(n)), {}, {}, dict(enumerate(weight.astype(float)))
+        open_ = np.where(inside, np.inf, best)
+        equal = np.flatnonzero(open_ == open_.min())
+        at = int(equal[np.lexsort((np.maximum(equal, link[equal]), np.minimum(equal, link[equal])))[0]])
+        edges.append((best[at], min(int(link[at]), at), max(int(link[at]), at)))
+    return tree_labels(sorted(edges), core, weight, min_size, eps)
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
+def tree_labels(edges: list[tuple[float, int, int]], core: np.ndarray, weight: np.ndarray, min_size: int, eps: float = 0.0) -> np.ndarray:
+    """Labels of the stable clusters of a spanning tree, its edges (w, a, b) by rising w."""
+    n = len(core)
+    root, node, kids, height, size = list(range(n)), list(range(n)), {}, {}, dict(enumerate(weight.astype(float)))
     for s, (h, a, b) in enumerate(edges):
-        a, b = find(a), find(b)
+        a, b = root_of(root, a), root_of(root, b)
         kids[n + s], height[n + s], size[n + s] = (node[a], node[b]), h, size[node[a]] + size[node[b]]
         root[a] = b
         node[b] = n + s

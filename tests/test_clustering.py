@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lookbook.functions import vectors as v
-from lookbook.operators import blocks, cluster, distance, minsize, rank, scores, search, trees
+from lookbook.operators import blocks, cluster, distance, minsize, rank, rounds, scores, search, trees
 from lookbook.operators import pixels as px
 
 
@@ -228,3 +228,28 @@ def test_nearest_centroid(spark, data, monkeypatch, bound):
     for i, p in enumerate(x):
         d, c = min((float(((p - m) ** 2).sum()), c) for c, m in centres.items())
         assert got[i][0] == c and abs(got[i][1] - d) < 1e-9
+
+
+def by_key(rows, column):
+    return [r[column] for r in sorted(rows, key=lambda r: r["key"])]
+
+
+def test_large_groups_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 1.0, (60, 4)) for c in (0, 6, 12)] + [rng.uniform(-20, 30, (30, 4))])
+    df = frame(spark, x)
+    kinds = [("ward", "euclidean"), ("average", "cosine"), ("average", "euclidean"), ("complete", "euclidean")]
+    want = {k: cluster.merge_table(df, *k).orderBy("step").collect() for k in kinds}
+    cuts = by_key(cluster.agglomerative(df, [3, 9]).collect(), "labels")
+    dense = {m: by_key(cluster.density(df, 5, m, metric="euclidean").collect(), "cluster") for m in (1, 5)}
+    assert all(-1 in d and len(set(d)) > 2 for d in dense.values())
+    monkeypatch.setattr(cluster, "CAP", 40)
+    for f, name in ((rounds.merges, "merges"), (rounds.spanning_tree, "spanning_tree")):
+        monkeypatch.setattr(cluster, name, lambda *a, f=f: f(*a, block=25))  # clusters of over 25 points are split over blocks
+    for k, steps in want.items():
+        got = cluster.merge_table(df, *k).orderBy("step").collect()
+        assert [(r["left"], r["right"], r["size"], r["mode"]) for r in got] == [(r["left"], r["right"], r["size"], "exact") for r in steps], k
+        assert np.allclose([r["height"] for r in got], [r["height"] for r in steps]), k
+    assert by_key(cluster.agglomerative(df, [3, 9]).collect(), "labels") == cuts
+    for m, labels in dense.items():
+        assert by_key(cluster.density(df, 5, m, metric="euclidean").collect(), "cluster") == labels, m
