@@ -7,6 +7,7 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,17 +92,17 @@ def _label_sets(x: DataFrame, configs: list[dict], seed: int) -> DataFrame:
 
 
 def _trial_scores(x: DataFrame, configs: list[dict], seed: int) -> list[float]:
-    """Composite scores; where the configs fail together they are tried one by one, and one that fails alone scores -1e9."""
+    """Composite scores; where a config is invalid they are tried one by one, and the invalid ones score -1e9."""
     try:
         scored = score_sets(_label_sets(x, configs, seed)).select("run", composite(F.col("silhouette"), F.col("ch"), F.col("db")).alias("s")).collect()  # a row a config
         by = {r["run"]: float(r["s"]) for r in scored}
         return [by.get(i, -1e9) for i in range(len(configs))]
-    except Exception:  # a configuration that this table can't take
+    except (ValueError, IllegalArgumentException):  # a configuration that this table can't take; a lost or failed job isn't one
         return [-1e9] if len(configs) == 1 else [s for c in configs for s in _trial_scores(x, [c], seed)]
 
 
 def random_search(df: DataFrame, trials: int = 50, seed: int = 42, name: str = "") -> DataFrame:
-    """(features, trial_id, config, score) of seeded trials; a trial that fails scores -1e9.
+    """(features, trial_id, config, score) of seeded trials; an invalid configuration scores -1e9, a job that fails fails the search.
 
     Each preprocessing is made and kept once; all of its trials are scored by one pass over distances.
     """

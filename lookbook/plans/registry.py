@@ -564,7 +564,7 @@ def _(spark, sf):
 
 @query("kmeans_search")
 def _(spark, sf):
-    return cluster.search_kmeans(inputs.points(spark, sf).drop("cluster"), range(2, 7))[0]
+    return cluster.search_kmeans(inputs.points(spark, sf).drop("cluster"), range(2, 12))[0]
 
 
 @query("agglomerative")
@@ -600,12 +600,12 @@ def _(spark, sf):
 
 @query("grid_search")
 def _(spark, sf):
-    return search.grid_search(inputs.points(spark, sf).drop("cluster"), [2, 3, 4], (5, 10))[0]
+    return search.grid_search(inputs.points(spark, sf).drop("cluster"))[0]
 
 
 @query("random_search")
 def _(spark, sf):
-    return workloads.configuration_search({"embeddings": inputs.points(spark, sf).drop("cluster")}, 4)[0]
+    return workloads.configuration_search({"embeddings": inputs.points(spark, sf).drop("cluster")})[0]
 
 
 @query("feature_set_comparison")
@@ -632,4 +632,4 @@ def _(spark, sf):
     shape = inputs.points(spark, sf).select("key", "vec")
     colour = px.colour_histogram(inputs.pixels(spark, sf)).withColumnRenamed("stem", "key")
     texture = px.quick_descriptors(inputs.pixels(spark, sf)).select(F.col("stem").alias("key"), F.array("brightness", "mean_saturation", "lens_darkness").alias("vec"))
-    return workloads.families(shape, colour, texture, range(3, 9)).select("key", "cluster", "best_k")
+    return workloads.families(shape, colour, texture).select("key", "cluster", "best_k")

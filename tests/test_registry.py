@@ -38,3 +38,42 @@ def _copy_without_llm(to):
     import shutil
 
     shutil.copytree(f"{ROOT}/lookbook", to / "lookbook", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+
+
+def test_searches_are_registered_over_the_whole_range(spark, monkeypatch):
+    import inspect
+
+    from lookbook.operators import cluster, search
+    from lookbook.plans import registry, workloads
+
+    seen, out = {}, spark.range(1).selectExpr("id key", "0 cluster", "0 best_k")
+    for module, name in ((search, "grid_search"), (cluster, "search_kmeans"), (workloads, "configuration_search"), (workloads, "families")):
+        shape = inspect.signature(getattr(module, name))
+
+        def stub(*a, name=name, shape=shape, **b):
+            given = shape.bind(*a, **b)
+            given.apply_defaults()
+            seen[name] = given.arguments
+            return out if name == "families" else (out, out)
+
+        monkeypatch.setattr(module, name, stub)
+    for query in ("grid_search", "kmeans_search", "random_search", "families"):
+        registry.queries()[query](spark, SF)
+    assert list(seen["grid_search"]["ks"]) == list(range(2, 21)) and seen["grid_search"]["min_sizes"] == (5, 10, 20, 30)
+    assert list(seen["search_kmeans"]["ks"]) == list(range(2, 12)) and seen["configuration_search"]["trials"] == 50
+    assert list(seen["families"]["ks"]) == list(range(3, 21))
+
+
+def test_a_failed_job_fails_the_search(spark, monkeypatch):
+    from lookbook.operators import search
+
+    def fails(error):
+        def sets(*_):
+            raise error
+
+        monkeypatch.setattr(search, "_label_sets", sets)
+        return search._trial_scores(None, [{}, {}], 1)
+
+    assert fails(ValueError("no such linkage")) == [-1e9, -1e9]
+    with pytest.raises(RuntimeError):
+        fails(RuntimeError("executor lost"))
