@@ -1,15 +1,20 @@
 """Licence recognition by sentence rules.
 
-Texts are cut into sentences and normalised (lower case, runs of other than letters and digits become one space). Known
-sentences have identifiers; a licence rule is an ordered sequence of identifiers that must stand next to each other. The
-matching is relational: each known sentence of a text, joined with the rules that use its identifier, points at the
-sentence where that rule would start; a rule matches where all its places point at the same start. Matches that lie
-within a longer match are dropped.
+Texts are cut into pieces and normalised (lower case, runs of other than letters and digits become one space). A known
+sentence is one piece or several in a row: lines of a wrapped text and halves at a colon or semicolon are put together.
+Known sentences have identifiers; a licence rule is an ordered sequence of identifiers that must stand next to each other,
+where empty pieces and bare list numbers don't count. The matching of rules is relational: each known sentence of a text,
+joined with the rules that use its identifier, points at the sentence where that rule would start; a rule matches where all
+its places point at the same start. Matches that lie within a longer match are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+from collections import defaultdict
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Known sentences of public licences and notices, normalised.
@@ -48,36 +53,85 @@ RULES = [
     ("bsd-2-clause", "text", ["bsd-0", "bsd-1", "bsd-2"]), ("bsd-3-clause", "text", ["bsd-0", "bsd-1", "bsd-2", "bsd-3"]),
     ("cc-by-nc-4.0", "short notice", ["cc-by-nc"]), ("cc-by-4.0", "short notice", ["cc-by"]), ("cc-by-sa-4.0", "short notice", ["cc-by-sa"]), ("cc0-1.0", "waiver", ["cc0"]), ("proprietary", "reserved", ["reserved"]),
 ]
-#: A sentence ends at its closing mark before a blank, or at a line end.
-CUT = r"[.!?;:]+[ \t\r]+|\n"
+#: A piece ends at a closing mark before a blank, or at a line end.
+CUT = re.compile(r"[.!?;:]+[ \t\r]+|\n")
+_OTHER, _LIST_NUMBER = re.compile(r"[\W_]+"), re.compile(r"[0-9]{1,2}|[a-z]|[ivx]{1,4}")
+_LEAD = re.compile(r"\A\s*\(?(?:[0-9]{1,2}|[a-zA-Z])\)\s+")
+_FIRST_WORD = re.compile(r"[^\W_]+")
+#: Known sentences by each run of words that they begin with: a piece is looked up here.
+_STARTS: dict[str, list[str]] = defaultdict(list)
+for _sid, _sentence in SENTENCES.items():
+    _words = _sentence.split(" ")
+    for _n in range(1, len(_words) + 1):
+        _STARTS[" ".join(_words[:_n])].append(_sid)
+_FIRST_WORDS = frozenset(s for s in _STARTS if " " not in s)
+
+
+def normalise(piece: str) -> str:
+    return _OTHER.sub(" ", piece.lower()).strip()
 
 
-def normalise(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+def _ends(pieces: list[str], at: int, text: str) -> dict[str, int]:
+    """The known sentences that begin with piece ``at``, which is ``text``, and the piece after each."""
+    found, open_, k = {}, _STARTS.get(text, ()), at + 1
+    while open_:
+        found |= {sid: k for sid in open_ if SENTENCES[sid] == text}
+        open_ = [sid for sid in open_ if len(SENTENCES[sid]) > len(text)]
+        while k < len(pieces) and not (more := normalise(pieces[k])):
+            k += 1
+        if k == len(pieces) or not open_:
+            break
+        text, k = f"{text} {more}", k + 1
+        open_ = [sid for sid in open_ if SENTENCES[sid] == text or SENTENCES[sid].startswith(text + " ")]
+    return found
 
 
-def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """Known sentences and rule places; both are fixed, of some dozens of rows."""
-    known = spark.createDataFrame(list(SENTENCES.items()), "sid string, sentence string")
+def known_sentences(text: str | None) -> list[tuple[int, int, str]]:
+    """(piece, sentence, sid): where a known sentence begins, and its number for adjacency.
+
+    Numbers count sentences: pieces of one known sentence share a number; empty pieces and list numbers have none.
+    """
+    out, number, inside, pieces = [], 0, 0, CUT.split(text or "")
+    for at, piece in enumerate(pieces):
+        raw = _LEAD.sub("", piece)
+        first = _FIRST_WORD.search(raw)
+        if first is None:
+            continue
+        found = _ends(pieces, at, normalise(raw)) if first[0].lower() in _FIRST_WORDS else {}
+        if at < inside and not found:
+            continue
+        if not found and len(raw) < 12 and _LIST_NUMBER.fullmatch(normalise(raw)):
+            continue
+        number += at >= inside
+        out += [(at, number, sid) for sid in found]
+        inside = max([inside, *found.values()])
+    return out
+
+
+def _tables(spark: SparkSession) -> DataFrame:
+    """Rule places: fixed, some dozens of rows."""
     places = [(i, lic, name, len(ids), k, sid) for i, (lic, name, ids) in enumerate(RULES) for k, sid in enumerate(ids)]
-    return known, spark.createDataFrame(places, "rule_id int, license string, rule string, places int, place int, sid string")
+    return spark.createDataFrame(places, "rule_id int, license string, rule string, places int, place int, sid string")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """(doc_id, license, rule, first_sentence, n_sentences) of every match, sentences numbered from 0 with empty ones.
+    """(doc_id, license, rule, first_sentence, n_sentences) of every match; first_sentence counts pieces from 0, empty ones too.
 
     A match within a longer match of the text is dropped; equal notices at two places are two rows. Null and empty texts
     match nothing; rows that repeat a doc_id count once a place; rows without doc_id are left out; an empty table gives no
     rows. Only known sentences are shuffled.
     """
-    known, places = _tables(docs.sparkSession)
-    longest = max(map(len, SENTENCES.values()))
-    cut = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", CUT)).alias("at", "raw"))
-    near = cut.where(F.length("raw").between(10, 2 * longest)).select("doc_id", "at", normalise(F.col("raw")).alias("sentence"))
-    hits = near.join(F.broadcast(known), "sentence").select("doc_id", "at", "sid").distinct()
-    starts = hits.join(F.broadcast(places), "sid").withColumn("first", F.col("at") - F.col("place"))
-    full = starts.groupBy("doc_id", "rule_id", "license", "rule", "places", "first").agg(F.count("*").alias("n")).where("n = places")
+
+    def scan(batches):
+        for pdf in batches:
+            rows = [(i, *hit) for i, text in zip(pdf["doc_id"], pdf["text"], strict=True) for hit in known_sentences(text)]
+            yield pd.DataFrame(rows, columns=["doc_id", "at", "number", "sid"])
+
+    named = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    hits = named.mapInPandas(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at int, number int, sid string").distinct()
+    starts = hits.join(F.broadcast(_tables(docs.sparkSession)), "sid").withColumn("first", F.col("number") - F.col("place"))
+    full = starts.groupBy("doc_id", "rule_id", "license", "rule", "places", "first").agg(F.count_distinct("place").alias("n"), F.min("at").alias("at")).where("n = places")
     before = Window.partitionBy("doc_id").orderBy("first", F.desc("places"), "rule_id").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(F.col("first") + F.col("places")).over(before)
     kept = full.withColumn("reach", reach).where("reach is null or first + places > reach")
-    return kept.select("doc_id", "license", "rule", F.col("first").cast("long").alias("first_sentence"), F.col("places").cast("long").alias("n_sentences"))
+    return kept.select("doc_id", "license", "rule", F.col("at").cast("long").alias("first_sentence"), F.col("places").cast("long").alias("n_sentences"))

@@ -319,3 +319,69 @@ def test_license_scan(spark):
     got = sorted((r["doc_id"], r["license"], r["first_sentence"], r["n_sentences"]) for r in license_scan.scan_licenses(table(spark, texts)).collect())
     assert got == [(0, "mit", 1, 3), (1, "bsd-3-clause", 0, 4), (2, "mit", 0, 1), (2, "proprietary", 1, 1)]
     assert license_scan.scan_licenses(table(spark, texts).limit(0)).collect() == []
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law
+"""
+GPL = """ * This program is free software{} you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation{} either version {} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+"""
+
+
+def test_license_scan_of_wrapped_texts_and_spdx_lines(spark):
+    texts = {
+        "MIT": (MIT, [("mit", "text")]), "bsd2": (BSD, [("bsd-2-clause", "text")]), "bsd3": (BSD + BSD3, [("bsd-3-clause", "text")]), "brackets": (BSD.replace("1.", "1)").replace("2.", "(2)"), [("bsd-2-clause", "text")]),
+        "crlf": (MIT.replace("\n", "\r\n"), [("mit", "text")]), "apache": (APACHE, [("apache-2.0", "header")]), "gpl3": (GPL.format(":", ",", 3), [("gpl-3.0-or-later", "header")]), "gpl2": (GPL.format(";", ";", 2), [("gpl-2.0-or-later", "header")]),
+        "spdx": ("// SPDX-License-Identifier: MIT\n#include <x>", [("mit", "spdx")]), "spdx2": ("/* SPDX-License-Identifier: Apache-2.0 */", [("apache-2.0", "spdx")]), "spdx3": ("# SPDX-License-Identifier: GPL-3.0-or-later\n", [("gpl-3.0-or-later", "spdx")]),
+        "other": ("SPDX-License-Identifier: MITX", []), "apart": (BSD.replace("1. Red", "Words between. Red"), []), "twice": ("All rights\nreserved.\n\nAll rights reserved.", [("proprietary", "reserved")] * 2),
+    }
+    got = license_scan.scan_licenses(table(spark, [t for t, _ in texts.values()])).collect()
+    found = {name: sorted((r["license"], r["rule"]) for r in got if r["doc_id"] == i) for i, name in enumerate(texts)}
+    assert found == {name: want for name, (_, want) in texts.items()}
