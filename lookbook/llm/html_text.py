@@ -32,12 +32,27 @@ LABELLED = [
     (40, 0.0, 6, 0.0, 60, 0.0, 0, 0, 0, 1), (90, 0.1, 40, 0.0, 30, 0.0, 0, 0, 0, 1), (25, 0.0, 50, 0.0, 12, 0.0, 0, 0, 0, 1), (200, 0.0, 4, 1.0, 8, 0.5, 0, 0, 0, 1),
     (6, 0.0, 2, 1.0, 45, 0.0, 0, 0, 0, 1), (9, 0.0, 80, 0.0, 70, 0.0, 0, 0, 0, 1), (12, 0.0, 55, 0.0, 3, 1.0, 0, 0, 0, 1), (15, 0.2, 35, 0.0, 40, 0.0, 0, 0, 0, 1),
 ]
+#: More rows, by situation: each of some blocks (words, links) between each of some pairs of neighbours.
+_PROSE, _LINKED = [(1, 0.0), (4, 0.0), (15, 0.1), (60, 0.0), (110, 0.2), (250, 0.05)], [(1, 1.0), (5, 1.0), (14, 0.9)]
+_TEXT_AROUND = [(0, 0.0, 12, 0.0), (8, 0.0, 60, 0.0), (60, 0.0, 0, 0.0), (90, 0.0, 40, 0.0), (3, 0.0, 5, 0.0), (0, 0.0, 0, 0.0), (200, 0.0, 220, 0.0), (200, 0.0, 0, 0.0), (0, 0.0, 200, 0.0), (230, 0.0, 12, 0.0), (12, 0.0, 210, 0.0), (400, 0.0, 2, 0.0)]
+_LINKS_AROUND = [(5, 1.0, 7, 1.0), (0, 0.0, 6, 1.0), (2, 0.0, 6, 1.0), (60, 0.0, 8, 1.0), (7, 1.0, 0, 0.0), (8, 1.0, 40, 0.0), (12, 0.9, 11, 1.0)]
+_LONG, _LONG_AROUND = [(180, 0.0), (220, 0.05), (300, 0.0)], [(170, 0.0, 190, 0.0), (200, 0.0, 160, 0.0), (240, 0.1, 200, 0.0)]
+_SITUATIONS = [
+    (_PROSE, _TEXT_AROUND + _LINKS_AROUND, [(0, 1, 1)], 1), (_LINKED, _TEXT_AROUND, [(0, 1, 1)], 1), (_LINKED, _LINKS_AROUND, [(0, 1, 1)], 0),  # in an article or main lists of links aren't main text
+    (_LONG, _LONG_AROUND, [(1, 1, 1), (0, 0, 1), (1, 0, 1), (1, 0, 0)], 1),  # outside of one, or in what a name calls furniture, long prose among long prose is
+    (_PROSE[:5] + _LINKED + [(240, 0.9)], _TEXT_AROUND + _LINKS_AROUND + _LONG_AROUND, [(1, 1, 1), (0, 0, 1), (1, 0, 1), (1, 0, 0)], 0), (_LONG, _TEXT_AROUND[:6] + _TEXT_AROUND[7:] + _LINKS_AROUND, [(1, 1, 1), (0, 0, 1), (1, 0, 1), (1, 0, 0)], 0),
+]
+LABELLED += [(*own, *around, *flags, label) for owns, arounds, where, label in _SITUATIONS for own in owns for around in arounds for flags in where]
 #: Fixed tag sets.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 HOLDERS = frozenset("article aside blockquote body details dialog div fieldset figure footer form header main menu nav ol section table td ul".split())
 FURNITURE_TAGS = frozenset("aside dialog footer form header menu nav".split())
-#: Words of class, id and role that name furniture (fixed values).
-FURNITURE_NAMES = frozenset("ad ads adv advert advertisement adverts alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies dialog disqus foot footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: Whole classes, ids and roles that name furniture (fixed values): single words, such a word with a holder (comment-list), and a
+#: place with such a word (site-footer).
+_SINGLE = frozenset("ad ads adv advert advertisement adverts alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies dialog disqus foot footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+_HOLDING = "area bar block box button buttons container form icons item items links list notice banner overlay panel popup posts section slot unit widget widgets wrapper".split()
+_PLACES = "site page main primary secondary left right top bottom mobile".split()
+FURNITURE_NAMES = _SINGLE | {f"{a}-{b}" for a in _SINGLE for b in _HOLDING} | {f"{a}-{b}" for a in _PLACES for b in _SINGLE}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|title|textarea|select|svg|iframe|object|button)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
@@ -58,7 +73,7 @@ class _Block:
 def blocks(page: str) -> list[_Block]:
     """The page's non-empty text blocks in order."""
     out: list[_Block] = []
-    holders: list[tuple[str, bool, bool]] = []  # tag, in furniture, in an article
+    holders: list[tuple[str, bool, bool, bool]] = []  # tag, in furniture by a name, by a tag, in an article
     block, in_link, at = _Block(False, False), False, 0
 
     def text(raw: str) -> None:
@@ -71,8 +86,8 @@ def blocks(page: str) -> list[_Block]:
         nonlocal block
         if block.pieces:
             out.append(block)
-        _, furniture, article = holders[-1] if holders else ("", False, False)
-        block = _Block(furniture or extra, article)
+        _, by_name, by_tag, article = holders[-1] if holders else ("", False, False, False)
+        block = _Block(by_name or by_tag or extra, article)
 
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
@@ -88,7 +103,7 @@ def blocks(page: str) -> list[_Block]:
             named = False
             if not close and m[4] and tag not in ("html", "body", "article", "main"):
                 names = " ".join(filter(None, (x for g in _NAMES.findall(m[4]) for x in g))).lower()
-                named = not FURNITURE_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", names))
+                named = not FURNITURE_NAMES.isdisjoint(names.replace("_", "-").split())
             if tag in HOLDERS:
                 if close:
                     for k in range(len(holders) - 1, -1, -1):
@@ -96,9 +111,11 @@ def blocks(page: str) -> list[_Block]:
                             del holders[k:]
                             break
                 else:
-                    _, furniture, article = holders[-1] if holders else ("", False, False)
-                    heading = tag == "header" and article  # an article's own header
-                    holders.append((tag, furniture or named or (tag in FURNITURE_TAGS and not heading), article or tag in ("article", "main")))
+                    _, by_name, by_tag, article = holders[-1] if holders else ("", False, False, False)
+                    heading, begins = tag == "header" and article, tag in ("article", "main")  # an article's own header
+                    if begins and not article:  # names of what holds the first article or main don't reach into it
+                        by_name = False
+                    holders.append((tag, by_name or named, by_tag or (tag in FURNITURE_TAGS and not heading), article or begins))
                 in_link = False
                 new()
             else:

@@ -80,3 +80,24 @@ def test_extract_text_rows(spark, tree):
     rows = html_text.extract_text(frame, tree).collect()
     assert [(r["page_id"], r["n_chars"]) for r in rows] == [(1, 3), (1, 0), (None, 0), (4, 20_000 * 16 - 1)]
     assert html_text.extract_text(frame.limit(0)).collect() == []
+
+
+def test_words_and_links_decide_besides_flags(tree):
+    flags, wrong = {}, [row for row in html_text.LABELLED if html_text.decide(tree, row[:-1]) != row[-1]]
+    assert len(wrong) <= 0.01 * len(html_text.LABELLED), wrong  # the tree has six levels
+    for row in html_text.LABELLED:
+        flags.setdefault(row[6:9], set()).add(row[-1])
+    assert all(flags[f, a, 1] == {0, 1} for f in (0, 1) for a in (0, 1)) and flags[0, 0, 0] == flags[1, 0, 0] == {0, 1}
+    print("misfits", len(wrong), len(html_text.LABELLED), wrong)
+    prose = "Plain words of an article that goes on for a good while and says something new."
+    long = " ".join([prose] * 12)
+    links = "".join(f"<li><a href=/{i}>Read more of {i}</a></li>" for i in range(4))
+    article = f"<article><h1>Head</h1><p>{prose}</p><p>{prose}</p><ul>{links}</ul></article>"
+    want = f"Head\n{prose}\n{prose}"
+    assert html_text.main_text(f'<div class="site has-sidebar">{article}</div>', tree) == want
+    assert html_text.main_text(f'<div class="sidebar">{article}</div>', tree) == want
+    assert html_text.main_text(f'<div class="research-notice-board"><main>{article}</main></div>', tree) == want
+    assert html_text.main_text(f"<aside>{article}</aside>", tree) == ""
+    assert html_text.main_text(f"<main><p>{prose}</p><section id=comments><article><p>{prose}</p></article></section></main>", tree) == prose
+    assert html_text.main_text(f"<main><p>{prose}</p><div class=site-footer><p>{prose}</p></div></main>", tree) == prose
+    assert long in html_text.main_text(f"<div class=notice><p>{long}</p><p>{long}</p><p>{long}</p></div>", tree)
