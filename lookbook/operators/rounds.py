@@ -53,7 +53,9 @@ def _block_pairs(points: DataFrame, block_of: np.ndarray, run, schema: str) -> D
     packed = points.select("idx", "vec").mapInPandas(pack, "own int, idx binary, vec binary")
     meets = packed.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(int(block_of.max())))))
     dealt = meets.select("own", "idx", "vec", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
-    return dealt.groupBy("i", "j").applyInPandas(pair, schema)
+    n_blocks = int(block_of.max()) + 1
+    tasks = min(n_blocks * (n_blocks + 1) // 2, 4 * points.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work: not to be coalesced
+    return dealt.repartition(tasks, "i", "j").groupBy("i", "j").applyInPandas(pair, schema)
 
 
 def _distances(i: int, j: int, a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
