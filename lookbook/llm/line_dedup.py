@@ -1,8 +1,13 @@
-"""Substring dedup by hashing lines or paragraphs.
+"""Substring dedup by hashing lines, paragraphs or the sentences of lines.
 
-Units are cut at line ends (or blank lines), normalised (A-Z lower-cased, blanks collapsed) and digested. Digests are
-grouped globally; of each group the earliest ranked occurrence, by (doc_id, unit), stays and the rest are removed, with
-the offsets that they have in the original text.
+Units are cut, normalised (A-Z lower-cased, blanks collapsed) and digested. Digests are grouped globally; of each group the
+earliest ranked occurrence, by (doc_id, text hash, place), stays and the others are repeated units. A repeated unit is
+removed where it and its neighbours form a passage: repeated units in a row of ``min_words`` words or more together. All
+offsets are those of the original text.
+
+A line may hold a passage that others hold as well between words of its own, so by default lines are cut at their
+sentence ends. Units under ``least`` words are no evidence by themselves: they aren't digested, and go only with a passage
+that has them inside.
 """
 
 from __future__ import annotations
@@ -12,66 +17,99 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small
 
-MIN_WORDS = 10
-_CUTS = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
+#: Words of a passage. Half of 50: a passage of 50 words that begins and ends inside sentences has whole ones in between only.
+MIN_WORDS = 25
+#: Words of a unit that is digested.
+LEAST = 3
+#: Where units end, with the separator.
+_ENDS = {"sentence": re.compile(r"[.!?]+[ \t\r]+|\n"), "line": re.compile("\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
 
 
 def cut_units(text: str, unit: str) -> Iterator[tuple[int, int]]:
-    """Start and end (exclusive) of each unit in code points, without the separators."""
+    """Start and end (exclusive) of each unit in code points; a unit ends after its separator, so units cover the text."""
     at = 0
-    for m in _CUTS[unit].finditer(text):
-        yield at, m.start()
+    for m in _ENDS[unit].finditer(text):
+        yield at, m.end()
         at = m.end()
-    yield at, len(text)
+    if at < len(text):
+        yield at, len(text)
+
+
+def _mark():
+    """What tells documents apart: rows of equal doc_id and text are one document."""
+    return F.xxhash64("text").alias("mark")
 
 
-def digest_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, unit, start, end, digest) of units with ``min_words`` words or more."""
+def digest_units(docs: DataFrame, unit: str = "sentence", least: int = LEAST) -> DataFrame:
+    """(doc_id, mark, place, start, end, words, digest) of units with ``least`` words or more; place counts these in a text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
-                for n, (s, e) in enumerate(cut_units(text or "", unit)):
-                    words = text[s:e].encode().lower().split() if text else []
-                    if len(words) >= min_words:
-                        rows.append((doc, n, s, e, hashlib.blake2b(b" ".join(words), digest_size=16).digest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "unit", "start", "end", "digest"]).astype({"doc_id": "Int64"})
+            for doc, mark, text in zip(b["doc_id"].astype("Int64"), b["mark"], b["text"], strict=True):
+                place = 0
+                for s, e in cut_units(text, unit):
+                    words = text[s:e].encode().lower().split()
+                    if len(words) >= least:
+                        rows.append((doc, mark, place, s, e, len(words), hashlib.blake2b(b" ".join(words), digest_size=16).digest()))
+                        place += 1
+            yield pd.DataFrame(rows, columns=["doc_id", "mark", "place", "start", "end", "words", "digest"]).astype({"doc_id": "Int64"})
+
+    named = docs.where("text is not null").select("doc_id", _mark(), "text")
+    return named.mapInPandas(run, "doc_id long, mark long, place int, start int, end int, words int, digest binary")
+
+
+def repeated_units(docs: DataFrame, unit: str = "sentence", least: int = LEAST) -> DataFrame:
+    """(doc_id, mark, place, start, end, words, kept): units that are not the earliest of their digest, and that one.
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, unit long, start long, end long, digest binary")
+    ``kept`` is (no_id, doc_id, mark, place) of the occurrence that stays. Equal units within one document count as well.
+    Null and empty texts have no units. Rows of equal doc_id and text are one document, so they never repeat each other;
+    rows of equal doc_id and other texts are documents of their own. Rows without doc_id rank last. An empty table gives none.
+    """
+    units = cut(digest_units(docs, unit, least))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "place")
+    groups = cut(units.groupBy("digest").agg(F.min(rank).alias("kept"), F.max(rank).alias("last")).where("kept <> last").select("digest", "kept"))
+    return units.join(small(groups, groups.count()), "digest").where(rank != F.col("kept")).drop("digest").distinct()
+
+
+def passages(repeated: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, mark, gone): the spans to remove of each document in order, as (start, end, kept_doc_id, kept_place).
+
+    Repeated units in a row with ``min_words`` words or more together are a span, named by what stays of its first unit.
+    A document's own units meet in one task, no more.
+    """
+    of = ["doc_id", "mark"]
+    run = F.col("place") - F.row_number().over(Window.partitionBy(*of).orderBy("place"))
+    first = F.min_by(F.struct(F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.place").alias("kept_place")), "place").alias("kept")
+    spans = repeated.withColumn("run", run).groupBy(*of, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), first)
+    spans = spans.where(F.col("words") >= min_words)
+    return spans.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kept.kept_doc_id", "kept.kept_place"))).alias("gone"))
 
 
-def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, unit, start, end, kept_doc_id, kept_unit): a row for each unit to remove and the occurrence that stays.
+def deduplicate(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS, least: int = LEAST) -> DataFrame:
+    """``docs`` with repeated passages taken out of the texts and a column ``removed``: array of (start, end, kept_doc_id, kept_place).
 
-    Equal units within one document count as well. Null and empty texts have no units. Rows that repeat a doc_id repeat its
-    units: equal (doc_id, unit) are one occurrence and are kept or removed together. Rows without doc_id can't be named
-    and are left out; an empty table gives no rows. Units under ``min_words`` words are never removed.
+    A row for each row of ``docs``; n_chars, if there, follows the new text. Texts without repeated passages, null and
+    empty ones stay as they are with nothing removed; for repeated and null ids see ``repeated_units``. Other columns, of any
+    name but ``removed``, stay as they are; whole texts are read, of any length. An empty table gives none.
     """
-    units = cut(digest_units(docs.where("doc_id is not null"), unit, min_words))
-    rank = F.struct("doc_id", "unit")
-    groups = cut(units.groupBy("digest").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept"))
-    found = units.join(small(groups, groups.count()), "digest").where(rank != F.col("kept"))
-    return found.select("doc_id", "unit", "start", "end", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit"))
-
-
-def remove_units(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``docs`` with the text of the repeated units taken out; the separators stay. n_chars follows."""
-    spans = repeated.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_gone"))
-    spans = cut(spans)  # at most a document's own units
-    n_spans = spans.agg(F.sum(F.size("_gone") + 1)).head()[0] or 0
-    joined = docs.join(small(spans, n_spans), "doc_id", "left")
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    piece = lambda acc, g: F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (g["start"] - acc["at"]).cast("int"))
-    kept = F.aggregate("_gone", begin, lambda acc, g: F.struct(g["end"].alias("at"), F.concat(acc["out"], F.array(piece(acc, g))).alias("out")))
-    joined = joined.withColumn("_kept", kept)
-    rest = F.substring(F.col("text"), (F.col("_kept")["at"] + 1).cast("int"), F.length("text"))
-    joined = joined.withColumn("text", F.when(F.col("_gone").isNotNull(), F.concat(F.array_join(F.col("_kept")["out"], ""), rest)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return joined.select(docs.columns)
+    spans = cut(passages(repeated_units(docs, unit, least), min_words))
+    n_spans = spans.agg(F.sum(F.size("gone") + 1)).head()[0] or 0
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("of"), "text")
+    spans = spans.withColumnsRenamed({"doc_id": "span_id"})
+    joined = rows.join(small(spans, n_spans), F.col("id").eqNullSafe(F.col("span_id")) & (F.col("of") == F.col("mark")), "left")
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    piece = lambda acc, g: F.substring(F.col("text"), acc["at"] + 1, g["start"] - acc["at"])
+    kept = F.aggregate("gone", begin, lambda acc, g: F.struct(g["end"].alias("at"), F.concat(acc["out"], F.array(piece(acc, g))).alias("out")))
+    joined = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
+    rest = F.substring(F.col("text"), F.col("kept")["at"] + 1, F.length("text"))
+    joined = joined.withColumn("new", F.when(F.col("gone").isNotNull(), F.concat(F.array_join(F.col("kept")["out"], ""), rest)).otherwise(F.col("text")))
+    change = {"text": F.col("new"), "n_chars": F.when(F.col("gone").isNotNull(), F.length("new").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    none = F.array().cast("array<struct<start:int,end:int,kept_doc_id:bigint,kept_place:int>>")
+    columns = [change[c].alias(c) if change.get(c) is not None else F.col("row")[c].alias(c) for c in docs.columns]
+    return joined.select(*columns, F.coalesce("gone", none).alias("removed"))

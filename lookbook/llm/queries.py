@@ -24,7 +24,9 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_units(read(spark, sf_dir, "documents"))
+    clean = line_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform("removed", lambda g: F.concat_ws(":", *(F.coalesce(g[c].cast("string"), F.lit("")) for c in ("start", "end", "kept_doc_id", "kept_place"))))
+    return clean.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), F.array_join(spans, ",").alias("removed"))
 
 
 def op4_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +86,20 @@ FROM c GROUP BY conv_id"""
 
 
 def _sql3() -> str:
+    # U+E000 marks the unit ends; ranks leave out the text hash, as the ids of these tables are distinct
     return rf"""
-WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit
-    FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-  placed AS (SELECT doc_id, unit, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM lines),
-  units AS (SELECT doc_id, unit, start, start + length(line) AS "end", list_filter(regexp_split_to_array({_LOWER.replace("text", "line")}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM placed),
-  ranked AS (SELECT *, first_value(doc_id) OVER g AS kept_doc_id, first_value(unit) OVER g AS kept_unit FROM units WHERE len(w) >= {line_dedup.MIN_WORDS}
-    WINDOW g AS (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, unit))
-SELECT doc_id, unit, start, "end", kept_doc_id, kept_unit FROM ranked WHERE (doc_id, unit) <> (kept_doc_id, kept_unit)"""
+WITH pieces AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i
+    FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?]+[ \t\r]+|\n)', '\1' || chr(57344), 'g'), chr(57344)) AS p FROM documents WHERE text IS NOT NULL)),
+  placed AS (SELECT doc_id, i, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS fin, list_filter(regexp_split_to_array({_LOWER.replace("text", "piece")}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM pieces),
+  units AS (SELECT doc_id, fin - length(piece) AS start, fin, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place FROM placed WHERE len(w) >= {line_dedup.LEAST}),
+  ranked AS (SELECT *, first_value(doc_id) OVER g AS kept_id, first_value(place) OVER g AS kept_place FROM units WINDOW g AS (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, place)),
+  again AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM ranked WHERE (doc_id, place) <> (kept_id, kept_place)),
+  spans AS (SELECT doc_id, min(start) AS s, max(fin) AS e, arg_min(kept_id, place) AS k, arg_min(kept_place, place) AS kp FROM again GROUP BY doc_id, run HAVING sum(len(w)) >= {line_dedup.MIN_WORDS}),
+  cuts AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM spans),
+  parts AS (SELECT doc_id, count(*) AS n, string_agg(s || ':' || e || ':' || k || ':' || kp, ',' ORDER BY s) AS removed, string_agg(substring(text, CAST(before + 1 AS BIGINT), CAST(s - before AS BIGINT)), '' ORDER BY s) AS head, max(e) AS last
+    FROM cuts JOIN documents USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n IS NULL THEN text ELSE head || substring(text, CAST(last + 1 AS BIGINT)) END AS text, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN parts USING (doc_id)"""
 
 
 _SQL4 = """

@@ -298,18 +298,70 @@ def test_chat_round_trip(spark):
     assert chat_format.format_conversations(frame.limit(0)).collect() == []
 
 
-def test_line_dedup(spark):
-    line = "one two three four five six seven eight nine ten eleven"
-    texts = [f"{line}\nshort\n{line}", f"first\n  {line.upper()} ", None, "", "short", f"😀\n{line}\r"]
-    docs = table(spark, texts, [5, 3, 8, 9, 1, 2])
-    got = sorted(map(tuple, line_dedup.repeated_units(docs).collect()))
-    assert got == [(3, 1, 6, 6 + len(line) + 3, 2, 1), (5, 0, 0, len(line), 2, 1), (5, 2, len(line) + 7, 2 * len(line) + 7, 2, 1)]
-    clean = line_dedup.remove_units(docs, line_dedup.repeated_units(docs))
-    assert clean.columns == docs.columns
-    assert {r["doc_id"]: r["text"] for r in clean.collect()} == {5: "\nshort\n", 3: "first\n", 8: None, 9: "", 1: "short", 2: f"😀\n{line}\r"}
-    two = f"{line}\nstill {line}\n\n\n{line}\nstill {line}"
-    assert [tuple(r) for r in line_dedup.repeated_units(table(spark, [two]), "paragraph").collect()] == [(0, 1, 2 * len(line) + 10, 4 * len(line) + 17, 0, 0)]
-    assert line_dedup.repeated_units(docs.limit(0)).collect() == []
+def brute_units(text, unit):
+    at, out = 0, []
+    for part in re.split({"sentence": r"((?:[.!?]+[ \t\r]+)|\n)", "line": r"(\n)", "paragraph": r"(\n[ \t\r]*\n\s*)"}[unit], text):
+        if re.fullmatch(r"[.!?]+[ \t\r]+|\n[ \t\r]*\n?\s*", part) and out and part:
+            out[-1] = (out[-1][0], at + len(part))
+        else:
+            out.append((at, at + len(part)))
+        at += len(part)
+    return [x for x in out if x[0] < x[1]]
+
+
+def brute_line_dedup(ids, texts, unit, min_words):
+    seen, lists = {}, {}
+    for i, t in sorted({(i, t) for i, t in zip(ids, texts, strict=True) if t}, key=lambda x: (x[0] is None, x[0] or 0)):
+        units = [(s, e, tuple(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t[s:e])))) for s, e in brute_units(t, unit)]
+        units = [u for u in units if len(u[2]) >= line_dedup.LEAST]
+        lists[i, t] = [(s, e, len(w), seen.setdefault(w, (i, t, k)), k) for k, (s, e, w) in enumerate(units)]
+    out = {}
+    for (i, t), units in lists.items():
+        gone, run = [], []
+        for s, e, n, kept, k in [*units, (0, 0, 0, (i, t, -1), -1)]:
+            if kept != (i, t, k):
+                run.append((s, e, n, kept))
+                continue
+            if run and sum(x[2] for x in run) >= min_words:
+                gone.append((run[0][0], run[-1][1], run[0][3][0], run[0][3][2]))
+            run = []
+        new, at = "", 0
+        for s, e, *_ in gone:
+            new, at = new + t[at:s], e
+        out[i, t] = (new + t[at:], gone)
+    return [(i, *out.get((i, t), (t, []))) for i, t in zip(ids, texts, strict=True)]
+
+
+@pytest.mark.parametrize("unit", ["sentence", "line", "paragraph"])
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_line_dedup(spark, monkeypatch, unit, bound):
+    monkeypatch.setattr("lookbook.llm.common.BROADCAST_ROWS", bound)
+    rng = random.Random(9)
+    pool = [" ".join(words_of(rng, rng.randint(1, 14))).replace(".", "") for _ in range(40)]
+    texts = []
+    for _ in range(40):
+        parts = [rng.choice(pool) if rng.random() < 0.7 else " ".join(words_of(rng, 9)) for _ in range(rng.randint(1, 25))]
+        texts.append("".join(p + rng.choice([". ", ".\n", "\n", "! ", "\n\n"]) for p in parts) + rng.choice(["", "tail \U0001f600"]))
+    texts += [None, "", " \n ", texts[0], texts[1].upper(), texts[2], texts[3], "\n".join(pool[:3] * 3000)]
+    ids = [500 - 3 * i for i in range(len(texts))]
+    ids[7], ids[8], ids[9], ids[43] = None, None, ids[10], ids[0]  # without id; one id with two texts; a row twice
+    docs = table(spark, texts, ids).withColumnsRenamed({"fp": "gone", "row": "mark", "item": "kept", "block": "words"})
+    rows = line_dedup.deduplicate(docs, unit, 12).collect()
+    got = [(r["doc_id"], r["text"], [tuple(g) for g in r["removed"]]) for r in rows]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_line_dedup(ids, texts, unit, 12)))
+    assert any(r["removed"] for r in rows) and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+    assert line_dedup.deduplicate(docs, unit).columns == [*docs.columns, "removed"]
+    assert line_dedup.deduplicate(docs.limit(0), unit).collect() == []
+
+
+def test_line_dedup_finds_passages_inside_lines(spark):
+    rng = random.Random(10)
+    made = lambda n: ". ".join(" ".join(words_of(rng, 9)).replace(".", "") for _ in range(n))
+    passage, notice = made(7), made(1)
+    texts = [f"{made(4)}. {passage}. {made(2)}", f"own words here. {notice}. {made(3)}", f"Others begin. {passage}. And they end.", f"{made(3)}. {notice}."]
+    rows = {r["doc_id"]: r for r in line_dedup.deduplicate(table(spark, texts)).collect()}
+    assert [rows[i]["text"] == t for i, t in enumerate(texts)] == [True, True, False, True]  # one short unit in common is no passage
+    assert rows[2]["text"] == "Others begin. And they end." and [g["kept_doc_id"] for g in rows[2]["removed"]] == [0]
 
 
 def test_license_scan(spark):
