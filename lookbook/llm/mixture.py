@@ -1,10 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy source schedule.
 
-Golden-ratio points, one a slot, are mapped through the cumulative target shares to a source; slots are ranked per source,
-and rank r of a source takes block r of it. A source's blocks have ``block`` words each and are cut from the stream of its
-documents in shuffled order, shuffled anew for each pass over the source (at most three passes, as a target is at most
-three times the source). Blocks exist up to the target only, the last one cut to size; slots beyond them stay unused, and
-the few blocks that the points leave without a slot follow after the last one, so each source gets its target to the word.
+The mix is a row of slots, one block of ``block`` words each. Slot i is given the i-th van der Corput point, the reversed
+bits of i, out of 2^k; points are mapped through the cumulative weights, counted in blocks, to a source. Slots are ranked
+per source, and rank r of a source takes block r of it. Over a whole period of 2^k the points are all the multiples of
+1 / 2^k, so a source owns as many slots as it has blocks to give, and any stretch of slots holds it in proportion. Points
+beyond the sum of the weights own nothing; their slots are skipped. What no slot takes isn't in the mix.
+
+A source's blocks are cut from the stream of its documents in shuffled order, shuffled anew for each pass over the source
+(at most three passes, as a target is at most three times the source); the last block ends at the target.
 
 Ranks and running sums of a source with a third of all rows are made in three steps: sums of small runs of slots (or of
 ranges of the shuffled order) and of spans of runs, summed up over the spans, then over the runs of a span, then within a
@@ -28,13 +31,13 @@ RUN = 1 << 6
 SPAN = 1 << 10
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): size is the number of words, 0 for a null text."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def word_counts(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, source, size, more...): size is the number of words, 0 for a null text."""
+    return docs.select("doc_id", "source", *more, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
-    """(source, source_size, target, low, high): a row a source; low and high bound its part of [0, 1).
+    """(source, source_size, target): a row a source.
 
     Weights 1, 2, 3 repeat over the sources in code-point order, null last. Targets share all words by weight, but stop at
     ``MAX_REPEATS`` times the source; the excess is shared again by weight. Sorted by limit per weight, the stopped sources
@@ -54,10 +57,7 @@ def targets(sized: DataFrame) -> DataFrame:
     stand = F.max(F.when(F.col("open") & (limit / F.col("weight") == F.col("first")), F.col("level"))).over(every)
     out = out.withColumn("first", first).withColumn("stand", stand)
     out = out.withColumn("target", F.when(F.col("open"), F.col("weight") * F.col("stand")).otherwise(limit))
-    share = F.try_divide(F.col("target"), F.sum("target").over(every))
-    upto = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = out.withColumn("share", F.coalesce(share, F.lit(0.0))).withColumn("high", F.sum("share").over(upto))
-    return out.select("source", "source_size", "target", "share", (F.col("high") - F.col("share")).alias("low"), "high")
+    return out.select("source", "source_size", "target")
 
 
 def _numbered(rows: DataFrame, order: str, amount: str) -> DataFrame:
@@ -75,28 +75,52 @@ def _numbered(rows: DataFrame, order: str, amount: str) -> DataFrame:
     return inside.join(runs, run).withColumn("start", F.col("start") + F.col("to_run")).drop("to_run")
 
 
-def golden_points(slots: DataFrame) -> DataFrame:
-    """``point``: the fraction of slot times the golden ratio, in two steps that keep a double's digits for large slots."""
-    g = 0.6180339887498949
-    high = (F.col("slot") / (1 << 20)).cast("long")
-    step = (1 << 20) * g % 1
-    point = high * F.lit(step) % 1 + (F.col("slot") - high * (1 << 20)) * F.lit(g)
-    return slots.withColumn("point", point % 1)
+def radical_inverse(slot: Column, bits: int) -> Column:
+    """The van der Corput point of ``slot`` times 2^bits: its lowest ``bits`` bits in reverse order."""
+    x = slot.cast("long")
+    for shift, mask in ((1, 0x5555555555555555), (2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        keep = F.lit(mask).cast("long")
+        x = F.shiftleft(x.bitwiseAND(keep), shift).bitwiseOR(F.shiftrightunsigned(x, shift).bitwiseAND(keep))
+    return F.shiftrightunsigned(x, 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def schedule(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(slot, sid, block): the slots that a source owns and the block of the source that each takes.
+
+    ``goals``: (sid, target), a row a source. A source weighs as many blocks as its rounded target fills, the last one in part.
+    """
+    spark, upto = goals.sparkSession, Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    weighed = goals.select("sid", F.ceil(F.round("target") / block_words).alias("blocks")).where("blocks > 0")
+    weighed = cut(weighed.withColumn("high", F.sum("blocks").over(upto)).withColumn("low", F.col("high") - F.col("blocks")))
+    known = weighed.agg(F.max("high"), F.count("*")).head()
+    n, n_sources = known[0] or 0, known[1]
+    bits = max(n - 1, 0).bit_length()
+    # points meet the sources by cells of the cumulative weights
+    width = max(1, n // (4 * max(n_sources, 1)))
+    spans = weighed.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
+    slots = spark.range(1 << bits if n else 0).select(F.col("id").alias("slot"), radical_inverse(F.col("id"), bits).alias("point")).where(F.col("point") < n)
+    owned = slots.withColumn("cell", F.floor(F.col("point") / width)).join(small(spans.select("cell", "low", "high", "sid"), 6 * n_sources), "cell").where("point >= low and point < high")
+    owned = owned.select("slot", "sid", F.lit(1).alias("one"), F.col("slot").alias("rid"), F.lit(0).alias("turn"), F.floor(F.col("slot") / RUN).alias("run"))
+    return _numbered(owned, "slot", "one").select("slot", "sid", F.col("start").alias("block"))
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """The documents with their rows' ids and targets, and the pieces of the mix.
 
     First: (rid, doc_id, size, source_size, target). Second: (slot, sid, block, rid, words), a row for each piece of a document
-    that a block holds; slots in order are the mix. No document is used more than three times, each source sums to its
-    rounded target, and reruns agree: order follows from hashes of the ids. Rows that repeat an id are documents of their
-    own; null texts have size 0 and no piece; a null source is a source; an empty table gives empty results.
+    that a block holds; slots in order are the mix. No document is used more than three times, and reruns agree: order
+    follows from hashes of the ids. Rows that repeat an id are documents of their own; null texts have size 0 and no piece;
+    a null source is a source; an empty table gives empty results.
     """
-    spark = docs.sparkSession
     sized = cut(word_counts(docs).withColumn("rid", F.monotonically_increasing_id()))
+    return _mixed(sized, block_words)
+
+
+def _mixed(sized: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """``mix`` of (rid, doc_id, source, size)."""
     goals = cut(targets(sized).withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
     known = goals.agg(F.sum("source_size"), F.count("*")).head()
-    total, n_sources, block = known[0] or 0, known[1], block_words
+    total, n_sources = known[0] or 0, known[1]
     named = sized.join(small(goals, n_sources), sized["source"].eqNullSafe(goals["source"])).select("rid", "doc_id", "sid", "size", "source_size", "target")
 
     # documents in each pass, in shuffled order
@@ -112,22 +136,29 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, Dat
     pieces = placed.withColumn("block", F.explode(F.sequence(first, last)))
     words = F.least("end", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
     pieces = pieces.select("sid", "block", "rid", words.alias("words"))
+    return named, pieces.join(schedule(goals, block), ["sid", "block"]).select("slot", "sid", "block", "rid", "words")
 
-    # the schedule
-    n = ceil(total / block) + n_sources
-    slots = golden_points(spark.range(n).withColumnRenamed("id", "slot"))
-    cells = max(1, 4 * n_sources)
-    spans = goals.where("share > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)))))
-    at = F.least(F.floor(F.col("point") * cells), F.lit(cells - 1))
-    owned = slots.withColumn("cell", at).join(small(spans.select("cell", "low", "high", "sid"), 5 * n_sources), "cell").where("point >= low and point < high")
-    owned = owned.select("slot", "sid", F.lit(1).alias("one"), F.col("slot").alias("rid"), F.lit(0).alias("turn"), F.floor(F.col("slot") / RUN).alias("run"))
-    ranked = _numbered(owned, "slot", "one").select("slot", "sid", F.col("start").alias("block"))
-    slot = F.coalesce("slot", F.lit(n) + F.pmod(F.xxhash64("sid", "block"), F.lit(n)))
-    return named, pieces.join(ranked, ["sid", "block"], "left").select(slot.alias("slot"), "sid", "block", "rid", "words")
+
+def _taken(named: DataFrame, pieces: DataFrame) -> DataFrame:
+    taken = pieces.groupBy("rid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count_distinct("slot").alias("n_blocks"))
+    zero = F.lit(0)
+    return named.join(taken, "rid", "left").select("rid", "doc_id", "size", "source_size", "target", F.coalesce("taken", zero).cast("long").alias("taken"), "first_slot", F.coalesce("n_blocks", zero).cast("long").alias("n_blocks"))
 
 
 def mixed_sizes(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of ``docs``; taken: the words that the mix takes of it."""
-    named, pieces = mix(docs, block_words)
-    taken = pieces.groupBy("rid").agg(F.sum("words").alias("taken"))
-    return named.join(taken, "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    """(doc_id, size, source_size, target, taken, first_slot, n_blocks) for each row of ``docs``.
+
+    taken: the words that the mix takes of it, repeats counted, in n_blocks blocks, the first at first_slot (null if none).
+    """
+    return _taken(*mix(docs, block_words)).drop("rid")
+
+
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` with the further columns of ``mixed_sizes``, which replace columns of the same names.
+
+    The rows are written once with an id each, so that sizes and texts meet again by that id.
+    """
+    new = ["size", "source_size", "target", "taken", "first_slot", "n_blocks"]
+    rows = cut(docs.select(F.struct(*(c for c in docs.columns if c not in new)).alias("row"), F.monotonically_increasing_id().alias("rid")))
+    sized = cut(word_counts(rows.select("row.doc_id", "row.source", "row.text", "rid"), "rid"))
+    return rows.join(_taken(*_mixed(sized, block_words)).drop("doc_id"), "rid").select("row.*", *new)

@@ -239,14 +239,45 @@ def brute_targets(sizes):
         stopped |= over
 
 
+def brute_schedule(blocks):
+    """Source and block of each owned slot, by van der Corput points over the blocks of each source in order."""
+    owner = [s for s, n in sorted(blocks.items()) for _ in range(n)]
+    bits = max(len(owner) - 1, 0).bit_length()
+    rank, out = Counter(), {}
+    for slot in range(2**bits):
+        point = int(format(slot, f"0{bits}b")[::-1], 2) if bits else 0
+        if point < len(owner):
+            out[owner[point], rank[owner[point]]] = slot
+            rank[owner[point]] += 1
+    return out
+
+
+def brute_mix(spark, named, block, runs):
+    """(slot, sid, block, rid, words) of each piece; the shuffled order takes Spark's hash of the ids."""
+    rows = [(r["rid"], r["doc_id"], r["size"], r["sid"], r["target"], r["source_size"], t) for r in named for t in range(3) if r["size"]]
+    frame = spark.createDataFrame(rows, "rid long, doc_id long, size long, sid int, target double, source_size long, turn int")
+    streams = {}
+    for r in frame.selectExpr("*", "xxhash64(doc_id, size, turn) mark").collect():
+        streams.setdefault(r["sid"], []).append((r["turn"], r["mark"] % runs, r["mark"], r["rid"], r["size"], round(r["target"])))
+    slots = brute_schedule({s: -(-x[0][5] // block) for s, x in streams.items()})
+    out = Counter()
+    for sid, parts in streams.items():
+        words = [rid for _, _, _, rid, size, _ in sorted(parts) for _ in range(size)][: parts[0][5]]
+        for i, rid in enumerate(words):
+            if (sid, i // block) in slots:
+                out[slots[sid, i // block], sid, i // block, rid] += 1
+    return sorted((*k, n) for k, n in out.items())
+
+
 @pytest.mark.parametrize(("run", "span"), [(64, 1024), (2, 2)])
 def test_mixture(spark, monkeypatch, run, span):
     monkeypatch.setattr(mixture, "RUN", run)
     monkeypatch.setattr(mixture, "SPAN", span)
     rng = random.Random(4)
     sources = [rng.choice(["a", "b", "b", "b", "b", "c", "dé", "Z", None]) for _ in range(300)] + ["tiny", "none", "none"]
-    texts = [" ".join(["w"] * rng.randint(0, 3000)) for _ in range(300)] + ["one two", None, ""]
+    texts = [" ".join(["w"] * rng.randint(0, 900)) for _ in range(299)] + ["w " * 40_000, "one two", None, ""]
     ids = [i // 2 for i in range(len(texts))]
+    ids[4] = None
     docs = table(spark, texts, ids, sources)
     rows = mixture.mixed_sizes(docs, 100).collect()
     assert len(rows) == len(texts)
@@ -255,21 +286,41 @@ def test_mixture(spark, monkeypatch, run, span):
         sizes[s] += len((t or "").split())
     want = brute_targets(dict(sizes))
     named, pieces = mixture.mix(docs, 100)
-    by_rid = {r["rid"]: r for r in named.collect()}
+    by_rid, held = {r["rid"]: r for r in named.collect()}, Counter()
+    for p in pieces.collect():  # a tiny document may be in a block once a pass
+        held[p["slot"], p["sid"], p["block"], p["rid"]] += p["words"]
+    got = sorted((*k, n) for k, n in held.items())
+    assert got == brute_mix(spark, by_rid.values(), 100, -(-sum(sizes.values()) // (100 * run)))
     taken = Counter()
-    for p in pieces.collect():
-        taken[by_rid[p["rid"]]["sid"]] += p["words"]
+    for _, sid, _, _, n in got:
+        taken[sid] += n
     order = sorted(s for s in want if s is not None) + [None]
     for sid, s in enumerate(order, 1):
         assert taken[sid] == round(want[s]), s
     assert all(r["taken"] <= 3 * r["size"] for r in rows)
     assert all(abs(r["target"] - min((want[s] for s in order), key=lambda t: abs(t - r["target"]))) < 1e-6 for r in rows)
     again = mixture.mixed_sizes(docs.repartition(3), 100).collect()
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
-    slots = [(p["slot"], p["sid"]) for p in pieces.select("slot", "sid").distinct().collect()]
-    assert len({s for s, _ in slots}) >= len(slots) * 0.9
+    assert sorted(map(repr, rows)) == sorted(map(repr, again))
+    slots = {(slot, sid, block) for slot, sid, block, _, _ in got}
+    assert len({slot for slot, _, _ in slots}) == len(slots)
     assert mixture.mixed_sizes(docs.limit(0)).collect() == []
     assert {r["taken"] for r in mixture.mixed_sizes(table(spark, [None, ""], [1, 2], ["x", "y"])).collect()} == {0}
+    whole = mixture.mixed_documents(docs, 100)
+    assert whole.columns == [c for c in docs.columns if c != "size"] + ["size", "source_size", "target", "taken", "first_slot", "n_blocks"]
+    assert sorted((str(r["doc_id"]), str(r["text"]), r["size"]) for r in whole.collect()) == sorted((str(i), str(t), len((t or "").split())) for i, t in zip(ids, texts, strict=True))
+    assert sum(r["taken"] for r in whole.collect()) == sum(taken.values())
+
+
+def test_the_schedule_decides_what_is_taken(spark, monkeypatch):
+    docs = table(spark, ["w " * 500] * 40, sources=["a", "b"] * 20)
+    assert sum(r["taken"] for r in mixture.mixed_sizes(docs, 100).collect()) == 20_000
+    goals = spark.createDataFrame([(1, 3000.0), (2, 1000.0), (3, 0.0)], "sid int, target double")
+    order = [r["sid"] for r in sorted(mixture.schedule(goals, 100).collect())]
+    for a in range(0, 33, 8):  # any stretch holds the sources in proportion
+        assert 5 <= order[a : a + 8].count(1) <= 7
+    monkeypatch.setattr(mixture, "radical_inverse", lambda slot, bits: slot * 0)
+    rows = mixture.mixed_sizes(docs, 100).collect()
+    assert {r["doc_id"] % 2 for r in rows if r["taken"]} == {0}  # all slots are the first source's
 
 
 def test_chat_round_trip(spark):
