@@ -31,8 +31,8 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of each document."""
-    return mixture.mixed_sizes(docs)
+    """The documents with the words that the mix takes of each and the first slot that holds it."""
+    return mixture.mixed_documents(docs)
 
 
 STAGES = [
