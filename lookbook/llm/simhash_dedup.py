@@ -15,7 +15,10 @@ Search over distinct fingerprints:
 4. Only links that join two components of what a task has seen leave it (a spanning forest: fewer links than rows),
    so a group of m near copies costs at most m links, never all its pairs.
 
-A block of over ``BLOCK_ROWS`` fingerprints is dealt over a grid of sub-blocks, each pair of which meets in some task.
+A block of over ``BLOCK_ROWS`` fingerprints is dealt over a grid of sub-blocks, each pair of which meets in some task. A block
+of over ``SPLITS`` times that would cost more copies of a row than searching it by parts again: the 32 bits in which its rows
+may differ are cut into 6 parts, of which again 3 agree. A block of the second kind has at most 2^17 distinct fingerprints,
+so its grid is bounded, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -25,18 +28,17 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop_ids, small
+from .common import cut, small
 from .components import components
 
 RADIUS = 3
-#: Widths of the six parts of a fingerprint, from the lowest bit.
-PARTS = (11, 11, 11, 11, 10, 10)
 PIVOTS = 16
 BLOCK_ROWS = 1024
+SPLITS = 20
 CHUNK_ROWS = 40_000
 
 
@@ -65,8 +67,8 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. Null and wordless texts get 0."""
-    return docs.select("doc_id", _fingerprints(F.col("text").cast("binary")).alias("fp"))
+    """(doc_id, mark, fp): fp is the fingerprint as a signed long, mark a hash of the text. Null and wordless texts get fp 0."""
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), _fingerprints(F.col("text").cast("binary")).alias("fp"))
 
 
 def _signed(x: int) -> int:
@@ -92,11 +94,56 @@ def pivot_table(classes: DataFrame) -> DataFrame:
     return classes.select("fp", packed(refs[:8]).alias("near0"), packed(refs[8:]).alias("near1"))
 
 
-def _block_keys() -> list:
-    """One key for each choice of three parts: all other bits are masked."""
-    starts = np.cumsum((0, *PARTS))[:-1].tolist()
-    masks = [((1 << w) - 1) << s for s, w in zip(starts, PARTS, strict=True)]
-    return [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(sum(m))))) for i, m in enumerate(combinations(masks, 3))]
+def _choices(bits: list[int]) -> list[int]:
+    """The masks of three parts out of six that ``bits`` (positions) are cut into: the first parts are a bit longer."""
+    parts = [sum(1 << b for b in part.tolist()) for part in np.array_split(np.array(bits), 6)]
+    return [sum(m) for m in combinations(parts, 3)]
+
+
+_MASKS = _choices(list(range(64)))
+#: For each of them the masks within the bits that it leaves free.
+_FINER = [_choices([b for b in range(64) if not m >> b & 1]) for m in _MASKS]
+
+
+def _longs(masks: list[int]) -> Column:
+    return F.array(*(F.lit(_signed(m)) for m in masks))
+
+
+def deal(table: DataFrame) -> tuple[DataFrame, int]:
+    """``table`` (fp, near0, near1) dealt into blocks, (fp, near0, near1, block), and the number of rows dealt.
+
+    Any two fingerprints at ``RADIUS`` or fewer differing bits meet in some block of at most some ``BLOCK_ROWS`` x 2 rows.
+    """
+    of, key = ["fp", "near0", "near1"], lambda i, m: F.struct(i.alias("choice"), F.xxhash64(i, F.col("fp").bitwiseAND(m)).alias("cell"))
+    cells = table.select(*of, F.inline(F.transform(_longs(_MASKS), lambda m, i: key(i, m))))
+    large = cut(cells.groupBy("choice", "cell").count().where(F.col("count") > BLOCK_ROWS))
+    n, sizes = table.count() * len(_MASKS), large.agg(F.count("*"), F.sum("count"), F.max("count")).head()
+    if not sizes[0]:
+        return cells.select(*of, F.col("cell").alias("block")), n
+    joined = cells.join(small(large.select("cell", "count"), sizes[0]), "cell", "left")
+    plain, huge = joined.where("count is null"), F.col("count") > BLOCK_ROWS * SPLITS
+    grid, n_grid = _grid(joined.where(~huge), large.where(~huge))
+    out, n = plain.select(*of, F.col("cell").alias("block")).union(grid), n - sizes[1] + n_grid
+    if sizes[2] <= BLOCK_ROWS * SPLITS:
+        return out, n
+    finer = F.get(F.array(*map(_longs, _FINER)), F.col("choice"))
+    again = joined.where(huge).select(*of, F.explode(F.transform(finer, lambda m, j: F.xxhash64("cell", j, F.col("fp").bitwiseAND(m)))).alias("cell"))
+    n_again = large.where(huge).agg(F.sum("count")).head()[0] * len(_MASKS)
+    still = cut(again.groupBy("cell").count().where(F.col("count") > BLOCK_ROWS))
+    sizes = still.agg(F.count("*"), F.sum("count")).head()
+    again = again.join(small(still, sizes[0]), "cell", "left")
+    grid, n_grid = _grid(again.where("count is not null"), still)
+    return out.union(again.where("count is null").select(*of, F.col("cell").alias("block"))).union(grid), n + n_again - (sizes[1] or 0) + n_grid
+
+
+def _grid(rows: DataFrame, large: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of large cells over pairs of sub-blocks of about ``BLOCK_ROWS`` rows each, and their number."""
+    parts = F.ceil(F.col("count") / BLOCK_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    dealt = rows.withColumn("parts", parts).withColumn("own", own)
+    dealt = dealt.withColumn("with", F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: i != F.col("own"))))
+    pair = F.xxhash64("cell", F.least("own", "with"), F.greatest("own", "with"))
+    return dealt.select("fp", "near0", "near1", pair.alias("block")), large.agg(F.sum(F.col("count") * (parts - 1))).head()[0] or 0
 
 
 def _links(rows: pd.DataFrame) -> pd.DataFrame:
@@ -135,20 +182,8 @@ def _links(rows: pd.DataFrame) -> pd.DataFrame:
 
 def links(classes: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints that connect all that are ``RADIUS`` or fewer bits apart."""
-    spark, table = classes.sparkSession, cut(pivot_table(classes))
-    cells = table.select("fp", "near0", "near1", F.explode(F.array(*_block_keys())).alias("cell"))
-    hot = cut(cells.groupBy("cell").count().where(F.col("count") > BLOCK_ROWS))
-    parts = F.ceil(F.col("count") / BLOCK_ROWS)
-    if (n := hot.count()) == 0:
-        dealt = cells.select("fp", "near0", "near1", F.col("cell").alias("block"))
-    else:
-        grid = cells.join(small(hot, n), "cell", "left").withColumn("parts", F.coalesce(parts, F.lit(1)).cast("int"))
-        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        meets = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: i != F.col("own")))
-        grid = grid.withColumn("own", own).withColumn("with", F.explode(meets))
-        pair = F.xxhash64("cell", F.least("own", "with"), F.greatest("own", "with"))
-        dealt = grid.select("fp", "near0", "near1", pair.alias("block"))
-    chunks = max(spark.sparkContext.defaultParallelism, len(_block_keys()) * table.count() // CHUNK_ROWS + 1)
+    dealt, n = deal(cut(pivot_table(classes)))
+    chunks = max(classes.sparkSession.sparkContext.defaultParallelism, n // CHUNK_ROWS + 1)
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("block"), F.lit(chunks)))
     return dealt.groupBy("chunk").applyInPandas(lambda rows: _links(rows), "a long, b long")
 
@@ -157,28 +192,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id), a row for each row of ``docs``.
 
     component_id is the smallest doc_id reachable over links, the document's own included. Texts that are null, empty or
-    of blanks have fingerprint 0 and link like any other; fewer than three words form one shingle. Repeated rows stay.
-    A null doc_id takes part, but is never chosen: component_id is null only where a component has no other id. An empty
-    table gives no rows; columns besides doc_id and text are not read.
+    of blanks have fingerprint 0 and link like any other; fewer than three words form one shingle; whole texts are read, of
+    any length. Repeated rows stay. A null doc_id takes part, but is never chosen: component_id is null only where a
+    component has no other id. An empty table gives no rows; columns besides doc_id and text are not read.
     """
     prints = cut(fingerprints(docs))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    named = _components(prints)
+    return prints.join(named, "fp").select("doc_id", "fp", F.col("kept.doc_id").alias("component_id"))
+
+
+def _components(prints: DataFrame) -> DataFrame:
+    """(fp, kept) for each fingerprint of ``prints`` (doc_id, mark, fp): the least (no_id, doc_id, mark) of its component."""
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    classes = cut(prints.groupBy("fp").agg(F.min(rank).alias("first")))
     roots = components(links(classes))
-    joined = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = cut(joined.join(least, "root").select("fp", "component_id"))
-    return prints.join(small(named, named.count()), "fp").select("doc_id", "fp", "component_id")
+    joined = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = joined.groupBy("root").agg(F.min("first").alias("kept"))
+    named = cut(joined.join(least, "root").select("fp", "kept"))
+    return small(named, named.count())
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id. Of rows that repeat a doc_id one stays.
+    """``docs`` with one document of each component: that with the smallest doc_id. Of rows that repeat it one stays.
 
-    Rows without a doc_id stay where their component has no doc_id at all.
+    A row is told by its doc_id and text, so rows that share a doc_id with another text are judged on their own; a row
+    without doc_id stays only if its component has none with an id. Null, empty and wordless texts are one component. An
+    empty table gives none; other columns, of any name, stay as they are.
     """
-    near = cut(near_duplicates(docs))
-    out = drop_ids(docs, near.where("doc_id <> component_id"))
-    again = cut(near.where("doc_id is not null").groupBy("doc_id").count().where("count > 1"))
-    if again.isEmpty():
-        return out
-    repeated = out.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return out.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(repeated)
+    prints = cut(fingerprints(docs))
+    told = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    marked = prints.join(_components(prints), "fp").groupBy("doc_id", "mark").agg(F.first(told == F.col("kept")).alias("stays"), F.count("*").alias("n"))
+    marked = cut(marked.where("not stays or n > 1").select(F.col("doc_id").alias("id"), F.col("mark").alias("of"), "stays"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"), F.xxhash64("text").alias("mark"))
+    found = rows.join(small(marked, marked.count()), F.col("key").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")), "left")
+    repeated = marked.where("stays")
+    if repeated.isEmpty():
+        return found.where("stays is null").select("row.*")
+    return found.where("stays is null").select("row.*").union(found.where("stays").dropDuplicates(["key", "mark"]).select("row.*"))

@@ -65,9 +65,10 @@ def brute_components(ids, prints):
     return [low.get(find(i)) for i in range(len(ids))]
 
 
-@pytest.mark.parametrize("block_rows", [1024, 3])
-def test_simhash_components(spark, monkeypatch, block_rows):
+@pytest.mark.parametrize(("block_rows", "splits"), [(1024, 20), (3, 20), (2, 2)])
+def test_simhash_components(spark, monkeypatch, block_rows, splits):
     monkeypatch.setattr(simhash_dedup, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(simhash_dedup, "SPLITS", splits)
     texts = some_texts()
     ids = [1000 - 7 * i for i in range(len(texts))]
     ids[5], ids[9] = None, ids[8]
@@ -101,12 +102,35 @@ def test_simhash_links_connect_dense_groups(spark, monkeypatch):
     assert all(len(v) == 1 for v in by.values()) and len(by) == len(set(want))
 
 
+def test_simhash_deals_a_hot_cell_into_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "BLOCK_ROWS", 64)
+    rng = random.Random(11)
+    prints = sorted({0x123456789 << 28 | rng.getrandbits(28) for _ in range(4000)})  # agree in 36 bits
+    near = [rng.choice(prints) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(200)]
+    frame = spark.createDataFrame([(simhash_dedup._signed(p),) for p in sorted({*prints, *near})], "fp long")
+    dealt, n = simhash_dedup.deal(simhash_dedup.pivot_table(frame))
+    rows = [(r["fp"] % (1 << 64), r["block"]) for r in dealt.select("fp", "block").collect()]
+    assert len(rows) == n < 20 * len(prints) * 30  # a grid alone would make 62 copies of a row of the hot cells
+    blocks = Counter(b for _, b in rows)
+    assert max(blocks.values()) <= 2 * 64 * 1.5
+    at = {}
+    for p, b in rows:
+        at.setdefault(p, set()).add(b)
+    every = sorted(at)
+    for p in near:
+        assert all(at[p] & at[q] for q in every if 0 < (p ^ q).bit_count() <= 3)
+
+
 def test_simhash_empty_and_dedup(spark):
     assert simhash_dedup.near_duplicates(table(spark, []).limit(0)).collect() == []
     docs = table(spark, ["a b c d", "a b c d", None, "", "quite other words here"], [4, 2, 9, 9, 9])
     kept = simhash_dedup.deduplicate(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 9]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 9, 9]  # of 9 one of the empty texts and the other text
+    odd = ["a b c d", "a b c d", "other words than these", "other words than these", "x y z", "x y z", "x y z", None]
+    kept = simhash_dedup.deduplicate(table(spark, odd, [3, None, 3, 1, None, None, None, None]))
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [("1", "other words than these"), ("3", "a b c d"), ("None", "None"), ("None", "x y z")]
+    assert simhash_dedup.deduplicate(docs.limit(0)).collect() == []
 
 
 def brute_stats(text):
