@@ -73,8 +73,9 @@ def repeated_units(docs: DataFrame, unit: str = "sentence", least: int = LEAST)
     """
     units = cut(digest_units(docs, unit, least))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "place")
-    groups = cut(units.groupBy("digest").agg(F.min(rank).alias("kept"), F.max(rank).alias("last")).where("kept <> last").select("digest", "kept"))
-    return units.join(small(groups, groups.count()), "digest").where(rank != F.col("kept")).drop("digest").distinct()
+    groups = units.groupBy("digest").agg(F.min(rank).alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
+    # repeated digests grow with the corpus, so they are never sent to all tasks; adaptive execution splits a hot digest
+    return units.join(groups, "digest").where(rank != F.col("kept")).drop("digest").distinct()
 
 
 def passages(repeated: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
