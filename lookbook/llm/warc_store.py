@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pandas as pd
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint_dir, cut, small
@@ -51,7 +51,7 @@ def _base32(hexed: str) -> str:
 
 def render(row: dict, payload: bytes) -> bytes:
     """One record: WARC header, HTTP header and, unless it is a revisit, the payload."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row.get("payload_bytes", len(payload))
     block = http if row["record_type"] == "revisit" else http + payload
     target = "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in row["url"] or "urn:none")
     head = [
@@ -129,16 +129,39 @@ def read_archive(path: str, chunk: int = 1 << 20) -> Iterator[dict]:
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """(rid, page_id, url, payload, digest, record_type, refers_to, refers_rid) for each row of ``pages``."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("rid", F.monotonically_increasing_id()).withColumn("digest", F.sha1("payload"))
-    order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "rid")
-    firsts = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    firsts = cut(firsts)
-    joined = rows.join(small(firsts, firsts.count()), "digest", "left")
-    again = F.col("first").isNotNull() & (F.col("first.rid") != F.col("rid"))
-    return joined.select(
-        "rid", "page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first.page_id")).alias("refers_to"), F.when(again, F.col("first.rid")).alias("refers_rid")
+    """(rid, page_id, url, payload, payload_bytes, digest, record_type, refers_to, refers_rid), a row for each row of ``pages``.
+
+    Revisits have no payload and are made from ids alone; payloads are joined, if at all, by page_id, url and digest, never by
+    a digest that many pages share. Rows equal in all three are told apart by their number only, so nothing depends on
+    the order in which rows come.
+    """
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    key, place = ["page_id", "url", "digest"], F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url")
+    keys = cut(rows.groupBy(*key).agg(F.count("*").alias("n"), F.first(F.octet_length("payload")).alias("payload_bytes")))
+    shared = cut(keys.groupBy("digest").agg(F.min(place).alias("first"), F.sum("n").alias("of")).where("of > 1").select("digest", "first"))
+    marked = keys.join(small(shared, shared.count()), "digest", "left").withColumn("again", F.col("first").isNotNull() & (place != F.col("first")))
+    marked = cut(marked.withColumn("first", F.coalesce("first", place)).where("again or n > 1"))  # all but the single responses
+
+    def rid(page_id: Column, url: Column, number: Column) -> Column:
+        return F.sha1(F.to_json(F.struct(page_id.alias("p"), url.alias("u"), F.col("digest"), number.alias("k"))))
+
+    own = rid(F.col("page_id"), F.col("url"), F.col("copy"))
+    copies = F.sequence(F.when(F.col("again"), 0).otherwise(1), F.col("n").cast("int") - 1)
+    revisits = marked.withColumn("copy", F.explode(copies)).select(
+        own.alias("rid"), *key, F.lit(None).cast("binary").alias("payload"), "payload_bytes", F.lit("revisit").alias("record_type"), F.col("first.page_id").alias("refers_to"), rid(F.col("first.page_id"), F.col("first.url"), F.lit(0)).alias("refers_rid")
+    )
+    told = marked.select(*(F.col(c).alias(f"of_{c}") for c in key), "again")
+    same = (F.col("digest") == F.col("of_digest")) & F.col("page_id").eqNullSafe(F.col("of_page_id")) & F.col("url").eqNullSafe(F.col("of_url"))
+    found = rows.join(small(told, told.count()), same, "left")
+    stored_once = found.where("again is null").select(*key, "payload")
+    if not told.where("not again").isEmpty():  # of rows equal in all one payload is stored
+        stored_once = stored_once.union(found.where("not again").groupBy(*key).agg(F.first("payload").alias("payload")).select(*key, "payload"))
+    none = F.lit(None)
+    responses = stored_once.withColumn("copy", F.lit(0)).select(
+        own.alias("rid"), *key, "payload", F.octet_length("payload").alias("payload_bytes"), F.lit("response").alias("record_type"), none.cast("long").alias("refers_to"), none.cast("string").alias("refers_rid")
     )
+    return responses.union(revisits)
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -160,14 +183,14 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
                 file = None
 
         for batch in batches:
-            batch = batch.astype({"page_id": "Int64", "refers_to": "Int64", "refers_rid": "Int64"})
+            batch = batch.astype({"page_id": "Int64", "refers_to": "Int64"})
             for row in batch.to_dict("records"):
                 row = {k: None if v is pd.NA else v for k, v in row.items()}
                 if file is None:
                     path, records, size = f"{folder}/{uuid.uuid4().hex}.warc.zst", 0, 0
                     file = system.open_output_stream(f"{inner}{path.removeprefix(folder)}", compression=None)
                     file.write(struct.pack("<II", MAGIC, len(words)) + words)
-                frame = packer.compress(render(row, row.pop("payload")))
+                frame = packer.compress(render(row, row.pop("payload") or b""))
                 file.write(frame)
                 records, size = records + 1, size + len(frame)
                 if size >= ARCHIVE_BYTES:

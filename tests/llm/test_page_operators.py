@@ -15,9 +15,11 @@ def table(spark, pages):
     return spark.createDataFrame([(i, u, h, "x", "y", "z") for i, u, h in pages], PAGES)
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_warc_round_trip(spark, monkeypatch, bound):
+    monkeypatch.setattr("lookbook.llm.common.BROADCAST_ROWS", bound)
     pages = [(i, f"http://x/{i}?é", f"<p>page {i % 5} é😀\r\n\r\n</p>" * (i % 5 + 1)) for i in range(20)]
-    pages += [(30, None, None), (29, "u", ""), (31, "u\r\nWARC-Type: x", "alone"), (2, "again", pages[2][2]), (None, "n", "alone"), (None, "m", "no id"), (40, "big", "b" * 3_000_000)]
+    pages += [(30, None, None), (29, "u", ""), (31, "u\r\nWARC-Type: x", "alone"), (2, "again", pages[2][2]), (None, "n", "alone"), (None, "m", "no id"), (40, "big", "b" * 3_000_000), *[(50, "v", "copied row")] * 3, *[(None, None, "no id at all")] * 2, (51, "v", "copied row"), (50, "a", "copied row")]
     frame = table(spark, pages)
     archives = warc_store.write_archives(frame)
     rows = warc_store.read_archives(archives).collect()
@@ -29,7 +31,11 @@ def test_warc_round_trip(spark, tmp_path):
         assert stored[d] == (h or "").encode()
         if i is not None:
             low[d] = min(low.get(d, i), i)
+    ids = [x.rid for x in warc_store.plan_records(frame).select("rid").collect()]
+    assert len(set(ids)) == len(ids)
     got = warc_store.round_trip(frame).collect()
+    moved = warc_store.round_trip(frame.repartition(5)).collect()  # dealt anew at each run
+    assert sorted(map(repr, got)) == sorted(map(repr, moved))
     assert sum(r["record_type"] == "response" for r in got) == len({r["payload_digest"] for r in got})
     for r in got:
         assert r["payload_bytes"] == len(stored[r["payload_digest"]])
