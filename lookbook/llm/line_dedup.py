@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, packed, small, unpacked
 
 #: Words of a passage. Half of 50: a passage of 50 words that begins and ends inside sentences has whole ones in between only.
 MIN_WORDS = 25
@@ -101,7 +101,7 @@ def deduplicate(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WO
     """
     spans = cut(passages(repeated_units(docs, unit, least), min_words))
     n_spans = spans.agg(F.sum(F.size("gone") + 1)).head()[0] or 0
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("of"), "text")
+    rows = docs.select(packed(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("of"), "text")
     spans = spans.withColumnsRenamed({"doc_id": "span_id"})
     joined = rows.join(small(spans, n_spans), F.col("id").eqNullSafe(F.col("span_id")) & (F.col("of") == F.col("mark")), "left")
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -110,7 +110,7 @@ def deduplicate(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WO
     joined = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
     rest = F.substring(F.col("text"), F.col("kept")["at"] + 1, F.length("text"))
     joined = joined.withColumn("new", F.when(F.col("gone").isNotNull(), F.concat(F.array_join(F.col("kept")["out"], ""), rest)).otherwise(F.col("text")))
-    change = {"text": F.col("new"), "n_chars": F.when(F.col("gone").isNotNull(), F.length("new").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    n_chars = F.when(F.col("gone").isNotNull(), F.length("new").cast("long"))
+    changed = {"text": F.col("new")} | ({"n_chars": n_chars.otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {})
     none = F.array().cast("array<struct<start:int,end:int,kept_doc_id:bigint,kept_place:int>>")
-    columns = [change[c].alias(c) if change.get(c) is not None else F.col("row")[c].alias(c) for c in docs.columns]
-    return joined.select(*columns, F.coalesce("gone", none).alias("removed"))
+    return joined.select(*unpacked(docs, **changed), F.coalesce("gone", none).alias("removed"))

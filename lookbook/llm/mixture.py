@@ -21,7 +21,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, small
+from .common import WORD, cut, packed, small, stored, unpacked
 
 MAX_REPEATS = 3
 BLOCK_WORDS = 1024
@@ -159,6 +159,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     The rows are written once with an id each, so that sizes and texts meet again by that id.
     """
     new = ["size", "source_size", "target", "taken", "first_slot", "n_blocks"]
-    rows = cut(docs.select(F.struct(*(c for c in docs.columns if c not in new)).alias("row"), F.monotonically_increasing_id().alias("rid")))
+    docs = docs.drop(*new)
+    rows = stored(docs.select(packed(docs), F.monotonically_increasing_id().alias("rid")))
     sized = cut(word_counts(rows.select("row.doc_id", "row.source", "row.text", "rid"), "rid"))
-    return rows.join(_taken(*_mixed(sized, block_words)).drop("doc_id"), "rid").select("row.*", *new)
+    return rows.join(_taken(*_mixed(sized, block_words)).drop("doc_id"), "rid").select(*unpacked(docs), *new)

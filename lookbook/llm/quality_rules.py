@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, packed, stored, unpacked
 from .vote_model import VoteModel, fit, patterns
 
 WINDOW = 8
@@ -119,10 +119,14 @@ def score_quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is kept; the verdict follows from a row's own text, so nothing is joined."""
-    model = learn(cut(statistics(docs).select(*(c.alias(k) for k, c in rules().items()))))
-    rows = docs.select(F.struct("*").alias("row"), _stats(F.col("text").cast("binary")).alias("s")).select("row", "s.*")
-    return rows.withColumns(rules()).where(_passes(model)).select("row.*")
+    """The rows of ``docs`` whose text is kept, with all their columns, whatever their names.
+
+    Rows are written once with their statistics, so texts are read once and nothing is joined. Null and empty texts go;
+    null ids, ties and repeated rows are judged by their own texts, which may be of any length; an empty table gives none.
+    """
+    rows = docs.select(packed(docs), _stats(F.col("text").cast("binary")).alias("s")).select("row", "s.*")
+    rows = stored(rows).withColumns(rules())
+    return rows.where(_passes(learn(rows))).select(*unpacked(docs))
 
 
 def _passes(model: VoteModel) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small
+from .common import cut, packed, small, unpacked
 from .components import components
 
 RADIUS = 3
@@ -223,9 +223,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     told = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
     marked = prints.join(_components(prints), "fp").groupBy("doc_id", "mark").agg(F.first(told == F.col("kept")).alias("stays"), F.count("*").alias("n"))
     marked = cut(marked.where("not stays or n > 1").select(F.col("doc_id").alias("id"), F.col("mark").alias("of"), "stays"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"), F.xxhash64("text").alias("mark"))
+    rows = docs.select(packed(docs), F.col("doc_id").alias("key"), F.xxhash64("text").alias("mark"))
     found = rows.join(small(marked, marked.count()), F.col("key").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")), "left")
-    repeated = marked.where("stays")
-    if repeated.isEmpty():
-        return found.where("stays is null").select("row.*")
-    return found.where("stays is null").select("row.*").union(found.where("stays").dropDuplicates(["key", "mark"]).select("row.*"))
+    rest = found.where("stays is null").select("row")
+    if not marked.where("stays").isEmpty():
+        rest = rest.union(found.where("stays").dropDuplicates(["key", "mark"]).select("row"))
+    return rest.select(*unpacked(docs))
