@@ -1,13 +1,15 @@
 """Personal data in text: labelers vote on candidate spans, EM weighs them and trains a span classifier.
 
 1. Base spans: the four grammars below, leftmost and non-overlapping per kind, with their checks. They always stay.
-2. Candidates: the base matches plus looser forms (national phone numbers, spelled-out addresses, card numbers of other
-   lengths, IPv6). Each is seen with ``AROUND`` characters on both sides.
-3. Labelers vote +1, -1 or abstain: regex (the strict form), check (Luhn, ranges, digit counts), gazetteer (top-level
-   domains, issuer digits, calling codes), context (cue words before the span), edges (letters or digits that touch it)
-   and variety (one digit repeated).
-4. EM over the counts of (kind-free) vote patterns estimates how reliable each labeler is on both classes; the posteriors
-   are the training labels of a logistic regression over votes and shape, weighted by count. It decides on candidates.
+2. Candidates: the base matches plus looser forms of these kinds (spelled-out addresses, IPv6, card numbers of other lengths
+   or with a wrong check digit, numbers in groups) and two more kinds, bank accounts (IBAN) and secrets (long keys). Most
+   numbers in groups aren't telephone numbers, and most long words aren't keys: candidates are of both classes.
+3. Labelers vote +1, -1 or abstain: regex (a form that says what it is), check (Luhn, mod 97, groups, digit counts),
+   gazetteer (domain endings, issuer digits, calling codes, countries, key prefixes), context (cue words before the span, for
+   and against), edges (letters or digits that touch it) and variety (few different characters, or many).
+4. EM over the counts of (kind-free) vote patterns estimates how reliable each labeler is on both classes, beginning with the
+   balance of the votes; the posteriors are the training labels of a logistic regression over votes, kinds and digits, weighted
+   by count. It decides on candidates.
 
 All of it is DataFrame, SQL and Spark ML (JVM) work; only pattern counts, at most a few thousand rows, reach the driver.
 Everything about a document stays in its own row, so nothing is joined or shuffled but the pattern counts.
@@ -15,15 +17,19 @@ Everything about a document stays in its own row, so nothing is joined or shuffl
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .vote_model import VoteModel, fit, patterns
+from .common import cut, packed, stored, unpacked
+from .vote_model import VoteModel, fit
 
 KINDS = ("email", "ip", "card", "phone")
+#: All kinds, as listed.
+ALL_KINDS = (*KINDS, "iban", "secret")
 #: Fixed grammars. Possessive repeats and the look-behind (a match starts a run or follows a match) give the same leftmost
 #: matches as the plain forms, without their quadratic retries inside a run and without recursion on long ones.
 BASE = {
@@ -34,23 +40,40 @@ BASE = {
 }
 #: A cheap look for what any match must contain.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: Looser forms, tried by kind after the base matches; a candidate that overlaps a base span is dropped.
+#: Looser forms by kind: (whether the form says what it is, pattern); a candidate that overlaps a base span is dropped.
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z]{2,20}){1,4}",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9]{4}[\x20-]?[0-9]{6}[\x20-]?[0-9]{4,5}(?![0-9])",
-    "phone": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "email": [
+        (True, r"[A-Za-z0-9._%+-]{1,64}+\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z]{2,20}){1,4}"),
+        (False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20at\x20[A-Za-z0-9-]{2,63}+\x20dot\x20[A-Za-z]{2,20}"),
+        (False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?![A-Za-z0-9.-])"),
+    ],
+    "ip": [(False, r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:|::?(?=[0-9A-Fa-f])){1,7}(?::?[0-9A-Fa-f]{1,4}|:)(?![0-9A-Za-z:])")],
+    "card": [(False, r"(?<![0-9.,+-])[0-9]{4}(?:[\x20-]?[0-9]){8,15}(?![0-9])")],
+    "phone": [
+        (True, r"(?<![0-9A-Za-z+.-])\([0-9]{2,5}\)\x20?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])"),
+        (False, r"(?<![0-9A-Za-z+.,:/-])[0-9]{2,5}(?:[\x20./-][0-9]{2,5}){1,4}(?![0-9])"),
+        (False, r"(?<![0-9A-Za-z+.,:/-])0[0-9]{8,14}(?![0-9])"),
+    ],
+    "iban": [(False, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")],
+    "secret": [(False, r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,200}[0-9])[A-Za-z0-9_-]{16,}+")],
 }
-LOOSE_NEEDS = {"email": r"[(\[]at[)\]]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9]{4}", "phone": r"[0-9]{3}"}
+LOOSE_NEEDS = {"email": r"@|[(\[]at[)\]]|\x20at\x20", "ip": r":[0-9A-Fa-f:]", "card": r"[0-9]{4}", "phone": r"[0-9]{2}", "iban": r"[A-Z]{2}[0-9]{2}", "secret": r"[A-Za-z0-9_-]{16}"}
 AROUND = 40
+#: Words before a span that speak for a kind, and words that speak against any.
 CUES = {
     "email": r"(?i)(mail|contact|write|reach|from|to)\W*$",
-    "ip": r"(?i)(\bip|addr\w*|host|server|client|login\w*|from)\W*$",
+    "ip": r"(?i)(\bip|ipv6|addr\w*|host|server|client|login\w*|from)\W*$",
     "card": r"(?i)(card|visa|mastercard|amex|credit|debit|pay\w*)\W*(no\W*|number\W*)?$",
-    "phone": r"(?i)(phone|tel|call|mobile|cell|fax|whatsapp)\W*(no\W*|number\W*)?$",
+    "phone": r"(?i)(phone|tel|call|mobile|cell|fax|whatsapp)\W*(me\W*|us\W*|at\W*|on\W*|no\W*|number\W*)?$",
+    "iban": r"(?i)(iban|account|konto|bank|transfer)\W*(no\W*|number\W*)?$",
+    "secret": r"(?i)(token|secret|passw\w*|key|bearer|credential\w*|auth\w*)\W*(is\W*)?$",
 }
-#: Common top-level domains (fixed values).
+COUNTER_CUES = r"(?i)(isbn|issn|doi|version|release|order|invoice|article|page|pp|fig\w*|table|chapter|section|ticket|issue|item|model|serial|build|sha\w*|md5|commit|date|time|since|until|year|number of|price|[$\x{20AC}\x{A3}#])\W*$"
+#: Common endings of domains, countries of bank accounts, and what issued keys begin with (fixed values).
 DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "co", "de", "fr", "es", "it", "uk", "nl", "ch", "at", "eu", "us", "ca", "jp", "cn", "in", "br", "ru", "example", "test")
+COUNTRIES = ("AD", "AE", "AT", "BE", "BG", "CH", "CY", "CZ", "DE", "DK", "EE", "ES", "FI", "FR", "GB", "GR", "HR", "HU", "IE", "IS", "IT", "LI", "LT", "LU", "LV", "MC", "MT", "NL", "NO", "PL", "PT", "RO", "SE", "SI", "SK", "SM", "TR")
+KEY_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk_test_", "pk_live_", "eyJ")
+_SPANS = "array<struct<kind:string,s:int,e:int,base:boolean,l_regex:int,l_check:int,l_gazetteer:int,l_context:int,l_edges:int,l_variety:int,digits:int>>"
 LABELERS = ["l_regex", "l_check", "l_gazetteer", "l_context", "l_edges", "l_variety"]
 
 
@@ -99,32 +122,54 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _labels(kind: str, x: Column, text: Column, base: bool) -> Column:
+def _rest97(m: Column) -> Column:
+    """The account number, its first four characters moved to the end and letters read as 10 to 35, modulo 97."""
+    bare = F.regexp_replace(m, r"\x20", "")
+    turned = F.split(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4)), "")
+
+    def step(acc: Column, c: Column) -> Column:
+        return F.when(c.rlike("[0-9]"), (acc * 10 + F.coalesce(F.try_to_number(c, F.lit("9")).cast("int"), F.lit(0))) % 97).when(c == "", acc).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(turned, F.lit(0), step)
+
+
+def _labels(kind: str, x: Column, text: Column, base: bool, plain: bool) -> Column:
     """The candidate with its votes."""
     before = F.substring(text, F.greatest(x["s"] - AROUND, F.lit(0)) + 1, F.least(x["s"], F.lit(AROUND)))
     after = F.substring(text, x["e"] + 1, F.lit(1))
-    digits = _digits(x["m"])
-    n = F.length(digits)
+    m, digits = x["m"], _digits(x["m"])
+    n, never = F.length(digits), F.lit(False)
     if kind == "email":
-        domain = F.lower(F.regexp_extract(x["m"], r"([A-Za-z0-9-]+)$", 1))
-        check, known, unknown = _vote(F.length(x["m"]) <= 254, F.length(x["m"]) > 254), domain.isin(*DOMAINS), domain.rlike("^[0-9]+$|.{12}")
+        domain = F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1))
+        check, gazetteer = _vote(m.rlike(r"\.[A-Za-z]|dot") & (F.length(m) <= 254), never), _vote(domain.isin(*DOMAINS), domain.rlike("^[0-9]+$|.{12}"))
         varied = F.lit(0)
     elif kind == "ip":
-        check = F.lit(1)
-        known, unknown = x["m"].rlike(r"^(10|127|192\.168|[1-9][0-9]?|1[0-9]{2}|2[01][0-9]|22[0-3])\."), x["m"].rlike(r"^0+\.|^(22[4-9]|23[0-9]|24[0-9]|25[0-5])\.")
-        varied = _vote(F.lit(False), x["m"].rlike(r"^0+\.0+\.0+\.0+$"))
+        quad, groups = m.rlike(r"\."), F.size(F.split(m, ":"))
+        short = m.rlike("::")
+        check = F.when(quad, 1).otherwise(_vote((short & (groups <= 8) & ~m.rlike("::.*::|:::")) | (~short & (groups == 8)), ~short | m.rlike("::.*::|:::")))
+        gazetteer = F.when(quad, _vote(m.rlike(r"^(10|127|192\.168|[1-9][0-9]?|1[0-9]{2}|2[01][0-9]|22[0-3])\."), m.rlike(r"^0+\.|^(22[4-9]|23[0-9]|24[0-9]|25[0-5])\."))).otherwise(_vote(m.rlike("(?i)^(2[0-9a-f]{3}|3[0-9a-f]{3}|f[cd][0-9a-f]{2}|fe80):"), ~m.rlike("[0-9A-Fa-f]{3}")))
+        varied = _vote(never, m.rlike(r"^0+\.0+\.0+\.0+$"))
     elif kind == "card":
-        check = _vote(luhn(digits), ~luhn(digits))
-        known, unknown = digits.rlike("^(4|5[1-5]|2[2-7]|3[47]|6)"), digits.rlike("^[0178]")
-        varied = _vote(F.lit(False), digits.rlike(r"^(.)\1*$"))
+        check = _vote(luhn(digits) & n.between(13, 19), ~luhn(digits))
+        gazetteer = _vote(digits.rlike("^(4|5[1-5]|2[2-7]|3[47]|6)"), digits.rlike("^[0178]"))
+        varied = _vote(never, digits.rlike(r"^(.)\1*$"))
+    elif kind == "phone":
+        dated = m.rlike(r"^(1[89]|20)[0-9]{2}[./-][01]?[0-9][./-][0-3]?[0-9]$|^[0-3]?[0-9][./-][0-3]?[0-9][./-]([0-9]{2})?[0-9]{2}$|^(1[89]|20)[0-9]{2}[/-](1[89]|20)?[0-9]{2}$")
+        written = m.rlike(r"^[+(0]|^[2-9][0-9]{2}[.-][0-9]{3}[.-][0-9]{4}$")
+        check = _vote(n.between(8, 15) & ~dated & written, ~n.between(8, 15) | dated)
+        gazetteer = _vote(m.rlike(r"^\+(1|20|27|3[0-9]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-8])|^00[1-9]|^0[1-9]"), m.rlike(r"^\(?000"))
+        varied = _vote(never, digits.rlike(r"^(.)\1*$"))
+    elif kind == "iban":
+        check, gazetteer, varied = _vote(_rest97(m) == 1, _rest97(m) != 1), _vote(F.substring(m, 1, 2).isin(*COUNTRIES), ~F.substring(m, 1, 2).isin(*COUNTRIES)), F.lit(0)
     else:
-        check = _vote(n.between(8, 15), ~n.between(8, 15))
-        known, unknown = x["m"].rlike(r"^\+(1|20|27|3[0-9]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-8])"), x["m"].rlike(r"^\(?[01]")
-        varied = _vote(F.lit(False), digits.rlike(r"^(.)\1*$"))
+        letters = F.length(F.regexp_replace(m, "[^A-Za-z]", ""))
+        check = _vote((n >= 4) & (letters >= 4) & (F.length(m) >= 20), (n < 3) | (letters < 2))
+        gazetteer = _vote(F.exists(F.array(*map(F.lit, KEY_PREFIXES)), lambda p: F.startswith(m, p)), m.rlike("[-_][A-Za-z]*[-_]"))
+        varied = _vote(F.size(F.array_distinct(F.split(m, ""))) >= 12, F.size(F.array_distinct(F.split(m, ""))) < 8)
     touch = before.rlike(r"[\p{L}\p{N}_=/#.-]$") | after.rlike(r"^[\p{L}\p{N}_=/#-]")
     return F.struct(
-        F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(base).alias("base"), F.lit(1 if base else -1).alias("l_regex"), check.alias("l_check"), _vote(known, unknown).alias("l_gazetteer"),
-        _vote(before.rlike(CUES[kind]), F.lit(False)).alias("l_context"), _vote(~touch, touch).alias("l_edges"), varied.alias("l_variety"), F.least(n, F.lit(20)).alias("digits"),
+        F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(base).alias("base"), F.lit(1 if base or plain else 0).alias("l_regex"), check.alias("l_check"), gazetteer.alias("l_gazetteer"),
+        _vote(before.rlike(CUES[kind]), before.rlike(COUNTER_CUES)).alias("l_context"), _vote(never, touch).alias("l_edges"), varied.alias("l_variety"), F.least(n, F.lit(20)).alias("digits"),
     )
 
 
@@ -132,24 +177,37 @@ def candidates(text: Column) -> Column:
     """All candidates of a text, base spans first, each kind in text order."""
     text = F.coalesce(text, F.lit(""))
 
-    def label(kind: str, found: Column, base: bool) -> Column:
-        return F.transform(found, lambda x: _labels(kind, x, text, base))
+    def label(kind: str, found: Column, base: bool, plain: bool = False) -> Column:
+        return F.transform(found, lambda x: _labels(kind, x, text, base, plain))
 
     def checked(kind: str) -> Column:
         return F.filter(_matches(text, BASE[kind], NEEDS[kind]), lambda x: _valid(kind, x["m"]))
 
     base = [label(k, checked(k), True) for k in KINDS]
-    return F.concat(*base, *(label(k, _matches(text, LOOSE[k], LOOSE_NEEDS[k]), False) for k in KINDS))
+    return F.concat(*base, *(label(k, _matches(text, form, LOOSE_NEEDS[k]), False, plain) for k in ALL_KINDS for plain, form in LOOSE[k]))
 
 
-def with_candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``_spans`` of candidates, null where the text shows no sign of any."""
-    looks = F.coalesce(F.col("text"), F.lit("")).rlike(r"[0-9@]|[(\[]at[)\]]|[0-9A-Fa-f]:[0-9A-Fa-f]")
+def with_candidates(docs: DataFrame, text: Column) -> DataFrame:
+    """``docs`` with a column ``_spans`` of candidates of ``text``, null where it shows no sign of any."""
+    looks = F.coalesce(text, F.lit("")).rlike(r"[0-9@]|[(\[]at[)\]]|\x20at\x20|:[A-Fa-f:]")
 
-    def apart(c: Column) -> Column:
-        return c["base"] | ~F.exists("_all", lambda b: b["base"] & (b["s"] < c["e"]) & (c["s"] < b["e"]))
+    return docs.withColumn("_spans", _clear(F.when(looks, candidates(text)), False))
 
-    return docs.withColumn("_all", F.when(looks, candidates(F.col("text")))).withColumn("_spans", F.filter("_all", apart)).drop("_all")
+
+def _clear(spans: Column, loose: bool) -> Column:
+    """Spans by start, without those that overlap a base span and, if ``loose``, an earlier or longer one of the others."""
+    order = lambda c: F.struct(c["s"], ~c["base"], -c["e"], F.array_position(F.array(*map(F.lit, ALL_KINDS)), c["kind"]))
+    placed = F.array_sort(F.transform(spans, lambda c: F.struct(order(c).alias("at"), c.alias("c"))))
+
+    def step(acc: Column, x: Column) -> Column:
+        c = x["c"]
+        before = F.when(acc["loose"] > c["s"], F.filter(acc["kept"], lambda k: k["base"] | (k["e"] <= c["s"]))).otherwise(acc["kept"])
+        kept = F.when(c["base"], F.concat(before, F.array(c))).when(c["s"] >= acc["end"], F.concat(acc["kept"], F.array(c))).otherwise(acc["kept"])
+        ends = c["base"] | (c["s"] >= acc["end"]) if loose else c["base"]
+        reach = F.when(c["base"], acc["loose"]).otherwise(F.greatest(acc["loose"], c["e"]))
+        return F.struct(kept.alias("kept"), F.when(ends, F.greatest(acc["end"], c["e"])).otherwise(acc["end"]).alias("end"), reach.alias("loose"))
+
+    return F.aggregate(placed, F.struct(F.array().cast(_SPANS).alias("kept"), F.lit(0).alias("end"), F.lit(0).alias("loose")), step)["kept"]
 
 
 class SpanModel:
@@ -159,14 +217,15 @@ class SpanModel:
         self.labelers, self.weights, self.intercept = labelers, weights, intercept
 
     def accepts(self, c: Column) -> Column:
+        """Whether the classifier takes the span; where all labelers abstain or are against there is nothing to go by."""
         z = F.lit(self.intercept)
         for w, x in zip(self.weights, _features(c), strict=True):
             z = z + x * F.lit(w)
-        return z >= 0
+        return (z >= 0) & (F.greatest(*(c[v] for v in LABELERS)) > 0)
 
 
 def _features(c: Column) -> list[Column]:
-    kinds = [(c["kind"] == k).cast("double") for k in KINDS[1:]]
+    kinds = [(c["kind"] == k).cast("double") for k in ALL_KINDS[1:]]
     return [*(c[v].cast("double") for v in LABELERS), *kinds, c["digits"].cast("double") / 20]
 
 
@@ -176,9 +235,9 @@ def learn(spans: DataFrame) -> SpanModel:
     flat = spans.where(F.size("_spans") > 0).select(F.explode("_spans").alias("c")).select(*(F.col("c")[n].alias(n) for n in names))
     counted = cut(flat.groupBy(*names).agg(F.count("*").cast("double").alias("n")))  # bounded by kinds, digit counts and 3 ** labelers
     rows = counted.groupBy(*LABELERS).agg(F.sum("n").alias("n")).collect()
-    reliab = fit(sorted((tuple(int(r[c]) for c in LABELERS), r["n"]) for r in rows), LABELERS, one_against=0.45)
+    reliab = fit(sorted((tuple(int(r[c]) for c in LABELERS), r["n"]) for r in rows), LABELERS, start=lambda votes: 1 / (1 + exp(1.5 * (0.75 - sum(votes)))))
     if not rows:
-        return SpanModel(reliab, [0.0] * (len(LABELERS) + len(KINDS)), -1.0)
+        return SpanModel(reliab, [0.0] * (len(LABELERS) + len(ALL_KINDS)), -1.0)
     soft = counted.withColumn("p", reliab.column())
     both = soft.withColumn("y", F.explode(F.array(F.lit(0.0), F.lit(1.0)))).withColumn("w", F.col("n") * F.when(F.col("y") > 0, F.col("p")).otherwise(1 - F.col("p")) + 1e-6)
     whole = F.struct(*(F.col(n) for n in names))
@@ -189,14 +248,14 @@ def learn(spans: DataFrame) -> SpanModel:
 
 def _listed(spans: Column) -> Column:
     """kind:start:end, by kind as listed, then start."""
-    place = lambda c: F.array_position(F.array(*map(F.lit, KINDS)), c["kind"]).cast("int")
+    place = lambda c: F.array_position(F.array(*map(F.lit, ALL_KINDS)), c["kind"]).cast("int")
     ordered = F.array_sort(F.transform(spans, lambda c: F.struct(place(c).alias("k"), c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
     return F.array_join(F.transform(ordered, lambda c: F.concat_ws(":", c["kind"], c["s"].cast("string"), c["e"].cast("string"))), ",")
 
 
 def _chosen(model: SpanModel) -> Column:
     """The spans that stay: null where there are no candidates."""
-    return F.filter("_spans", lambda c: c["base"] | model.accepts(c))
+    return _clear(F.filter("_spans", lambda c: c["base"] | model.accepts(c)), True)
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -206,7 +265,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     A null or empty text has no spans, "" listed and the digest of "". Repeated rows and null ids stay as rows; an empty
     table gives none. Only doc_id and text are read; whole texts are searched.
     """
-    found = cut(with_candidates(docs.select("doc_id", "text")).select("doc_id", "_spans"))
+    found = cut(with_candidates(docs.select("doc_id", "text"), F.col("text")).select("doc_id", "_spans"))
     model = learn(found)
     base = F.filter("_spans", lambda c: c["base"])
 
@@ -219,20 +278,24 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
-    """``docs`` with each found span replaced by <KIND>; overlapping spans are masked as one. n_chars follows the new text."""
-    row = docs.select(F.struct("*").alias("_row"), "text")
-    found = with_candidates(row)
-    model = learn(cut(with_candidates(docs.select("text")).select("_spans")))
-    ordered = F.array_sort(F.transform(_chosen(model), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
+    """``docs`` with each found span replaced by <KIND>; overlapping spans are masked as one. n_chars follows the new text.
+
+    Rows are written once with their candidates, so texts are searched once. Null and empty texts and those without spans
+    stay as they are, as do null ids, repeated rows and all other columns, of any name; texts may be of any length; an empty
+    table gives none.
+    """
+    found = stored(with_candidates(docs.select(packed(docs)), F.col("row.text")))
+    ordered = F.array_sort(F.transform(_chosen(learn(found)), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    text = F.col("row.text")
 
     def step(acc: Column, c: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(c["s"] - acc["at"], F.lit(0)))
+        gap = F.substring(text, acc["at"] + 1, F.greatest(c["s"] - acc["at"], F.lit(0)))
         tag = F.when(c["s"] >= acc["at"], F.concat(F.lit("<"), F.upper(c["kind"]), F.lit(">"))).otherwise("")
         return F.struct(F.greatest(acc["at"], c["e"]).alias("at"), F.concat(acc["out"], F.array(F.concat(gap, tag))).alias("out"))
 
-    done = F.aggregate(ordered, start, step)
-    text = F.when(F.size("_chosen") > 0, F.concat(F.array_join(F.col("_done")["out"], ""), F.substring(F.col("text"), F.col("_done")["at"] + 1, F.length("text")))).otherwise(F.col("text"))
-    out = found.withColumn("_chosen", ordered).withColumn("_done", F.when(F.size("_chosen") > 0, done)).withColumn("_new", text)
-    change = {"text": F.col("_new"), "n_chars": F.when(F.size("_chosen") > 0, F.length("_new").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*(change[c].alias(c) if change.get(c) is not None else F.col("_row")[c].alias(c) for c in docs.columns))
+    some, done = F.size("_chosen") > 0, F.aggregate("_chosen", start, step)
+    out = found.withColumn("_chosen", ordered).withColumn("_done", F.when(some, done))
+    out = out.withColumn("_new", F.when(some, F.concat(F.array_join(F.col("_done")["out"], ""), F.substring(text, F.col("_done")["at"] + 1, F.length(text)))).otherwise(text))
+    changed = {"text": F.col("_new")} | ({"n_chars": F.when(some, F.length("_new").cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {})
+    return out.select(*unpacked(docs, **changed))

@@ -7,6 +7,7 @@ the size of the corpus, so the patterns are aggregated on Spark and only they re
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import exp, log
 
 from pyspark.sql import Column, DataFrame
@@ -39,8 +40,9 @@ class VoteModel:
         return 1 / (1 + F.exp(-z))
 
 
-def fit(counts: list[tuple[tuple[int, ...], float]], labelers: list[str], one_against: float, least_right: float = 0.5, rounds: int = 60, smooth: float = 2.0) -> VoteModel:
-    """``one_against``: the starting belief in the positive class where one labeler votes -1 and no more is known.
+def fit(counts: list[tuple[tuple[int, ...], float]], labelers: list[str], one_against: float = 0.5, least_right: float = 0.5, rounds: int = 60, smooth: float = 2.0, start: Callable[[tuple[int, ...]], float] | None = None) -> VoteModel:
+    """``start``: the belief in the positive class that a vote pattern is first given; without it, where one labeler votes -1 that
+    belief is ``one_against``, and falls by as much with each more.
 
     ``least_right``: how often a labeler votes +1 on the positive class, at least. Kinds of negatives that each trip one
     labeler only would otherwise pass as positives on which that labeler errs.
@@ -48,9 +50,9 @@ def fit(counts: list[tuple[tuple[int, ...], float]], labelers: list[str], one_ag
     """
     m = len(labelers)
     model = VoteModel(labelers, 0.9, [0.98] * m, [0.98 - 0.5 * (1 - one_against)] * m)
-    start = {p: one_against ** sum(v < 0 for v in p) * 0.98 for p, _ in counts}
+    first = {p: start(p) if start else one_against ** sum(v < 0 for v in p) * 0.98 for p, _ in counts}
     for step in range(rounds if counts else 0):
-        pos = start if step == 0 else {p: model.posterior(p) for p, _ in counts}
+        pos = first if step == 0 else {p: model.posterior(p) for p, _ in counts}
         total, whole = sum(n for _, n in counts), sum(n * pos[p] for p, n in counts)
         given_pos, given_neg = [], []
         for j in range(m):

@@ -211,6 +211,41 @@ def test_personal_data_mask(spark):
     assert rows[0]["n_chars"] == len("mail <EMAIL> now") and rows[3]["n_chars"] == 7
 
 
+ADDED = [
+    ("call me: {}", "phone", "(523) 555-1055"), ("phone {}", "phone", "523.555.1055"), ("tel: {}", "phone", "0044 20 7946 0958"), ("write to {} please", "email", "joe [at] mail [dot] com"), ("mail joe {} now", "email", "jane.doe at example dot org"),
+    ("host {} is up", "ip", "2001:db8:0:0:8:800:200c:417a"), ("login from {}", "ip", "2001:db8::8a2e:370:7334"), ("IBAN {}", "iban", "DE89 3704 0044 0532 0130 00"), ("account {}", "iban", "GB29NWBK60161331926819"),
+    ('token = "{}"', "secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962"), ("password: {}", "secret", "ghp_16C7e42F292c6912E7710c838347Ae178B4a"), ("card no {}", "card", "3782 822463 10005"),
+]
+REFUSED = [
+    ("on {} we met", "2024-01-15"), ("since {}", "12/31/1999"), ("at {} sharp", "12:30:45"), ("order {} came", "9807915762804491"), ("isbn {}", "978 3161 48410"), ("the {} said", "Donaudampfschifffahrtsgesellschaft2"), ("item {}", "8888 8888 8888 8889"),
+    ("code {}", "DE00 3704 0044 0532 0130 00"), ("pages {}", "1999/2001"), ("version {}", "10 20"), ("user {}", "root@localhost"), ("build {}", "aaaaaaaaaaaaaaaaaaaaaaa1"),
+]
+
+
+def test_personal_data_added_and_refused_spans(spark, monkeypatch):
+    rng = random.Random(3)
+    fill = lambda: " ".join(words_of(rng, 8))
+    known = ["a@mail.com", "10.1.2.3", "4111 1111 1111 1111", "+1 (555) 010-2030"]
+    texts = [f"{fill()} {rng.choice(known)} {fill()}" for _ in range(150)]
+    where = {}
+    for _ in range(8):
+        for form, *rest in [*ADDED, *REFUSED]:
+            before = f"{fill()}, {form.split('{}')[0]}"
+            where[len(texts)] = (rest[0] if len(rest) > 1 else None, len(before), len(before) + len(rest[-1]))
+            texts.append(before + rest[-1] + form.split("{}")[1] + f" {fill()}")
+    docs = table(spark, texts)
+    spans = {r["doc_id"]: r["spans"] for r in personal_data.find_personal_data(docs).collect()}
+    wrong = [(texts[i], kind, spans[i]) for i, (kind, s, e) in where.items() if spans[i] != (f"{kind}:{s}:{e}" if kind else "")]
+    assert not wrong
+    masked = {r["doc_id"]: r["text"] for r in personal_data.mask_personal_data(docs).collect()}
+    assert all(masked[i] == (texts[i][:s] + f"<{kind.upper()}>" + texts[i][e:] if kind else texts[i]) for i, (kind, s, e) in where.items())
+    base = {r["doc_id"]: r["base_sha256"] for r in personal_data.find_personal_data(docs).collect()}
+    for verdict in (True, False):  # both kinds of spans hang on the classifier
+        monkeypatch.setattr(personal_data.SpanModel, "accepts", lambda self, c, v=verdict: (c["digits"] >= 0) == v)
+        rows = personal_data.find_personal_data(docs).collect()
+        assert any(r["spans"] != spans[r["doc_id"]] for r in rows) and all(r["base_sha256"] == base[r["doc_id"]] for r in rows)
+
+
 def brute_leaks(texts, items):
     split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     grams = lambda w, n: {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
