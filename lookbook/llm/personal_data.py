@@ -40,24 +40,23 @@ BASE = {
 }
 #: A cheap look for what any match must contain.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: Looser forms by kind: (whether the form says what it is, pattern); a candidate that overlaps a base span is dropped.
+#: Looser forms by kind: (whether the form says what it is, a cheap look for what it must contain, pattern).
 LOOSE = {
     "email": [
-        (True, r"[A-Za-z0-9._%+-]{1,64}+\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z]{2,20}){1,4}"),
-        (False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20at\x20[A-Za-z0-9-]{2,63}+\x20dot\x20[A-Za-z]{2,20}"),
-        (False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?![A-Za-z0-9.-])"),
+        (True, r"[(\[]at[)\]]", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z]{2,20}){1,4}"),
+        (False, r"\x20dot\x20", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20at\x20[A-Za-z0-9-]{2,63}+\x20dot\x20[A-Za-z]{2,20}"),
+        (False, r"@[A-Za-z0-9-]++(?!\.)", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?![A-Za-z0-9.-])"),
     ],
-    "ip": [(False, r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:|::?(?=[0-9A-Fa-f])){1,7}(?::?[0-9A-Fa-f]{1,4}|:)(?![0-9A-Za-z:])")],
-    "card": [(False, r"(?<![0-9.,+-])[0-9]{4}(?:[\x20-]?[0-9]){8,15}(?![0-9])")],
+    "ip": [(False, r":[0-9A-Fa-f]{0,4}:", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:|::?(?=[0-9A-Fa-f])){1,7}(?::?[0-9A-Fa-f]{1,4}|:)(?![0-9A-Za-z:])")],
+    "card": [(False, r"[0-9]{4}[\x20-]?[0-9]", r"(?<![0-9.,+-])[0-9]{4}(?:[\x20-]?[0-9]){8,15}(?![0-9])")],
     "phone": [
-        (True, r"(?<![0-9A-Za-z+.-])\([0-9]{2,5}\)\x20?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])"),
-        (False, r"(?<![0-9A-Za-z+.,:/-])[0-9]{2,5}(?:[\x20./-][0-9]{2,5}){1,4}(?![0-9])"),
-        (False, r"(?<![0-9A-Za-z+.,:/-])0[0-9]{8,14}(?![0-9])"),
+        (True, r"[0-9]\)", r"(?<![0-9A-Za-z+.-])\([0-9]{2,5}\)\x20?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])"),
+        (False, r"[0-9]{2}[\x20./-][0-9]{2}", r"(?<![0-9A-Za-z+.,:/-])[0-9]{2,5}(?:[\x20./-][0-9]{2,5}){1,4}(?![0-9])"),
+        (False, r"0[0-9]{8}", r"(?<![0-9A-Za-z+.,:/-])0[0-9]{8,14}(?![0-9])"),
     ],
-    "iban": [(False, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")],
-    "secret": [(False, r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,200}[0-9])[A-Za-z0-9_-]{16,}+")],
+    "iban": [(False, r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")],
+    "secret": [(False, r"[A-Za-z_-][0-9]|[0-9][A-Za-z_-]", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,200}[0-9])[A-Za-z0-9_-]{16,}+")],
 }
-LOOSE_NEEDS = {"email": r"@|[(\[]at[)\]]|\x20at\x20", "ip": r":[0-9A-Fa-f:]", "card": r"[0-9]{4}", "phone": r"[0-9]{2}", "iban": r"[A-Z]{2}[0-9]{2}", "secret": r"[A-Za-z0-9_-]{16}"}
 AROUND = 40
 #: Words before a span that speak for a kind, and words that speak against any.
 CUES = {
@@ -105,7 +104,7 @@ _EMPTY = "array<struct<s:int,e:int,m:string>>"
 
 def _matches(text: Column, pattern: str, needs: str) -> Column:
     """array<struct<s, e, m>>: leftmost non-overlapping matches; offsets in code points from the lengths of what lies between."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("got"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -113,9 +112,11 @@ def _matches(text: Column, pattern: str, needs: str) -> Column:
         e = s + F.length(x["hit"])
         return F.struct(e.alias("at"), F.concat(acc["got"], F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("m")))).alias("got"))
 
-    zipped = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    found = F.aggregate(zipped, start, step)["got"]
-    return F.when(text.rlike(needs), found).otherwise(F.array().cast(_EMPTY))
+    def found(x: Column) -> Column:  # x: both, searched once
+        zipped = F.zip_with(F.slice(x["gaps"], 1, F.size(x["hits"])), x["hits"], lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+        return F.aggregate(zipped, start, step)["got"]
+
+    return F.when(text.rlike(needs), F.get(F.transform(F.array(both), found), 0)).otherwise(F.array().cast(_EMPTY))
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -184,12 +185,12 @@ def candidates(text: Column) -> Column:
         return F.filter(_matches(text, BASE[kind], NEEDS[kind]), lambda x: _valid(kind, x["m"]))
 
     base = [label(k, checked(k), True) for k in KINDS]
-    return F.concat(*base, *(label(k, _matches(text, form, LOOSE_NEEDS[k]), False, plain) for k in ALL_KINDS for plain, form in LOOSE[k]))
+    return F.concat(*base, *(label(k, _matches(text, form, needs), False, plain) for k in ALL_KINDS for plain, needs, form in LOOSE[k]))
 
 
 def with_candidates(docs: DataFrame, text: Column) -> DataFrame:
     """``docs`` with a column ``_spans`` of candidates of ``text``, null where it shows no sign of any."""
-    looks = F.coalesce(text, F.lit("")).rlike(r"[0-9@]|[(\[]at[)\]]|\x20at\x20|:[A-Fa-f:]")
+    looks = F.coalesce(text, F.lit("")).rlike(r"[0-9@]|[(\[]at[)\]]|\x20dot\x20|:[A-Fa-f:]")
 
     return docs.withColumn("_spans", _clear(F.when(looks, candidates(text)), False))
 
