@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier
@@ -37,10 +39,15 @@ _PROSE, _LINKED = [(1, 0.0), (4, 0.0), (15, 0.1), (60, 0.0), (110, 0.2), (250, 0
 _TEXT_AROUND = [(0, 0.0, 12, 0.0), (8, 0.0, 60, 0.0), (60, 0.0, 0, 0.0), (90, 0.0, 40, 0.0), (3, 0.0, 5, 0.0), (0, 0.0, 0, 0.0), (200, 0.0, 220, 0.0), (200, 0.0, 0, 0.0), (0, 0.0, 200, 0.0), (230, 0.0, 12, 0.0), (12, 0.0, 210, 0.0), (400, 0.0, 2, 0.0)]
 _LINKS_AROUND = [(5, 1.0, 7, 1.0), (0, 0.0, 6, 1.0), (2, 0.0, 6, 1.0), (60, 0.0, 8, 1.0), (7, 1.0, 0, 0.0), (8, 1.0, 40, 0.0), (12, 0.9, 11, 1.0)]
 _LONG, _LONG_AROUND = [(180, 0.0), (220, 0.05), (300, 0.0)], [(170, 0.0, 190, 0.0), (200, 0.0, 160, 0.0), (240, 0.1, 200, 0.0)]
+_SHORT, _HEADED = [(1, 0.0), (2, 0.0), (4, 0.0), (6, 0.1)], [(b, lb, a, 0.0) for b, lb in ((0, 0.0), (1, 1.0), (9, 1.0), (30, 0.0), (120, 0.0)) for a in (20, 45, 150)]
+_CLOSED, _LOOSE = [(b, 0.0, a, la) for b in (20, 60, 150) for a, la in ((0, 0.0), (6, 0.0))], [(1, 1.0, 3, 1.0), (5, 1.0, 2, 0.0), (0, 0.0, 4, 1.0), (2, 0.0, 3, 1.0), (0, 0.0, 2, 0.0), (1, 1.0, 0, 0.0), (3, 0.0, 0, 0.0), (4, 0.0, 3, 0.0)]
+_PARTS = [(15, 0.1), (40, 0.0), (90, 0.2), (250, 0.05)]
 _SITUATIONS = [
     (_PROSE, _TEXT_AROUND + _LINKS_AROUND, [(0, 1, 1)], 1), (_LINKED, _TEXT_AROUND, [(0, 1, 1)], 1), (_LINKED, _LINKS_AROUND, [(0, 1, 1)], 0),  # in an article or main lists of links aren't main text
     (_LONG, _LONG_AROUND, [(1, 1, 1), (0, 0, 1), (1, 0, 1), (1, 0, 0)], 1),  # outside of one, or in what a name calls furniture, long prose among long prose is
     (_PROSE[:5] + _LINKED + [(240, 0.9)], _TEXT_AROUND + _LINKS_AROUND + _LONG_AROUND, [(1, 1, 1), (0, 0, 1), (1, 0, 1), (1, 0, 0)], 0), (_LONG, _TEXT_AROUND[:6] + _TEXT_AROUND[7:] + _LINKS_AROUND, [(1, 1, 1), (0, 0, 1), (1, 0, 1), (1, 0, 0)], 0),
+    (_SHORT, _HEADED + _CLOSED, [(0, 0, 0)], 1), (_SHORT, _LOOSE, [(0, 0, 0)], 0),  # on pages without an article a few words are main text where they head or close prose, not among links and scraps
+    (_PARTS, _TEXT_AROUND + _LINKS_AROUND + _HEADED + _LOOSE, [(0, 0, 0)], 1), (_LINKED, _TEXT_AROUND + _LINKS_AROUND + _HEADED + _LOOSE, [(0, 0, 0)], 0),
 ]
 LABELLED += [(*own, *around, *flags, label) for owns, arounds, where, label in _SITUATIONS for own in owns for around in arounds for flags in where]
 #: Fixed tag sets.
@@ -53,6 +60,11 @@ _SINGLE = frozenset("ad ads adv advert advertisement adverts alert banner breadc
 _HOLDING = "area bar block box button buttons container form icons item items links list notice banner overlay panel popup posts section slot unit widget widgets wrapper".split()
 _PLACES = "site page main primary secondary left right top bottom mobile".split()
 FURNITURE_NAMES = _SINGLE | {f"{a}-{b}" for a in _SINGLE for b in _HOLDING} | {f"{a}-{b}" for a in _PLACES for b in _SINGLE}
+_RAW = "script style noscript template title textarea select svg iframe object button".split()
+_RAW_ENDS = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE | re.ASCII) for t in _RAW}
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"[\"'>]")
+_NAMES = _SINGLE | {f"{a}-{b}" for a in _SINGLE for b in _HOLDING} | {f"{a}-{b}" for a in _PLACES for b in _SINGLE}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|title|textarea|select|svg|iframe|object|button)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
@@ -70,10 +82,54 @@ class _Block:
         self.pieces, self.link_words, self.furniture, self.article = [], 0, furniture, article
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, closing, attributes) of each piece of markup; tag is "" for comments, raw elements and the like.
+
+    One pass: what has been read isn't read again. Comments and raw elements without an end run to that of the page. If once
+    no closing mark of a tag is found outside of quotes, quotes no longer count in the rest of the page.
+    """
+    at, last, quoted = 0, page.rfind(">"), True
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        if start > last:  # nothing closes any more: the rest is text, but for a comment
+            continue
+        if page.startswith(("<!", "<?"), start):
+            at = page.find(">", start) + 1
+            yield start, at, "", False, ""
+            continue
+        if not (m := _NAME.match(page, start)):
+            continue
+        tag, end = m[2].lower(), m.end()
+        while quoted and (stop := _STOP.search(page, end)):
+            end = stop.start()
+            if stop[0] == ">":
+                break
+            if (end := page.find(stop[0], end + 1) + 1) == 0:
+                stop = None
+                break
+        if quoted and not stop:
+            quoted = False
+        if not quoted:
+            end = page.find(">", m.end())
+        at = end + 1
+        if tag in _RAW_ENDS and not m[1]:
+            close = _RAW_ENDS[tag].search(page, at)
+            at = close.end() if close else len(page)
+            yield start, at, "", False, ""
+        else:
+            yield start, at, tag, bool(m[1]), page[m.end() : end]
+
+
 def blocks(page: str) -> list[_Block]:
     """The page's non-empty text blocks in order."""
     out: list[_Block] = []
     holders: list[tuple[str, bool, bool, bool]] = []  # tag, in furniture by a name, by a tag, in an article
+    open_ = Counter()
     block, in_link, at = _Block(False, False), False, 0
 
     def text(raw: str) -> None:
@@ -89,26 +145,26 @@ def blocks(page: str) -> list[_Block]:
         _, by_name, by_tag, article = holders[-1] if holders else ("", False, False, False)
         block = _Block(by_name or by_tag or extra, article)
 
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        if not m[3]:
+    for start, end, tag, close, attributes in tokens(page):
+        text(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag, close = m[3].lower(), bool(m[2])
         if tag == "a":
             in_link = not close
         elif tag == "br":
             block.pieces.append(" ")
         elif tag in BLOCK_TAGS:
             named = False
-            if not close and m[4] and tag not in ("html", "body", "article", "main"):
-                names = " ".join(filter(None, (x for g in _NAMES.findall(m[4]) for x in g))).lower()
+            if not close and attributes and tag not in ("html", "body", "article", "main"):
+                names = " ".join(filter(None, (x for g in _NAMES.findall(attributes) for x in g))).lower()
                 named = not FURNITURE_NAMES.isdisjoint(names.replace("_", "-").split())
             if tag in HOLDERS:
                 if close:
-                    for k in range(len(holders) - 1, -1, -1):
-                        if holders[k][0] == tag:
-                            del holders[k:]
+                    while open_[tag]:  # a stray closing tag closes nothing
+                        gone = holders.pop()[0]
+                        open_[gone] -= 1
+                        if gone == tag:
                             break
                 else:
                     _, by_name, by_tag, article = holders[-1] if holders else ("", False, False, False)
@@ -116,6 +172,7 @@ def blocks(page: str) -> list[_Block]:
                     if begins and not article:  # names of what holds the first article or main don't reach into it
                         by_name = False
                     holders.append((tag, by_name or named, by_tag or (tag in FURNITURE_TAGS and not heading), article or begins))
+                    open_[tag] += 1
                 in_link = False
                 new()
             else:
@@ -138,7 +195,7 @@ def features(found: list[_Block]) -> list[tuple]:
 def train_tree(spark: SparkSession) -> tuple:
     """(feature, threshold, left, right) nested down to 0.0 or 1.0; values at or under the threshold go left."""
     table = spark.createDataFrame([(Vectors.dense(*map(float, r[:-1])), float(r[-1])) for r in LABELLED], ["x", "y"])
-    model = DecisionTreeClassifier(featuresCol="x", labelCol="y", maxDepth=6, seed=1).fit(table)
+    model = DecisionTreeClassifier(featuresCol="x", labelCol="y", maxDepth=10, seed=1).fit(table)
 
     def node(n) -> tuple | float:
         if n.subtreeDepth() == 0:

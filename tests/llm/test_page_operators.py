@@ -107,3 +107,75 @@ def test_words_and_links_decide_besides_flags(tree):
     assert html_text.main_text(f"<main><p>{prose}</p><section id=comments><article><p>{prose}</p></article></section></main>", tree) == prose
     assert html_text.main_text(f"<main><p>{prose}</p><div class=site-footer><p>{prose}</p></div></main>", tree) == prose
     assert long in html_text.main_text(f"<div class=notice><p>{long}</p><p>{long}</p><p>{long}</p></div>", tree)
+
+
+def test_neighbours_decide(tree):
+    def used(node):
+        return {node[0]} | used(node[2]) | used(node[3]) if isinstance(node, tuple) else set()
+
+    names = {html_text.FEATURES[i] for i in used(tree)}
+    assert {"words_before", "links_before", "words_after", "links_after"} <= names
+    prose, links = "Plain words of a text that goes on for a good while and says something new, over and over. " * 3, "<a href=1>one</a> <a href=2>two</a>"
+    for head in ("Two words", "A heading of five words"):
+        assert html_text.main_text(f"<h2>{head}</h2><p>{prose}</p>", tree) == f"{head}\n{prose.strip()}"
+        assert html_text.main_text(f"<p>{links}</p><h2>{head}</h2><p>{links}</p><p>{prose}</p>", tree) == prose.strip()
+    item = "<li><a href=x>Read about it</a></li>"
+    assert html_text.main_text(f"<article><p>{prose}</p><div>{item}</div><p>{prose}</p></article>", tree).count("Read about it") == 1
+    assert "Read" not in html_text.main_text(f"<article><p>{prose}</p><ul>{item * 3}</ul></article>", tree)
+
+
+def test_hostile_pages_take_linear_time(tree):
+    import time
+
+    n = 2_000_000
+    for part in ('<p class="', "<a ", "<", "<!--", "<a '\">", "<a \">\"", "<script>", "<p a='>", "</div", "<![CDATA[", "&amp", "<b>x", 'class="'):
+        for page in (part * (n // len(part)), part * (n // len(part)) + "'>", part * (n // len(part)) + '">'):
+            began = time.time()
+            html_text.main_text(page, tree)
+            assert time.time() - began < 5, part
+    for page in ("<div>" * 200_000 + "</section></p>" * 70_000, "<div>" * 200_000 + "</div>" * 160_000, "<ul><li>" * 200_000):
+        began = time.time()
+        html_text.main_text(page, tree)
+        assert time.time() - began < 10, page[:20]
+
+
+def test_blocks_and_features_against_brute_force():
+    import random
+
+    rng = random.Random(12)
+    words = ["alpha", "beta", "été", "\U0001f600", "gamma,", "3.5", "x"]
+
+    def page(depth):
+        """Markup and what it holds: None where a block ends, else (words, whether in a link)."""
+        markup, holds = "", []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice(["text", "text", "link", "bold", "comment", "script"] + ["p", "div", "section", "ul"] * (depth < 4))
+            some = [rng.choice(words) for _ in range(rng.randint(1, 6))]
+            if kind == "text":
+                markup, holds = markup + " " + rng.choice([" ", "\n\t", "&#32;"]).join(some) + " ", [*holds, (some, False)]
+            elif kind == "link":
+                markup, holds = markup + f"<a href='x>y' title=\"<p>\"> {' '.join(some)} </a>", [*holds, (some, True)]
+            elif kind == "bold":
+                markup, holds = markup + f"<b> {' '.join(some)} </b>", [*holds, (some, False)]
+            elif kind in ("comment", "script"):
+                markup += "<!-- <p> no -->" if kind == "comment" else "<SCRIPT>if (a<b) '</p>'</Script >"
+            else:
+                inner, held = page(depth + 1)
+                markup, holds = markup + f"<{kind.upper()} id=k{depth}>{inner}</{kind}>", [*holds, None, *held, None]
+        return markup, holds
+
+    for _ in range(300):
+        markup, holds = page(0)
+        want, own = [], []
+        for h in [*holds, None]:
+            if h is None:
+                if own:
+                    want.append((" ".join(w for some, _ in own for w in some), sum(len(s) for s, _ in own), sum(len(s) for s, link in own if link)))
+                own = []
+            else:
+                own.append(h)
+        got = html_text.blocks(markup)
+        assert [(b.text, b.words, b.link_words) for b in got] == want
+        shape = [(n, k / n) for _, n, k in want]
+        around = [(0.0, 0.0), *shape, (0.0, 0.0)]
+        assert [f[:6] for f in html_text.features(got)] == [(*around[i + 1], *around[i], *around[i + 2]) for i in range(len(shape))]
