@@ -40,19 +40,59 @@ SENTENCES = {
     "cc-by": "licensed under cc by 4 0",
     "cc-by-sa": "licensed under cc by sa 4 0",
     "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
-    "spdx-mit": "spdx license identifier mit",
-    "spdx-apache": "spdx license identifier apache 2 0",
-    "spdx-gpl3": "spdx license identifier gpl 3 0 or later",
     "reserved": "all rights reserved",
+    "apache-4": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "mit-3": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "isc-1": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-2": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "0bsd-1": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "mpl-1": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl-2": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "mpl-2s": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "gpl2-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "gpl3-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation",
+    "lgpl21-1": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-1": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl3-1p": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-2": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "agpl-1": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "unlicense-1": "this is free and unencumbered software released into the public domain",
+    "unlicense-2": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "zlib-1": "this software is provided as is without any express or implied warranty",
+    "zlib-2": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-3": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "bsd4-3": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "artistic-1": "this program is free software you can redistribute it and or modify it under the terms of the artistic license 2 0",
+    "perl-1": "this library is free software you can redistribute it and or modify it under the same terms as perl itself",
+    "epl-1": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "boost-1": "distributed under the boost software license version 1 0",
+    "wtfpl-1": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    "cc-by-long": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc-by-sa-long": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc-by-nc-long": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc-by-nd-long": "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    "cc-by-nc-sa-long": "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    "cc-by-nc-nd-long": "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license",
 }
 #: Ordered rules.
 RULES = [
-    ("apache-2.0", "short notice", ["apache-short"]), ("apache-2.0", "header", ["apache-1", "apache-2", "apache-3"]), ("apache-2.0", "spdx", ["spdx-apache"]),
-    ("mit", "short notice", ["mit-short"]), ("mit", "short notice b", ["mit-short-b"]), ("mit", "text", ["mit-1", "mit-2", "as-is"]), ("mit", "spdx", ["spdx-mit"]),
-    ("gpl-3.0", "short notice", ["gpl3-short"]), ("gpl-3.0-or-later", "header", ["gpl-1", "gpl-2"]), ("gpl-3.0-or-later", "spdx", ["spdx-gpl3"]), ("gpl-2.0-or-later", "header", ["gpl2-1", "gpl-2"]),
-    ("bsd-2-clause", "text", ["bsd-0", "bsd-1", "bsd-2"]), ("bsd-3-clause", "text", ["bsd-0", "bsd-1", "bsd-2", "bsd-3"]),
+    ("apache-2.0", "short notice", ["apache-short"]), ("apache-2.0", "header", ["apache-1", "apache-2", "apache-3"]), ("apache-2.0", "whole header", ["apache-1", "apache-2", "apache-3", "apache-4"]),
+    ("mit", "short notice", ["mit-short"]), ("mit", "short notice b", ["mit-short-b"]), ("mit", "text", ["mit-1", "mit-2", "as-is"]), ("mit", "whole text", ["mit-1", "mit-2", "as-is", "mit-3"]),
+    ("gpl-3.0", "short notice", ["gpl3-short"]), ("gpl-3.0-or-later", "header", ["gpl-1", "gpl-2"]), ("gpl-2.0-or-later", "header", ["gpl2-1", "gpl-2"]), ("gpl-2.0-only", "header", ["gpl2-only", "gpl-2"]), ("gpl-3.0-only", "header", ["gpl3-only", "gpl-2"]),
+    ("lgpl-2.1-or-later", "header", ["lgpl21-1", "lgpl-2"]), ("lgpl-3.0-or-later", "header", ["lgpl3-1", "lgpl-2"]), ("lgpl-3.0-or-later", "header b", ["lgpl3-1p", "gpl-2"]), ("agpl-3.0-or-later", "header", ["agpl-1", "gpl-2"]),
+    ("bsd-2-clause", "text", ["bsd-0", "bsd-1", "bsd-2"]), ("bsd-3-clause", "text", ["bsd-0", "bsd-1", "bsd-2", "bsd-3"]), ("bsd-4-clause", "text", ["bsd-0", "bsd-1", "bsd-2", "bsd4-3"]),
+    ("isc", "text", ["isc-1", "isc-2"]), ("0bsd", "text", ["0bsd-1", "isc-2"]), ("zlib", "text", ["zlib-1", "zlib-2", "zlib-3"]), ("unlicense", "text", ["unlicense-1", "unlicense-2"]), ("mpl-2.0", "header", ["mpl-1", "mpl-2"]), ("mpl-2.0", "header s", ["mpl-1", "mpl-2s"]),
+    ("artistic-2.0", "notice", ["artistic-1"]), ("artistic-1.0-perl or gpl-1.0-or-later", "notice", ["perl-1"]), ("epl-2.0", "notice", ["epl-1"]), ("bsl-1.0", "notice", ["boost-1"]), ("wtfpl", "notice", ["wtfpl-1"]),
     ("cc-by-nc-4.0", "short notice", ["cc-by-nc"]), ("cc-by-4.0", "short notice", ["cc-by"]), ("cc-by-sa-4.0", "short notice", ["cc-by-sa"]), ("cc0-1.0", "waiver", ["cc0"]), ("proprietary", "reserved", ["reserved"]),
+    ("cc-by-4.0", "notice", ["cc-by-long"]), ("cc-by-sa-4.0", "notice", ["cc-by-sa-long"]), ("cc-by-nc-4.0", "notice", ["cc-by-nc-long"]), ("cc-by-nd-4.0", "notice", ["cc-by-nd-long"]), ("cc-by-nc-sa-4.0", "notice", ["cc-by-nc-sa-long"]), ("cc-by-nc-nd-4.0", "notice", ["cc-by-nc-nd-long"]),
 ]
+#: Identifiers of licences that tags in source files name; each gives a sentence and a rule.
+TAGS = (
+    "MIT Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later "
+    "MPL-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause ISC 0BSD Zlib Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 EPL-2.0 BSL-1.0 Artistic-2.0 WTFPL"
+).split()
+SENTENCES |= {f"spdx-{tag.lower()}": f"SPDX-License-Identifier: {tag}".lower().replace("-", " ").replace(":", "").replace(".", " ") for tag in TAGS}
+RULES += [(tag.lower(), "spdx", [f"spdx-{tag.lower()}"]) for tag in TAGS]
 #: A piece ends at a closing mark before a blank, or at a line end.
 CUT = re.compile(r"[.!?;:]+[ \t\r]+|\n")
 _OTHER, _LIST_NUMBER = re.compile(r"[\W_]+"), re.compile(r"[0-9]{1,2}|[a-z]|[ivx]{1,4}")

@@ -537,6 +537,60 @@ GPL = """ * This program is free software{} you can redistribute it and/or modif
 """
 
 
+MORE = {
+    "isc": ("""Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT
+""", "isc", "text"),
+    "mpl": ("""/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+""", "mpl-2.0", "header s"),
+    "lgpl": ("""# This library is free software; you can redistribute it and/or
+# modify it under the terms of the GNU Lesser General Public
+# License as published by the Free Software Foundation; either
+# version 2.1 of the License, or (at your option) any later version.
+#
+# This library is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+""", "lgpl-2.1-or-later", "header"),
+    "agpl": (GPL.format(":", ",", 3).replace("GNU General Public License as", "GNU Affero General Public License as"), "agpl-3.0-or-later", "header"),
+    "unlicense": ("""This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+""", "unlicense", "text"),
+    "zlib": ("""  This software is provided 'as-is', without any express or implied
+  warranty.  In no event will the authors be held liable for any damages
+  arising from the use of this software.
+
+  Permission is granted to anyone to use this software for any purpose,
+  including commercial applications, and to alter it and redistribute it
+  freely, subject to the following restrictions:
+""", "zlib", "text"),
+    "boost": ("// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file", "bsl-1.0", "notice"),
+    "cc": ("This work is licensed under a Creative Commons\nAttribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa-4.0", "notice"),
+    "tag": ("<!-- SPDX-License-Identifier: CC-BY-SA-4.0 -->", "cc-by-sa-4.0", "spdx"),
+}
+
+
+def test_license_scan_of_more_licences(spark):
+    assert len(license_scan.SENTENCES) >= 60 and {s for _, _, ids in license_scan.RULES for s in ids} == set(license_scan.SENTENCES)
+    assert all(license_scan.normalise(s) == s for s in license_scan.SENTENCES.values())
+    texts = [t for t, _, _ in MORE.values()]
+    ids = list(range(len(texts)))
+    docs = table(spark, [*texts, texts[0], texts[0], texts[1]], [*ids, 0, 99, None])  # a row twice, a copy, a row without id
+    got = sorted((r["doc_id"], r["license"], r["rule"]) for r in license_scan.scan_licenses(docs).collect())
+    assert got == sorted([*((i, lic, rule) for i, (_, lic, rule) in enumerate(MORE.values())), (99, "isc", "text")])
+
+
 def test_license_scan_of_wrapped_texts_and_spdx_lines(spark):
     texts = {
         "MIT": (MIT, [("mit", "text")]), "bsd2": (BSD, [("bsd-2-clause", "text")]), "bsd3": (BSD + BSD3, [("bsd-3-clause", "text")]), "brackets": (BSD.replace("1.", "1)").replace("2.", "(2)"), [("bsd-2-clause", "text")]),
