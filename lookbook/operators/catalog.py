@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered, running_sum
+
 
 def priced(products: DataFrame) -> DataFrame:
     return products.na.drop(subset=["price_eur"])
@@ -33,8 +35,7 @@ def assigned_prices(assignments: DataFrame, prices: DataFrame, key: str, check:
 
 def pair_by_position(images: DataFrame, prices: DataFrame, group: str, order: str) -> DataFrame:
     """The n-th image of a group with its n-th price; a missing price is N/A."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    a, b = images.withColumn("idx", place).drop(order), prices.withColumn("idx", place).drop(order)
+    a, b = (numbered(df, [group], order, "idx").drop(order) for df in (images, prices))
     return a.join(b, [group, "idx"], "left").withColumn("price", F.coalesce("price", F.lit("N/A")))
 
 
@@ -54,23 +55,43 @@ def capped_first(df: DataFrame, key: str, order: str, limit: int) -> DataFrame:
 def sequential_ids(df: DataFrame, group: str, order: str, valid: str | None = None, count_invalid: bool = False) -> DataFrame:
     """product_id = Group_1..n by position. Rows that aren't ``valid`` are dropped; with ``count_invalid`` they use up a number."""
     rows = df.where(valid) if valid and not count_invalid else df
-    n = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    out = rows.withColumn("product_id", F.concat_ws("_", F.col(group), n.cast("string")))
+    out = numbered(rows, [group], order, "_n")
+    out = out.withColumn("product_id", F.concat_ws("_", F.col(group), F.col("_n").cast("string"))).drop("_n")
     return out.where(valid) if valid else out
 
 
 def collision_free(df: DataFrame, name: str, order: str) -> DataFrame:
-    """``unique_name``: from its second appearance on, a name gets _1, _2... before its suffix."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    """``unique_name``: from its second appearance on, a name gets _1, _2... before its suffix, whichever is free.
+
+    The first rows of all names keep theirs; later ones take, in order, the numbers that no name of the table has already.
+    """
+    rows = numbered(df, [name], order, "_n")
+    taken = F.regexp_extract(name, r"^(.+)_([1-9][0-9]{0,17})(\.[^.]*)?$", 2)
+    of = F.concat(F.regexp_extract(name, r"^(.+)_([1-9][0-9]{0,17})(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.+)_([1-9][0-9]{0,17})(\.[^.]*)?$", 3))
+    held = rows.where("_n = 1").where(taken != "").select(of.alias("_name"), taken.cast("long").alias("_number"))
+    again = rows.where("_n > 1").select(F.col(name).alias("_name"), (F.col("_n") - 1).alias("_n"))
+    held = held.join(again.where("_n = 1").select("_name"), "_name", "left_semi")  # names that need numbers
+    # the n-th free number is n and as many more as there are taken numbers t, the i-th from 0, with t - i <= n
+    steps = numbered(held, ["_name"], "_number", "_i").select("_name", (2 * (F.col("_number") - F.col("_i") + 1)).alias("_at"), F.lit(1).alias("_one"), F.lit(None).cast("long").alias("_n"))
+    free = running_sum(steps.union(again.select("_name", 2 * F.col("_n") + 1, F.lit(0), "_n")), ["_name"], "_at", "_one", "_more").where("_n is not null")
+    free = free.select("_name", (F.col("_n") + 1).alias("_n"), (F.col("_n") + F.col("_more")).alias("_number"))
     body, suffix = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 2)
-    return df.withColumn("_n", n).withColumn("unique_name", F.when(F.col("_n") > 0, F.concat(body, F.lit("_"), F.col("_n").cast("string"), suffix)).otherwise(F.col(name))).drop("_n")
+    out = rows.join(free.withColumnRenamed("_name", name), [name, "_n"], "left")
+    new = F.when(F.col("_number").isNotNull(), F.concat(body, F.lit("_"), F.col("_number").cast("string"), suffix)).otherwise(F.col(name))
+    return out.withColumn("unique_name", new).select(*df.columns, "unique_name")
 
 
 def first_per_cluster(df: DataFrame, m: int, order: str, cluster: str = "cluster") -> DataFrame:
-    """The first ``m`` rows of each cluster (0: all) with the cluster's real size."""
-    w = Window.partitionBy(cluster)
-    out = df.withColumn("place", F.row_number().over(w.orderBy(order))).withColumn("size", F.count("*").over(w))
-    return out.where(F.col("place") <= m) if m else out
+    """The first ``m`` rows of each cluster (0: all) with the cluster's real size.
+
+    With ``m``, tasks keep their own first ``m`` rows of a cluster before anything is shuffled.
+    """
+    if m:
+        first = df.withColumn("place", F.row_number().over(Window.partitionBy(cluster).orderBy(order))).where(F.col("place") <= m)
+    else:
+        first = numbered(df, [cluster], order, "place").withColumn("place", F.col("place").cast("int"))
+    sizes = df.groupBy(F.col(cluster).alias("_cluster")).agg(F.count("*").alias("size"))
+    return first.join(sizes, F.col(cluster).eqNullSafe(F.col("_cluster"))).drop("_cluster")
 
 
 def price_stats(df: DataFrame, by: list[str], price: str = "price_eur") -> DataFrame:
