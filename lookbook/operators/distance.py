@@ -1,13 +1,16 @@
 """All-pairs distances in blocks: sums per point and cluster, never a row per pair.
 
-Points are dealt over blocks by hash; each pair of blocks meets in one task as a matrix product and leaves, for each point,
-label set and cluster, a sum of distances. Silhouette, dispersion and separation follow from these sums, and one pass
-serves any number of label sets. Blocks go by point, not by cluster, so one giant cluster is no hot task;
-a group has as many of them as its own size asks for.
+Points are dealt over blocks by hash. A block's task holds the block and lets all points of the group stream by, a matrix
+product a batch, adding up for each of its points, label set and cluster a sum of distances: a row a point and cluster is
+all that leaves it, however many blocks there are. Silhouette, dispersion and separation follow from these sums, and
+one pass serves any number of label sets. Blocks go by point, not by cluster, so one giant cluster is no hot task; a
+group has as many of them as its own size asks for.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 from .blocks import small
 
 BLOCK = 2000
+#: Points of a stream that are multiplied at once, and tasks at most.
+BATCH, MOST_TASKS = 2000, 20_000
 
 
 def matrix(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarray:
@@ -35,36 +40,93 @@ def cluster_sums(df: DataFrame, vec: str = "vec", labels: str = "labels", group:
     """
     points = df.select(F.col(group).cast("string").alias("group") if group else F.lit("").alias("group"), F.col("key").cast("string").alias("key"), F.col(vec).alias("vec"), F.col(labels).alias("labels"))
     sizes = points.groupBy(F.col("group").alias("_group")).count()
-    named = points.withColumn("blocks", F.lit(1))
-    if (sizes.agg(F.max("count")).head()[0] or 0) > block:
+    known, named = sizes.agg(F.max("count"), F.sum(F.ceil(F.col("count") / block))).head(), points.withColumn("blocks", F.lit(1))
+    if (known[0] or 0) > block:
         large = small(sizes.where(F.col("count") > block))  # at most points / block rows
         named = points.join(large, F.col("group").eqNullSafe(F.col("_group")), "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")).drop("_group", "count")
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = named.withColumn("own", own).withColumn("with", meets).drop("blocks").withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with"))
-
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        out = []
-        if len(left) and len(right):
-            d = matrix(np.stack(left["vec"]), np.stack(right["vec"]), metric)
-            if i == j:
-                np.fill_diagonal(d, 0)
-            a, b = np.stack(left["labels"]), np.stack(right["labels"])
-            sides = [(left, a, right, b, d)] + [(right, b, left, a, d.T)] * int(i != j)
-            for rows, mine, others, theirs, dist in sides:
-                for run in range(mine.shape[1]):
-                    clusters = np.unique(theirs[:, run][theirs[:, run] >= 0])
-                    member = (theirs[:, run][:, None] == clusters[None, :]).astype(float)
-                    total, count = dist @ member, member.sum(0)[None, :] - (mine[:, run][:, None] == clusters[None, :]) * (i == j)
-                    keep, cols = np.nonzero((mine[:, run][:, None] >= 0) & (count > 0))
-                    out.append(pd.DataFrame({"group": pdf["group"].iloc[0], "run": run, "key": rows["key"].to_numpy()[keep], "own": mine[keep, run], "other": clusters[cols], "dist_sum": total[keep, cols], "n_pairs": count[keep, cols].astype(int)}))
-        names = ["group", "run", "key", "own", "other", "dist_sum", "n_pairs"]
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in names})
-
-    part = dealt.groupBy("group", "i", "j").applyInPandas(sums, "group string, run int, key string, own int, other int, dist_sum double, n_pairs long")
-    return part.groupBy("group", "run", "key", "own", "other").agg(F.sum("dist_sum").alias("dist_sum"), F.sum("n_pairs").alias("n_pairs"))
+    dealt = named.withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("guest", F.col("own") != F.col("block"))
+    tasks = max(1, min(known[1] or 1, MOST_TASKS))
+    dealt = dealt.repartition(tasks, "group", "block").sortWithinPartitions("group", "block", "guest").select("group", "block", "guest", "key", "vec", "labels")
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = None
+        for batch in batches:
+            for part in _stretches(batch):
+                place = (part["group"].iloc[0], part["block"].iloc[0])
+                if at is None or at.place != place:
+                    if at is not None:
+                        yield from at.rows()
+                    at = _BlockSums(place, metric)
+                at.add(part)
+        if at is not None:
+            yield from at.rows()
+
+    return dealt.mapInPandas(sums, "group string, run int, key string, own int, other int, dist_sum double, n_pairs long")
+
+
+def _stretches(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The parts of a sorted batch that belong to one block each."""
+    group, block = batch["group"].fillna("\0").to_numpy(), batch["block"].to_numpy()
+    edges = np.flatnonzero((group[1:] != group[:-1]) | (block[1:] != block[:-1])) + 1
+    for a, b in zip([0, *edges], [*edges, len(batch)], strict=True):
+        if a < b:
+            yield batch.iloc[a:b]
+
+
+class _BlockSums:
+    """A block's own points, which come first, and their sums over all points that have come by."""
+
+    def __init__(self, place: tuple, metric: str):
+        self.place, self.metric, self.parts, self.mine, self.sums = place, metric, [], None, {}
+
+    def add(self, part: pd.DataFrame) -> None:
+        guest = part["guest"].to_numpy()
+        if not guest.all():
+            self.parts.append(part[~guest])
+        if guest.any():
+            self._meet(part[guest])
+
+    def _begin(self) -> None:
+        own = pd.concat(self.parts) if self.parts else None
+        self.parts = []
+        if own is None:  # a hash left the block empty
+            self.mine = ([], None, None)
+            return
+        self.mine = (own["key"].to_numpy(), np.stack(own["vec"]), np.stack(own["labels"]))
+        for begin in range(0, len(own), BATCH):
+            self._add(own.iloc[begin : begin + BATCH], begin)
+
+    def _meet(self, guests: pd.DataFrame) -> None:
+        if self.mine is None:
+            self._begin()
+        for begin in range(0, len(guests), BATCH):
+            self._add(guests.iloc[begin : begin + BATCH], None)
+
+    def _add(self, others: pd.DataFrame, begin: int | None) -> None:
+        """``begin``: where the others stand among the block's own points, if they are these."""
+        keys, vecs, labels = self.mine
+        if not len(keys):
+            return
+        d, theirs, own = matrix(vecs, np.stack(others["vec"]), self.metric), np.stack(others["labels"]), np.arange(len(others))
+        if begin is not None:
+            d[begin + own, own] = 0
+        for run in range(labels.shape[1]):
+            for cluster in np.unique(theirs[:, run][theirs[:, run] >= 0]).tolist():
+                member = theirs[:, run] == cluster
+                total, count = self.sums.setdefault((run, cluster), (np.zeros(len(keys)), np.zeros(len(keys), np.int64)))
+                total += d[:, member].sum(1)
+                count += member.sum()
+                if begin is not None:
+                    count[begin + own[member]] -= 1
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        if self.mine is None:
+            self._begin()
+        keys, _, labels = self.mine
+        for (run, cluster), (total, count) in sorted(self.sums.items()):
+            keep = np.flatnonzero((labels[:, run] >= 0) & (count > 0))
+            yield pd.DataFrame({"group": self.place[0], "run": run, "key": keys[keep], "own": labels[keep, run], "other": cluster, "dist_sum": total[keep], "n_pairs": count[keep]})
 
 
 def with_labels(df: DataFrame, cluster: str = "cluster") -> DataFrame:
