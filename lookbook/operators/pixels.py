@@ -117,8 +117,16 @@ def quick_descriptors(pixels: DataFrame, border: float = 0.08) -> DataFrame:
     return px.groupBy("stem").agg((F.avg(hi) / 255).alias("brightness"), F.avg(F.when(hi > 0, (hi - lo) / hi).otherwise(0.0)).alias("mean_saturation"), (1 - F.avg(F.when(central, hi)) / 255).alias("lens_darkness"), (F.avg(warm) * spread / 1000).alias("tortoise_score"))
 
 
-def full_descriptors(pixels: DataFrame, dark: Column | None = None) -> DataFrame:
-    """quick_descriptors with aspect_ratio of the object box and the defaults of edge density (0) and circularity (0.4)."""
+def full_descriptors(pixels: DataFrame, dark: Column | None = None, shapes: DataFrame | None = None) -> DataFrame:
+    """quick_descriptors with aspect_ratio of the object box, edge_density and circularity.
+
+    The last two come from ``shapes`` (stem, edge_density, circularity), computed elsewhere; images that it lacks have the
+    defaults 0 and 0.4.
+    """
     box = object_box(pixels, dark if dark is not None else dark_pixel(), 0)
     aspect = (F.col("x1") - F.col("x0") + 1) / (F.col("y1") - F.col("y0") + 1)
-    return quick_descriptors(pixels).join(box.select("stem", aspect.alias("aspect_ratio")), "stem").withColumn("edge_density", F.lit(0.0)).withColumn("circularity", F.lit(0.4))
+    out = quick_descriptors(pixels).join(box.select("stem", aspect.alias("aspect_ratio")), "stem")
+    if shapes is not None:
+        out = out.join(shapes.select("stem", "edge_density", "circularity"), "stem", "left")
+    given = {"edge_density": 0.0, "circularity": 0.4}
+    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(x)) if shapes is not None else F.lit(x) for c, x in given.items()})

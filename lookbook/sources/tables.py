@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -62,26 +65,45 @@ def list_images(spark: SparkSession, brand: str, folder: str, recursive: bool =
     return files.select(F.lit(brand).alias("brand"), stem(F.col("path")).alias("stem"), "path", suffix.alias("suffix")).where(F.col("suffix").isin(*IMAGE_SUFFIXES))
 
 
+#: Pixels in a batch of rows that a task hands on.
+PIXEL_ROWS = 1 << 18
+
+
 def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """(stem, y, x, r, g, b) of decoded images; grey images repeat their channel, undecodable files are dropped."""
-    img = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
-    n = F.col("nChannels")
-    at = F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1))
-    px = img.select(stem(F.col("origin")).alias("stem"), "width", "nChannels", F.hex("data").alias("h"), at.alias("at"))
+    """(stem, y, x, r, g, b) of decoded images; grey images repeat their channel, undecodable files are dropped.
 
-    def byte(k: int):
-        offset = F.col("at") * n + F.when(n >= 3, k).otherwise(0)
-        return F.conv(F.substring(F.col("h"), (2 * offset + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+    Spark decodes; tasks turn each image's bytes into rows, ``PIXEL_ROWS`` at a time.
+    """
 
-    return px.select("stem", F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).alias("x"), byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"))
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, width, channels, data in zip(batch["stem"], batch["width"], batch["nChannels"], batch["data"], strict=True):
+                pixels = np.frombuffer(data, np.uint8).reshape(-1, channels).astype(np.int32)  # blue, green, red
+                for at in range(0, len(pixels), PIXEL_ROWS):
+                    part, place = pixels[at : at + PIXEL_ROWS], np.arange(at, min(at + PIXEL_ROWS, len(pixels)), dtype=np.int32)
+                    red, green, blue = (part[:, 0],) * 3 if channels < 3 else (part[:, 2], part[:, 1], part[:, 0])
+                    yield pd.DataFrame({"stem": name, "y": place // width, "x": place % width, "r": red, "g": green, "b": blue})
+
+    images = spark.read.format("image").option("dropInvalid", True).load(folder).select(stem(F.col("image.origin")).alias("stem"), "image.width", "image.nChannels", "image.data")
+    return images.mapInPandas(unpack, "stem string, y int, x int, r int, g int, b int")
 
 
 def load_embeddings(spark: SparkSession, path: str, key: str = "path") -> DataFrame:
-    """(key, vec): all numeric columns but ``key`` in file order; without that column rows are numbered."""
+    """(key, vec): all numeric columns but ``key`` in file order; without that column the key is the row's number from 0.
+
+    Rows are numbered by file name and position: within each of the pieces that Spark reads, which the counts of the pieces
+    before are added to.
+    """
     df = spark.read.option("header", True).option("inferSchema", True).csv(path)
     numeric = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name != key]
-    name = F.col(key).cast("string") if key in df.columns else F.monotonically_increasing_id().cast("string")
-    return df.select(name.alias("key"), F.array(*(F.col(f"`{c}`").cast("double") for c in numeric)).alias("vec"))
+    vec = F.array(*(F.col(f"`{c}`").cast("double") for c in numeric)).alias("vec")
+    if key in df.columns:
+        return df.select(F.col(key).cast("string").alias("key"), vec)
+    piece = F.struct("_metadata.file_path", "_metadata.file_block_start").alias("piece")
+    rows = df.select(piece, F.monotonically_increasing_id().alias("at"), vec)
+    ahead = rows.groupBy("piece").count().withColumn("ahead", F.coalesce(F.sum("count").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a piece
+    place = F.row_number().over(Window.partitionBy("piece").orderBy("at")) - 1
+    return rows.withColumn("place", place).join(ahead, "piece").select((F.col("ahead") + F.col("place")).cast("string").alias("key"), "vec")
 
 
 def load_feature_tables(spark: SparkSession, paths: list[str], key: str = "imagen") -> DataFrame:
