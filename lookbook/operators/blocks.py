@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import squared_distance, weighted_concat
+from .keep import keep
 
 
 #: Doubles sent to every executor at most (some 32 MB), a row counted as ``ROW_CELLS`` besides its vector.
@@ -20,7 +20,7 @@ BROADCAST_CELLS, ROW_CELLS = 4_000_000, 16
 
 def small(df: DataFrame, width: Column | None = None) -> DataFrame:
     """``df``, kept, and marked for broadcast if its counted size is within the bound; beyond it joins shuffle."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = keep(df)
     cells = df.agg(F.sum(F.lit(ROW_CELLS) + (F.lit(1) if width is None else width))).head()[0] or 0
     return F.broadcast(df) if cells <= BROADCAST_CELLS else df
 
@@ -72,7 +72,7 @@ def nearest_centroid(df: DataFrame, centres: DataFrame, vec: str = "vec", key: s
     Beyond the broadcast bound they are cut into chunks within it, which points meet by a shuffle, salted by point; each
     chunk leaves its best and the best of those stays, a row a key.
     """
-    centres = centres.persist(StorageLevel.MEMORY_AND_DISK)
+    centres = keep(centres)
     cells = centres.agg(F.sum(F.lit(ROW_CELLS) + F.size("centroid"))).head()[0] or 0
     chunks = int(max(1, -(-cells // BROADCAST_CELLS)))
     ranked = F.transform("_all", lambda c: F.struct(squared_distance(F.col(vec), c["centroid"]).alias("d"), c["cluster"].alias("c")))

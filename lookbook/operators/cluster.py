@@ -12,13 +12,14 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .distance import cluster_sums, matrix, silhouette, with_labels
+from .keep import keep
 from .rank import strict_k, tolerant_k
 from .rounds import merges, numbered, spanning_tree
 from .trees import cut_tree, density_labels, merge_tree, ordered, tree_labels
@@ -40,7 +41,7 @@ def kmeans_sets(df: DataFrame, configs: list[dict], seed: int = 42, vec: str = "
 
     All models are fitted on one cached table, ``FITS`` at a time; of the ``n_init`` seeds of a config the lowest cost wins.
     """
-    table, out = df.select(array_to_vector(vec).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK), df.withColumn("_v", array_to_vector(vec))
+    table, out = keep(df.select(array_to_vector(vec).alias("_v"))), df.withColumn("_v", array_to_vector(vec))
     runs = [(i, KMeans(k=c["k"], seed=seed + s, initMode=c.get("init", "k-means||"), featuresCol="_v", predictionCol=f"_k{i}")) for i, c in enumerate(configs) for s in range(c.get("n_init", 1))]
     with ThreadPool(min(FITS, len(runs))) as pool:
         models = pool.map(inheritable_thread_target(df.sparkSession)(lambda r: r[1].fit(table)), runs)
@@ -55,7 +56,7 @@ def kmeans_sets(df: DataFrame, configs: list[dict], seed: int = 42, vec: str = "
 def search_kmeans(df: DataFrame, ks: range | list[int], seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Scores (k, score) and assignments with the best k: all label sets are scored by one pass over distances."""
     ks = list(ks)
-    labels = kmeans_sets(df, [{"k": k} for k in ks], seed).persist(StorageLevel.MEMORY_AND_DISK)
+    labels = keep(kmeans_sets(df, [{"k": k} for k in ks], seed))
     scores = scored_sets(labels, ks)
     best = strict_k(scores, ["group"]).head()
     chosen = labels.withColumn("cluster", F.get("labels", F.lit(ks.index(best["best_k"]) if best else 0))).drop("labels")
@@ -158,7 +159,7 @@ def agglomerative(df: DataFrame, ks: list[int], linkage: str = "ward", metric: s
 def search_agglomerative(df: DataFrame, ks: range | list[int] = range(3, 21), group: str | None = None, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Scores (group, k, score) and assignments (group, key, cluster, best_k) by the tolerant choice of k."""
     ks = list(ks)
-    labels = agglomerative(df, ks, group=group, cap=cap).persist(StorageLevel.MEMORY_AND_DISK)
+    labels = keep(agglomerative(df, ks, group=group, cap=cap))
     name = F.col(group).cast("string") if group else F.lit("")
     points = df.select(name.alias("group"), F.col("key").cast("string").alias("key"), "vec").join(labels, ["group", "key"])
     n = F.count("*").over(Window.partitionBy("group"))

@@ -11,18 +11,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .distance import BLOCK, matrix
+from .keep import keep
 from .trees import chain_merges, root_of
 
 
 def numbered(points: DataFrame) -> tuple[DataFrame, int]:
     """(idx, key, vec), kept, with idx 0..n-1 in the order of key; and n."""
     rows = points.select("key", "vec").orderBy("key").rdd.zipWithIndex().map(lambda r: (r[1], r[0]["key"], r[0]["vec"]))
-    out = points.sparkSession.createDataFrame(rows, "idx long, key string, vec array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+    out = keep(points.sparkSession.createDataFrame(rows, "idx long, key string, vec array<double>"))
     return out, out.count()
 
 

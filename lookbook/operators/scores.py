@@ -6,13 +6,13 @@ whatever the number of sets.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, squared_distance
 from .blocks import centroids, small
 from .distance import cluster_sums, silhouette, with_labels
+from .keep import keep
 
 
 def _spread(flat: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def _spread(flat: DataFrame) -> DataFrame:
     centres = small(centroids(flat, "vec", "cluster", "run"), F.size("centroid"))  # a row a cluster
     d2 = squared_distance(F.col("vec"), F.col("centroid"))
     sums = flat.where("cluster >= 0").join(centres, by).groupBy(by).agg(F.sum(d2).alias("within"), F.avg(F.sqrt(d2)).alias("mean_dist"))
-    return centres.join(sums, by).persist(StorageLevel.MEMORY_AND_DISK)
+    return keep(centres.join(sums, by))
 
 
 def _ch(spread: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def davies_bouldin(df: DataFrame, vec: str = "vec", cluster: str = "cluster") ->
 
 def score_sets(df: DataFrame, vec: str = "vec", labels: str = "labels", key: str = "key") -> DataFrame:
     """(run, n_clusters, noise_frac, silhouette, ch, db): a row a label set of the array ``labels``, noise left out of the scores."""
-    points = df.select(F.col(key).alias("key"), F.col(vec).alias("vec"), F.col(labels).alias("labels")).persist(StorageLevel.MEMORY_AND_DISK)
+    points = keep(df.select(F.col(key).alias("key"), F.col(vec).alias("vec"), F.col(labels).alias("labels")))
     flat = _flat(points, "vec", F.col("labels"))
     counts = flat.groupBy("run").agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n_clusters"), F.try_divide(F.count_if(F.col("cluster") < 0), F.count("*")).alias("noise_frac"))
     spread, sil = _spread(flat), silhouette(cluster_sums(points)).select("run", "silhouette")

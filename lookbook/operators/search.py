@@ -6,7 +6,7 @@ import random
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from ..functions.vectors import l2_normalise
 from .blocks import project, standardise
 from .cluster import agglomerative, density, kmeans, kmeans_sets
 from .distance import cluster_sums, silhouette, with_labels
+from .keep import keep
 from .rank import best_run
 from .scores import composite, score_bundle, score_sets
 
@@ -26,11 +27,11 @@ def choose_projection(df: DataFrame, sizes: tuple[int, ...] = (16, 32, 48, 64),
     """
     width = df.select(F.size("vec").alias("d")).head()["d"]
     usable = [s for s in sizes if s < width]
-    scaled = standardise(df).persist(StorageLevel.MEMORY_AND_DISK)
+    scaled = keep(standardise(df))
     info = {"used_pca": bool(usable), "n_components": width, "original_dim": width, "scaled_dim": width}
     if not usable:
         return scaled, info
-    whole = project(scaled, max(usable)).persist(StorageLevel.MEMORY_AND_DISK)
+    whole = keep(project(scaled, max(usable)))
 
     def score(size: int) -> float | None:
         cut = kmeans(whole.withColumn("vec", F.slice("vec", 1, size)), 3, seed)
@@ -55,15 +56,15 @@ def grid_search(df: DataFrame, ks: list[int] = tuple(range(2, 21)), min_sizes: t
 
     One tree serves every k of Ward, and one pass over distances scores the label sets of all runs.
     """
-    points, ks = df.select(F.col("key").cast("string").alias("key"), "vec").persist(StorageLevel.MEMORY_AND_DISK), list(ks)
+    points, ks = keep(df.select(F.col("key").cast("string").alias("key"), "vec")), list(ks)
     named = [*((f"kmeans-{k:02}", "kmeans", f"k={k}") for k in ks), *((f"ward-{k:02}", "ward", f"k={k}") for k in ks), *((f"density-{m:02}", "density", f"min_size={m}") for m in min_sizes)]
     sets = kmeans_sets(points, [{"k": k} for k in ks], seed).join(agglomerative(points, ks).select("key", F.col("labels").alias("_ward")), "key")
     parts = ["labels", "_ward"]
     for m in min_sizes:
         labels = density(points, m, m, metric="euclidean").select("key", F.array("cluster").alias(f"_density{m}"))
         sets, parts = sets.join(labels, "key"), [*parts, f"_density{m}"]
-    sets = sets.select("key", "vec", F.concat(*parts).alias("labels")).persist(StorageLevel.MEMORY_AND_DISK)
-    runs = _run_rows(sets, named).persist(StorageLevel.MEMORY_AND_DISK)
+    sets = keep(sets.select("key", "vec", F.concat(*parts).alias("labels")))
+    runs = keep(_run_rows(sets, named))
     return runs, best_run(runs), best_run(runs, ["algo"])
 
 
@@ -88,7 +89,7 @@ def _label_sets(x: DataFrame, configs: list[dict], seed: int) -> DataFrame:
         mine, name = [c for c in configs if c["algo"] != "kmeans" and (c["linkage"], c["metric"]) == kind], "_".join(("", *kind))
         out = out.join(agglomerative(x, [c["k"] for c in mine], *kind).select("key", F.col("labels").alias(name)), "key")
         place |= {c["trial_id"]: F.get(name, F.lit(i)) for i, c in enumerate(mine)}
-    return out.select("key", "vec", F.array(*(place[c["trial_id"]] for c in configs)).alias("labels")).persist(StorageLevel.MEMORY_AND_DISK)
+    return keep(out.select("key", "vec", F.array(*(place[c["trial_id"]] for c in configs)).alias("labels")))
 
 
 def _trial_scores(x: DataFrame, configs: list[dict], seed: int) -> list[float]:
@@ -115,7 +116,7 @@ def random_search(df: DataFrame, trials: int = 50, seed: int = 42, name: str = "
         x = df.select(F.col("key").cast("string").alias("key"), "vec")
         x = standardise(x) if scale else x
         x = x.withColumn("vec", l2_normalise(F.col("vec"))) if l2 else x
-        x = (project(x, pca) if pca else x).persist(StorageLevel.MEMORY_AND_DISK)
+        x = keep(project(x, pca) if pca else x)
         for c, score in zip(configs, _trial_scores(x, configs, seed), strict=True):
             rows.append((name, c["trial_id"], ", ".join(f"{k}={v}" for k, v in c.items() if k != "trial_id"), score))
         x.unpersist()

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import blocks, catalog, cluster, distance, rank, search
+from ..operators.keep import keep
 
 
 def price_intelligence(products: DataFrame, assignments: DataFrame, low: float, high: float, key: str = "join_key") -> DataFrame:
@@ -19,12 +19,12 @@ def price_intelligence(products: DataFrame, assignments: DataFrame, low: float,
 
 def families(shape: DataFrame, colour: DataFrame, texture: DataFrame, ks: range | list[int] = range(3, 21), shape_weight: float = 4.0) -> DataFrame:
     """(key, cluster, best_k): weighted blocks, Ward with a tolerant choice of k, clusters named by how far apart they are."""
-    colour, texture = (b.persist(StorageLevel.MEMORY_AND_DISK) for b in (colour, texture))  # read for their scale and again for the blocks
+    colour, texture = map(keep, (colour, texture))  # read for their scale and again for the blocks
     projected, _ = search.choose_projection(shape)
     points = blocks.join_blocks("key", (projected.select("key", "vec"), shape_weight), (blocks.standardise(colour), 1.0), (blocks.standardise(texture), 1.0))
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)  # read by every k and by the ranking
+    points = keep(points)  # read by every k and by the ranking
     _, chosen = cluster.search_agglomerative(points, ks)
-    labelled = points.withColumn("key", F.col("key").cast("string")).join(chosen.select("key", "cluster", "best_k"), "key").persist(StorageLevel.MEMORY_AND_DISK)
+    labelled = keep(points.withColumn("key", F.col("key").cast("string")).join(chosen.select("key", "cluster", "best_k"), "key"))
     return ranked_families(labelled)
 
 
