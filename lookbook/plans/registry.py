@@ -11,10 +11,11 @@ from ..functions import labels, text, urls
 from ..functions import vectors as v
 from ..operators import blocks, catalog, cluster, distance, minsize, rank, scores, search
 from ..operators import pixels as px
+from ..sources import tables
 from ..sources.cards import CardRules, extract_cards
 from ..sources.scoring import batch_score
 from ..streaming.backfill import backfill as fill
-from . import inputs, workloads
+from . import files, inputs, workloads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,6 +76,52 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+# --- files: driver tables written in the sources' formats and read back ------------------------------------------------
+
+
+@query("read_products", f"WITH {PRODUCTS} SELECT chr(CAST(65 + key % 5 AS INTEGER)) AS brand, 'img/x.' || key || '.jpg' AS product_name, 'x.' || key AS join_key, price_raw, price_eur FROM products WHERE key % 5 < 4")
+def _(spark, sf):
+    return tables.read_products(spark, files.product_folders(spark, sf))
+
+
+@query("list_images", "SELECT 'x' AS brand, CAST(vec_id AS VARCHAR) AS stem, 'png' AS suffix FROM embeddings")
+def _(spark, sf):
+    return tables.list_images(spark, "x", files.image_folder(spark, sf)).drop("path")
+
+
+@query("read_pixels", f"WITH {PIXELS} SELECT CAST(stem AS VARCHAR) AS stem, y, x, r, g, b FROM px")
+def _(spark, sf):
+    return tables.read_pixels(spark, files.image_folder(spark, sf))
+
+
+@query("load_embeddings", f"WITH {CELLS} SELECT CAST(key AS VARCHAR) AS key, i, round(x, 6) + 0.0 AS x FROM cells")
+def _(spark, sf):
+    return _long(tables.load_embeddings(spark, files.embeddings_csv(spark, sf, "path")))
+
+
+@query("load_embeddings_unnamed", f"WITH {CELLS}, n AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS n FROM points) SELECT CAST(n AS VARCHAR) AS key, i, round(x, 6) + 0.0 AS x FROM cells JOIN n USING (key)")
+def _(spark, sf):
+    return _long(tables.load_embeddings(spark, files.embeddings_csv(spark, sf, None)))
+
+
+@query("load_feature_tables", f"WITH {CELLS} SELECT CAST(key AS VARCHAR) AS key, i, round(x, 6) + 0.0 AS x, 2 AS n FROM cells")
+def _(spark, sf):
+    both = tables.load_feature_tables(spark, [files.embeddings_csv(spark, sf, "imagen", name) for name in "ab"])
+    return _long(both).groupBy("key", "i", "x").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("load_assignments", "SELECT CAST(vec_id AS VARCHAR) AS path, label AS cluster FROM embeddings WHERE vec_id % 9 <> 0 AND vec_id % 11 <> 0")
+def _(spark, sf):
+    return tables.load_assignments(spark, files.assignments_csv(spark, sf))
+
+
+@query("write_partitioned", f"WITH {PRODUCTS} SELECT key, product_name, brand FROM products")
+def _(spark, sf):
+    path = files.scratch(spark)
+    tables.write_table(inputs.products(spark, sf).select("key", "product_name", "brand"), path, by="brand")
+    return spark.read.parquet(path).select("key", "product_name", "brand")
+
+
 # --- prices -----------------------------------------------------------------------------------------------------------
 
 
@@ -142,9 +189,9 @@ def _(spark, sf):
     return catalog.with_features(inputs.products(spark, sf), features, "key").select("key", "brand", "width")
 
 
-@query("join_existing_files", f"WITH {PRODUCTS} SELECT key, price_raw FROM raw WHERE key IN (SELECT vec_id FROM embeddings WHERE label < 5)")
+@query("join_existing_files", f"WITH {PRODUCTS} SELECT key, price_raw FROM raw WHERE key IN (SELECT vec_id FROM embeddings)")
 def _(spark, sf):
-    files = inputs.points(spark, sf).where("cluster < 5").select("key")
+    files = inputs.points(spark, sf).select("key")
     return catalog.with_files(inputs.raw_products(spark, sf), files, ["key"]).select("key", "price_raw")
 
 
@@ -158,10 +205,10 @@ def _(spark, sf):
 
 
 @query("join_by_position", f"""WITH {PRODUCTS}, a AS (SELECT CAST(page_id % 5 AS BIGINT) AS brand, url, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) AS idx FROM pages),
-b AS (SELECT CAST(key % 5 AS BIGINT) AS brand, price_raw AS price, row_number() OVER (PARTITION BY key % 5 ORDER BY key) AS idx FROM raw WHERE key % 11 = 0) SELECT brand, CAST(idx AS INTEGER) AS idx, url, coalesce(price, 'N/A') AS price FROM a LEFT JOIN b USING (brand, idx)""")
+b AS (SELECT CAST(key % 5 AS BIGINT) AS brand, price_raw AS price, row_number() OVER (PARTITION BY key % 5 ORDER BY key) AS idx FROM raw) SELECT brand, idx, url, coalesce(price, 'N/A') AS price FROM a LEFT JOIN b USING (brand, idx)""")
 def _(spark, sf):
     images = inputs.read(spark, sf, "pages").select((F.col("page_id") % 5).alias("brand"), "url", F.col("page_id").alias("position"))
-    prices = inputs.raw_products(spark, sf).where("key % 11 = 0").select((F.col("key") % 5).alias("brand"), F.col("price_raw").alias("price"), F.col("key").alias("position"))
+    prices = inputs.raw_products(spark, sf).select((F.col("key") % 5).alias("brand"), F.col("price_raw").alias("price"), F.col("key").alias("position"))
     return catalog.pair_by_position(images, prices, "brand", "position").select("brand", "idx", "url", "price")
 
 
@@ -204,10 +251,15 @@ def _(spark, sf):
     return inputs.read(spark, sf, "pages").select("page_id", text.stem(path).alias("stem"))
 
 
-@query("collision_names", """WITH n AS (SELECT p_partkey AS key, p_brand || '.jpg' AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n, p_brand AS body FROM part)
-SELECT key, name, CASE WHEN n > 0 THEN body || '_' || n || '.jpg' ELSE name END AS unique_name FROM n""")
+@query("collision_names", """WITH f AS (SELECT p_partkey AS key, p_brand || CASE WHEN p_partkey % 3 = 0 THEN '_' || (p_partkey % 17) ELSE '' END || '.jpg' AS name FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY key) - 1 AS n, name[:-5] AS body FROM f),
+taken AS (SELECT DISTINCT name FROM f), most AS (SELECT name, body, max(n) AS m FROM n GROUP BY ALL HAVING max(n) > 0),
+tried AS (SELECT name, body || '_' || unnest(range(1, m + 20)) || '.jpg' AS new, unnest(range(1, m + 20)) AS i FROM most),
+free AS (SELECT name, new, row_number() OVER (PARTITION BY name ORDER BY i) AS n FROM tried WHERE new NOT IN (SELECT name FROM taken))
+SELECT key, n.name, coalesce(new, n.name) AS unique_name FROM n LEFT JOIN free ON n.name = free.name AND n.n = free.n""")
 def _(spark, sf):
-    rows = inputs.read(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.concat("p_brand", F.lit(".jpg")).alias("name"))
+    some = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("_"), (F.col("p_partkey") % 17).cast("string"))).otherwise("")
+    rows = inputs.read(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.concat("p_brand", some, F.lit(".jpg")).alias("name"))
     return catalog.collision_free(rows, "name", "key")
 
 
@@ -608,20 +660,31 @@ def _(spark, sf):
     return workloads.configuration_search({"embeddings": inputs.points(spark, sf).drop("cluster")})[0]
 
 
-@query("feature_set_comparison")
+def _bundle_of(name: str, points: str) -> str:
+    """The row of one feature set; ``points`` defines points(key, vec, cluster) in place of the embeddings."""
+    return f"SELECT * FROM ({_BUNDLE.replace(POINTS, points)} SELECT '{name}' AS feature_set, (SELECT count(DISTINCT cluster) FROM points) AS n_clusters, CAST(0 AS DOUBLE) AS noise_frac, round(silhouette, 6) AS silhouette, round(ch, 6) AS ch, round(db, 6) AS db FROM sil, ch, db)"
+
+
+_COLOUR = f"""{PIXELS}, hc AS (SELECT stem, 0 AS ch, r AS v FROM px UNION ALL SELECT stem, 1, g FROM px UNION ALL SELECT stem, 2, b FROM px),
+hn AS (SELECT stem, least(CAST(floor(v / 255 * 32) AS INTEGER), 31) + ch * 32 AS bin, count(*) AS n FROM hc GROUP BY ALL), hs AS (SELECT stem, sqrt(sum(n * n)) + 1e-8 AS s FROM hn GROUP BY stem), every AS (SELECT vec_id AS stem, label, unnest(range(96)) AS bin FROM embeddings),
+points AS MATERIALIZED (SELECT stem AS key, list(coalesce(n, 0) / s ORDER BY bin) AS vec, any_value(label) AS cluster FROM every JOIN hs USING (stem) LEFT JOIN hn USING (stem, bin) GROUP BY stem)"""
+
+
+@query("feature_set_comparison", f"{_bundle_of('embedding', POINTS)} UNION ALL {_bundle_of('colour', _COLOUR)}")
 def _(spark, sf):
     p = inputs.points(spark, sf)
     hist = px.colour_histogram(inputs.pixels(spark, sf)).withColumnRenamed("stem", "key").join(p.select("key", "cluster"), "key")
-    return search.compare_feature_sets({"embedding": p, "colour": hist})
+    out = search.compare_feature_sets({"embedding": p, "colour": hist})
+    return out.withColumns({c: F.round(c, 6) for c in ("noise_frac", "silhouette", "ch", "db")})
 
 
-@query("batch_scoring", f"WITH {CELLS} SELECT key, round(sum(x * (i + 1)), 6) + 0.0 AS score FROM cells WHERE key % 7 <> 0 GROUP BY key")
+@query("batch_scoring", f"WITH {CELLS} SELECT key, round(sum(x * (i + 1)), 6) + 0.0 AS score FROM cells GROUP BY key")
 def _(spark, sf):
     def model():
         import numpy as np
 
         weights = np.arange(1, 65)
-        return lambda batch: [None if x["key"] % 7 == 0 else [float(np.dot(x["vec"], weights))] for x in batch]
+        return lambda batch: [[float(np.dot(x["vec"], weights))] for x in batch]
 
     rows = inputs.points(spark, sf).select("key", F.struct("key", "vec").alias("value"))
     return batch_score(rows, "key", "value", model).select("key", r6(F.get("vec", F.lit(0))).alias("score"))

@@ -1,10 +1,12 @@
 """Scalar functions, sources and catalog operators on hand-made rows."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from lookbook.functions import labels, text, urls
-from lookbook.operators import catalog, rank
+from lookbook.operators import catalog, numbering, rank
 from lookbook.sources import cards, scoring, tables
 from lookbook.streaming import backfill
 
@@ -107,6 +109,26 @@ def test_images(spark, tmp_path):
     assert px == {(0, 0): (255, 0, 0), (0, 1): (0, 255, 0), (1, 0): (0, 0, 255), (1, 1): (9, 8, 7)}
 
 
+def test_a_large_image_is_read_in_pieces(spark, tmp_path):
+    import time
+
+    import numpy as np
+
+    from lookbook.plans.files import png
+
+    rng = np.random.default_rng(1)
+    grid = rng.integers(0, 256, (1000, 1000, 3))
+    (tmp_path / "big.png").write_bytes(png(grid))
+    (tmp_path / "odd.png").write_bytes(png(grid[:7, :3]))
+    began = time.time()
+    read = tables.read_pixels(spark, str(tmp_path))
+    sums = {r["stem"]: r for r in read.groupBy("stem").agg(F.count("*").alias("n"), F.sum(F.col("r") * (F.col("x") + 1)).alias("r"), F.sum(F.col("g") * (F.col("y") + 1)).alias("g"), F.max("b").alias("b")).collect()}
+    assert time.time() - began < 30  # measured: some 2 s on a quiet machine
+    for name, g in (("big", grid), ("odd", grid[:7, :3])):
+        y, x = np.mgrid[0 : g.shape[0], 0 : g.shape[1]]
+        assert tuple(sums[name])[1:] == (g.shape[0] * g.shape[1], (g[..., 0] * (x + 1)).sum(), (g[..., 1] * (y + 1)).sum(), g[..., 2].max())
+
+
 def test_cards(spark):
     html = '<li><a href="/u1">One</a><b>€ 10</b></li><li><a>Two</a></li>'
     rules = cards.CardRules("<li>.*?</li>", "<a[^>]*>([^<]*)</a>", "<b>([^<]*)</b>", 'href="([^"]*)"')
@@ -160,6 +182,75 @@ def test_catalog(spark):
     assert len(first) == 2 and {r["size"] for r in first} == {4}
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 256])
+def test_numbering_in_ranges(spark, monkeypatch, ranges):
+    import random
+
+    monkeypatch.setattr(numbering, "RANGES", ranges)
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i * 7 % 401, rng.randint(0, 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, at long, n long")
+    got = sorted(map(repr, (tuple(r) for r in numbering.numbered(numbering.running_sum(df, ["g"], "at", "n", "ahead"), ["g"], "at", "place").collect())))
+    want = []
+    for g in ("a", "b", None):
+        total = 0
+        for place, (_, at, n) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1]), 1):
+            want.append((g, at, n, total, place))
+            total += n
+    assert got == sorted(map(repr, want))
+    assert numbering.numbered(df.limit(0), ["g"], "at", "place").collect() == []
+    if ranges > 1:
+        text = numbering.numbered(df, ["g"], "at", "place")._jdf.queryExecution().toString()
+        assert "hashpartitioning(_cell" in text and "hashpartitioning(g#" not in text  # no group meets in one task
+
+
+def brute_unique(names):
+    """First rows keep their names; later ones take the numbers that no row has already."""
+    held, used, out = set(names), Counter(), []
+    for i, name in enumerate(names):
+        if name not in names[:i]:
+            out.append(name)
+            continue
+        stem, dot, suffix = name.rpartition(".") if "." in name[1:] else (name, "", "")
+        while True:
+            used[name] += 1
+            if (new := f"{stem}_{used[name]}{dot}{suffix}") not in held:
+                break
+        out.append(new)
+    return out
+
+
+def test_collision_free_names(spark):
+    import random
+
+    rng = random.Random(2)
+    for names in (["a.jpg", "a.jpg", "a_1.jpg"], ["b", "b", "b_1", "b_3", "b", "b", "b_1"], [rng.choice(["x", "x", "y", "x_1"]) + rng.choice(["", "_1", "_2", "_4", "_1_1"]) + rng.choice([".png", ".png", ""]) for _ in range(200)]):
+        df = spark.createDataFrame(list(enumerate(names)), "at long, name string")
+        got = {r["at"]: r["unique_name"] for r in catalog.collision_free(df, "name", "at").collect()}
+        assert [got[i] for i in range(len(names))] == brute_unique(names)
+        assert len(set(got.values())) == len(names)
+
+
+def test_given_shapes_reach_the_names(spark):
+    from lookbook.operators import minsize, pixels
+
+    df = spark.createDataFrame([(s, y, x, 60, 60, 60) for s in ("m", "n") for y in range(6) for x in range(6)], "stem string, y int, x int, r int, g int, b int")
+    given = spark.createDataFrame([("m", 0.2, 0.9)], "stem string, edge_density double, circularity double")
+    rows = {r["stem"]: r for r in pixels.full_descriptors(df, shapes=given).collect()}
+    assert (rows["m"]["edge_density"], rows["m"]["circularity"], rows["n"]["edge_density"], rows["n"]["circularity"]) == (0.2, 0.9, 0.0, 0.4)
+    means = minsize.describe_clusters(pixels.full_descriptors(df, shapes=given).where("stem = 'm'").withColumn("cluster", F.lit(1)))
+    assert minsize.name_clusters(means).head()["name"].startswith("Round / Panto · Metal")
+
+
+def test_release_lets_kept_tables_go(spark):
+    from lookbook.operators import keep
+
+    keep.release()
+    df = keep.keep(spark.range(10))
+    assert df.count() == 10 and df.is_cached
+    assert keep.release() == 1 and not df.is_cached and keep.release() == 0
+
+
 def test_golden_choice_of_runs(spark):
     runs = [("w2", "ward", 2, 0.4921, 12.72, 2.42), ("w3", "ward", 3, 0.4833, 11.13, 1.75), ("w5", "ward", 5, 0.4597, 10.23, 1.22), ("w20", "ward", 20, 0.0356, 7.86, 1.11), ("k2", "kmeans", 2, 0.4709, 12.5, 2.47), ("k3", "kmeans", 3, 0.4879, 11.07, 1.67), ("d5", "density", 0, None, None, None), ("d6", "density", 1, None, None, None)]
     df = spark.createDataFrame(runs, "run_id string, algo string, n_clusters long, silhouette double, ch double, db double")
