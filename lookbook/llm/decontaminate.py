@@ -78,12 +78,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", words(F.col("text")).alias("w")).where("doc_id is not null")
     hashes = F.concat(*(shingle_hashes(F.col("w"), n) for n in widths)) if widths else F.array().cast("array<bigint>")
     found = texts.select("doc_id", F.explode(hashes).alias("hash")).join(small(probes, n_probes), "hash").select("doc_id", "item").distinct()
-    found = cut(found.groupBy("doc_id").agg(F.collect_set("item").alias("items")))  # at most the number of items
-    n_found = found.agg(F.sum(F.size("items") + 1)).head()[0] or 0
-    again = texts.join(small(found, n_found), "doc_id")
+    found = found.join(small(items.select("item", "item_id", "n", "shingles"), n_shingles), "item")
+    found = cut(found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n", "shingles")).alias("items")))  # at most the number of items
+    n_found = found.agg(F.sum(F.aggregate("items", F.lit(1).cast("long"), lambda a, x: a + x["n"]))).head()[0] or 0
     every = F.array_distinct(F.concat(*(shingles(F.col("w"), n) for n in widths))) if widths else F.array().cast("array<string>")
-    pairs = again.select("doc_id", every.alias("has"), F.explode("items").alias("item")).join(small(items.select("item", "item_id", "n", "shingles"), n_shingles), "item")
-    pairs = pairs.select("doc_id", "item_id", "n", F.size(F.array_intersect("shingles", "has")).alias("n_found"))
+    # a document's shingles are made once, whatever the number of its candidates
+    judged = F.transform(F.array(every), lambda has: F.transform("items", lambda x: F.struct(x["item_id"].alias("item_id"), x["n"].alias("n"), F.size(F.array_intersect(x["shingles"], has)).alias("n_found"))))
+    pairs = texts.join(small(found, n_found), "doc_id").select("doc_id", F.inline(F.get(judged, 0)))
     pairs = pairs.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_shingles"), F.max("n_found").alias("n_found"))
     pairs = pairs.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
     return pairs.where(F.col("n_found") >= CONTAINED * F.col("n_shingles") - 1e-9)

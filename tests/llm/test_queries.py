@@ -38,3 +38,30 @@ def test_pipeline_keeps_its_stages(spark):
         sizes.append(docs.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
     assert q.queries()["pipeline"](spark, SF).count() == sizes[-1]
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_take_odd_tables(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    prose = "The cat sat on the mat and looked at {} birds that flew over the old house near a river. It was a fine day for all of them."
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").head()["text"]
+    rows = [(i, prose.format(i) + f" Then {i} more came by, and {i * 7} left again for the woods.", "en", "a", 1) for i in range(30)]
+    rows += [(1, rows[1][1], "en", "a", 1), (None, rows[2][1], "en", None, None), (None, None, None, None, None), (40, "", "en", "b", 0), (41, bench, "en", "b", 5), (42, rows[3][1] + " Mail joe@mail.com now.", "en", "c", 1), (43, "long words in a row. " * 20_000, "en", "c", 1)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("row", "s", "mark", "key", "rid", "item", "w", "_spans", "kept", "n_words")}).withColumn("void", F.lit(None))
+    for empty in (True, False):
+        for name, stage in corpus_pipeline.STAGES:
+            given = docs.limit(0) if empty else docs
+            out = stage(spark, given, SF)
+            assert out.columns[: len(docs.columns)] == docs.columns or name == "mixture", name
+            got = out.collect()
+            assert not got if empty else got, name
+    by = {name: stage(spark, docs, SF).collect() for name, stage in corpus_pipeline.STAGES}
+    assert {r["doc_id"] for r in by["quality_rules"]} <= set(range(30)) | {None, 42, 41} and not any(r["text"] in (None, "") for r in by["quality_rules"])
+    assert sum(r["doc_id"] == 1 for r in by["simhash_dedup"]) == 1
+    assert 41 not in {r["doc_id"] for r in by["decontaminate"]} and len(by["decontaminate"]) == len(rows) - 1
+    assert next(r["text"] for r in by["personal_data"] if r["doc_id"] == 42).endswith("Mail <EMAIL> now.") and len(by["personal_data"]) == len(rows)
+    assert len(by["mixture"]) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in by["mixture"])

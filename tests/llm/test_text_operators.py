@@ -281,6 +281,12 @@ def test_decontamination(spark, monkeypatch, bound):
     assert got == brute_leaks(texts, items)
     kept = decontaminate.decontaminate(table(spark, texts), bench)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(range(len(texts))) - {x[0] for x in got})
+    long = "filler words of no meaning at all " * 30_000
+    odd = [items[5], items[5] + " and more", items[4], None, f"{long}{items[7]} xx {items[2]} {long}"]
+    pairs = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table(spark, odd, [7, 7, None, None, 8]), bench).collect()}
+    assert pairs == {((7, 7, None, None, 8)[i], j) for i, j, _, _ in brute_leaks(odd, items) if i not in (2, 3)}  # a repeated id once; without id none
+    assert {(7, 5), (8, 7), (8, 2)} <= pairs
+    assert len(decontaminate.decontaminate(table(spark, odd, [7, 7, None, None, 9]).drop("item"), bench).collect()) == 2
     assert decontaminate.leaks(table(spark, texts), bench.limit(0)).collect() == []
     assert decontaminate.leaks(table(spark, texts).limit(0), bench).collect() == []
 
@@ -396,8 +402,9 @@ def test_chat_round_trip(spark):
     got = {r["conv_id"]: r for r in chat_format.format_conversations(frame).collect()}
     for conv in {r[0] for r in rows}:
         turns = sorted((r[1], r[2] or "", r[3] or "") for r in rows if r[0] == conv)
-        if len({(t[0]) for t in turns}) < len(turns):
-            turns = None  # ties are ordered by what is rendered
+        # ties go by role and rendered text
+        turns = sorted((t, b, chat_format.render_turn(b, c)[0], c) for t, b, c in turns)
+        turns = [(t, b, c) for t, b, _, c in turns]
         r = got[conv]
         if turns:
             assert r["n_turns"] == len(turns)
