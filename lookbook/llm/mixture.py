@@ -21,7 +21,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, packed, small, stored, unpacked
+from .common import WORD, cut, packed, small, unpacked
 
 MAX_REPEATS = 3
 BLOCK_WORDS = 1024
@@ -156,10 +156,19 @@ def mixed_sizes(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with the further columns of ``mixed_sizes``, which replace columns of the same names.
 
-    The rows are written once with an id each, so that sizes and texts meet again by that id.
+    Sizes and texts meet again by two hashes of the whole row (but for maps), so texts are shuffled once and stored nowhere. Rows
+    that are equal in all columns are interchangeable: one of them is read for all.
     """
     new = ["size", "source_size", "target", "taken", "first_slot", "n_blocks"]
     docs = docs.drop(*new)
-    rows = stored(docs.select(packed(docs), F.monotonically_increasing_id().alias("rid")))
-    sized = cut(word_counts(rows.select("row.doc_id", "row.source", "row.text", "rid"), "rid"))
-    return rows.join(_taken(*_mixed(sized, block_words)).drop("doc_id"), "rid").select(*unpacked(docs), *new)
+    hashed = [F.col(c) for c, kind in docs.dtypes if kind != "void" and "map<" not in kind and kind != "variant"]
+    rows = docs.select("doc_id", "source", "text", packed(docs), F.xxhash64(F.lit(1), *hashed).alias("h1"), F.xxhash64(F.lit(2), *hashed).alias("h2"))
+    key = ["h1", "h2"]
+    sized = cut(word_counts(rows, *key).withColumn("rid", F.monotonically_increasing_id()))
+    found = _taken(*_mixed(sized, block_words)).join(sized.select("rid", *key), "rid").select(*key, *new)
+    again = cut(sized.groupBy(*key).count().where("count > 1").select(*key))
+    rows = rows.select(*key, "row")
+    if (n := again.count()) > 0:
+        once = rows.join(small(again, n), key, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
+        rows = rows.join(small(again, n), key, "left_anti").union(once)
+    return found.join(rows, key).select(*unpacked(docs), *new)
