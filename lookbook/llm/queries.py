@@ -114,23 +114,33 @@ SELECT page_id, payload_bytes, digest AS payload_digest, CASE WHEN page_id = low
 def _sql6() -> str:
     known = ", ".join(f"('{k}', '{v}')" for k, v in license_scan.SENTENCES.items())
     places = ", ".join(f"({i}, '{lic}', '{name}', {len(ids)}, {k}, '{sid}')" for i, (lic, name, ids) in enumerate(license_scan.RULES) for k, sid in enumerate(ids))
+    norm = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     return rf"""
-WITH known(sid, sentence) AS (VALUES {known}), places(rule_id, license, rule, places, place, sid) AS (VALUES {places}),
-  s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?;:]+[ \t\r]+|\n')) AS raw, generate_subscripts(regexp_split_to_array(text, '[.!?;:]+[ \t\r]+|\n'), 1) - 1 AS pos FROM documents),
-  hits AS (SELECT DISTINCT doc_id, pos, sid FROM s JOIN known ON trim(regexp_replace(lower(raw), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) = sentence),
-  f AS (SELECT doc_id, rule_id, license, rule, places, pos - place AS first FROM hits JOIN places USING (sid) GROUP BY ALL HAVING count(*) = places),
-  r AS (SELECT *, max(first + places) OVER (PARTITION BY doc_id ORDER BY first, places DESC, rule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f)
-SELECT doc_id, license, rule, CAST(first AS BIGINT) AS first_sentence, CAST(places AS BIGINT) AS n_sentences FROM r WHERE reach IS NULL OR first + places > reach"""
+WITH RECURSIVE known(sid, sentence) AS (VALUES {known}), places(rule_id, license, rule, places, place, sid) AS (VALUES {places}),
+  s AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?;:]+[ \t\r]+|\n') AS p FROM documents WHERE doc_id IS NOT NULL)),
+  r AS (SELECT doc_id, pos, regexp_replace(piece, '^\s*\(?([0-9]{{1,2}}|[a-zA-Z])\)\s+', '') AS raw, {norm.format("piece")} AS whole FROM s),
+  n AS (SELECT doc_id, pos, length(raw) AS len, {norm.format("raw")} AS words, whole, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM r WHERE whole <> ''),
+  m AS (SELECT doc_id, pos, i AS last, pos + 1 AS fin, sid, sentence, words AS said FROM n JOIN known ON sentence = words OR starts_with(sentence, words || ' ')
+    UNION ALL SELECT m.doc_id, m.pos, n.i, n.pos + 1, sid, sentence, said || ' ' || whole FROM m JOIN n ON n.doc_id = m.doc_id AND n.i = m.last + 1 WHERE said <> sentence AND (sentence = said || ' ' || whole OR starts_with(sentence, said || ' ' || whole || ' '))),
+  ends AS (SELECT doc_id, pos, sid, max(fin) AS fin FROM m WHERE said = sentence GROUP BY ALL),
+  far AS (SELECT doc_id, pos, max(fin) AS fin FROM ends GROUP BY ALL),
+  c AS (SELECT n.doc_id, n.pos, n.len, n.words, far.fin, coalesce(max(far.fin) OVER (PARTITION BY n.doc_id ORDER BY n.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM n LEFT JOIN far ON n.doc_id = far.doc_id AND n.pos = far.pos WHERE n.words <> ''),
+  numbered AS (SELECT doc_id, pos, sum(CASE WHEN pos >= inside AND (fin IS NOT NULL OR NOT (len < 12 AND regexp_full_match(words, '[0-9]{{1,2}}|[a-z]|[ivx]{{1,4}}'))) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS number FROM c),
+  hits AS (SELECT DISTINCT e.doc_id, e.pos, e.sid, number FROM ends e JOIN numbered d ON e.doc_id = d.doc_id AND e.pos = d.pos),
+  f AS (SELECT doc_id, rule_id, license, rule, places, number - place AS first, min(pos) AS pos FROM hits JOIN places USING (sid) GROUP BY ALL HAVING count(DISTINCT place) = places),
+  g AS (SELECT *, max(first + places) OVER (PARTITION BY doc_id ORDER BY first, places DESC, rule_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f)
+SELECT doc_id, license, rule, CAST(pos AS BIGINT) AS first_sentence, CAST(places AS BIGINT) AS n_sentences FROM g WHERE reach IS NULL OR first + places > reach"""
 
 
 _SQL8 = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
-  ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM w WHERE len(w) >= 5),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
   bw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
-  b1 AS (SELECT min(item_id) AS item_id, w FROM bw GROUP BY w),
-  bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g FROM b1 WHERE len(w) >= 5),
+  b1 AS (SELECT min(item_id) AS item_id, w, least(len(w), 5) AS k FROM bw WHERE len(w) > 0 GROUP BY w),
+  ks AS (SELECT DISTINCT k FROM b1),
+  ds AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM w, ks WHERE len(w) >= k),
+  bs AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM b1),
   n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
-  f AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN bs USING (g) GROUP BY doc_id, item_id)
+  f AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN bs USING (k, g) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, CAST(n_shingles AS INTEGER) AS n_shingles, CAST(n_found AS INTEGER) AS n_found, n_found / n_shingles AS containment
 FROM f JOIN n USING (item_id) WHERE n_found >= 0.8 * n_shingles - 1e-9"""
 

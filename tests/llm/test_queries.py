@@ -65,3 +65,12 @@ def test_stages_take_odd_tables(spark):
     assert 41 not in {r["doc_id"] for r in by["decontaminate"]} and len(by["decontaminate"]) == len(rows) - 1
     assert next(r["text"] for r in by["personal_data"] if r["doc_id"] == 42).endswith("Mail <EMAIL> now.") and len(by["personal_data"]) == len(rows)
     assert len(by["mixture"]) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in by["mixture"])
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.collect() == [] and {"doc_id", "text", "size", "source_size", "target", "taken"} <= set(out.columns)

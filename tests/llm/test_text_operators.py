@@ -279,6 +279,7 @@ def test_decontamination(spark, monkeypatch, bound):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["n_shingles"], r["n_found"]) for r in decontaminate.leaks(table(spark, texts), bench).collect()}
     assert got == brute_leaks(texts, items)
+    assert {r[:4] for r in by_sql(table(spark, texts), "op8_decontaminate", bench)} == got
     kept = decontaminate.decontaminate(table(spark, texts), bench)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(range(len(texts))) - {x[0] for x in got})
     long = "filler words of no meaning at all " * 30_000
@@ -588,6 +589,19 @@ means.
 }
 
 
+def by_sql(docs, name, items=None):
+    import duckdb
+    import pandas as pd
+
+    from lookbook.llm import queries
+
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame([(r["doc_id"], r["text"]) for r in docs.collect()], columns=["doc_id", "text"]))
+    if items is not None:
+        db.register("benchmark", pd.DataFrame([(r["item_id"], r["text"]) for r in items.collect()], columns=["item_id", "text"]))
+    return db.sql(queries.oracle_sql()[name]).fetchall()
+
+
 def test_license_scan_of_more_licences(spark):
     assert len(license_scan.SENTENCES) >= 60 and {s for _, _, ids in license_scan.RULES for s in ids} == set(license_scan.SENTENCES)
     assert all(license_scan.normalise(s) == s for s in license_scan.SENTENCES.values())
@@ -605,6 +619,8 @@ def test_license_scan_of_wrapped_texts_and_spdx_lines(spark):
         "spdx": ("// SPDX-License-Identifier: MIT\n#include <x>", [("mit", "spdx")]), "spdx2": ("/* SPDX-License-Identifier: Apache-2.0 */", [("apache-2.0", "spdx")]), "spdx3": ("# SPDX-License-Identifier: GPL-3.0-or-later\n", [("gpl-3.0-or-later", "spdx")]),
         "other": ("SPDX-License-Identifier: MITX", []), "apart": (BSD.replace("1. Red", "Words between. Red"), []), "twice": ("All rights\nreserved.\n\nAll rights reserved.", [("proprietary", "reserved")] * 2),
     }
-    got = license_scan.scan_licenses(table(spark, [t for t, _ in texts.values()])).collect()
+    docs = table(spark, [*(t for t, _ in texts.values()), *(t for t, _, _ in MORE.values())])
+    got = license_scan.scan_licenses(docs).collect()
+    assert sorted(map(tuple, got)) == sorted(by_sql(docs, "op6_license_scan"))
     found = {name: sorted((r["license"], r["rule"]) for r in got if r["doc_id"] == i) for i, name in enumerate(texts)}
     assert found == {name: want for name, (_, want) in texts.items()}
