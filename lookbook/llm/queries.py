@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_text, license_scan, line_dedup, mixture, personal_data, quality_rules, simhash_dedup, warc_store
+from . import chat_format, decontaminate, html_text, language_id, license_scan, line_dedup, merkle_manifest, mixture, personal_data, prefix_trie, quality_rules, simhash_dedup, warc_store
 from .common import read
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -58,6 +58,18 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixed_sizes(read(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_held_out(read(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.share_heads(prefix_trie.turn_paths(read(spark, sf_dir, "conversations"))))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verified_manifest(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_simhash_dedup, op2_chat_format, op3_line_dedup, op4_warc_store, op5_quality_rules, op6_license_scan, op7_personal_data, op8_decontaminate, op9_html_text, op10_mixture)
+    ops = (op1_simhash_dedup, op2_chat_format, op3_line_dedup, op4_warc_store, op5_quality_rules, op6_license_scan, op7_personal_data, op8_decontaminate, op9_html_text, op10_mixture, op11_language_id, op12_prefix_trie, op13_merkle_manifest)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
@@ -145,6 +157,69 @@ SELECT doc_id, item_id, CAST(n_shingles AS INTEGER) AS n_shingles, CAST(n_found
 FROM f JOIN n USING (item_id) WHERE n_found >= 0.8 * n_shingles - 1e-9"""
 
 
+def _crc32(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit."""
+    bits = "list_reduce(list_prepend(xor(c, x), range(8)), lambda a, b: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT))), lambda c, x: {bits}), 4294967295)"
+
+
+def _sql12() -> str:
+    return f"""
+WITH RECURSIVE t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i FROM conversations WHERE conv_id IS NOT NULL),
+  c AS (SELECT conv_id, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+  heads AS (SELECT c.conv_id, t.i, t.r, t.x FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.i <= c.h),
+  parts AS (SELECT conv_id, 0 AS own, i, r, x FROM heads UNION ALL SELECT conv_id, 1, i, r, x FROM t JOIN c USING (conv_id) WHERE i > h),
+  turns AS (SELECT conv_id, r, x, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS d FROM parts),
+  size AS (SELECT conv_id, coalesce(max(d), 0) AS n FROM c LEFT JOIN turns USING (conv_id) GROUP BY conv_id),
+  names(conv_id, d, name, up, last) AS (SELECT conv_id, CAST(0 AS BIGINT), '', CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM c
+    UNION ALL SELECT n.conv_id, n.d + 1, sha256(n.name || octet_length(encode(r)) || ':' || r || x), n.name, octet_length(encode(x)) FROM names n JOIN turns t ON t.conv_id = n.conv_id AND t.d = n.d + 1),
+  nodes AS (SELECT d, name, any_value(up) AS up, any_value(last) AS last, min(names.conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN n = d THEN CAST(names.conv_id AS VARCHAR) END, ',' ORDER BY names.conv_id), '')) AS ends_sha256 FROM names JOIN size USING (conv_id) GROUP BY d, name),
+  kids AS (SELECT d - 1 AS d, up AS name, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+  own AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, name)),
+  below(d, name, leaf, saved, above) AS (SELECT d, name, CASE WHEN n_children = 0 THEN 1 ELSE 0 END, (n_convs - 1) * last, up FROM own
+    UNION ALL SELECT o.d, o.name, b.leaf, b.saved, o.up FROM below b JOIN own o ON o.d = b.d - 1 AND o.name = b.above),
+  sums AS (SELECT d, name, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM below GROUP BY d, name)
+SELECT o.conv_id, o.d AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, o.ends_sha256
+FROM own o JOIN sums USING (d, name) LEFT JOIN own p ON p.d = o.d - 1 AND p.name = o.up"""
+
+
+def _sql13() -> str:
+    def part(value: str) -> str:
+        return f"coalesce(octet_length(encode({value})) || ':' || {value}, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(part(v) for v in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+
+    def level(table: str, keys: str) -> str:
+        """Runs of three of a level that has more than one node."""
+        return f"SELECT {keys}, k + 1 AS k, i // 3 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, (n + 2) // 3 AS n FROM {table} WHERE n > 1 GROUP BY {keys}, k, i // 3, n"
+
+    def steps(table: str, keys: str, mine: str) -> str:
+        """The siblings of each node on the way up, left and right."""
+        same = " AND ".join(f"s.{k} = p.{k}" for k in keys.split(", "))
+        return f"""SELECT {mine}, p.k, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < p.i), '') AS l, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > p.i), '') AS r
+    FROM p JOIN {table} s ON {same} AND s.k = p.k AND s.i // 3 = p.i // 3 WHERE p.n > 1 GROUP BY {mine}, p.k"""
+
+    return f"""
+WITH RECURSIVE leaves AS (SELECT *, coalesce('1' || source, '0') AS g, {leaf("text")} AS leaf, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS bent FROM documents),
+  own AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+  tree(g, k, i, h, n) AS (SELECT g, 0, i, leaf, n FROM own UNION ALL ({level("tree", "g")})),
+  subs AS (SELECT g, h FROM tree WHERE n = 1),
+  tops AS (SELECT g, h, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM subs),
+  high(g, k, i, h, n) AS (SELECT '', 0, i, h, n FROM tops UNION ALL ({level("high", "g")})),
+  p1 AS (SELECT own.i AS id, own.g, tree.k, tree.i, tree.n FROM own JOIN tree ON tree.g = own.g AND tree.i = own.i // CAST(pow(3, tree.k) AS BIGINT)),
+  s1 AS ({steps("tree", "g", "p.g, p.id").replace("FROM p JOIN", "FROM p1 p JOIN")}),
+  p2 AS (SELECT tops.g AS id, high.g, high.k, high.i, high.n FROM tops JOIN high ON high.i = tops.i // CAST(pow(3, high.k) AS BIGINT)),
+  s2 AS ({steps("high", "g", "p.id").replace("FROM p JOIN", "FROM p2 p JOIN")}),
+  steps AS (SELECT g, id, k, l, r FROM s1 UNION ALL SELECT own.g, own.i, 1000 + s2.k, l, r FROM s2 JOIN own ON own.g = s2.id),
+  lists AS (SELECT g, id, list(struct_pack(l := l, r := r) ORDER BY k) AS way, string_agg(l || r, '' ORDER BY k) AS whole FROM steps GROUP BY g, id),
+  folded(g, id, j, h) AS (SELECT g, i, 1, bent FROM own UNION ALL SELECT f.g, f.id, f.j + 1, sha256(way[f.j].l || f.h || way[f.j].r) FROM folded f JOIN lists USING (g, id) WHERE f.j <= len(way)),
+  ends AS (SELECT g, id, arg_max(h, j) AS h FROM folded GROUP BY g, id),
+  root AS (SELECT h FROM high WHERE n = 1)
+SELECT doc_id, leaf, subs.h AS subroot, root.h AS root, sha256(coalesce(whole, '')) AS proof_sha256, ends.h AS folded_root, ends.h = root.h AS verified
+FROM own JOIN subs USING (g) JOIN ends ON ends.g = own.g AND ends.id = own.i LEFT JOIN lists ON lists.g = own.g AND lists.id = own.i CROSS JOIN root"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Only where SQL can express the whole result; the others are tested against brute force in tests/llm."""
-    return {"op2_chat_format": _sql2(), "op3_line_dedup": _sql3(), "op4_warc_store": _SQL4, "op6_license_scan": _sql6(), "op8_decontaminate": _SQL8}
+    return {"op2_chat_format": _sql2(), "op3_line_dedup": _sql3(), "op4_warc_store": _SQL4, "op6_license_scan": _sql6(), "op8_decontaminate": _SQL8, "op12_prefix_trie": _sql12(), "op13_merkle_manifest": _sql13()}
