@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, packed, small, unpacked
+from .text_pieces import between, chunks, let
 
 #: Words of a passage. Half of 50: a passage of 50 words that begins and ends inside sentences has whole ones in between only.
 MIN_WORDS = 25
@@ -104,12 +105,9 @@ def deduplicate(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WO
     rows = docs.select(packed(docs), F.col("doc_id").alias("id"), F.xxhash64("text").alias("of"), "text")
     spans = spans.withColumnsRenamed({"doc_id": "span_id"})
     joined = rows.join(small(spans, n_spans), F.col("id").eqNullSafe(F.col("span_id")) & (F.col("of") == F.col("mark")), "left")
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    piece = lambda acc, g: F.substring(F.col("text"), acc["at"] + 1, g["start"] - acc["at"])
-    kept = F.aggregate("gone", begin, lambda acc, g: F.struct(g["end"].alias("at"), F.concat(acc["out"], F.array(piece(acc, g))).alias("out")))
-    joined = joined.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
-    rest = F.substring(F.col("text"), F.col("kept")["at"] + 1, F.length("text"))
-    joined = joined.withColumn("new", F.when(F.col("gone").isNotNull(), F.concat(F.array_join(F.col("kept")["out"], ""), rest)).otherwise(F.col("text")))
+    before = lambda i: F.when(i > 0, F.get("gone", i - 1)["end"]).otherwise(0)
+    left = let(chunks(F.col("text")), lambda of: F.concat(F.array_join(F.transform("gone", lambda g, i: between(of, before(i), g["start"])), ""), between(of, F.element_at("gone", -1)["end"], F.length("text"))))
+    joined = joined.withColumn("new", F.when(F.col("gone").isNotNull(), left).otherwise(F.col("text")))
     n_chars = F.when(F.col("gone").isNotNull(), F.length("new").cast("long"))
     changed = {"text": F.col("new")} | ({"n_chars": n_chars.otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {})
     none = F.array().cast("array<struct<start:int,end:int,kept_doc_id:bigint,kept_place:int>>")

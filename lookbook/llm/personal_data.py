@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, packed, stored, unpacked
+from .text_pieces import between, chosen, chunks, let, plus, running
 from .vote_model import VoteModel, fit
 
 KINDS = ("email", "ip", "card", "phone")
@@ -105,18 +106,13 @@ _EMPTY = "array<struct<s:int,e:int,m:string>>"
 def _matches(text: Column, pattern: str, needs: str) -> Column:
     """array<struct<s, e, m>>: leftmost non-overlapping matches; offsets in code points from the lengths of what lies between."""
     both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("got"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["hit"])
-        return F.struct(e.alias("at"), F.concat(acc["got"], F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("m")))).alias("got"))
 
     def found(x: Column) -> Column:  # x: both, searched once
-        zipped = F.zip_with(F.slice(x["gaps"], 1, F.size(x["hits"])), x["hits"], lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        return F.aggregate(zipped, start, step)["got"]
+        n = F.size(x["hits"])
+        sizes = F.zip_with(F.slice(x["gaps"], 1, n), x["hits"], lambda g, h: F.length(g) + F.length(h))
+        return F.zip_with(x["hits"], running(sizes, n, plus), lambda h, e: F.struct((e - F.length(h)).alias("s"), e.alias("e"), h.alias("m")))
 
-    return F.when(text.rlike(needs), F.get(F.transform(F.array(both), found), 0)).otherwise(F.array().cast(_EMPTY))
+    return F.when(text.rlike(needs), let(both, found)).otherwise(F.array().cast(_EMPTY))
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -134,11 +130,15 @@ def _rest97(m: Column) -> Column:
     return F.aggregate(turned, F.lit(0), step)
 
 
-def _labels(kind: str, x: Column, text: Column, base: bool, plain: bool) -> Column:
+def _seen(x: Column, of: Column) -> Column:
+    """The match with its digits and what stands before and after it; ``of``: chunks of the text."""
+    before, after = between(of, F.greatest(x["s"] - AROUND, F.lit(0)), x["s"]), between(of, x["e"], x["e"] + 1)
+    return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), _digits(x["m"]).alias("digits"), before.alias("before"), after.alias("after"))
+
+
+def _labels(kind: str, x: Column, base: bool, plain: bool) -> Column:
     """The candidate with its votes."""
-    before = F.substring(text, F.greatest(x["s"] - AROUND, F.lit(0)) + 1, F.least(x["s"], F.lit(AROUND)))
-    after = F.substring(text, x["e"] + 1, F.lit(1))
-    m, digits = x["m"], _digits(x["m"])
+    before, after, m, digits = x["before"], x["after"], x["m"], x["digits"]
     n, never = F.length(digits), F.lit(False)
     if kind == "email":
         domain = F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1))
@@ -178,14 +178,17 @@ def candidates(text: Column) -> Column:
     """All candidates of a text, base spans first, each kind in text order."""
     text = F.coalesce(text, F.lit(""))
 
-    def label(kind: str, found: Column, base: bool, plain: bool = False) -> Column:
-        return F.transform(found, lambda x: _labels(kind, x, text, base, plain))
+    def label(kind: str, found: Column, of: Column, base: bool, plain: bool = False) -> Column:
+        return F.transform(F.transform(found, lambda x: _seen(x, of)), lambda x: _labels(kind, x, base, plain))
 
     def checked(kind: str) -> Column:
         return F.filter(_matches(text, BASE[kind], NEEDS[kind]), lambda x: _valid(kind, x["m"]))
 
-    base = [label(k, checked(k), True) for k in KINDS]
-    return F.concat(*base, *(label(k, _matches(text, form, needs), False, plain) for k in ALL_KINDS for plain, needs, form in LOOSE[k]))
+    def every(of: Column) -> Column:
+        base = [label(k, checked(k), of, True) for k in KINDS]
+        return F.concat(*base, *(label(k, _matches(text, form, needs), of, False, plain) for k in ALL_KINDS for plain, needs, form in LOOSE[k]))
+
+    return let(chunks(text), every)
 
 
 def with_candidates(docs: DataFrame, text: Column) -> DataFrame:
@@ -198,17 +201,20 @@ def with_candidates(docs: DataFrame, text: Column) -> DataFrame:
 def _clear(spans: Column, loose: bool) -> Column:
     """Spans by start, without those that overlap a base span and, if ``loose``, an earlier or longer one of the others."""
     order = lambda c: F.struct(c["s"], ~c["base"], -c["e"], F.array_position(F.array(*map(F.lit, ALL_KINDS)), c["kind"]))
-    placed = F.array_sort(F.transform(spans, lambda c: F.struct(order(c).alias("at"), c.alias("c"))))
+    placed = F.transform(F.array_sort(F.transform(spans, lambda c: F.struct(order(c).alias("at"), c.alias("c")))), lambda x: x["c"])
+    far = F.lit(2**31 - 1)
 
-    def step(acc: Column, x: Column) -> Column:
-        c = x["c"]
-        before = F.when(acc["loose"] > c["s"], F.filter(acc["kept"], lambda k: k["base"] | (k["e"] <= c["s"]))).otherwise(acc["kept"])
-        kept = F.when(c["base"], F.concat(before, F.array(c))).when(c["s"] >= acc["end"], F.concat(acc["kept"], F.array(c))).otherwise(acc["kept"])
-        ends = c["base"] | (c["s"] >= acc["end"]) if loose else c["base"]
-        reach = F.when(c["base"], acc["loose"]).otherwise(F.greatest(acc["loose"], c["e"]))
-        return F.struct(kept.alias("kept"), F.when(ends, F.greatest(acc["end"], c["e"])).otherwise(acc["end"]).alias("end"), reach.alias("loose"))
+    def clear_of_base(p: Column) -> Column:
+        ends = running(F.transform(p, lambda c: F.when(c["base"], c["e"]).otherwise(0)), F.size(p), F.greatest)
+        starts = F.reverse(running(F.reverse(F.transform(p, lambda c: F.when(c["base"], c["s"]).otherwise(far))), F.size(p), F.least))
+        near = F.arrays_zip(p.alias("c"), ends.alias("end"), starts.alias("start"))
+        return F.transform(F.filter(near, lambda x: x["c"]["base"] | ((x["end"] <= x["c"]["s"]) & (x["start"] >= x["c"]["e"]))), lambda x: x["c"])
 
-    return F.aggregate(placed, F.struct(F.array().cast(_SPANS).alias("kept"), F.lit(0).alias("end"), F.lit(0).alias("loose")), step)["kept"]
+    kept = let(placed, clear_of_base)
+    if not loose:
+        return kept
+    taken = lambda end, c: c["base"] | (c["s"] >= end)
+    return chosen(kept, F.lit(0), taken, lambda end, c: F.when(taken(end, c), F.greatest(end, c["e"])).otherwise(end), _SPANS)
 
 
 class SpanModel:
@@ -287,16 +293,18 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     """
     found = stored(with_candidates(docs.select(packed(docs)), F.col("row.text")))
     ordered = F.array_sort(F.transform(_chosen(learn(found)), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     text = F.col("row.text")
 
-    def step(acc: Column, c: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(c["s"] - acc["at"], F.lit(0)))
-        tag = F.when(c["s"] >= acc["at"], F.concat(F.lit("<"), F.upper(c["kind"]), F.lit(">"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], c["e"]).alias("at"), F.concat(acc["out"], F.array(F.concat(gap, tag))).alias("out"))
+    def masked(x: Column) -> Column:
+        def piece(c: Column, i: Column) -> Column:
+            at = F.when(i > 0, F.get(x["ends"], i - 1)).otherwise(0)
+            return F.concat(between(x["of"], at, c["s"]), F.when(c["s"] >= at, F.concat(F.lit("<"), F.upper(c["kind"]), F.lit(">"))).otherwise(""))
+
+        return F.concat(F.array_join(F.transform(x["spans"], piece), ""), between(x["of"], F.element_at(x["ends"], -1), F.length(text)))
 
-    some, done = F.size("_chosen") > 0, F.aggregate("_chosen", start, step)
-    out = found.withColumn("_chosen", ordered).withColumn("_done", F.when(some, done))
-    out = out.withColumn("_new", F.when(some, F.concat(F.array_join(F.col("_done")["out"], ""), F.substring(text, F.col("_done")["at"] + 1, F.length(text)))).otherwise(text))
+    some = F.size("_chosen") > 0
+    ends = running(F.transform("_chosen", lambda c: c["e"]), F.size("_chosen"), F.greatest)
+    out = found.withColumn("_chosen", ordered)
+    out = out.withColumn("_new", F.when(some, let(F.struct(F.col("_chosen").alias("spans"), ends.alias("ends"), chunks(text).alias("of")), masked)).otherwise(text))
     changed = {"text": F.col("_new")} | ({"n_chars": F.when(some, F.length("_new").cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {})
     return out.select(*unpacked(docs, **changed))
