@@ -60,18 +60,14 @@ _SINGLE = frozenset("ad ads adv advert advertisement adverts alert banner breadc
 _HOLDING = "area bar block box button buttons container form icons item items links list notice banner overlay panel popup posts section slot unit widget widgets wrapper".split()
 _PLACES = "site page main primary secondary left right top bottom mobile".split()
 FURNITURE_NAMES = _SINGLE | {f"{a}-{b}" for a in _SINGLE for b in _HOLDING} | {f"{a}-{b}" for a in _PLACES for b in _SINGLE}
-_RAW = "script style noscript template title textarea select svg iframe object button".split()
-_RAW_ENDS = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE | re.ASCII) for t in _RAW}
+#: Elements whose content is no markup, and those whose own text is no text of the page.
+_RAW = "script style noscript template title textarea iframe".split()
+EMBEDDED = "button object select svg".split()
+_ENDS = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE | re.ASCII) for t in (*_RAW, *EMBEDDED)}
+_BEGINS = {t: re.compile(rf"<{t}\b", re.IGNORECASE | re.ASCII) for t in EMBEDDED}
+_AROUND_ENDS = re.compile(r"</(?:article|main|body)\b", re.IGNORECASE | re.ASCII)
 _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _STOP = re.compile(r"[\"'>]")
-_NAMES = _SINGLE | {f"{a}-{b}" for a in _SINGLE for b in _HOLDING} | {f"{a}-{b}" for a in _PLACES for b in _SINGLE}
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|textarea|select|svg|iframe|object|button)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-zA-Z][^>]*>|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 
 
@@ -82,12 +78,31 @@ class _Block:
         self.pieces, self.link_words, self.furniture, self.article = [], 0, furniture, article
 
 
+class _Ahead:
+    """Where a pattern is next found; what has been searched isn't searched again."""
+
+    def __init__(self, page: str):
+        self.page, self.found = page, {}
+
+    def next(self, pattern: re.Pattern, at: int) -> tuple[int, int]:
+        """Start and end of the first match from ``at`` on, which only grows; the page's length twice if there is none."""
+        known = self.found.get(pattern)
+        if known is None or known[0] < at:
+            m = pattern.search(self.page, at)
+            known = self.found[pattern] = m.span() if m else (len(self.page), len(self.page))
+        return known
+
+
 def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
     """(start, end, tag, closing, attributes) of each piece of markup; tag is "" for comments, raw elements and the like.
 
-    One pass: what has been read isn't read again. Comments and raw elements without an end run to that of the page. If once
-    no closing mark of a tag is found outside of quotes, quotes no longer count in the rest of the page.
+    One pass: what has been read isn't read again. Comments, scripts and styles without an end run to that of the page; other
+    raw elements without one are their tag alone. An embedded element is one piece up to its end tag, if that
+    comes before another of its kind begins and before the article, main or body ends; ``svg`` may close itself. Without such an end
+    its tag stands alone and ``blocks`` leaves its text out. If once no closing mark of a tag is found outside of quotes,
+    quotes no longer count in the rest of the page.
     """
+    ahead = _Ahead(page)
     at, last, quoted = 0, page.rfind(">"), True
     while (start := page.find("<", at)) >= 0:
         at = start + 1
@@ -117,10 +132,19 @@ def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         if not quoted:
             end = page.find(">", m.end())
         at = end + 1
-        if tag in _RAW_ENDS and not m[1]:
-            close = _RAW_ENDS[tag].search(page, at)
-            at = close.end() if close else len(page)
-            yield start, at, "", False, ""
+        if tag in _ENDS and not m[1]:
+            close, after = ahead.next(_ENDS[tag], at)
+            if tag in EMBEDDED:
+                if tag == "svg" and page[m.end() : end].rstrip().endswith("/"):
+                    yield start, at, "", False, ""
+                elif close < len(page) and close < ahead.next(_BEGINS[tag], at)[0] and close < ahead.next(_AROUND_ENDS, at)[0]:
+                    at = after
+                    yield start, at, "", False, ""
+                else:
+                    yield start, at, tag, False, ""
+            else:
+                at = after if close < len(page) or tag in ("script", "style") else at
+                yield start, at, "", False, ""
         else:
             yield start, at, tag, bool(m[1]), page[m.end() : end]
 
@@ -130,10 +154,10 @@ def blocks(page: str) -> list[_Block]:
     out: list[_Block] = []
     holders: list[tuple[str, bool, bool, bool]] = []  # tag, in furniture by a name, by a tag, in an article
     open_ = Counter()
-    block, in_link, at = _Block(False, False), False, 0
+    block, in_link, muted, at = _Block(False, False), False, "", 0  # muted: an embedded element without an end of its own
 
     def text(raw: str) -> None:
-        if raw:
+        if raw and not muted:
             block.pieces.append(html.unescape(raw) if "&" in raw else raw)
             if in_link:
                 block.link_words += len(raw.split())
@@ -150,6 +174,10 @@ def blocks(page: str) -> list[_Block]:
         at = end
         if not tag:
             continue
+        if tag in EMBEDDED:
+            muted = "" if close else tag
+        elif muted and tag in BLOCK_TAGS and not (muted == "select" and tag in ("option", "hr")):
+            muted = ""  # its text ends where the next block begins or ends
         if tag == "a":
             in_link = not close
         elif tag == "br":
@@ -220,7 +248,7 @@ def extract_text(pages: DataFrame, tree: tuple | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages``.
 
     Main-text blocks in page order, joined by one line feed; "" if there are none. Null and empty html give "". Unclosed
-    tags, comments and raw elements run to the end of the page. Repeated rows and null ids stay as rows; an empty table
+    tags, comments, scripts and styles run to the end of the page; buttons, objects, selects and svg without an end to the next block. Repeated rows and null ids stay as rows; an empty table
     gives none; only page_id, url and html are read. n_chars counts code points.
     """
     tree = tree or train_tree(pages.sparkSession)
