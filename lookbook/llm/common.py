@@ -56,9 +56,3 @@ def unpacked(docs: DataFrame, **changed: Column) -> list[Column]:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if ``rows``, its counted size with the elements of its arrays, is within the bound; else unmarked."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids``; rows with a null doc_id stay."""
-    ids = cut(ids.select("doc_id").where("doc_id is not null").distinct())
-    return docs.join(small(ids, ids.count()), "doc_id", "left_anti").select(docs.columns)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_ids, small
+from .common import cut, packed, small, unpacked
 
 WIDTH = 5
 CONTAINED = 0.8
@@ -69,27 +69,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A row for each pair of distinct doc_id and distinct item text (named by its smallest item_id), whatever the number of
     rows that repeat it. Rows that share a doc_id are judged one by one, and the best counts. Null and empty texts hold
-    nothing; rows without doc_id can't be named and give no pair; an empty table on either side gives no rows.
+    nothing; rows without doc_id can't be named and give no pair; an empty table on either side gives no rows. Texts may
+    be of any length; other columns, of any name, are not read.
     """
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), words(F.col("text")).alias("w"))
+    return _contained(texts, benchmark).withColumnRenamed("key", "doc_id")
+
+
+def _contained(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(key, item_id, n_shingles, n_found, containment) for the word arrays ``w`` of (key, w); of rows with equal keys the best counts."""
     items = cut(benchmark_items(benchmark))
     probes = cut(sketches(items))
     n_probes, n_shingles = probes.count(), items.agg(F.sum("n")).head()[0] or 0
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most five values
-    texts = docs.select("doc_id", words(F.col("text")).alias("w")).where("doc_id is not null")
     hashes = F.concat(*(shingle_hashes(F.col("w"), n) for n in widths)) if widths else F.array().cast("array<bigint>")
-    found = texts.select("doc_id", F.explode(hashes).alias("hash")).join(small(probes, n_probes), "hash").select("doc_id", "item").distinct()
+    found = texts.select("key", F.explode(hashes).alias("hash")).join(small(probes, n_probes), "hash").select("key", "item").distinct()
     found = found.join(small(items.select("item", "item_id", "n", "shingles"), n_shingles), "item")
-    found = cut(found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n", "shingles")).alias("items")))  # at most the number of items
+    found = cut(found.groupBy("key").agg(F.collect_list(F.struct("item_id", "n", "shingles")).alias("items")))  # at most the number of items
     n_found = found.agg(F.sum(F.aggregate("items", F.lit(1).cast("long"), lambda a, x: a + x["n"]))).head()[0] or 0
     every = F.array_distinct(F.concat(*(shingles(F.col("w"), n) for n in widths))) if widths else F.array().cast("array<string>")
     # a document's shingles are made once, whatever the number of its candidates
     judged = F.transform(F.array(every), lambda has: F.transform("items", lambda x: F.struct(x["item_id"].alias("item_id"), x["n"].alias("n"), F.size(F.array_intersect(x["shingles"], has)).alias("n_found"))))
-    pairs = texts.join(small(found, n_found), "doc_id").select("doc_id", F.inline(F.get(judged, 0)))
-    pairs = pairs.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_shingles"), F.max("n_found").alias("n_found"))
+    pairs = texts.join(small(found, n_found), "key").select("key", F.inline(F.get(judged, 0)))
+    pairs = pairs.groupBy("key", "item_id").agg(F.max("n").alias("n_shingles"), F.max("n_found").alias("n_found"))
     pairs = pairs.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
     return pairs.where(F.col("n_found") >= CONTAINED * F.col("n_shingles") - 1e-9)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    return drop_ids(docs, leaks(docs, benchmark).select("doc_id"))
+    """``docs`` without the rows whose text holds a benchmark item.
+
+    Rows are judged by doc_id and text: a contaminated row without doc_id goes, and a clean row stays whatever other rows share
+    its doc_id. Repeated rows go or stay together. Null and empty texts hold nothing and stay; texts may be of any
+    length; all columns, of any name, stay as they are. An empty table gives none; without items nothing goes.
+    """
+    key = F.struct("doc_id", F.xxhash64("text")).alias("key")
+    leaked = cut(_contained(docs.select(key, words(F.col("text")).alias("w")), benchmark).select("key").distinct())
+    return docs.select(packed(docs), key).join(small(leaked, leaked.count()), "key", "left_anti").select(*unpacked(docs))
