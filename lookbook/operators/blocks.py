@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import squared_distance, weighted_concat
+from . import wide
 from .keep import keep
 
 
@@ -18,6 +19,10 @@ from .keep import keep
 BROADCAST_CELLS, ROW_CELLS = 4_000_000, 16
 
 
+#: Dimensions up to which a covariance matrix (128 MB) is made on the driver.
+WIDE = 4096
+
+
 def small(df: DataFrame, width: Column | None = None) -> DataFrame:
     """``df``, kept, and marked for broadcast if its counted size is within the bound; beyond it joins shuffle."""
     df = keep(df)
@@ -43,10 +48,15 @@ def standardise(df: DataFrame, vec: str = "vec", group: str | None = None) -> Da
 
 
 def project(df: DataFrame, n: int, vec: str = "vec") -> DataFrame:
-    """The first ``n`` principal components of centred vectors; unchanged unless ``n`` is below their width."""
+    """The first ``n`` principal components of centred vectors; unchanged unless ``n`` is below their width.
+
+    Up to ``WIDE`` dimensions by the covariance matrix; wider vectors by ``wide.components``, which makes no matrix of width x width.
+    """
     first = df.select(F.size(vec).alias("d")).head()
     if first is None or n >= first["d"]:
         return df
+    if first["d"] > WIDE:
+        return wide.project(df, n, vec)
     table = df.withColumn("_v", array_to_vector(vec))
     return PCA(k=n, inputCol="_v", outputCol="_p").fit(table).transform(table).withColumn(vec, vector_to_array("_p")).drop("_v", "_p")
 

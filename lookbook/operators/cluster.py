@@ -8,55 +8,58 @@ stand for the points. ``mode`` in the result says which it was.
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .distance import cluster_sums, matrix, silhouette, with_labels
 from .keep import keep
+from .lloyd import fit, squares
 from .rank import strict_k, tolerant_k
 from .rounds import merges, numbered, spanning_tree
 from .trees import cut_tree, density_labels, merge_tree, ordered, tree_labels
 
 #: Points of a group, or clusters left of one, whose distances one task holds.
 CAP = 4000
-#: Models fitted at the same time.
-FITS = 4
+#: Restarts of a k-means model.
+RESTARTS = 10
 
 
-def kmeans(df: DataFrame, k: int, seed: int = 42, n_init: int = 1, init: str = "k-means||", vec: str = "vec") -> DataFrame:
-    """``df`` with ``cluster``: the run of lowest cost among ``n_init`` seeds."""
+def kmeans(df: DataFrame, k: int, seed: int = 42, n_init: int = 10, init: str = "k-means||", vec: str = "vec") -> DataFrame:
+    """``df`` with ``cluster``: the run of lowest cost among ``n_init`` restarts; null for a null vector."""
     sets = kmeans_sets(df.drop("cluster"), [{"k": k, "n_init": n_init, "init": init}], seed, vec, "_labels")
     return sets.withColumn("cluster", F.get("_labels", F.lit(0))).drop("_labels")
 
 
 def kmeans_sets(df: DataFrame, configs: list[dict], seed: int = 42, vec: str = "vec", labels: str = "labels") -> DataFrame:
-    """``df`` with ``labels``: array<int>, a k-means label for each of ``configs`` (k, n_init 1, init k-means||).
+    """``df`` with ``labels``: array<int>, a k-means label for each of ``configs`` (k, n_init 10, init k-means||).
 
-    All models are fitted on one cached table, ``FITS`` at a time; of the ``n_init`` seeds of a config the lowest cost wins.
+    All restarts of all configs advance by the same passes over the points (``lloyd``); of a config's restarts the lowest cost wins.
     """
-    table, out = keep(df.select(array_to_vector(vec).alias("_v"))), df.withColumn("_v", array_to_vector(vec))
-    runs = [(i, KMeans(k=c["k"], seed=seed + s, initMode=c.get("init", "k-means||"), featuresCol="_v", predictionCol=f"_k{i}")) for i, c in enumerate(configs) for s in range(c.get("n_init", 1))]
-    with ThreadPool(min(FITS, len(runs))) as pool:
-        models = pool.map(inheritable_thread_target(df.sparkSession)(lambda r: r[1].fit(table)), runs)
-    for i in range(len(configs)):
-        mine = [m for (j, _), m in zip(runs, models, strict=True) if j == i]
-        out = (mine[0] if len(mine) == 1 else min(mine, key=lambda m: m.summary.trainingCost)).transform(out)
-    table.unpersist()
-    names = [f"_k{i}" for i in range(len(configs))]
-    return out.withColumn(labels, F.array(*names)).drop("_v", *names)
-
-
-def search_kmeans(df: DataFrame, ks: range | list[int], seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    models = [(c["k"], c.get("init", "k-means||"), seed + r) for c in configs for r in range(c.get("n_init", RESTARTS))]
+    of, best = [i for i, c in enumerate(configs) for _ in range(c.get("n_init", RESTARTS))], {}
+    for i, (centres, cost) in zip(of, fit(df, models, vec), strict=True):
+        if i not in best or cost < best[i][1]:
+            best[i] = centres, cost
+    sent = df.sparkSession.sparkContext.broadcast([best[i][0] for i in range(len(configs))])
+
+    def nearest(vectors: pd.Series) -> pd.Series:
+        some = vectors.notna()
+        if not some.any():
+            return pd.Series([None] * len(vectors))
+        x = np.stack(vectors[some]).astype(float)
+        middle = x.mean(0)
+        found = np.stack([squares(x - middle, c - middle).argmin(1) for c in sent.value], axis=1)
+        return pd.Series(list(found.astype(np.int32)), index=vectors.index[some]).reindex(vectors.index, fill_value=None)
+
+    return df.withColumn(labels, F.pandas_udf(nearest, "array<int>")(vec))
+
+
+def search_kmeans(df: DataFrame, ks: range | list[int], seed: int = 42, n_init: int = 10) -> tuple[DataFrame, DataFrame]:
     """Scores (k, score) and assignments with the best k: all label sets are scored by one pass over distances."""
     ks = list(ks)
-    labels = keep(kmeans_sets(df, [{"k": k} for k in ks], seed))
+    labels = keep(kmeans_sets(df, [{"k": k, "n_init": n_init} for k in ks], seed))
     scores = scored_sets(labels, ks)
     best = strict_k(scores, ["group"]).head()
     chosen = labels.withColumn("cluster", F.get("labels", F.lit(ks.index(best["best_k"]) if best else 0))).drop("labels")
@@ -79,7 +82,7 @@ def _representatives(df: DataFrame, group: str | None, cap: int) -> tuple[DataFr
     reps = exact.select("group", F.col("key").alias("rep"), "vec", F.lit(1.0).alias("weight"), F.lit("exact").alias("mode"))
     members = exact.select("group", "key", F.col("key").alias("rep"))
     for g in large:
-        micro = kmeans(points.where(F.col("group") == g), max(2, cap // 2))
+        micro = kmeans(points.where(F.col("group") == g), max(2, cap // 2), n_init=1)
         rep = F.lpad(F.col("cluster").cast("string"), 8, "0")
         cells = micro.select(rep.alias("rep"), F.posexplode("vec").alias("i", "x")).groupBy("rep", "i").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
         centres = cells.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("vec"), F.max("n").cast("double").alias("weight"))

@@ -1,15 +1,17 @@
-"""All-pairs distances in blocks: sums per point and cluster, never a row per pair.
-
-Points are dealt over blocks by hash. A block's task holds the block and lets all points of the group stream by, a matrix
-product a batch, adding up for each of its points, label set and cluster a sum of distances: a row a point and cluster is
-all that leaves it, however many blocks there are. Silhouette, dispersion and separation follow from these sums, and
-one pass serves any number of label sets. Blocks go by point, not by cluster, so one giant cluster is no hot task; a
-group has as many of them as its own size asks for.
+"""All-pairs distances on a grid: sums per point and cluster, never a row per pair.
+
+Points of a group are dealt over bands by hash, and each pair of bands is a task: one band stays, the other streams by, a
+matrix product a batch, and distances are added up by point, label set and cluster on both sides at once. A vector is thus sent
+to as many tasks as there are bands, about the square root of the number of tasks, and each half of the matrix is made once. What a
+task leaves, a row a point and cluster, is added up on Spark where a group has several bands. Silhouette, dispersion and separation
+follow from these sums, and one pass serves any number of label sets. Bands go by point, not by cluster, so one giant
+cluster is no hot task; a group has as many bands as its own size asks for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .blocks import small
 
-BLOCK = 2000
-#: Points of a stream that are multiplied at once, and tasks at most.
+#: Points that one task takes alone; doubles of a band at most; points of a stream that are multiplied at once; tasks at most.
+BLOCK, BAND_CELLS = 2000, 8_000_000
 BATCH, MOST_TASKS = 2000, 20_000
 
 
@@ -33,100 +35,120 @@ def matrix(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarra
     return np.sqrt(np.maximum(d2, 0))
 
 
+def bands(n: int, width: int, tasks: int, block: int = BLOCK) -> int:
+    """Bands of ``n`` points: one up to a block; else for a grid of ``tasks`` tasks or a block each, and small enough to be held."""
+    blocks = -(-n // block)
+    return 1 if blocks <= 1 else min(blocks, max(2, ceil(sqrt(blocks)), ceil(sqrt(2 * tasks)), -(-n * width // BAND_CELLS)))
+
+
 def cluster_sums(df: DataFrame, vec: str = "vec", labels: str = "labels", group: str | None = None, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
     """(group, run, key, own, other, dist_sum, n_pairs) over all other points of cluster ``other``.
 
     ``labels`` is an array<int>, a label set each; run is its index. Points of cluster -1 take no part in that run.
     """
     points = df.select(F.col(group).cast("string").alias("group") if group else F.lit("").alias("group"), F.col("key").cast("string").alias("key"), F.col(vec).alias("vec"), F.col(labels).alias("labels"))
-    sizes = points.groupBy(F.col("group").alias("_group")).count()
-    known, named = sizes.agg(F.max("count"), F.sum(F.ceil(F.col("count") / block))).head(), points.withColumn("blocks", F.lit(1))
-    if (known[0] or 0) > block:
-        large = small(sizes.where(F.col("count") > block))  # at most points / block rows
-        named = points.join(large, F.col("group").eqNullSafe(F.col("_group")), "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")).drop("_group", "count")
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    dealt = named.withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("guest", F.col("own") != F.col("block"))
-    tasks = max(1, min(known[1] or 1, MOST_TASKS))
-    dealt = dealt.repartition(tasks, "group", "block").sortWithinPartitions("group", "block", "guest").select("group", "block", "guest", "key", "vec", "labels")
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    sizes = points.groupBy(F.col("group").alias("_group")).agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width"))
+    many = F.udf(lambda n, width: bands(n, width or 1, tasks, block), "int")  # a row a group
+    sizes = sizes.withColumn("bands", many("n", "width"))
+    known, named = sizes.agg(F.max("bands"), F.sum(F.expr("bands * (bands + 1) div 2"))).head(), points.withColumn("bands", F.lit(1))
+    if (known[0] or 0) > 1:
+        large = small(sizes.where("bands > 1").select("_group", F.col("bands").alias("_bands")))  # at most points / block rows
+        named = points.join(large, F.col("group").eqNullSafe(F.col("_group")), "left").withColumn("bands", F.coalesce("_bands", F.lit(1))).drop("_group", "_bands")
+    own = F.pmod(F.xxhash64("key"), F.col("bands")).cast("int")
+    dealt = named.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)))
+    dealt = dealt.select("group", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "key", "vec", "labels")
+    dealt = dealt.repartition(max(1, min(int(known[1] or 1), MOST_TASKS)), "group", "i", "j").sortWithinPartitions("group", "i", "j", "own")
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = None
         for batch in batches:
             for part in _stretches(batch):
-                place = (part["group"].iloc[0], part["block"].iloc[0])
+                place = (part["group"].iloc[0], int(part["i"].iloc[0]), int(part["j"].iloc[0]))
                 if at is None or at.place != place:
                     if at is not None:
                         yield from at.rows()
-                    at = _BlockSums(place, metric)
-                at.add(part)
+                    at = _BandSums(place, metric)
+                yield from at.add(part)
         if at is not None:
             yield from at.rows()
 
-    return dealt.mapInPandas(sums, "group string, run int, key string, own int, other int, dist_sum double, n_pairs long")
+    out = dealt.mapInPandas(sums, "group string, run int, key string, own int, other int, dist_sum double, n_pairs long")
+    if (known[0] or 0) <= 1:
+        return out
+    return out.groupBy("group", "run", "key", "own", "other").agg(F.sum("dist_sum").alias("dist_sum"), F.sum("n_pairs").alias("n_pairs"))
 
 
 def _stretches(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """The parts of a sorted batch that belong to one block each."""
-    group, block = batch["group"].fillna("\0").to_numpy(), batch["block"].to_numpy()
-    edges = np.flatnonzero((group[1:] != group[:-1]) | (block[1:] != block[:-1])) + 1
+    """The parts of a sorted batch that belong to one pair of bands each."""
+    group, i, j = batch["group"].fillna("\0").to_numpy(), batch["i"].to_numpy(), batch["j"].to_numpy()
+    edges = np.flatnonzero((group[1:] != group[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
     for a, b in zip([0, *edges], [*edges, len(batch)], strict=True):
         if a < b:
             yield batch.iloc[a:b]
 
 
-class _BlockSums:
-    """A block's own points, which come first, and their sums over all points that have come by."""
+class _Sums:
+    """Sums of distances of some points, by label set and cluster."""
 
-    def __init__(self, place: tuple, metric: str):
-        self.place, self.metric, self.parts, self.mine, self.sums = place, metric, [], None, {}
+    def __init__(self, group: str | None, keys: np.ndarray, labels: np.ndarray):
+        self.group, self.keys, self.labels, self.sums = group, keys, labels, {}
 
-    def add(self, part: pd.DataFrame) -> None:
-        guest = part["guest"].to_numpy()
-        if not guest.all():
-            self.parts.append(part[~guest])
-        if guest.any():
-            self._meet(part[guest])
-
-    def _begin(self) -> None:
-        own = pd.concat(self.parts) if self.parts else None
-        self.parts = []
-        if own is None:  # a hash left the block empty
-            self.mine = ([], None, None)
-            return
-        self.mine = (own["key"].to_numpy(), np.stack(own["vec"]), np.stack(own["labels"]))
-        for begin in range(0, len(own), BATCH):
-            self._add(own.iloc[begin : begin + BATCH], begin)
-
-    def _meet(self, guests: pd.DataFrame) -> None:
-        if self.mine is None:
-            self._begin()
-        for begin in range(0, len(guests), BATCH):
-            self._add(guests.iloc[begin : begin + BATCH], None)
-
-    def _add(self, others: pd.DataFrame, begin: int | None) -> None:
-        """``begin``: where the others stand among the block's own points, if they are these."""
-        keys, vecs, labels = self.mine
-        if not len(keys):
-            return
-        d, theirs, own = matrix(vecs, np.stack(others["vec"]), self.metric), np.stack(others["labels"]), np.arange(len(others))
-        if begin is not None:
-            d[begin + own, own] = 0
-        for run in range(labels.shape[1]):
+    def add(self, d: np.ndarray, theirs: np.ndarray, begin: int | None = None) -> None:
+        """``d``: distances to others with labels ``theirs``; ``begin``: where they stand among the points, if they are some of these."""
+        own = np.arange(d.shape[1])
+        for run in range(theirs.shape[1]):
             for cluster in np.unique(theirs[:, run][theirs[:, run] >= 0]).tolist():
                 member = theirs[:, run] == cluster
-                total, count = self.sums.setdefault((run, cluster), (np.zeros(len(keys)), np.zeros(len(keys), np.int64)))
+                total, count = self.sums.setdefault((run, cluster), (np.zeros(len(self.keys)), np.zeros(len(self.keys), np.int64)))
                 total += d[:, member].sum(1)
                 count += member.sum()
                 if begin is not None:
                     count[begin + own[member]] -= 1
 
     def rows(self) -> Iterator[pd.DataFrame]:
-        if self.mine is None:
-            self._begin()
-        keys, _, labels = self.mine
         for (run, cluster), (total, count) in sorted(self.sums.items()):
-            keep = np.flatnonzero((labels[:, run] >= 0) & (count > 0))
-            yield pd.DataFrame({"group": self.place[0], "run": run, "key": keys[keep], "own": labels[keep, run], "other": cluster, "dist_sum": total[keep], "n_pairs": count[keep]})
+            keep = np.flatnonzero((self.labels[:, run] >= 0) & (count > 0))
+            if len(keep):
+                yield pd.DataFrame({"group": self.group, "run": run, "key": self.keys[keep], "own": self.labels[keep, run], "other": cluster, "dist_sum": total[keep], "n_pairs": count[keep]})
+
+
+class _BandSums:
+    """A pair of bands: the points of the first come first and stay, those of the second stream by. A band with itself only stays."""
+
+    def __init__(self, place: tuple, metric: str):
+        self.place, self.metric, self.parts, self.mine, self.vecs = place, metric, [], None, None
+
+    def add(self, part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        guest = part["own"].to_numpy() != self.place[1]
+        if not guest.all():
+            self.parts.append(part[~guest])
+        guests = part[guest]
+        for begin in range(0, len(guests), BATCH):
+            some = guests.iloc[begin : begin + BATCH]
+            if self._begin():
+                d, theirs = matrix(self.vecs, np.stack(some["vec"]), self.metric), np.stack(some["labels"])
+                self.mine.add(d, theirs)
+                other = _Sums(self.place[0], some["key"].to_numpy(), theirs)
+                other.add(d.T, self.mine.labels)
+                yield from other.rows()
+
+    def _begin(self) -> bool:
+        """Whether the first band has points, now that all of them have come."""
+        if self.parts:
+            own = pd.concat(self.parts)
+            self.vecs, self.mine, self.parts = np.stack(own["vec"]), _Sums(self.place[0], own["key"].to_numpy(), np.stack(own["labels"])), []
+        return self.mine is not None
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        if not self._begin():
+            return
+        if self.place[1] == self.place[2]:
+            for begin in range(0, len(self.vecs), BATCH):
+                d, own = matrix(self.vecs, self.vecs[begin : begin + BATCH], self.metric), np.arange(len(self.vecs[begin : begin + BATCH]))
+                d[begin + own, own] = 0
+                self.mine.add(d, self.mine.labels[begin : begin + BATCH], begin)
+        yield from self.mine.rows()
 
 
 def with_labels(df: DataFrame, cluster: str = "cluster") -> DataFrame:

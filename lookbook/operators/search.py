@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -20,6 +21,10 @@ from .rank import best_run
 from .scores import composite, score_bundle, score_sets
 
 
+#: Preprocessings of a random search that are tried at the same time.
+SIDE_BY_SIDE = 4
+
+
 def choose_projection(df: DataFrame, sizes: tuple[int, ...] = (16, 32, 48, 64), fallback: int = 32, seed: int = 42) -> tuple[DataFrame, dict]:
     """The standardised block projected to the size whose 3-means has the best silhouette, and what was done.
 
@@ -34,7 +39,7 @@ def choose_projection(df: DataFrame, sizes: tuple[int, ...] = (16, 32, 48, 64),
     whole = keep(project(scaled, max(usable)))
 
     def score(size: int) -> float | None:
-        cut = kmeans(whole.withColumn("vec", F.slice("vec", 1, size)), 3, seed)
+        cut = kmeans(whole.withColumn("vec", F.slice("vec", 1, size)), 3, seed, n_init=1)
         found = silhouette(cluster_sums(with_labels(cut))).head()
         return found["silhouette"] if found else None
 
@@ -68,18 +73,26 @@ def grid_search(df: DataFrame, ks: list[int] = tuple(range(2, 21)), min_sizes: t
     return runs, best_run(runs), best_run(runs, ["algo"])
 
 
-def sample_configs(n: int, width: int, seed: int = 42) -> list[dict]:
-    """Seeded configurations; ward forces euclidean distances and only projections below the width are drawn."""
+def sample_configs(n: int, most: int, seed: int = 42) -> list[dict]:
+    """Seeded configurations; ward forces euclidean distances and only projections to ``most`` dimensions or fewer are drawn."""
     rng, out = random.Random(seed), []
     for i in range(n):
-        c = {"trial_id": i, "standardise": rng.random() < 0.5, "l2": rng.random() < 0.5, "pca": rng.choice([None, *(p for p in (32, 64, 128, 256) if p < width)]), "algo": rng.choice(["kmeans", "agglomerative"]), "k": rng.randint(2, 12)}
+        c = {"trial_id": i, "standardise": rng.random() < 0.5, "l2": rng.random() < 0.5, "pca": rng.choice([None, *(p for p in (32, 64, 128, 256) if p <= most)]), "algo": rng.choice(["kmeans", "agglomerative"]), "k": rng.randint(2, 12)}
         c["linkage"] = rng.choice(["ward", "average", "complete"])
         c["metric"] = "euclidean" if c["linkage"] == "ward" else rng.choice(["euclidean", "cosine"])
-        c["init"], c["n_init"] = rng.choice(["k-means||", "random"]), rng.choice([1, 2])
+        c["init"], c["n_init"] = rng.choice(["k-means||", "random"]), rng.choice([10, 20, 50])
         out.append(c)
     return out
 
 
+def prepared(df: DataFrame, config: dict) -> DataFrame:
+    """(key, vec) as the configuration has them: standardised, of unit length, projected."""
+    x = df.select(F.col("key").cast("string").alias("key"), "vec")
+    x = standardise(x) if config["standardise"] else x
+    x = x.withColumn("vec", l2_normalise(F.col("vec"))) if config["l2"] else x
+    return project(x, config["pca"]) if config["pca"] else x
+
+
 def _label_sets(x: DataFrame, configs: list[dict], seed: int) -> DataFrame:
     """``x`` with ``labels``, one of each config: all k-means fits on one table, one tree for each linkage and metric."""
     flat, place = [c for c in configs if c["algo"] == "kmeans"], {}
@@ -102,25 +115,45 @@ def _trial_scores(x: DataFrame, configs: list[dict], seed: int) -> list[float]:
         return [-1e9] if len(configs) == 1 else [s for c in configs for s in _trial_scores(x, [c], seed)]
 
 
-def random_search(df: DataFrame, trials: int = 50, seed: int = 42, name: str = "") -> DataFrame:
-    """(features, trial_id, config, score) of seeded trials; an invalid configuration scores -1e9, a job that fails fails the search.
+_TRIALS = "features string, trial_id int, config string, score double"
+
 
-    Each preprocessing is made and kept once; all of its trials are scored by one pass over distances.
+def random_search(df: DataFrame, trials: int = 50, seed: int = 42, name: str = "", store: str | None = None) -> DataFrame:
+    """(features, trial_id, config, score) of seeded trials, config as JSON; an invalid configuration scores -1e9, a job that fails fails the search.
+
+    Each preprocessing is made and kept once; all of its trials are scored by one pass over distances. ``SIDE_BY_SIDE``
+    preprocessings go at the same time. With ``store``, a folder, each preprocessing's rows are appended there
+    when they are done, and a search that was broken off goes on with the trials that the folder doesn't have.
     """
-    width = df.select(F.size("vec").alias("d")).head()["d"]
-    by: dict[tuple, list[dict]] = {}
-    for c in sample_configs(trials, width, seed):
-        by.setdefault((c["standardise"], c["l2"], c["pca"]), []).append(c)
-    rows = []
-    for (scale, l2, pca), configs in by.items():
-        x = df.select(F.col("key").cast("string").alias("key"), "vec")
-        x = standardise(x) if scale else x
-        x = x.withColumn("vec", l2_normalise(F.col("vec"))) if l2 else x
-        x = keep(project(x, pca) if pca else x)
-        for c, score in zip(configs, _trial_scores(x, configs, seed), strict=True):
-            rows.append((name, c["trial_id"], ", ".join(f"{k}={v}" for k, v in c.items() if k != "trial_id"), score))
+    spark = df.sparkSession
+    known = df.agg(F.max(F.size("vec")).alias("d"), F.count("*").alias("n")).head()
+    configs, done = sample_configs(trials, min(known["n"] - 1, known["d"] or 0), seed), []
+    if store is not None:
+        spark.createDataFrame([], _TRIALS).write.mode("append").parquet(store)
+        wanted = spark.createDataFrame([(name, c["trial_id"]) for c in configs], "features string, trial_id int")
+        done = spark.read.parquet(store).join(wanted, ["features", "trial_id"]).collect()  # a row a trial
+    have, by = {r["trial_id"] for r in done}, {}
+    for c in configs:
+        if c["trial_id"] not in have:
+            by.setdefault((c["standardise"], c["l2"], c["pca"]), []).append(c)
+
+    def run(configs: list[dict]) -> list[tuple]:
+        x = keep(prepared(df, configs[0]))
+        rows = [(name, c["trial_id"], json.dumps({k: v for k, v in c.items() if k != "trial_id"}), s) for c, s in zip(configs, _trial_scores(x, configs, seed), strict=True)]
         x.unpersist()
-    return df.sparkSession.createDataFrame(sorted(rows), "features string, trial_id int, config string, score double")
+        if store is not None:
+            spark.createDataFrame(rows, _TRIALS).coalesce(1).write.mode("append").parquet(store)
+        return rows
+
+    with ThreadPool(max(1, min(SIDE_BY_SIDE, len(by)))) as pool:
+        rows = [r for rows in pool.map(inheritable_thread_target(spark)(run), list(by.values())) for r in rows]
+    return spark.createDataFrame(sorted([*rows, *((r["features"], r["trial_id"], r["config"], r["score"]) for r in done)]), _TRIALS)
+
+
+def refit(df: DataFrame, config: str, seed: int = 42) -> DataFrame:
+    """(key, cluster): the clustering of a trial's ``config``, fitted again over all points."""
+    c = {**json.loads(config), "trial_id": 0}
+    return _label_sets(prepared(df, c), [c], seed).select("key", F.get("labels", F.lit(0)).alias("cluster"))
 
 
 def compare_feature_sets(sets: dict[str, DataFrame]) -> DataFrame:

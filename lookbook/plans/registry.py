@@ -611,7 +611,7 @@ def _(spark, sf):
 
 @query("kmeans")
 def _(spark, sf):
-    return cluster.kmeans(inputs.points(spark, sf).drop("cluster"), 8, n_init=2).select("key", "cluster")
+    return cluster.kmeans(inputs.points(spark, sf).drop("cluster"), 8).select("key", "cluster")
 
 
 @query("kmeans_search")
@@ -660,6 +660,12 @@ def _(spark, sf):
     return workloads.configuration_search({"embeddings": inputs.points(spark, sf).drop("cluster")})[0]
 
 
+@query("best_configuration")
+def _(spark, sf):
+    tables = {"embeddings": inputs.points(spark, sf).drop("cluster")}
+    return workloads.best_assignments(tables, workloads.configuration_search(tables)[1])
+
+
 def _bundle_of(name: str, points: str) -> str:
     """The row of one feature set; ``points`` defines points(key, vec, cluster) in place of the embeddings."""
     return f"SELECT * FROM ({_BUNDLE.replace(POINTS, points)} SELECT '{name}' AS feature_set, (SELECT count(DISTINCT cluster) FROM points) AS n_clusters, CAST(0 AS DOUBLE) AS noise_frac, round(silhouette, 6) AS silhouette, round(ch, 6) AS ch, round(db, 6) AS db FROM sil, ch, db)"

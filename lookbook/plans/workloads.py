@@ -39,11 +39,17 @@ def ranked_families(labelled: DataFrame, order_by: str = "separation", stat: str
     return rank.relabel(labelled, ranks)
 
 
-def configuration_search(tables: dict[str, DataFrame], trials: int = 50, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """All trials over all feature tables, best first, and the best of each table."""
+def configuration_search(tables: dict[str, DataFrame], trials: int = 50, seed: int = 42, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """All trials over all feature tables, best first, and the best of each table. ``store``: a folder that keeps finished trials."""
     logs = None
     for name, df in tables.items():
-        log = search.random_search(df, trials, seed, name)
+        log = search.random_search(df, trials, seed, name, store)
         logs = log if logs is None else logs.unionByName(log)
     best = logs.withColumn("_n", F.row_number().over(Window.partitionBy("features").orderBy(F.desc("score"), "trial_id"))).where("_n = 1").drop("_n")
     return rank.order_trials(logs), best
+
+
+def best_assignments(tables: dict[str, DataFrame], best: DataFrame, seed: int = 42) -> DataFrame:
+    """(features, key, cluster): the best configuration over all tables, fitted again and ready to be written."""
+    top = best.orderBy(F.desc("score"), "features").head()  # a row a table
+    return search.refit(tables[top["features"]], top["config"], seed).select(F.lit(top["features"]).alias("features"), "key", "cluster")
