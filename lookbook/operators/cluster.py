@@ -8,8 +8,13 @@ stand for the points. ``mode`` in the result says which it was.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +22,15 @@ from .distance import cluster_sums, matrix, silhouette, with_labels
 from .keep import keep
 from .lloyd import fit, squares
 from .rank import strict_k, tolerant_k
-from .rounds import merges, numbered, spanning_tree
-from .trees import cut_tree, density_labels, merge_tree, ordered, tree_labels
+from .rounds import cut_labels, density_of, merge_steps, merges, numbered
+from .trees import cut_tree, density_labels, merge_tree
 
 #: Points of a group, or clusters left of one, whose distances one task holds.
 CAP = 4000
 #: Restarts of a k-means model.
 RESTARTS = 10
+#: Large groups that go by rounds at the same time.
+SIDE_BY_SIDE = 4
 
 
 def kmeans(df: DataFrame, k: int, seed: int = 42, n_init: int = 10, init: str = "k-means||", vec: str = "vec") -> DataFrame:
@@ -103,11 +110,13 @@ def _parted(df: DataFrame, group: str | None, cap: int | None) -> tuple[DataFram
     return *_representatives(rest, group, CAP), points
 
 
-def _looked_up(points: DataFrame, g: str, values: np.ndarray, column: str, kind: str) -> DataFrame:
-    """(group, key, column, mode): the row of ``values`` for each numbered point."""
-    known = points.sparkSession.sparkContext.broadcast(values)
-    value = F.pandas_udf(lambda idx: pd.Series(list(known.value[idx.to_numpy()])), kind)
-    return points.select(F.lit(g).alias("group"), "key", value("idx").alias(column), F.lit("exact").alias("mode"))
+def _side_by_side(large: dict[str, DataFrame], run: Callable[[str, DataFrame], DataFrame], out: DataFrame) -> DataFrame:
+    """``out`` and ``run`` of each large group, some groups at the same time."""
+    if not large:
+        return out
+    with ThreadPool(min(SIDE_BY_SIDE, len(large))) as pool:
+        parts = pool.map(inheritable_thread_target(out.sparkSession)(lambda item: run(*item)), list(large.items()))
+    return reduce(DataFrame.unionByName, parts, out)
 
 
 def _arrays(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
@@ -125,17 +134,13 @@ def merge_table(df: DataFrame, linkage: str = "ward", metric: str = "euclidean",
         return pd.DataFrame({"group": pdf["group"].iloc[0], "step": range(len(m)), "left": m[:, 0].astype(int), "right": m[:, 1].astype(int), "height": m[:, 2], "size": m[:, 3].astype(int), "mode": pdf["mode"].iloc[0]})
 
     out = reps.groupBy("group").applyInPandas(run, "group string, step int, left int, right int, height double, size long, mode string")
-    for g, rows in large.items():
-        points, n = numbered(rows)
-        steps = points.sparkSession.sparkContext.broadcast(ordered(merges(points, n, linkage, metric, CAP), np.ones(n)))
 
-        def named(batches, g=g, steps=steps):
-            for pdf in batches:
-                m = steps.value[pdf["id"].to_numpy()]
-                yield pd.DataFrame({"group": g, "step": pdf["id"], "left": m[:, 0].astype(int), "right": m[:, 1].astype(int), "height": m[:, 2], "size": m[:, 3].astype(int), "mode": "exact"})
+    def rounds(g: str, rows: DataFrame) -> DataFrame:
+        points, n = numbered(rows)
+        steps = merge_steps(merges(points, n, linkage, metric, CAP), n)
+        return steps.select(F.lit(g).alias("group"), "step", "left", "right", "height", "size", F.lit("exact").alias("mode"))
 
-        out = out.unionByName(points.sparkSession.range(n - 1).mapInPandas(named, out.schema))
-    return out
+    return _side_by_side(large, rounds, out)
 
 
 def agglomerative(df: DataFrame, ks: list[int], linkage: str = "ward", metric: str = "euclidean", group: str | None = None, cap: int | None = None) -> DataFrame:
@@ -152,11 +157,13 @@ def agglomerative(df: DataFrame, ks: list[int], linkage: str = "ward", metric: s
 
     cut = reps.groupBy("group").applyInPandas(run, "group string, rep string, labels array<int>, mode string")
     out = members.join(cut, ["group", "rep"]).select("group", "key", "labels", "mode")
-    for g, rows in large.items():
+
+    def rounds(g: str, rows: DataFrame) -> DataFrame:
         points, n = numbered(rows)
-        m = ordered(merges(points, n, linkage, metric, CAP), np.ones(n))
-        out = out.unionByName(_looked_up(points, g, np.stack([cut_tree(m, n, k) for k in ks], axis=1), "labels", "array<int>"))
-    return out
+        labels = cut_labels(points, merges(points, n, linkage, metric, CAP), n, ks)
+        return points.join(labels, "idx").select(F.lit(g).alias("group"), "key", "labels", F.lit("exact").alias("mode"))
+
+    return _side_by_side(large, rounds, out)
 
 
 def search_agglomerative(df: DataFrame, ks: range | list[int] = range(3, 21), group: str | None = None, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -182,11 +189,14 @@ def density(df: DataFrame, min_size: int = 3, min_samples: int = 1, eps: float =
 
     cut = reps.groupBy("group").applyInPandas(run, "group string, rep string, cluster int, mode string")
     out = members.join(cut, ["group", "rep"]).select("group", "key", "cluster", "mode")
-    for g, rows in large.items():
+
+    def rounds(g: str, rows: DataFrame) -> DataFrame:
         points, n = numbered(rows)
-        labels = tree_labels(*spanning_tree(points, n, min_samples, metric), np.ones(n), min_size, eps) if n >= min_size else np.full(n, -1)
-        out = out.unionByName(_looked_up(points, g, labels, "cluster", "int"))
-    return out
+        none = points.select("idx", F.lit(-1).alias("cluster"))
+        labels = density_of(points, n, min_size, min_samples, eps, metric) if n >= min_size else none
+        return points.join(labels, "idx").select(F.lit(g).alias("group"), "key", "cluster", F.lit("exact").alias("mode"))
+
+    return _side_by_side(large, rounds, out)
 
 
 __all__ = ["agglomerative", "density", "kmeans", "kmeans_sets", "merge_table", "search_agglomerative", "search_kmeans", "scored_sets", "with_labels"]

@@ -1,217 +1,320 @@
-"""Exact hierarchies and density trees of a group that is too large for one task, by rounds on Spark.
-
-Points are numbered by key and dealt over blocks; each pair of blocks meets in one task as a matrix product. A round leaves a
-row a cluster (its nearest cluster, or its lightest edge out), so the driver keeps a few numbers a point and never vectors or
-pairs. Hierarchy: mutually nearest clusters merge in each round, which for Ward, average and complete linkage gives the
-tree of one merge at a time (equal distances aside); when ``cap`` clusters are left, their distances fit one task. Density:
-Boruvka rounds over mutual reachability.
+"""Exact hierarchies and density trees of a group that is too large for one task, as tables.
+
+Points are numbered by key. What is known of them (the cluster that each belongs to, its core distance) and of clusters (size,
+inner squares, the merge that made them) are tables, joined to the points in every round; merges, edges and names are made by joins. No
+row a point or cluster reaches the driver. In a round points are dealt over bands, and each pair of bands is a task that leaves a row a
+cluster: its nearest cluster, or its lightest edge out. Hierarchy: mutually nearest clusters merge in each round, which for
+Ward, average and complete linkage gives the tree of one merge at a time (equal distances aside); when ``cap`` clusters are left,
+their distances fit one task. Density: Boruvka rounds over mutual reachability, components by pointer jumping.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .distance import BLOCK, matrix
-from .keep import keep
-from .trees import chain_merges, root_of
+from .distance import BLOCK, bands, matrix
+from .keep import cut, keep, stored
+from .trees import chain_merges, tree_labels
+
+_MERGE = "seq long, a long, b long, h double, size double, left long, right long"
+
+
+def placed(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df``, kept, with ``name``: 0, 1, 2... in the order of unique ``order``. Rows are sorted in ranges; a row a range is added up."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(max(2, tasks), *order).sortWithinPartitions(*order)).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    starts = ranged.groupBy("_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    table = starts.select("_part", (before - F.col("_first")).alias("_shift"))
+    return keep(ranged.join(F.broadcast(table), "_part").withColumn(name, F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift"))
 
 
 def numbered(points: DataFrame) -> tuple[DataFrame, int]:
     """(idx, key, vec), kept, with idx 0..n-1 in the order of key; and n."""
-    rows = points.select("key", "vec").orderBy("key").rdd.zipWithIndex().map(lambda r: (r[1], r[0]["key"], r[0]["vec"]))
-    out = keep(points.sparkSession.createDataFrame(rows, "idx long, key string, vec array<double>"))
+    out = keep(placed(points.select("key", "vec"), ["key"], "idx").select("idx", "key", "vec").repartition("idx"))  # joins by idx don't move vectors
     return out, out.count()
 
 
-def _block_pairs(points: DataFrame, block_of: np.ndarray, run, schema: str) -> DataFrame:
-    """``run(i, j, ids, vectors, ids, vectors)`` for each pair of blocks i <= j; ids rise."""
-    at = points.sparkSession.sparkContext.broadcast(block_of)
+class _Band:
+    """Points of a band, sorted by cluster; ``chunks`` are of whole clusters, but for those of over ``block`` points."""
+
+    def __init__(self, rows: pd.DataFrame, by: str, block: int):
+        rows = rows.sort_values([by, "idx"], kind="stable")
+        self.rows, self.x = {c: rows[c].to_numpy() for c in rows.columns if c not in ("vec", "i", "j", "own")}, np.stack(rows["vec"]).astype(float)
+        _, counts = np.unique(self.rows[by], return_counts=True)
+        self.chunks, begin, end = [], 0, 0
+        for n in counts.tolist():
+            if end > begin and end + n - begin > block:
+                self.chunks.append(slice(begin, end))
+                begin = end
+            end += n
+            while end - begin > block:
+                self.chunks.append(slice(begin, begin + block))
+                begin += block
+        if end > begin:
+            self.chunks.append(slice(begin, end))
 
-    def pack(batches):
-        for pdf in batches:
-            if len(pdf):
-                idx, x = pdf["idx"].to_numpy(np.int64), np.stack(pdf["vec"]).astype(float)
-                own = at.value[idx]
-                for b in np.unique(own):
-                    yield pd.DataFrame({"own": [int(b)], "idx": [idx[own == b].tobytes()], "vec": [x[own == b].tobytes()]})
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        def side(b: int) -> tuple[np.ndarray, np.ndarray]:
-            rows = pdf[pdf["own"] == b]
-            idx = np.concatenate([np.frombuffer(v, np.int64) for v in rows["idx"]])
-            x = np.concatenate([np.frombuffer(v) for v in rows["vec"]]).reshape(len(idx), -1)
-            order = np.argsort(idx)
-            return idx[order], x[order]
+def _on_grid(rows: DataFrame, own, n_bands: int, by: str, block: int, run: Callable[[Iterator], pd.DataFrame], schema: str) -> DataFrame:
+    """``run(pairs)`` of each pair of bands; pairs are (band, chunk, band, chunk, same)."""
 
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        a = side(i)
-        return run(i, j, *a, *(a if i == j else side(j)))
-
-    packed = points.select("idx", "vec").mapInPandas(pack, "own int, idx binary, vec binary")
-    meets = packed.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(int(block_of.max())))))
-    dealt = meets.select("own", "idx", "vec", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
-    n_blocks = int(block_of.max()) + 1
-    tasks = min(n_blocks * (n_blocks + 1) // 2, 4 * points.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work: not to be coalesced
-    return dealt.repartition(tasks, "i", "j").groupBy("i", "j").applyInPandas(pair, schema)
-
-
-def _distances(i: int, j: int, a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    d = matrix(a, b, metric)
-    return (d + d.T) / 2 if i == j else d
-
-
-def _cluster_blocks(label: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block of each point, with clusters of up to ``block`` points whole; and whether a block is a part of a larger one."""
-    order = np.argsort(label, kind="stable")
-    _, first, counts = np.unique(label[order], return_index=True, return_counts=True)
-    block_of, split, now, filled = np.zeros(len(label), np.int32), [], -1, block
-    for s, c in zip(first[counts <= block].tolist(), counts[counts <= block].tolist(), strict=True):
-        if filled + c > block:
-            now, filled = now + 1, 0
-            split.append(False)
-        block_of[order[s : s + c]] = now
-        filled += c
-    for s, c in zip(first[counts > block].tolist(), counts[counts > block].tolist(), strict=True):
-        for p in range(0, c, block):
-            now += 1
-            split.append(True)
-            block_of[order[s + p : s + min(c, p + block)]] = now
-    return block_of, np.array(split)
-
-
-def merges(points: DataFrame, n: int, linkage: str, metric: str, cap: int, block: int = BLOCK) -> list[tuple[int, int, float]]:
-    """(a, b, height): the n - 1 merges, each cluster named by one of its points."""
+        parts = [pdf[pdf["own"] == k] for k in ((i,) if i == j else (i, j))]
+        if not all(len(p) for p in parts):
+            return run(iter(()))
+        sides = [_Band(p, by, block) for p in parts]
+        a, b = sides[0], sides[-1]
+        return run((a, p, b, q, i == j and s == t) for s, p in enumerate(a.chunks) for t, q in enumerate(b.chunks) if i != j or s <= t)
+
+    dealt = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(n_bands - 1))))
+    dealt = dealt.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).drop("with")
+    return dealt.repartition(n_bands * (n_bands + 1) // 2, "i", "j").groupBy("i", "j").applyInPandas(task, schema)  # few bytes, much work: not to be coalesced
+
+
+def _distances(a: _Band, p: slice, b: _Band, q: slice, same: bool, metric: str) -> np.ndarray:
+    d = matrix(a.x[p], b.x[q], metric)
+    return (d + d.T) / 2 if same else d
+
+
+def _pair_table(a, p, b, q, same, linkage, metric):
+    """Clusters of both chunks, where they begin, and the sums (or maxima) over their pairs."""
+    op, d = np.maximum if linkage == "complete" else np.add, _distances(a, p, b, q, same, metric)
+    d = d * d if linkage == "ward" else d
+    ca, sa = np.unique(a.rows["c"][p], return_index=True)
+    cb, sb = np.unique(b.rows["c"][q], return_index=True)
+    return ca, sa, cb, sb, op.reduceat(op.reduceat(d, sa, axis=0), sb, axis=1)
+
+
+def _height(linkage: str, raw, wa, wb, sa, sb):
+    if linkage == "complete":
+        return raw
+    mean = raw / (wa * wb)
+    return mean if linkage == "average" else np.sqrt(np.maximum(2 * wa * wb / (wa + wb) * (mean - sa / wa - sb / wb), 0))
+
+
+def _nearest(pairs, linkage: str, metric: str, block: int) -> pd.DataFrame:
+    """The nearest cluster of each whole cluster, and the raw sums of clusters that have parts elsewhere."""
+    near: dict[int, tuple] = {}
+    parts = []
+    for a, p, b, q, same in pairs:
+        ca, sa, cb, sb, raw = _pair_table(a, p, b, q, same, linkage, metric)
+        (wa, ia), (wb, ib) = ((x.rows["w"][s][at], x.rows["inner"][s][at]) for x, s, at in ((a, p, sa), (b, q, sb)))
+        d = _height(linkage, raw, wa[:, None], wb[None, :], ia[:, None], ib[None, :])
+        d[ca[:, None] == cb[None, :]] = np.inf
+        split = (wa[:, None] > block) | (wb[None, :] > block)
+        if split.any():
+            r, c = np.nonzero(split & np.isfinite(d))
+            parts += [pd.DataFrame({"a": x, "b": y, "raw": raw[r, c]}) for x, y in ((ca[r], cb[c]),) + (() if same else ((cb[c], ca[r]),))]
+            d[split] = np.inf
+        for mine, theirs, m in ((ca, cb, d), (cb, ca, d.T))[: 1 if same else 2]:
+            to = m.argmin(1)
+            for x, y, v in zip(mine.tolist(), theirs[to].tolist(), m[np.arange(len(mine)), to].tolist(), strict=True):
+                if v < np.inf and (v, y) < near.get(x, (np.inf, 0)):
+                    near[x] = v, y
+    found = pd.DataFrame([(x, y, v) for x, (v, y) in near.items()], columns=["a", "b", "d"])
+    return pd.concat([found.assign(raw=np.nan), *(p.assign(d=np.nan) for p in parts)])[["a", "b", "d", "raw"]].astype({"a": "int64", "b": "int64", "d": float, "raw": float})
+
+
+def merges(points: DataFrame, n: int, linkage: str, metric: str, cap: int, block: int = BLOCK) -> DataFrame:
+    """(seq, a, b, h, size, left, right): the n - 1 merges. Cluster a goes up in b; left and right are the merges that made them, or null."""
     if linkage not in ("ward", "average", "complete"):
         raise ValueError(f"unknown linkage {linkage!r}")
-    sc, op = points.sparkSession.sparkContext, np.maximum if linkage == "complete" else np.add
-    label, size, inner, out = np.arange(n), np.ones(n), np.zeros(n), []  # inner: squares within a cluster, for Ward
-
-    def table(known, i, j, ia, xa, ib, xb):
-        """Clusters of both sides and the sums (or maxima) over their pairs."""
-        d, la, lb = _distances(i, j, xa, xb, metric), known[0][ia], known[0][ib]
-        d = d * d if linkage == "ward" else d
-        oa, ob = np.argsort(la, kind="stable"), np.argsort(lb, kind="stable")
-        ca, sa = np.unique(la[oa], return_index=True)
-        cb, sb = np.unique(lb[ob], return_index=True)
-        return ca, cb, op.reduceat(op.reduceat(d[np.ix_(oa, ob)], sa, axis=0), sb, axis=1)
-
-    def height(known, a, b, raw):
-        _, w, ss = known
-        if linkage == "complete":
-            return raw
-        mean = raw / (w[a] * w[b])
-        if linkage == "average":
-            return mean
-        return np.sqrt(np.maximum(2 * w[a] * w[b] / (w[a] + w[b]) * (mean - ss[a] / w[a] - ss[b] / w[b]), 0))
-
-    def join(a: int, b: int, h: float) -> None:
-        out.append((a, b, h))
-        inner[b] += inner[a] + h * h / 2
-        size[b] += size[a]
-
-    live = n
+    spark = points.sparkSession
+    width = points.select(F.size("vec").alias("d")).head()["d"]
+    n_bands = bands(n, width, spark.sparkContext.defaultParallelism, block)
+    member = points.select("idx", F.col("idx").alias("c"))
+    state = member.select("c", F.lit(1.0).alias("w"), F.lit(0.0).alias("inner"), F.lit(None).cast("long").alias("last"))
+    out, live, step = [], n, 0
+
+    def rows() -> DataFrame:
+        return points.select("idx", "vec").join(member, "idx").join(state.select("c", "w", "inner"), "c")
+
+    own = F.pmod(F.xxhash64(F.when(F.col("w") > block, F.col("idx")).otherwise(F.col("c"))), F.lit(n_bands)).cast("int")  # small clusters are whole in a band
+    mean = F.col("raw") / (F.col("wa") * F.col("wb"))
+    ward = F.sqrt(F.greatest(2 * F.col("wa") * F.col("wb") / (F.col("wa") + F.col("wb")) * (mean - F.col("sa") / F.col("wa") - F.col("sb") / F.col("wb")), F.lit(0.0)))
+    height = {"ward": ward, "average": mean, "complete": F.col("raw")}[linkage]
     while live > max(1, cap):
-        block_of, split = _cluster_blocks(label, block)
-        state = sc.broadcast((label, size, inner))
-
-        def nearest(i, j, ia, xa, ib, xb, state=state, split=split):
-            ca, cb, raw = table(state.value, i, j, ia, xa, ib, xb)
-            d = height(state.value, ca[:, None], cb[None, :], raw)
-            d[ca[:, None] == cb[None, :]] = np.inf
-            rows, cols = np.arange(len(ca)), np.arange(len(cb))
-            if split[i] or split[j]:  # other parts have the rest of these sums
-                r, c = np.nonzero(np.isfinite(d))
-                sides = [(ca[r], cb[c], raw[r, c]), (cb[c], ca[r], raw[r, c])]
-            else:
-                to, back = d.argmin(1), d.argmin(0)
-                sides = [(ca, cb[to], np.where(np.isfinite(d[rows, to]), raw[rows, to], np.nan))]
-                sides += [(cb, ca[back], raw[back, cols])] * int(i != j)
-            found = pd.DataFrame({k: np.concatenate([s[p] for s in sides]) for p, k in enumerate(("a", "b", "raw"))})
-            return found.dropna()
-
-        def named(batches, state=state):
-            for pdf in batches:
-                yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "d": height(state.value, pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["raw"].to_numpy())})
-
-        parts = _block_pairs(points, block_of, nearest, "a long, b long, raw double")
-        whole = parts.groupBy("a", "b").agg((F.max if linkage == "complete" else F.sum)("raw").alias("raw"))
-        best = whole.mapInPandas(named, "a long, b long, d double").groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b", "m.d")
-        got = best.toPandas()  # a row a cluster
-        to = dict(zip(got["a"].tolist(), got["b"].tolist(), strict=True))
-        rows = [(d, a, b) for a, b, d in zip(got["a"].tolist(), got["b"].tolist(), got["d"].tolist(), strict=True)]
-        mutual = sorted(r for r in rows if r[1] < r[2] and to[r[2]] == r[1]) or [min(rows)]
-        name = np.arange(n)
-        for d, a, b in mutual:
-            join(a, b, d)
-            name[a] = b
-        label, live = name[label], live - len(mutual)
-        state.unpersist()
-    if live < 2:
-        return out
-
-    left, state = np.unique(label), sc.broadcast((label, size, inner))
-    block_of, _ = _cluster_blocks(label, block)
-
-    def all_of(i, j, ia, xa, ib, xb):
-        ca, cb, raw = table(state.value, i, j, ia, xa, ib, xb)
-        return pd.DataFrame({"a": [ca.tobytes()], "b": [cb.tobytes()], "same": [i == j], "raw": [raw.tobytes()]})
+        found = _on_grid(rows(), own, n_bands, "c", block, lambda pairs: _nearest(pairs, linkage, metric, block), "a long, b long, d double, raw double")
+        found = stored(found)
+        parts = found.where("raw is not null").groupBy("a", "b").agg((F.max if linkage == "complete" else F.sum)("raw").alias("raw"))
+        for k in ("a", "b"):
+            parts = parts.join(state.select(F.col("c").alias(k), F.col("w").alias(f"w{k}"), F.col("inner").alias(f"s{k}")), k)
+        whole = parts.select("a", "b", height.alias("d")).union(found.where("raw is null").select("a", "b", "d"))
+        best = stored(whole.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b", "m.d"))
+        back = best.select(F.col("a").alias("b"), F.col("b").alias("a"))
+        mutual = best.join(back, ["a", "b"]).where("a < b")
+        if mutual.isEmpty():  # equal distances in a ring
+            mutual = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d").orderBy("d", "a", "b").limit(1)
+        for k in ("a", "b"):
+            mutual = mutual.join(state.select(F.col("c").alias(k), *(F.col(x).alias(f"{x}_{k}") for x in ("w", "inner", "last"))), k)
+        done = stored(mutual.select((F.lit(step * 2**40).cast("long") + F.col("a")).alias("seq"), "a", "b", F.col("d").alias("h"), (F.col("w_a") + F.col("w_b")).alias("size"), F.col("last_a").alias("left"), F.col("last_b").alias("right"), "inner_a"))
+        out.append(done.drop("inner_a"))
+        member = stored(member.join(done.select(F.col("a").alias("c"), "b"), "c", "left").select("idx", F.coalesce("b", "c").alias("c")))
+        state = state.join(done.select(F.col("a").alias("c")), "c", "left_anti").join(done.select(F.col("b").alias("c"), "seq", "h", "size", "inner_a"), "c", "left")
+        state = stored(state.select("c", F.coalesce("size", "w").alias("w"), F.when(F.col("seq").isNull(), F.col("inner")).otherwise(F.col("inner") + F.col("inner_a") + F.col("h") * F.col("h") / 2).alias("inner"), F.coalesce("seq", "last").alias("last")))
+        live, step = live - done.count(), step + 1
+    out.append(_last_merges(rows().join(state.select("c", "last"), "c"), own, n_bands, block, linkage, metric, step))
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return stored(whole)
+
+
+def _last_merges(rows: DataFrame, own, n_bands: int, block: int, linkage: str, metric: str, step: int) -> DataFrame:
+    """The merges of the clusters that are left, at most as many as one task holds distances of."""
+
+    def pairs_of(pairs) -> pd.DataFrame:
+        out = []
+        for a, p, b, q, same in pairs:
+            ca, sa, cb, sb, raw = _pair_table(a, p, b, q, same, linkage, metric)
+            about = [np.stack([x.rows[k][s][at].astype(float) for k in ("w", "inner", "last")]) for x, s, at in ((a, p, sa), (b, q, sb))]
+            out.append((ca.tobytes(), cb.tobytes(), about[0].tobytes(), about[1].tobytes(), same, raw.tobytes()))
+        return pd.DataFrame(out, columns=["ca", "cb", "ia", "ib", "same", "raw"])
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = np.zeros((len(left), len(left)))
+        op, known, tables = np.maximum if linkage == "complete" else np.add, {}, []
         for r in pdf.itertuples():
-            a, b = (np.searchsorted(left, np.frombuffer(x, np.int64)) for x in (r.a, r.b))
-            part = np.frombuffer(r.raw).reshape(len(a), len(b))
+            ca, cb = np.frombuffer(r.ca, np.int64), np.frombuffer(r.cb, np.int64)
+            for c, about in ((ca, r.ia), (cb, r.ib)):
+                known |= dict(zip(c.tolist(), np.frombuffer(about).reshape(3, -1).T.tolist(), strict=True))
+            tables.append((ca, cb, r.same, np.frombuffer(r.raw).reshape(len(ca), len(cb))))
+        left = np.array(sorted(known), np.int64)
+        raw = np.zeros((len(left), len(left)))
+        for ca, cb, same, part in tables:
+            a, b = np.searchsorted(left, ca), np.searchsorted(left, cb)
             raw[np.ix_(a, b)] = op(raw[np.ix_(a, b)], part)
-            if not r.same:
+            if not same:
                 raw[np.ix_(b, a)] = op(raw[np.ix_(b, a)], part.T)
-        d = height(state.value, left[:, None], left[None, :], raw)
-        found = chain_merges(d, state.value[1][left], linkage)
-        return pd.DataFrame({"a": [left[a] for a, _, _ in found], "b": [left[b] for _, b, _ in found], "h": [h for _, _, h in found]})
-
-    rest = _block_pairs(points, block_of, all_of, "a binary, b binary, same boolean, raw binary")
-    last = rest.groupBy(F.lit("")).applyInPandas(finish, "a long, b long, h double").toPandas()  # at most ``cap`` rows
-    return out + list(zip(last["a"].tolist(), last["b"].tolist(), last["h"].tolist(), strict=True))
-
-
-def spanning_tree(points: DataFrame, n: int, min_samples: int, metric: str, block: int = BLOCK) -> tuple[list[tuple[float, int, int]], np.ndarray]:
-    """The edges (w, a, b) of the least spanning tree over mutual reachability, and core distances; equal edges go by (a, b)."""
-    sc, block_of, near = points.sparkSession.sparkContext, np.arange(n, dtype=np.int32) % -(-n // block), min(min_samples, n - 1)
-
-    def least(i, j, ia, xa, ib, xb):
-        d = np.maximum(_distances(i, j, xa, xb, metric), 0)
-        few = lambda m: list(np.sort(m if m.shape[1] <= near + 1 else np.partition(m, near, axis=1)[:, : near + 1], axis=1))
-        sides = [(ia, few(d))] + [(ib, few(d.T))] * int(i != j)
-        return pd.concat([pd.DataFrame({"idx": ids, "few": rows}) for ids, rows in sides])
-
-    found = _block_pairs(points, block_of, least, "idx long, few array<double>").groupBy("idx").agg(F.sort_array(F.flatten(F.collect_list("few"))).alias("few"))
-    got = found.select("idx", F.get("few", F.lit(near)).alias("core")).toPandas()  # two numbers a point
-    core = np.empty(n)
-    core[got["idx"].to_numpy()] = got["core"].to_numpy()
-    root, part, edges = list(range(n)), np.arange(n), []
-    while len(edges) < n - 1:
-        state = sc.broadcast((part, core))
-
-        def lightest(i, j, ia, xa, ib, xb, state=state):
-            comp, cores = state.value
-            w = np.maximum(_distances(i, j, xa, xb, metric), np.maximum(cores[ia][:, None], cores[ib][None, :]))
-            w[comp[ia][:, None] == comp[ib][None, :]] = np.inf
-            sides = [(ia, ib, w)] + [(ib, ia, w.T)] * int(i != j)
-            out = []
-            for mine, theirs, m in sides:
+        w, inner, last = (np.array([known[c][k] for c in left.tolist()]) for k in range(3))
+        d = _height(linkage, raw, w[:, None], w[None, :], inner[:, None], inner[None, :])
+        made, size, out = [None if v < 0 else int(v) for v in last.tolist()], w.copy(), []
+        for k, (a, b, h) in enumerate(chain_merges(d, w, linkage)):
+            seq = step * 2**40 + k
+            size[b] += size[a]
+            out.append((seq, int(left[a]), int(left[b]), h, size[b], made[a], made[b]))
+            made[b] = seq
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _MERGE.split(", ")]).astype({"left": "Int64", "right": "Int64"})
+
+    named = rows.withColumn("last", F.coalesce("last", F.lit(-1)))
+    packed = _on_grid(named, own, n_bands, "c", block, pairs_of, "ca binary, cb binary, ia binary, ib binary, same boolean, raw binary")
+    return packed.groupBy(F.lit("")).applyInPandas(finish, _MERGE)
+
+
+def merge_steps(found: DataFrame, n: int) -> DataFrame:
+    """(step, left, right, height, size, a, b): ``merges`` by rising height; points are 0..n-1, the cluster of step s is n + s."""
+    steps = placed(found, ["h", "seq"], "step")
+    name = steps.select("seq", (F.col("step") + n).alias("name"))
+    for k, point in (("left", "a"), ("right", "b")):
+        steps = steps.join(name.select(F.col("seq").alias(k), F.col("name").alias(f"_{k}")), k, "left").withColumn(f"_{k}", F.coalesce(f"_{k}", F.col(point)))
+    return steps.select(F.col("step").cast("int").alias("step"), F.least("_left", "_right").cast("int").alias("left"), F.greatest("_left", "_right").cast("int").alias("right"), F.col("h").alias("height"), F.col("size").cast("long").alias("size"), "a", "b")
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """(a, b): for each a of ``links`` (a points to b, no rings) the end of its chain, by jumping over as many links again in each round."""
+    now = stored(links.select("a", "b"))
+    while True:
+        far = now.select(F.col("a").alias("b"), F.col("b").alias("_far"))
+        after = stored(now.join(far, "b", "left").select("a", F.coalesce("_far", "b").alias("b"), F.col("_far").isNotNull().alias("moved")))
+        if after.where("moved").isEmpty():
+            return now
+        now = after.select("a", "b")
+
+
+def cut_labels(points: DataFrame, found: DataFrame, n: int, ks: list[int]) -> DataFrame:
+    """(idx, labels): the tree cut at every k of ``ks``, clusters numbered by their first point.
+
+    The clusters of the largest k are made by joins; what is above them, a row a cluster, is merged on the driver.
+    """
+    most = max(1, min(max(ks), n))
+    steps = merge_steps(found, n).select("step", "a", "b")
+    low = roots(steps.where(F.col("step") < n - most))
+    own = points.select("idx").join(low.withColumnRenamed("a", "idx"), "idx", "left").select("idx", F.coalesce("b", "idx").alias("root"))
+    first = {r["root"]: r["first"] for r in own.groupBy("root").agg(F.min("idx").alias("first")).collect()}  # ``most`` rows
+    high = [(r["step"], r["a"], r["b"]) for r in steps.where(F.col("step") >= n - most).orderBy("step").collect()]
+    labels: dict[int, list[int]] = {c: [] for c in first}
+    for k in ks:
+        up = {a: b for step, a, b in high if step < n - max(1, min(k, n))}
+
+        def top(c: int, up=up) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
+        ends = {c: top(c) for c in first}
+        begins: dict[int, int] = {}
+        for c, e in ends.items():
+            begins[e] = min(begins.get(e, n), first[c])
+        place = {e: i for i, e in enumerate(sorted(begins, key=begins.get))}
+        for c, e in ends.items():
+            labels[c].append(place[e])
+    table = points.sparkSession.createDataFrame(list(labels.items()), "root long, labels array<int>")
+    return own.join(F.broadcast(table) if most <= 10_000 else table, "root").select("idx", "labels")
+
+
+def spanning_tree(points: DataFrame, n: int, min_samples: int, metric: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(w, a, b), the edges of the least spanning tree over mutual reachability, and (idx, core); equal edges go by (a, b)."""
+    spark, near = points.sparkSession, min(min_samples, n - 1)
+    width = points.select(F.size("vec").alias("d")).head()["d"]
+    n_bands = bands(n, width, spark.sparkContext.defaultParallelism, block)
+    own = F.pmod(F.xxhash64("idx"), F.lit(n_bands)).cast("int")
+
+    def few(pairs) -> pd.DataFrame:
+        held: dict[int, np.ndarray] = {}
+        for a, p, b, q, same in pairs:
+            d = np.maximum(_distances(a, p, b, q, same, metric), 0)
+            for ids, m in ((a.rows["idx"][p], d), (b.rows["idx"][q], d.T))[: 1 if same else 2]:
+                m = m if m.shape[1] <= near + 1 else np.partition(m, near, axis=1)[:, : near + 1]
+                for i, row in zip(ids.tolist(), m, strict=True):
+                    held[i] = np.sort(np.concatenate([held[i], row]))[: near + 1] if i in held else np.sort(row)
+        return pd.DataFrame({"idx": list(held), "few": list(held.values())}, columns=["idx", "few"])
+
+    found = _on_grid(points.select("idx", "vec"), own, n_bands, "idx", block, few, "idx long, few array<double>")
+    core = keep(found.groupBy("idx").agg(F.get(F.sort_array(F.flatten(F.collect_list("few"))), F.lit(near)).alias("core")).repartition("idx"))
+    member, edges, parts = points.select("idx", F.col("idx").alias("c")), None, n
+    least = F.min(F.struct("w", "a", "b", "to")).alias("m")
+
+    def lightest(pairs) -> pd.DataFrame:
+        best: dict[int, tuple] = {}
+        for a, p, b, q, same in pairs:
+            (ia, ca, ra), (ib, cb, rb) = ((x.rows["idx"][s], x.rows["c"][s], x.rows["core"][s]) for x, s in ((a, p), (b, q)))
+            w = np.maximum(_distances(a, p, b, q, same, metric), np.maximum(ra[:, None], rb[None, :]))
+            w[ca[:, None] == cb[None, :]] = np.inf
+            for mine, mc, theirs, tc, m in ((ia, ca, ib, cb, w), (ib, cb, ia, ca, w.T))[: 1 if same else 2]:
                 to = m.argmin(1)
-                best = pd.DataFrame({"c": comp[mine], "w": m[np.arange(len(mine)), to], "a": np.minimum(mine, theirs[to]), "b": np.maximum(mine, theirs[to])})
-                out.append(best[np.isfinite(best["w"])].sort_values(["c", "w", "a", "b"]).drop_duplicates("c"))
-            return pd.concat(out)
-
-        best = _block_pairs(points, block_of, lightest, "c long, w double, a long, b long").groupBy("c").agg(F.min(F.struct("w", "a", "b")).alias("m"))
-        for w, a, b in sorted(set(best.select("m.*").toPandas().itertuples(index=False, name=None))):  # a row a component
-            p, q = root_of(root, a), root_of(root, b)
-            if p != q:
-                root[p] = q
-                edges.append((w, a, b))
-        part = np.array([root_of(root, x) for x in range(n)])
-        state.unpersist()
-    return sorted(edges), core
+                v = m[np.arange(len(mine)), to]
+                rows = zip(mc.tolist(), v.tolist(), np.minimum(mine, theirs[to]).tolist(), np.maximum(mine, theirs[to]).tolist(), tc[to].tolist(), strict=True)
+                for c, *edge in rows:
+                    if edge[0] < np.inf and (c not in best or tuple(edge) < best[c]):
+                        best[c] = tuple(edge)
+        return pd.DataFrame([(c, *e) for c, e in best.items()], columns=["c", "w", "a", "b", "to"])
+
+    while parts > 1:
+        rows = points.select("idx", "vec").join(core, "idx").join(member, "idx")
+        best = stored(_on_grid(rows, own, n_bands, "idx", block, lightest, "c long, w double, a long, b long, to long").groupBy("c").agg(least).select("c", "m.*"))
+        edges = best.select("w", "a", "b").distinct() if edges is None else edges.union(best.select("w", "a", "b").distinct())
+        back = best.select(F.col("to").alias("c"), F.col("c").alias("to"))
+        ends = best.join(back, ["c", "to"]).where("c < to").select("c")  # two that take the same edge: the smaller is the end of the chain
+        up = roots(best.join(ends, "c", "left_anti").select(F.col("c").alias("a"), F.col("to").alias("b")))
+        member = stored(member.join(up.withColumnRenamed("a", "c"), "c", "left").select("idx", F.coalesce("b", "c").alias("c")))
+        parts = best.count() - up.count()
+    return stored(edges), core
+
+
+def density_of(points: DataFrame, n: int, min_size: int, min_samples: int, eps: float, metric: str, block: int = BLOCK) -> DataFrame:
+    """(idx, cluster). The condensed tree of a group's n - 1 edges is made by one task, which holds some numbers a point and no vectors."""
+    edges, core = spanning_tree(points, n, min_samples, metric, block)
+
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        cores = pdf[pdf["b"].isna()].sort_values("a")
+        links = pdf[pdf["b"].notna()].sort_values(["w", "a", "b"])
+        rows = list(zip(links["w"].tolist(), links["a"].astype(int).tolist(), links["b"].astype(int).tolist(), strict=True))
+        return pd.DataFrame({"idx": np.arange(n), "cluster": tree_labels(rows, cores["w"].to_numpy(), np.ones(n), min_size, eps)})
+
+    both = edges.union(core.select(F.col("core").alias("w"), F.col("idx").alias("a"), F.lit(None).cast("long").alias("b")))
+    return both.groupBy(F.lit("")).applyInPandas(tree, "idx long, cluster int")

@@ -238,14 +238,14 @@ def test_large_groups_are_exact(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(c, 1.0, (60, 4)) for c in (0, 6, 12)] + [rng.uniform(-20, 30, (30, 4))])
     df = frame(spark, x)
-    kinds = [("ward", "euclidean"), ("average", "cosine"), ("average", "euclidean"), ("complete", "euclidean")]
+    kinds = [("ward", "euclidean"), ("average", "cosine"), ("complete", "euclidean")]
     want = {k: cluster.merge_table(df, *k).orderBy("step").collect() for k in kinds}
     cuts = by_key(cluster.agglomerative(df, [3, 9]).collect(), "labels")
     dense = {m: by_key(cluster.density(df, 5, m, metric="euclidean").collect(), "cluster") for m in (1, 5)}
     assert all(-1 in d and len(set(d)) > 2 for d in dense.values())
     monkeypatch.setattr(cluster, "CAP", 40)
-    for f, name in ((rounds.merges, "merges"), (rounds.spanning_tree, "spanning_tree")):
-        monkeypatch.setattr(cluster, name, lambda *a, f=f: f(*a, block=25))  # clusters of over 25 points are split over blocks
+    for f, name in ((rounds.merges, "merges"), (rounds.density_of, "density_of")):
+        monkeypatch.setattr(cluster, name, lambda *a, f=f: f(*a, block=25))  # clusters of over 25 points are split over bands
     for k, steps in want.items():
         got = cluster.merge_table(df, *k).orderBy("step").collect()
         assert [(r["left"], r["right"], r["size"], r["mode"]) for r in got] == [(r["left"], r["right"], r["size"], "exact") for r in steps], k
