@@ -40,10 +40,12 @@ def standardise(df: DataFrame, vec: str = "vec", group: str | None = None) -> Da
         shift, size = F.array(*map(F.lit, mean)).cast("array<double>"), F.array(*map(F.lit, std)).cast("array<double>")
         scaled = F.transform(vec, lambda x, i: F.when(F.get(F.col("_std"), i) > 0, (x - F.get(F.col("_mean"), i)) / F.get(F.col("_std"), i)).otherwise(0.0))
         return df.withColumn("_mean", shift).withColumn("_std", size).withColumn(vec, scaled).drop("_mean", "_std")
-    cells = df.select(group, F.posexplode(vec).alias("i", "x")).groupBy(group, "i").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
-    table = cells.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("i", "mean", "std"))).alias("_cells"))  # a row a dimension
-    joined = df.join(table, group)
-    scaled = F.zip_with(F.col(vec), F.col("_cells"), lambda x, c: F.when(c["std"] > 0, (x - c["mean"]) / c["std"]).otherwise(0.0))
+    vectors = df.where(F.col(vec).isNotNull()).select(group, array_to_vector(vec).alias("_v"))
+    found = vectors.groupBy(group).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s"))  # one mergeable aggregate a group
+    n = F.col("s.count")
+    table = found.select(F.col(group).alias("_group"), vector_to_array("s.mean").alias("_mean"), F.when(n > 1, F.transform(vector_to_array("s.variance"), lambda x: F.sqrt(x * (n - 1) / n))).alias("_std"))
+    joined = df.join(table, F.col(group) == F.col("_group"))
+    scaled = F.transform(vec, lambda x, i: F.when(F.get("_std", i) > 0, (x - F.get("_mean", i)) / F.get("_std", i)).otherwise(0.0))
     return joined.withColumn(vec, scaled).select(df.columns)
 
 
@@ -71,8 +73,8 @@ def join_blocks(key: str, *blocks: tuple[DataFrame, float]) -> DataFrame:
 def centroids(df: DataFrame, vec: str = "vec", cluster: str = "cluster", group: str | None = None) -> DataFrame:
     """(group, cluster, n, centroid): mean vectors, noise left out."""
     by = [c for c in (group, cluster) if c]
-    cells = df.where(F.col(cluster) >= 0).select(*by, F.posexplode(vec).alias("i", "x")).groupBy(*by, "i").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
-    return cells.groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("centroid"))
+    found = df.where((F.col(cluster) >= 0) & F.col(vec).isNotNull()).select(*by, array_to_vector(vec).alias("_v"))
+    return found.groupBy(*by).agg(F.count("*").alias("n"), vector_to_array(Summarizer.mean(F.col("_v"))).alias("centroid"))  # a vector a cluster is shuffled
 
 
 def nearest_centroid(df: DataFrame, centres: DataFrame, vec: str = "vec", key: str = "key") -> DataFrame:

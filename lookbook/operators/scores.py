@@ -6,10 +6,12 @@ whatever the number of sets.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import distance, squared_distance
+from ..functions.vectors import distance, dot, squared_distance
 from .blocks import centroids, small
 from .distance import cluster_sums, silhouette, with_labels
 from .keep import keep
@@ -69,6 +71,30 @@ def score_bundle(df: DataFrame, vec: str = "vec", cluster: str = "cluster", key:
     return score_sets(with_labels(df.select(F.col(key).alias("key"), F.col(vec).alias("vec"), F.col(cluster).alias("cluster")))).drop("run")
 
 
+def squared_silhouette(df: DataFrame, vec: str = "vec", labels: str = "labels", group: str | None = None) -> DataFrame:
+    """(group, run, silhouette, n_points, n_clusters) over squared euclidean distances, in time linear in the points, for all label sets.
+
+    The squared distances of a point x to a cluster of n points with vector sum s and square sum q add up to n x.x - 2 x.s + q, so one
+    aggregate over the points and one pass with a row a cluster give the exact mean. Numbers differ from ``silhouette``, which takes
+    the distances themselves. Noise takes no part; points alone in their cluster score 0; null with fewer than two clusters.
+    """
+    name = F.col(group).cast("string") if group else F.lit("")
+    flat = keep(df.select(name.alias("group"), F.col(vec).alias("vec"), F.posexplode(labels).alias("run", "cluster")).where("cluster >= 0"))
+    sums = flat.groupBy("group", "run", "cluster").agg(vector_to_array(Summarizer.sum(array_to_vector("vec"))).alias("s"), F.sum(dot(F.col("vec"), F.col("vec"))).alias("q"), F.count("*").alias("n"))
+    table = small(sums.groupBy("group", "run").agg(F.collect_list(F.struct("cluster", "n", "s", "q")).alias("all")), F.aggregate("all", F.lit(0).cast("long"), lambda a, c: a + F.size(c["s"])))
+    square = dot(F.col("vec"), F.col("vec"))
+    met = flat.join(table.withColumnsRenamed({"group": "_g", "run": "_r"}), F.col("group").eqNullSafe(F.col("_g")) & (F.col("run") == F.col("_r")))
+    total = F.transform("all", lambda c: F.struct(c["cluster"].alias("cluster"), c["n"].alias("n"), F.greatest(c["n"] * F.col("square") - 2 * dot(F.col("vec"), c["s"]) + c["q"], F.lit(0.0)).alias("d")))
+    met = met.withColumn("square", square).select("group", "run", "cluster", total.alias("to"))
+    own = F.get(F.filter("to", lambda c: c["cluster"] == F.col("cluster")), 0)
+    a = F.when(own["n"] > 1, own["d"] / (own["n"] - 1))
+    b = F.array_min(F.transform(F.filter("to", lambda c: c["cluster"] != F.col("cluster")), lambda c: c["d"] / c["n"]))
+    each = met.select("group", "run", "cluster", a.alias("a"), b.alias("b")).withColumn("top", F.greatest("a", "b"))
+    s = F.when(F.col("b").isNull(), None).when(F.col("a").isNull() | (F.col("top") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.col("top"))
+    out = each.withColumn("s", s).groupBy("group", "run").agg(F.avg("s").alias("silhouette"), F.count("*").alias("n_points"), F.count_distinct("cluster").alias("n_clusters"))
+    return out.withColumn("silhouette", F.when(F.col("n_clusters") >= 2, F.col("silhouette")))
+
+
 def composite(sil: Column, ch: Column, db: Column) -> Column:
     """silhouette + 0.002 CH + 1 / (1 + DB); -1e9 where the silhouette is missing."""
     return F.when(sil.isNull(), F.lit(-1e9)).otherwise(sil + 0.002 * F.coalesce(ch, F.lit(0.0)) + F.coalesce(1 / (1 + db), F.lit(0.0)))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, urls
 from ..functions import vectors as v
-from ..operators import blocks, catalog, cluster, distance, minsize, rank, scores, search
+from ..operators import blocks, catalog, cluster, distance, minsize, rank, rounds, scores, search
 from ..operators import pixels as px
+from ..operators.keep import keep
 from ..sources import tables
 from ..sources.cards import CardRules, extract_cards
 from ..sources.scoring import batch_score
@@ -594,6 +595,70 @@ def _(spark, sf):
     return means.select("cluster", "size").join(minsize.name_clusters(means), "cluster")
 
 
+@query("squared_silhouette", f"""WITH {POINTS}, sq AS (SELECT a.key, a.cluster AS own, b.cluster AS other, sum(list_distance(a.vec, b.vec) ** 2) AS d, count(*) AS n FROM points a JOIN points b ON a.key <> b.key GROUP BY ALL),
+ab AS (SELECT key, own, min(CASE WHEN own = other THEN d / n END) AS a, min(CASE WHEN own <> other THEN d / n END) AS b FROM sq GROUP BY key, own)
+SELECT 0 AS run, round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) + 0.0 AS silhouette, count(*) AS n_points, count(DISTINCT own) AS n_clusters FROM ab""")
+def _(spark, sf):
+    out = scores.squared_silhouette(distance.with_labels(inputs.points(spark, sf)))
+    return out.select("run", r6("silhouette").alias("silhouette"), "n_points", "n_clusters")
+
+
+# --- what fitted models must satisfy whatever their order of rows: sums of squares, tree weights, variances ------------
+
+_TOTAL = f"WITH {CELLS}, m AS (SELECT i, avg(x) AS m FROM cells GROUP BY i), total AS (SELECT sum((x - m) ** 2) AS ss, count(DISTINCT key) AS n FROM cells JOIN m USING (i))"
+
+
+@query("leading_variance", f"""WITH RECURSIVE {CELLS}, st AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM cells GROUP BY i), z AS (SELECT key, i, CASE WHEN s > 0 THEN (x - m) / s ELSE 0 END AS x FROM cells JOIN st USING (i)),
+cov AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM z a JOIN z b USING (key) GROUP BY a.i, b.i), m AS (SELECT list(r ORDER BY i) AS rows FROM (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY i)),
+turn(k, v) AS (SELECT 0, list_transform(range(64), lambda i: CAST(1 + i % 7 AS DOUBLE)) UNION ALL SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT k, list_transform(rows, lambda r: list_dot_product(r, v)) AS w FROM turn, m WHERE k < 3000))
+SELECT (SELECT count(*) FROM points) AS n, 16 AS n_components, round(list_dot_product(v, list_transform(rows, lambda r: list_dot_product(r, v))), 5) AS first_variance, true AS falling, true AS uncorrelated FROM turn, m WHERE k = 3000""")
+def _(spark, sf):
+    p = blocks.project(blocks.standardise(inputs.points(spark, sf)), 16)
+    at = lambda i: F.get("vec", F.lit(i))
+    variances = [F.var_samp(at(i)) for i in range(16)]
+    falling = F.forall(F.sequence(F.lit(0), F.lit(14)), lambda i: F.get("v", i) >= F.get("v", i + 1))
+    mixed = F.greatest(*(F.abs(F.corr(at(i), at(j))) for i in range(16) for j in range(i)))
+    found = p.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("n_components"), F.array(*variances).alias("v"), mixed.alias("mixed"))
+    return found.select("n", "n_components", F.round(F.get("v", F.lit(0)), 5).alias("first_variance"), falling.alias("falling"), (F.col("mixed") < 1e-6).alias("uncorrelated"))
+
+
+@query("kmeans_balance", f"{_TOTAL} SELECT n, 8 AS n_clusters, round(ss, 6) AS squares, true AS tight FROM total")
+def _(spark, sf):
+    found = keep(cluster.kmeans(inputs.points(spark, sf).drop("cluster"), 8))
+    met = keep(found.join(F.broadcast(blocks.centroids(found)), "cluster").withColumn("d2", v.squared_distance(F.col("vec"), F.col("centroid"))))
+    moved = blocks.nearest_centroid(found, blocks.centroids(found)).join(met.select("key", "d2"), "key").where(F.col("dist2") < F.col("d2") * 0.999).count()
+    mean = found.withColumn("cluster", F.lit(0))
+    middle = blocks.centroids(mean).select(F.col("centroid").alias("_m"))
+    apart = F.sum(v.squared_distance(F.col("centroid"), F.col("_m")))
+    out = met.crossJoin(F.broadcast(middle)).agg(F.count("*").alias("n"), F.count_distinct("cluster").cast("int").alias("n_clusters"), F.round(F.sum("d2") + apart, 6).alias("squares"))
+    return out.withColumn("tight", F.lit(moved) <= 0.02 * F.col("n"))  # a fixed point but for the tolerance
+
+
+@query("ward_balance", f"""{_TOTAL}, g AS (SELECT p_brand AS brand, cells.* FROM cells JOIN part ON key = p_partkey), gm AS (SELECT brand, i, avg(x) AS m FROM g GROUP BY brand, i),
+gs AS (SELECT brand, sum((x - m) ** 2) AS ss, count(DISTINCT key) AS n FROM g JOIN gm USING (brand, i) GROUP BY brand)
+SELECT '' AS brand, n - 1 AS merges, n AS last_size, round(ss, 6) AS squares, true AS rising FROM total UNION ALL SELECT brand, n - 1, n, round(ss, 6), true FROM gs WHERE n > 1""")
+def _(spark, sf):
+    p = inputs.points(spark, sf)
+    by = cluster.merge_table(p.join(inputs.products(spark, sf).select("key", "brand"), "key"), group="brand")
+    both = cluster.merge_table(p).unionByName(by)
+    before = F.lag("height").over(Window.partitionBy("group").orderBy("step"))
+    checked = both.withColumn("rises", F.coalesce(F.col("height") >= before - 1e-9, F.lit(True)))
+    return checked.groupBy(F.col("group").alias("brand")).agg(F.count("*").alias("merges"), F.max("size").alias("last_size"), F.round(F.sum(F.col("height") * F.col("height") / 2), 6).alias("squares"), F.every("rises").alias("rising"))
+
+
+@query("density_tree", f"""WITH RECURSIVE {POINTS}, ids AS (SELECT row_number() OVER (ORDER BY CAST(key AS VARCHAR)) AS i, vec FROM points), ds AS (SELECT a.i, b.i AS j, greatest(1 - list_cosine_similarity(a.vec, b.vec), 0) AS d FROM ids a JOIN ids b ON a.i <> b.i),
+core AS (SELECT i, min(d) AS c FROM ds GROUP BY i), w AS (SELECT ds.i, list(greatest(d, x.c, y.c) ORDER BY j) AS r FROM ds JOIN core x ON x.i = ds.i JOIN core y ON y.i = ds.j GROUP BY ds.i), n AS (SELECT count(*) AS n FROM ids),
+m AS (SELECT i, list_concat(r[:i - 1], [9.0], r[i:]) AS r FROM w),
+prim(k, total, inside, best) AS (SELECT 1, CAST(0 AS DOUBLE), [CAST(1 AS BIGINT)], list_transform(r, lambda x, j: CASE WHEN j = 1 THEN 9.0 ELSE x END) FROM m WHERE i = 1
+  UNION ALL SELECT k + 1, total + e, list_append(inside, a), list_transform(best, lambda x, j: CASE WHEN j = a OR x = 9.0 THEN 9.0 ELSE least(x, r[j]) END) FROM (SELECT *, list_min(best) AS e, list_position(best, list_min(best)) AS a FROM prim) p JOIN m ON m.i = p.a WHERE k < (SELECT n FROM n))
+SELECT n - 1 AS edges, round(total, 6) AS weight, n AS points FROM prim, n WHERE k = n""")
+def _(spark, sf):
+    named = inputs.points(spark, sf).select(F.col("key").cast("string").alias("key"), "vec")
+    points, n = rounds.numbered(named)
+    edges, core = rounds.spanning_tree(points, n, 1, "cosine")
+    return edges.agg(F.count("*").alias("edges"), F.round(F.sum("w"), 6).alias("weight")).crossJoin(F.broadcast(core.agg(F.count("*").alias("points"))))
+
+
 # --- fitted models: rows only, exactness is tested against brute force -------------------------------------------------
 
 

@@ -8,31 +8,56 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+NO_OUTPUT = "no output"
 
-def batch_score(df: DataFrame, key: str, value: str, make_model: Callable[[], Callable[[list], list]], batch_size: int = 16) -> DataFrame:
-    """(key, vec): the model's output for each row. ``make_model`` runs once a task and returns a function over a batch.
 
-    A batch that fails is tried row by row; rows that fail, or for which the model returns None, are dropped with their key.
+def score_rows(df: DataFrame, key: str, value: str, make_model: Callable[[], Callable[[list], list]], batch_size: int = 16) -> DataFrame:
+    """(key, vec, error): the model's output for each row, or why there is none. ``make_model`` runs once a task and returns a function over a batch.
+
+    A batch that fails is tried row by row, so that other rows of it stay; a row that fails keeps its key and the error's text,
+    one for which the model returns None has the error ``no output``. Being out of memory fails the task, and so does a model of which all rows of a
+    task fail, if they are over ``batch_size``: that is no matter of rows.
     """
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make_model()
+        model, good, bad = make_model(), 0, ""
+        failed = 0
         for pdf in batches:
             for at in range(0, len(pdf), batch_size):
                 part = pdf.iloc[at : at + batch_size]
+                values = part[value].tolist()
                 try:
-                    out = list(model(part[value].tolist()))
-                except Exception:
-                    out = [_one(model, x) for x in part[value]]
-                good = [i for i, v in enumerate(out) if v is not None]
-                yield pd.DataFrame({"key": part[key].iloc[good].to_numpy(), "vec": [np.asarray(out[i], float) for i in good]})
+                    out = [_told(v) for v in model(values)]
+                    if len(out) != len(values):
+                        raise ValueError(f"{len(out)} outputs for {len(values)} rows")
+                except MemoryError:
+                    raise
+                except Exception:  # told apart row by row
+                    out = [_one(model, x) for x in values]
+                good += sum(e is None for _, e in out)
+                failed += sum(e is not None for _, e in out)
+                bad = next((e for _, e in out if e is not None), bad)
+                yield pd.DataFrame({"key": part[key].to_numpy(), "vec": [v for v, _ in out], "error": [e for _, e in out]})
+        if failed > batch_size and not good and bad != NO_OUTPUT:
+            raise RuntimeError(f"the model failed on all {failed} rows of a task: {bad}")
+
+    return df.select(key, value).mapInPandas(run, f"key {kind}, vec array<double>, error string")
+
+
+def batch_score(df: DataFrame, key: str, value: str, make_model: Callable[[], Callable[[list], list]], batch_size: int = 16) -> DataFrame:
+    """(key, vec) of the rows that ``score_rows`` has an output for; its ``error`` tells of the others."""
+    return score_rows(df, key, value, make_model, batch_size).where("error is null").select("key", "vec")
+
 
-    return df.select(key, value).mapInPandas(run, f"key {kind}, vec array<double>")
+def _told(v: object) -> tuple[np.ndarray | None, str | None]:
+    return (None, NO_OUTPUT) if v is None else (np.asarray(v, float), None)
 
 
-def _one(model: Callable[[list], list], x: object) -> object:
+def _one(model: Callable[[list], list], x: object) -> tuple[np.ndarray | None, str | None]:
     try:
-        return next(iter(model([x])))
-    except Exception:
-        return None
+        return _told(next(iter(model([x]))))
+    except MemoryError:
+        raise
+    except Exception as e:
+        return None, f"{type(e).__name__}: {e}"

@@ -158,3 +158,74 @@ def test_distances_on_a_grid_equal_one_block(spark):
 def test_bands_grow_with_the_root_of_the_points():
     assert distance.bands(2000, 64, 8) == 1 and distance.bands(4001, 64, 8) == 3
     assert distance.bands(10**6, 64, 8) == 23 and distance.bands(10**8, 64, 8) == 800  # held bands are bounded
+
+
+def test_squared_silhouette_equals_all_pairs(spark):
+    from lookbook.operators import scores
+
+    x = np.random.default_rng(9).normal(size=(70, 4)) + np.repeat([0, 3, 9], [30, 39, 1])[:, None]
+    sets = [[0 if i < 30 else 1 if i < 69 else 2, -1 if i % 9 == 0 else i % 2, 5] for i in range(70)]
+    df = spark.createDataFrame([(i, [float(t) for t in p], sets[i], "b" if i % 5 else None) for i, p in enumerate(x)], "key long, vec array<double>, labels array<int>, brand string")
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+
+    def brute(rows, run):
+        rows = [i for i in rows if sets[i][run] >= 0]
+        y = np.array([sets[i][run] for i in rows])
+        if len(set(y)) < 2:
+            return None
+        d, s = d2[np.ix_(rows, rows)], []
+        for i, c in enumerate(y):
+            own = (y == c) & (np.arange(len(y)) != i)
+            b = min(d[i, y == k].mean() for k in set(y) if k != c)
+            s.append((b - d[i, own].mean()) / max(b, d[i, own].mean()) if own.any() else 0)
+        return np.mean(s)
+
+    for group, parts in ((None, {"": range(70)}), ("brand", {"b": [i for i in range(70) if i % 5], None: range(0, 70, 5)})):
+        got = {(r["group"], r["run"]): r["silhouette"] for r in scores.squared_silhouette(df, group=group).collect()}
+        assert len(got) == 3 * len(parts)
+        for (g, run), s in got.items():
+            want = brute(list(parts[g]), run)
+            assert s is None if want is None else s == pytest.approx(want), (g, run)
+    assert scores.squared_silhouette(df.limit(0)).collect() == []
+
+
+def test_grouped_vector_aggregates(spark):
+    x = np.random.default_rng(10).normal(size=(40, 6)) * np.arange(6)
+    df = spark.createDataFrame([(i, [float(t) for t in p], "a" if i < 25 else "b" if i < 39 else "c", i % 3 - 1) for i, p in enumerate(x)], "key long, vec array<double>, brand string, cluster int")
+    got = {r["key"]: r["vec"] for r in blocks.standardise(df, group="brand").collect()}
+    for rows in (range(25), range(25, 39), range(39, 40)):
+        part = x[list(rows)]
+        std = part.std(0)
+        want = np.where(std > 0, (part - part.mean(0)) / np.where(std > 0, std, 1), 0)
+        assert np.allclose([got[i] for i in rows], want)
+    centres = {(r["brand"], r["cluster"]): (r["n"], r["centroid"]) for r in blocks.centroids(df, group="brand").collect()}
+    assert set(centres) == {("a", 0), ("a", 1), ("b", 0), ("b", 1)}  # c has noise only
+    rows = [i for i in range(25) if i % 3 == 1]
+    assert centres["a", 0][0] == len(rows) and np.allclose(centres["a", 0][1], x[rows].mean(0))
+
+
+def test_failed_rows_keep_key_and_reason(spark):
+    from lookbook.sources import scoring
+
+    def make():
+        def model(batch):
+            if 13 in batch:
+                raise ValueError("thirteen")
+            return [None if v == 5 else [v] for v in batch]
+
+        return model
+
+    rows = spark.range(40).selectExpr("id k", "id x").coalesce(1)
+    got = {r["key"]: (r["vec"], r["error"]) for r in scoring.score_rows(rows, "k", "x", make, 4).collect()}
+    assert len(got) == 40 and got[13] == (None, "ValueError: thirteen") and got[5] == (None, scoring.NO_OUTPUT)
+    assert all(got[i] == ([float(i)], None) for i in range(40) if i not in (5, 13))
+
+    def broken():
+        def model(batch):
+            raise ValueError("no weights")
+
+        return model
+
+    with pytest.raises(Exception, match="no weights"):
+        scoring.score_rows(rows, "k", "x", broken, 4).collect()
+    assert scoring.score_rows(rows.limit(0), "k", "x", make).collect() == []
