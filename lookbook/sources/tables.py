@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType, StructField, StructType
 
 from ..functions.text import price_dotted, price_strict, stem
 
@@ -29,33 +31,69 @@ def product_columns(names: list[str]) -> tuple[str, str] | None:
     return (name, price) if name and price else None
 
 
-def as_products(raw: DataFrame, brand: str, dotted: bool = False) -> DataFrame | None:
-    """``products`` rows of one raw table with any header layout; None where a required column is missing."""
-    df = raw.toDF(*map(normalise_header, raw.columns))
-    found = product_columns(df.columns)
-    if not found:
-        return None
-    name, price = found
-    clean = price_dotted(F.col(price)).cast("long") if dotted else price_strict(F.col(price))
-    return df.select(F.lit(brand).alias("brand"), F.col(name).alias("product_name"), stem(F.trim(name)).alias("join_key"), F.col(price).alias("price_raw"), clean.alias("price_eur"))
+def _bare(path: str) -> str:
+    """A path without scheme, authority and last slash."""
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "", path).rstrip("/") or "/"
 
 
-def read_products(spark: SparkSession, folders: dict[str, str], dotted: frozenset[str] = frozenset()) -> DataFrame:
-    """All brands' CSV tables stacked. A brand without folder, CSV or required column is skipped; none left is an error."""
-    tables = []
+def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Glob patterns, one a parent folder, of those of ``paths`` that are there."""
+    by: dict[str, list[str]] = {}
+    for path in paths:
+        parent, _, name = path.rstrip("/").rpartition("/")
+        by.setdefault(parent, []).append(re.sub(r"([\\{}\[\]*?,])", r"\\\1", name))
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for parent, names in by.items():
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{parent}/{{{','.join(names)}}}" if len(names) > 1 else f"{parent}/{names[0]}")
+        if pattern.getFileSystem(conf).globStatus(pattern):
+            out.append(pattern.toString())
+    return out
+
+
+def product_files(spark: SparkSession, folders: dict[str, str]) -> list[tuple[str, str, tuple[str, ...]]]:
+    """(brand, file, header) of all CSV files of all brands; headers are read by tasks, a line a file reaches the driver."""
+    there = _existing(spark, list(folders.values()))
+    if not there:
+        return []
+    lines = spark.read.text(there).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    by: dict[str, list[str]] = {}
     for brand, path in folders.items():
-        try:
-            raw = spark.read.option("header", True).option("multiLine", True).csv(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-            continue
-        table = as_products(raw, brand, brand in dotted) if raw.columns else None
-        if table is not None:
-            tables.append(table)
-    if not tables:
+        by.setdefault(_bare(path), []).append(brand)
+    out = []
+    for r in first.collect():
+        path = unquote(r["file"])
+        at = _bare(path)
+        while at not in by and "/" in at:
+            at = at.rpartition("/")[0]
+        header = tuple(next(csv.reader([r["header"].lstrip("\ufeff")]), ()))
+        out += [(brand, path, header) for brand in by.get(at, [])]
+    return sorted(out)
+
+
+def read_products(spark: SparkSession, folders: dict[str, str], dotted: frozenset[str] = frozenset()) -> DataFrame:
+    """All brands' CSV tables stacked. A brand without folder, CSV or required column is skipped; none left is an error.
+
+    There is one read for each layout of headers, however many brands share it; brands come by a join on the file's path.
+    """
+    layouts: dict[tuple[str, ...], list[tuple[str, str]]] = {}
+    for brand, path, header in product_files(spark, folders):
+        if product_columns([normalise_header(h) for h in header]):
+            layouts.setdefault(header, []).append((brand, path))
+    if not layouts:
         raise ValueError("no brand has a product table")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    parts = []
+    for header, files in layouts.items():
+        names = [normalise_header(h) for h in header]
+        name, price = (names.index(c) for c in product_columns(names))
+        schema = StructType([StructField(f"_{i}", StringType()) for i in range(len(names))])
+        raw = spark.read.option("header", True).option("multiLine", True).schema(schema).csv(sorted({path for _, path in files}))
+        rows = raw.select(F.col(f"_{name}").alias("product_name"), F.col(f"_{price}").alias("price_raw"), F.col("_metadata.file_path").alias("_file"))
+        brands = spark.createDataFrame([(brand, path, brand in dotted) for brand, path in files], "brand string, _path string, _dotted boolean")
+        named = rows.join(F.broadcast(brands), F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B"))) == F.col("_path"))  # a row a file
+        clean = F.when(F.col("_dotted"), price_dotted(F.col("price_raw")).cast("long")).otherwise(price_strict(F.col("price_raw")))
+        parts.append(named.select("brand", "product_name", stem(F.trim("product_name")).alias("join_key"), "price_raw", clean.alias("price_eur")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def list_images(spark: SparkSession, brand: str, folder: str, recursive: bool = True) -> DataFrame:

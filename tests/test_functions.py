@@ -265,3 +265,20 @@ def test_golden_choice_of_runs(spark):
     assert rank.tolerant_k(ward.withColumn("score", F.lit(None).cast("double")), ["algo"]).head()["best_k"] is None
     negative = ward.withColumn("score", F.col("score") - 1)
     assert rank.tolerant_k(negative, ["algo"]).head()["best_k"] == 4
+
+
+def test_5000_brands_are_two_reads(spark, tmp_path):
+    def folders(n):
+        out = {}
+        for i in range(n):
+            to = tmp_path / f"n{n}" / f"br and,{i}+%"
+            to.mkdir(parents=True)
+            (to / "p.csv").write_text(f"Product Name,Price\nx{i}.jpg,{100 + i} €\n" if i % 2 else f'"Product_ID",Note,Price\ny{i},"a\nb",1.{i % 900:03} €\n')
+            out[f"b{i}"] = str(to)
+        return out | {"none": str(tmp_path / "none")}
+
+    few, many = (tables.read_products(spark, folders(n)) for n in (20, 5000))
+    plans = [df._jdf.queryExecution().analyzed().toString() for df in (few, many)]
+    assert [p.count("Relation [") for p in plans] == [2, 2] and len(plans[1]) < 2 * len(plans[0])
+    got = {r["brand"]: (r["join_key"], r["price_eur"]) for r in many.collect()}
+    assert len(got) == 5000 and got["b7"] == ("x7", 107) and got["b8"] == ("y8", 1008)
