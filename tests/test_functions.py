@@ -1,5 +1,6 @@
 """Scalar functions, sources and catalog operators on hand-made rows."""
 
+import os
 from collections import Counter
 
 import pytest
@@ -282,3 +283,34 @@ def test_5000_brands_are_two_reads(spark, tmp_path):
     assert [p.count("Relation [") for p in plans] == [2, 2] and len(plans[1]) < 2 * len(plans[0])
     got = {r["brand"]: (r["join_key"], r["price_eur"]) for r in many.collect()}
     assert len(got) == 5000 and got["b7"] == ("x7", 107) and got["b8"] == ("y8", 1008)
+
+
+def test_a_batch_reads_its_buckets_only_and_may_be_replayed(spark, tmp_path):
+    path, made = str(tmp_path / "cache"), []
+
+    def featurise(df):
+        made.append(sorted(r["stem"] for r in df.collect()))
+        return df.select("stem", (F.col("v") * 2).alias("feature"))
+
+    def images(names):
+        return spark.createDataFrame([(n, len(n) if n else 0) for n in names], "stem string, v int")
+
+    first = [f"s{i}" for i in range(400)]
+    backfill.top_up(images([*first, "s1", None]), path, "b0", featurise, buckets=32)
+    backfill.top_up(images(["s5", "new"]), path, "b1", featurise, buckets=32)
+    assert made == [sorted(first), ["new"]]
+    rows = backfill.read_cache(spark, path)
+    assert rows.columns == ["stem", "feature"] and rows.count() == 401
+    for batch, names in (("b1", ["s5", "new"]), ("b0", [*first, "s1", None])):  # played again after a failure
+        backfill.top_up(images(names), path, batch, featurise, buckets=32)
+    assert backfill.read_cache(spark, path).count() == 401 and made[2:] == [["new"], sorted(first)]
+    backfill.top_up(images([None]), path, "b2", featurise, buckets=32)
+    backfill.top_up(images([]), path, "b3", featurise, buckets=32)
+    assert len(made) == 4
+    one = images(["s7"]).select(F.pmod(F.xxhash64("stem"), F.lit(32)).cast("int")).head()[0]
+    part, whole = backfill.read_cache(spark, path, [one]), backfill.read_cache(spark, path)
+    assert len(part.inputFiles()) and part.count() < 60
+    size = lambda df: sum(os.path.getsize(f.split(":", 1)[1].replace("///", "/")) for f in {r[0] for r in df.select(F.col("_metadata.file_path")).collect()})
+    raw = spark.read.parquet(path)
+    assert size(raw.where(F.col("_bucket") == one)) < size(raw) / 10 and whole.count() == 401
+    assert "_bucket#" in part._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1].split("]")[0]
