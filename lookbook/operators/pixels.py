@@ -14,6 +14,8 @@ def grey(r: Column, g: Column, b: Column, weights: tuple[float, float, float] =
 
 #: Luma weights of the shape mask.
 SHAPE_WEIGHTS = (0.2125, 0.7154, 0.0721)
+#: Orders of the sums x^p y^q that the moments need.
+POWERS = [(p, q) for p in range(4) for q in range(4 - p)]
 
 
 def colour_histogram(pixels: DataFrame, bins: int = BINS) -> DataFrame:
@@ -23,8 +25,13 @@ def colour_histogram(pixels: DataFrame, bins: int = BINS) -> DataFrame:
     counts = pixels.select("stem", channel).select("stem", place.cast("int").alias("bin")).groupBy("stem", "bin").count()
     table = counts.groupBy("stem").agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("m"))  # at most 3 * bins entries
     raw = F.transform(F.sequence(F.lit(0), F.lit(3 * bins - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)).cast("double"))
-    size = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x * x)) + 1e-8
-    return table.withColumn("raw", raw).withColumn("size", size).select("stem", F.transform("raw", lambda x: x / F.col("size")).alias("vec"))
+    return table.withColumn("raw", raw).select("stem", unit_histogram(F.col("raw")).alias("vec"))
+
+
+def unit_histogram(counts: Column) -> Column:
+    """Counts divided by their length + 1e-8."""
+    size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x)) + 1e-8
+    return F.transform(counts, lambda x: x / size)
 
 
 def object_box(pixels: DataFrame, dark: Column, pad: int = 5) -> DataFrame:
@@ -71,9 +78,13 @@ def shape_moments(pixels: DataFrame) -> DataFrame:
     shade = grey(F.col("r"), F.col("g"), F.col("b"), SHAPE_WEIGHTS)
     means = pixels.groupBy("stem").agg(F.avg(shade).alias("mean"))
     px = pixels.join(means, "stem").select("stem", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (shade < F.col("mean")).alias("on"))
-    powers = [(p, q) for p in range(4) for q in range(4 - p)]
-    m = px.groupBy("stem").agg(*(F.sum(F.when(F.col("on"), F.pow("x", F.lit(p)) * F.pow("y", F.lit(q)))).alias(f"m{p}{q}") for p, q in powers))
-    M = {k: F.col(f"m{k[0]}{k[1]}") for k in powers}
+    m = px.groupBy("stem").agg(*(F.sum(F.when(F.col("on"), F.pow("x", F.lit(p)) * F.pow("y", F.lit(q)))).alias(f"m{p}{q}") for p, q in POWERS))
+    return closed_moments(m, "stem")
+
+
+def closed_moments(m: DataFrame, *before: Column | str, after: list[Column] = ()) -> DataFrame:
+    """(before, area, hu1..hu7, eccentricity, axis_ratio, after) from the sums m00, m01... of x^p y^q."""
+    M = {k: F.col(f"m{k[0]}{k[1]}") for k in POWERS}
     m = m.withColumn("cx", M[1, 0] / M[0, 0]).withColumn("cy", M[0, 1] / M[0, 0])
     cx, cy = F.col("cx"), F.col("cy")
     mu = {
@@ -99,7 +110,7 @@ def shape_moments(pixels: DataFrame) -> DataFrame:
     vxx, vyy, vxy = F.col("u20") / area + 1 / 12, F.col("u02") / area + 1 / 12, F.col("u11") / area  # a pixel has an extent of its own
     root = F.sqrt((vxx - vyy) ** 2 + 4 * vxy**2)
     major, minor = (vxx + vyy + root) / 2, (vxx + vyy - root) / 2
-    return m.select("stem", area.cast("long").alias("area"), *(h.alias(f"hu{i + 1}") for i, h in enumerate(hu)), F.sqrt(1 - minor / major).alias("eccentricity"), (F.sqrt(major) / (F.sqrt(minor) + 1e-8)).alias("axis_ratio"))
+    return m.select(*before, area.cast("long").alias("area"), *(h.alias(f"hu{i + 1}") for i, h in enumerate(hu)), F.sqrt(1 - minor / major).alias("eccentricity"), (F.sqrt(major) / (F.sqrt(minor) + 1e-8)).alias("axis_ratio"), *after)
 
 
 def quick_descriptors(pixels: DataFrame, border: float = 0.08) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, text, urls
 from ..functions import vectors as v
-from ..operators import blocks, catalog, cluster, distance, minsize, rank, rounds, scores, search
+from ..operators import blocks, catalog, cluster, distance, folded, minsize, rank, rounds, scores, search
 from ..operators import pixels as px
 from ..operators.keep import keep
 from ..sources import tables
@@ -586,6 +586,13 @@ def _(spark, sf):
     return out.select("stem", *(r6(c).alias(c) for c in out.columns[1:]))
 
 
+@query("image_features", f"""WITH {_MOMENTS}{_DESCRIBED.removeprefix(PIXELS)}, {_BOX.format(p=5, m=85)} SELECT CAST(stem AS VARCHAR) AS stem, area, round(n20 + n02, 6) + 0.0 AS hu1, round((n20 - n02) ** 2 + 4 * n11 ** 2, 6) + 0.0 AS hu2, round(sqrt((vx + vy + root) / 2) / (sqrt((vx + vy - root) / 2) + 1e-8), 6) + 0.0 AS axis_ratio,
+round(brightness, 6) + 0.0 AS brightness, round(mean_saturation, 6) + 0.0 AS mean_saturation, round(lens_darkness, 6) + 0.0 AS lens_darkness, round(tortoise_score, 6) + 0.0 AS tortoise_score, x0, y0, x1, y1 FROM e JOIN q USING (stem) JOIN box USING (stem)""")
+def _(spark, sf):
+    out = folded.image_features(folded.read_images(spark, files.image_folder(spark, sf)), 85)
+    return out.select("stem", "area", *(r6(c).alias(c) for c in ("hu1", "hu2", "axis_ratio", "brightness", "mean_saturation", "lens_darkness", "tortoise_score")), "x0", "y0", "x1", "y1")
+
+
 @query("family_names", f"""WITH {_DESCRIBED}, {_BOX.format(p=0, m=85)}, m AS (SELECT label AS cluster, count(*) AS size, avg((x1 - x0 + 1) / (y1 - y0 + 1)) AS ar, avg(mean_saturation) AS sat, avg(tortoise_score) AS tort, avg(lens_darkness) AS dark FROM q JOIN box USING (stem) JOIN embeddings ON stem = vec_id WHERE label >= 0 GROUP BY label)
 SELECT cluster, size, CASE WHEN ar >= 2.2 THEN 'Slim Rectangle (’90s)' WHEN ar >= 1.6 THEN 'Rectangular' WHEN ar >= 1.25 THEN 'Soft Rectangle / Oval' ELSE 'Geometric' END || ' · Acetate' || CASE WHEN tort > 0.12 THEN ' · Tortoiseshell' ELSE '' END || CASE WHEN dark > 0.5 THEN ' · Blackout Lenses' ELSE ' · Light/Gradient Lenses' END AS name FROM m""")
 def _(spark, sf):
