@@ -74,6 +74,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
     The loss span is that of the text within ``rendered`` for assistant turns and empty (0, 0) otherwise. Null roles and
     texts are empty strings; repeated turns stay; null conv_ids form one conversation; an empty table gives no rows.
+    Texts may be of any length; other columns, of any name, are not read.
     """
 
     def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

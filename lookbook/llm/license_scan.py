@@ -159,7 +159,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     A match within a longer match of the text is dropped; equal notices at two places are two rows. Null and empty texts
     match nothing; rows that repeat a doc_id count once a place; rows without doc_id are left out; an empty table gives no
-    rows. Only known sentences are shuffled.
+    rows. Only known sentences are shuffled. Texts may be of any length; columns besides doc_id and text, of any name, are not read.
     """
 
     def scan(batches):

@@ -149,6 +149,8 @@ def mixed_sizes(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, size, source_size, target, taken, first_slot, n_blocks) for each row of ``docs``.
 
     taken: the words that the mix takes of it, repeats counted, in n_blocks blocks, the first at first_slot (null if none).
+    Null, empty and wordless texts have size 0 and nothing taken; texts may be of any length. Repeated rows and ids are documents of
+    their own, a null source is a source, columns besides doc_id, source and text are not read; an empty table gives no rows.
     """
     return _taken(*mix(docs, block_words)).drop("rid")
 
@@ -157,7 +159,8 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     """``docs`` with the further columns of ``mixed_sizes``, which replace columns of the same names.
 
     Sizes and texts meet again by two hashes of the whole row (but for maps), so texts are shuffled once and stored nowhere. Rows
-    that are equal in all columns are interchangeable: one of them is read for all.
+    that are equal in all columns are interchangeable: one of them is read for all. For null, empty and very long texts, null ids and
+    sources and empty tables see ``mixed_sizes``.
     """
     new = ["size", "source_size", "target", "taken", "first_slot", "n_blocks"]
     docs = docs.drop(*new)

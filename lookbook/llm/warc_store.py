@@ -233,5 +233,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     Null html is an empty payload; equal payloads, empty ones too, share one response: that of the smallest page_id (of
     rows that repeat it, one). A page without id gets a record without one, and is the response only if no page with an
     id has its payload. An empty table gives no archives and no rows; only page_id, url and html are read.
+    Pages may be of any length: a record is one page, read and written as a whole.
     """
     return read_archives(write_archives(pages), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
