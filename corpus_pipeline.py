@@ -48,6 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all stages keep of ``documents``, with the words that the mix takes of each; each stage's rows are a table in the shared folder.
+
+    Null and empty texts go with the first stage, which finds no words in them; null ids and sources, repeated ids, texts of any
+    length and further columns are taken as the stages' functions say. Empty tables give no rows.
+    """
     docs, folder = read(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
