@@ -22,6 +22,7 @@ from .distance import cluster_sums, matrix, silhouette, with_labels
 from .keep import keep
 from .lloyd import fit, squares
 from .rank import strict_k, tolerant_k
+from .neighbours import density_by_graph
 from .rounds import cut_labels, density_of, merge_steps, merges, numbered
 from .trees import cut_tree, density_labels, merge_tree
 
@@ -179,8 +180,14 @@ def search_agglomerative(df: DataFrame, ks: range | list[int] = range(3, 21), gr
     return scores, labels.join(best, "group", "left").select("group", "key", F.get("labels", place).alias("cluster"), "best_k")
 
 
-def density(df: DataFrame, min_size: int = 3, min_samples: int = 1, eps: float = 0.0, metric: str = "cosine", group: str | None = None, cap: int | None = None) -> DataFrame:
-    """(group, key, cluster, mode): density clusters, -1 for noise."""
+def density(df: DataFrame, min_size: int = 3, min_samples: int = 1, eps: float = 0.0, metric: str = "cosine", group: str | None = None, cap: int | None = None, graph: str | None = None, k: int = 16, probes: int = 8) -> DataFrame:
+    """(group, key, cluster, mode): density clusters, -1 for noise.
+
+    ``graph``: None compares all pairs of a group of over ``CAP`` points; "exact" and "approximate" go by its ``k`` nearest neighbours
+    (``neighbours.graph_tree``), with the same clusters (equal distances aside) or, at less cost, those of the ``probes`` lists searched.
+    """
+    if graph not in (None, "exact", "approximate"):
+        raise ValueError(f"unknown graph {graph!r}")
     reps, members, large = _parted(df, group, cap)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -193,8 +200,13 @@ def density(df: DataFrame, min_size: int = 3, min_samples: int = 1, eps: float =
     def rounds(g: str, rows: DataFrame) -> DataFrame:
         points, n = numbered(rows)
         none = points.select("idx", F.lit(-1).alias("cluster"))
-        labels = density_of(points, n, min_size, min_samples, eps, metric) if n >= min_size else none
-        return points.join(labels, "idx").select(F.lit(g).alias("group"), "key", "cluster", F.lit("exact").alias("mode"))
+        if n < min_size:
+            labels = none
+        elif graph is None:
+            labels = density_of(points, n, min_size, min_samples, eps, metric)
+        else:
+            labels = density_by_graph(points.select("idx", "vec"), n, min_size, min_samples, eps, metric, k=k, probes=probes, exact=graph == "exact")
+        return points.join(labels, "idx").select(F.lit(g).alias("group"), "key", "cluster", F.lit("graph" if graph == "approximate" else "exact").alias("mode"))
 
     return _side_by_side(large, rounds, out)
 

@@ -307,8 +307,12 @@ def spanning_tree(points: DataFrame, n: int, min_samples: int, metric: str, bloc
 
 
 def density_of(points: DataFrame, n: int, min_size: int, min_samples: int, eps: float, metric: str, block: int = BLOCK) -> DataFrame:
+    """(idx, cluster)."""
+    return tree_clusters(*spanning_tree(points, n, min_samples, metric, block), n, min_size, eps)
+
+
+def tree_clusters(edges: DataFrame, core: DataFrame, n: int, min_size: int, eps: float) -> DataFrame:
     """(idx, cluster). The condensed tree of a group's n - 1 edges is made by one task, which holds some numbers a point and no vectors."""
-    edges, core = spanning_tree(points, n, min_samples, metric, block)
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         cores = pdf[pdf["b"].isna()].sort_values("a")
