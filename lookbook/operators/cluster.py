@@ -180,11 +180,11 @@ def search_agglomerative(df: DataFrame, ks: range | list[int] = range(3, 21), gr
     return scores, labels.join(best, "group", "left").select("group", "key", F.get("labels", place).alias("cluster"), "best_k")
 
 
-def density(df: DataFrame, min_size: int = 3, min_samples: int = 1, eps: float = 0.0, metric: str = "cosine", group: str | None = None, cap: int | None = None, graph: str | None = None, k: int = 16, probes: int = 8) -> DataFrame:
+def density(df: DataFrame, min_size: int = 3, min_samples: int = 1, eps: float = 0.0, metric: str = "cosine", group: str | None = None, cap: int | None = None, graph: str | None = None, k: int = 16, probes: int | None = None) -> DataFrame:
     """(group, key, cluster, mode): density clusters, -1 for noise.
 
     ``graph``: None compares all pairs of a group of over ``CAP`` points; "exact" and "approximate" go by its ``k`` nearest neighbours
-    (``neighbours.graph_tree``), with the same clusters (equal distances aside) or, at less cost, those of the ``probes`` lists searched.
+    (``neighbours.graph_tree``), with the same clusters (equal distances aside) or, at less cost, those of the ``probes`` lists searched (None: measured).
     """
     if graph not in (None, "exact", "approximate"):
         raise ValueError(f"unknown graph {graph!r}")

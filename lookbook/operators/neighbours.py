@@ -1,7 +1,8 @@
 """An index of inverted lists over vectors: nearest neighbours, and density clusters over the graph that they make.
 
 The lists' centres are fit on a bounded sample (``SAMPLE_CELLS`` doubles); every vector is in the list of its nearest centre. A search
-asks the lists of the nearest ``probes`` centres; an exact one then asks those lists, too, that by the triangle inequality may hold
+asks the lists of the nearest ``probes`` centres, by default as many as hold ``RECALL`` of the neighbours that ``MEASURED`` points have
+among all; an exact one then asks those lists, too, that by the triangle inequality may hold
 something nearer than the k-th found so far. A list is dealt over blocks and those that ask it over parts, so that a task meets some
 thousand vectors of each side, whatever the size of the list. Cosine distances are searched as euclidean ones between unit vectors.
 
@@ -27,6 +28,8 @@ from .rounds import roots, tree_clusters
 
 #: Doubles of the sample that centres are fit on; steps of the fit; points that ask a block of a list in one task.
 SAMPLE_CELLS, STEPS, ASKED = 4_000_000, 4, 8000
+#: Points whose neighbours are found by brute force to choose ``probes``, and the part of these that the lists asked must hold.
+MEASURED, RECALL = 500, 0.95
 #: Bounds are widened by this part, so that rounding loses nothing.
 SLACK = 1e-7
 
@@ -109,14 +112,53 @@ def _meet(stored_rows: DataFrame, asked: DataFrame, run, schema: str) -> DataFra
     return both.groupBy("list", "block", "part").applyInPandas(task, schema)
 
 
-def nearest(index: Index, k: int, probes: int = 8, exact: bool = False) -> DataFrame:
+_FOUND = "idx long, d array<double>, to array<long>"
+
+
+def _few(k: int, metric: str):
+    """The ``k`` nearest of a block to each point that asks it."""
+
+    def run(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        d = np.maximum(matrix(np.stack(asking["vec"]).astype(float), np.stack(own["vec"]).astype(float), metric), 0)
+        ids, to = own["idx"].to_numpy(), np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+        return pd.DataFrame({"idx": asking["idx"].to_numpy(), "d": list(np.take_along_axis(d, to, axis=1)), "to": list(ids[to])})
+
+    return run
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    pieces = found.select("idx", F.arrays_zip("d", "to").alias("near")) if "near" not in found.columns else found
+    return pieces.groupBy("idx").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+
+def measured_probes(index: Index, k: int, recall: float = RECALL) -> int:
+    """The least number of lists that, nearest centre first, hold ``recall`` of the ``k`` nearest of ``MEASURED`` points among all points."""
+    sent, full = index.rows.sparkSession.sparkContext.broadcast(index.centres), np.flatnonzero(index.radius >= 0)
+    known = index._replace(rows=None, centres=None)
+    some = keep(stored(index.rows.orderBy(F.xxhash64("idx", F.lit(1)), "idx").limit(MEASURED)))
+    asked = some.select("idx", "vec", F.explode(F.array(*map(F.lit, full.tolist()))).alias("list"))
+    near = _merged(_meet(index.rows, asked, _few(k, index.metric), _FOUND), k).select("idx", F.explode("near.to").alias("to"))
+    lists = near.join(index.rows.select(F.col("idx").alias("to"), "list"), "to").groupBy("idx").agg(F.collect_list("list").alias("lists"))
+
+    @F.pandas_udf("array<int>")
+    def places(vecs: pd.Series, lists: pd.Series) -> pd.Series:
+        d = _bounds(known, sent.value, vecs)[0][:, full] if len(vecs) else np.zeros((0, len(full)))
+        rank = d.argsort(axis=1).argsort(axis=1)
+        return pd.Series([r[np.searchsorted(full, at)].astype(np.int32) for r, at in zip(rank, lists, strict=True)], dtype=object)
+
+    counts = some.join(lists, "idx").select(F.explode(places("vec", "lists")).alias("place")).groupBy("place").count().orderBy("place").collect()  # at most a row a list
+    within = np.cumsum([r["count"] for r in counts])
+    return int(counts[int(np.searchsorted(within, recall * within[-1]))]["place"]) + 1 if counts else 1
+
+
+def nearest(index: Index, k: int, probes: int | None = None, exact: bool = False) -> DataFrame:
     """(idx, near), near the k nearest as (d, to) by rising distance, a point itself included; all points if there are no more.
 
-    Unless ``exact``, neighbours in lists further off than ``probes`` may be missed, but a point always has k of them.
+    Unless ``exact``, neighbours in lists further off than ``probes`` (None: measured) may be missed, but a point always has k of them.
     """
     sent = index.rows.sparkSession.sparkContext.broadcast(index.centres)
     metric, empty, known = index.metric, index.radius < 0, index._replace(rows=None, centres=None)
-    probes = min(probes, int((~empty).sum()))
+    probes = min(probes or (8 if exact else measured_probes(index, k)), max(1, int((~empty).sum())))
 
     @F.pandas_udf("array<int>")
     def first(vecs: pd.Series) -> pd.Series:
@@ -134,27 +176,17 @@ def nearest(index: Index, k: int, probes: int = 8, exact: bool = False) -> DataF
         np.put_along_axis(done, np.argpartition(d, probes - 1, axis=1)[:, :probes], True, axis=1)
         return pd.Series([np.flatnonzero(r).astype(np.int32) for r in (low <= most.fillna(np.inf).to_numpy(float)[:, None]) & ~done & ~empty[None, :]])
 
-    def run(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        d = np.maximum(matrix(np.stack(asking["vec"]).astype(float), np.stack(own["vec"]).astype(float), metric), 0)
-        ids, to = own["idx"].to_numpy(), np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
-        return pd.DataFrame({"idx": asking["idx"].to_numpy(), "d": list(np.take_along_axis(d, to, axis=1)), "to": list(ids[to])})
-
-    def merged(found: DataFrame) -> DataFrame:
-        pieces = found.select("idx", F.arrays_zip("d", "to").alias("near")) if "near" not in found.columns else found
-        return pieces.groupBy("idx").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-
-    schema, points = "idx long, d array<double>, to array<long>", index.rows.select("idx", "vec")
-    found = stored(merged(_meet(index.rows, points.withColumn("list", F.explode(first("vec"))), run, schema)))
+    points = index.rows.select("idx", "vec")
+    found = stored(_merged(_meet(index.rows, points.withColumn("list", F.explode(first("vec"))), _few(k, metric), _FOUND), k))
     rest = points.join(found, "idx").select("idx", "vec", F.when(F.size("near") >= k, F.get("near", F.lit(k - 1))["d"]).alias("most"))
     asked = rest if exact else rest.where("most is null")
     asked = stored(asked.select("idx", "vec", F.explode(further("vec", "most")).alias("list")))
     if asked.isEmpty():
         return found
-    more = merged(_meet(index.rows, asked, run, schema))
-    return stored(merged(found.unionByName(more)))
+    return stored(_merged(found.unionByName(_merged(_meet(index.rows, asked, _few(k, metric), _FOUND), k)), k))
 
 
-def neighbours(df: DataFrame, k: int, metric: str = "euclidean", probes: int = 8, exact: bool = False) -> DataFrame:
+def neighbours(df: DataFrame, k: int, metric: str = "euclidean", probes: int | None = None, exact: bool = False) -> DataFrame:
     """(key, rank, to, d): the ``k`` nearest other points of each point of ``df`` (key, vec), keys unique; fewer if there are fewer."""
     points = keep(df.select(F.xxhash64("key").alias("idx"), F.col("key"), "vec"))
     if points.groupBy("idx").count().where("count > 1").isEmpty():
@@ -217,7 +249,7 @@ def _search(index: Index, asked: DataFrame, state: DataFrame) -> DataFrame:
     return edges.groupBy("c").agg(F.min(F.struct("w", "a", "b", "ca", "cb")).alias("m")).select("m.*").distinct()
 
 
-def graph_tree(points: DataFrame, n: int, min_samples: int, metric: str, k: int = 16, probes: int = 8, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+def graph_tree(points: DataFrame, n: int, min_samples: int, metric: str, k: int = 16, probes: int | None = None, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(w, a, b), the n - 1 edges of a spanning tree over mutual reachability, and (idx, core), for ``points`` (idx, vec).
 
     With ``exact`` it is the least spanning tree (equal edges aside); else core distances and edges are those of the ``k`` neighbours found.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, text, urls
 from ..functions import vectors as v
-from ..operators import blocks, catalog, cluster, distance, folded, minsize, rank, rounds, scores, search
+from ..operators import blocks, catalog, cluster, distance, folded, minsize, neighbours, rank, rounds, scores, search
 from ..operators import pixels as px
 from ..operators.keep import keep
 from ..sources import tables
@@ -653,12 +653,15 @@ def _(spark, sf):
     return checked.groupBy(F.col("group").alias("brand")).agg(F.count("*").alias("merges"), F.max("size").alias("last_size"), F.round(F.sum(F.col("height") * F.col("height") / 2), 6).alias("squares"), F.every("rises").alias("rising"))
 
 
-@query("density_tree", f"""WITH RECURSIVE {POINTS}, ids AS (SELECT row_number() OVER (ORDER BY CAST(key AS VARCHAR)) AS i, vec FROM points), ds AS (SELECT a.i, b.i AS j, greatest(1 - list_cosine_similarity(a.vec, b.vec), 0) AS d FROM ids a JOIN ids b ON a.i <> b.i),
+_DENSITY_TREE = f"""WITH RECURSIVE {POINTS}, ids AS (SELECT row_number() OVER (ORDER BY CAST(key AS VARCHAR)) AS i, vec FROM points), ds AS (SELECT a.i, b.i AS j, greatest(1 - list_cosine_similarity(a.vec, b.vec), 0) AS d FROM ids a JOIN ids b ON a.i <> b.i),
 core AS (SELECT i, min(d) AS c FROM ds GROUP BY i), w AS (SELECT ds.i, list(greatest(d, x.c, y.c) ORDER BY j) AS r FROM ds JOIN core x ON x.i = ds.i JOIN core y ON y.i = ds.j GROUP BY ds.i), n AS (SELECT count(*) AS n FROM ids),
 m AS (SELECT i, list_concat(r[:i - 1], [9.0], r[i:]) AS r FROM w),
 prim(k, total, inside, best) AS (SELECT 1, CAST(0 AS DOUBLE), [CAST(1 AS BIGINT)], list_transform(r, lambda x, j: CASE WHEN j = 1 THEN 9.0 ELSE x END) FROM m WHERE i = 1
   UNION ALL SELECT k + 1, total + e, list_append(inside, a), list_transform(best, lambda x, j: CASE WHEN j = a OR x = 9.0 THEN 9.0 ELSE least(x, r[j]) END) FROM (SELECT *, list_min(best) AS e, list_position(best, list_min(best)) AS a FROM prim) p JOIN m ON m.i = p.a WHERE k < (SELECT n FROM n))
-SELECT n - 1 AS edges, round(total, 6) AS weight, n AS points FROM prim, n WHERE k = n""")
+SELECT n - 1 AS edges, round(total, 6) AS weight, n AS points FROM prim, n WHERE k = n"""
+
+
+@query("density_tree", _DENSITY_TREE)
 def _(spark, sf):
     named = inputs.points(spark, sf).select(F.col("key").cast("string").alias("key"), "vec")
     points, n = rounds.numbered(named)
@@ -666,6 +669,33 @@ def _(spark, sf):
     return edges.agg(F.count("*").alias("edges"), F.round(F.sum("w"), 6).alias("weight")).crossJoin(F.broadcast(core.agg(F.count("*").alias("points"))))
 
 
+@query("density_graph_tree", _DENSITY_TREE)
+def _(spark, sf):
+    points, n = rounds.numbered(inputs.points(spark, sf).select(F.col("key").cast("string").alias("key"), "vec"))
+    edges, core = neighbours.graph_tree(points.select("idx", "vec"), n, 1, "cosine", exact=True)
+    return edges.agg(F.count("*").alias("edges"), F.round(F.sum("w"), 6).alias("weight")).crossJoin(F.broadcast(core.agg(F.count("*").alias("points"))))
+
+
+_NEAREST = f"""WITH {POINTS}, ds AS (SELECT a.key, greatest(1 - list_cosine_similarity(a.vec, b.vec), 0) AS d FROM points a JOIN points b ON a.key <> b.key),
+ranked AS (SELECT key, d, CAST(row_number() OVER (PARTITION BY key ORDER BY d) AS INTEGER) AS rank FROM ds)"""
+
+
+@query("neighbours", f"{_NEAREST} SELECT key, rank, round(d, 6) AS d FROM ranked WHERE rank <= 10")
+def _(spark, sf):
+    near = neighbours.neighbours(inputs.points(spark, sf), 10, "cosine", exact=True)
+    return near.select("key", "rank", F.round("d", 6).alias("d"))
+
+
+@query("neighbour_recall", f"{_NEAREST} SELECT count(*) AS pairs, true AS enough FROM ranked WHERE rank <= 10 AND key % 50 = 0")
+def _(spark, sf):
+    """The lists that ``measured_probes`` chooses, against a search that misses nothing, for keys divisible by 50."""
+    p = inputs.points(spark, sf)
+    near, every = (neighbours.neighbours(p, 10, "cosine", exact=e).where("key % 50 = 0") for e in (False, True))
+    kth = every.groupBy("key").agg(F.max("d").alias("kth"))
+    right = F.sum(F.when(F.col("d") <= F.col("kth") + 1e-9, 1).otherwise(0))
+    return near.join(kth, "key").agg(F.count("*").alias("pairs"), F.coalesce(right >= 0.9 * F.count("*"), F.lit(True)).alias("enough"))
+
+
 # --- fitted models: rows only, exactness is tested against brute force -------------------------------------------------
 
 
