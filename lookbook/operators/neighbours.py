@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import BROADCAST_CELLS, small
-from .distance import BATCH, BLOCK, matrix
+from .distance import BATCH, BLOCK, bands, matrix
 from .keep import keep, stored
-from .rounds import roots, tree_clusters
+from .rounds import lightest, on_grid, roots, tree_clusters
 
 #: Doubles of the sample that centres are fit on; steps of the fit; points that ask a block of a list in one task.
 SAMPLE_CELLS, STEPS, ASKED = 4_000_000, 4, 8000
@@ -37,6 +37,7 @@ SLACK = 1e-7
 class Index(NamedTuple):
     rows: DataFrame  # (idx, vec, list), kept
     centres: np.ndarray
+    bands: int  # of a grid of all pairs: how often it copies a vector
     radius: np.ndarray  # of each list; -1 where it is empty
     zero: np.ndarray  # whether a list holds a vector of length 0, whose cosine distances are all 1
     metric: str
@@ -81,7 +82,7 @@ def build(points: DataFrame, metric: str = "euclidean") -> Index:
     radius, zero = np.full(len(centres), -1.0), np.zeros(len(centres), bool)
     for r in rows.groupBy("list").agg(F.max("far").alias("far"), F.max("none").alias("none")).collect():  # a row a list
         radius[r["list"]], zero[r["list"]] = r["far"] * (1 + SLACK) + SLACK, r["none"]
-    return Index(rows.select("idx", "vec", "list"), centres, radius, zero, metric)
+    return Index(rows.select("idx", "vec", "list"), centres, bands(n, width or 1, spark.sparkContext.defaultParallelism), radius, zero, metric)
 
 
 def _bounds(index: Index, centres: np.ndarray, vecs: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,6 +113,18 @@ def _meet(stored_rows: DataFrame, asked: DataFrame, run, schema: str) -> DataFra
     return both.groupBy("list", "block", "part").applyInPandas(task, schema)
 
 
+def _own(index: Index):
+    return F.pmod(F.xxhash64("idx"), F.lit(index.bands)).cast("int")
+
+
+def _asked(index: Index, points: DataFrame) -> DataFrame | None:
+    """``points`` with a row for each of their ``lists``; None if these copy vectors more often than a grid of all pairs."""
+    points = stored(points)
+    if (points.agg(F.sum(F.size("lists"))).head()[0] or 0) > index.bands * index.rows.count():
+        return None
+    return points.withColumn("list", F.explode("lists")).drop("lists")
+
+
 _FOUND = "idx long, d array<double>, to array<long>"
 
 
@@ -126,6 +139,26 @@ def _few(k: int, metric: str):
     return run
 
 
+def _by_grid(index: Index, k: int) -> DataFrame:
+    """``nearest`` by comparing all pairs."""
+    few = _few(k, index.metric)
+
+    def run(pairs) -> pd.DataFrame:
+        held: dict[int, tuple] = {}
+        for a, p, b, q, same in pairs:
+            sides = [pd.DataFrame({"idx": x.rows["idx"][s], "vec": list(x.x[s])}) for x, s in ((a, p), (b, q))]
+            for own, asking in ((sides[0], sides[1]), (sides[1], sides[0]))[: 1 if same else 2]:
+                for i, d, to in few(own, asking).itertuples(index=False):
+                    if i in held:
+                        d, to = np.concatenate([held[i][0], d]), np.concatenate([held[i][1], to])
+                        best = np.lexsort((to, d))[:k]
+                        d, to = d[best], to[best]
+                    held[i] = d, to
+        return pd.DataFrame([(i, *row) for i, row in held.items()], columns=["idx", "d", "to"])
+
+    return stored(_merged(on_grid(index.rows.select("idx", "vec"), _own(index), index.bands, "idx", BLOCK, run, _FOUND), k))
+
+
 def _merged(found: DataFrame, k: int) -> DataFrame:
     pieces = found.select("idx", F.arrays_zip("d", "to").alias("near")) if "near" not in found.columns else found
     return pieces.groupBy("idx").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
@@ -155,10 +188,11 @@ def nearest(index: Index, k: int, probes: int | None = None, exact: bool = False
     """(idx, near), near the k nearest as (d, to) by rising distance, a point itself included; all points if there are no more.
 
     Unless ``exact``, neighbours in lists further off than ``probes`` (None: measured) may be missed, but a point always has k of them.
+    Where the lists to be asked would copy vectors more often than a grid of all pairs does, the grid is taken, which misses nothing.
     """
     sent = index.rows.sparkSession.sparkContext.broadcast(index.centres)
     metric, empty, known = index.metric, index.radius < 0, index._replace(rows=None, centres=None)
-    probes = min(probes or (8 if exact else measured_probes(index, k)), max(1, int((~empty).sum())))
+    probes = min(probes or (min(8, index.bands) if exact else measured_probes(index, k)), max(1, int((~empty).sum())))
 
     @F.pandas_udf("array<int>")
     def first(vecs: pd.Series) -> pd.Series:
@@ -176,11 +210,15 @@ def nearest(index: Index, k: int, probes: int | None = None, exact: bool = False
         np.put_along_axis(done, np.argpartition(d, probes - 1, axis=1)[:, :probes], True, axis=1)
         return pd.Series([np.flatnonzero(r).astype(np.int32) for r in (low <= most.fillna(np.inf).to_numpy(float)[:, None]) & ~done & ~empty[None, :]])
 
+    if probes > index.bands:
+        return _by_grid(index, k)
     points = index.rows.select("idx", "vec")
     found = stored(_merged(_meet(index.rows, points.withColumn("list", F.explode(first("vec"))), _few(k, metric), _FOUND), k))
     rest = points.join(found, "idx").select("idx", "vec", F.when(F.size("near") >= k, F.get("near", F.lit(k - 1))["d"]).alias("most"))
     asked = rest if exact else rest.where("most is null")
-    asked = stored(asked.select("idx", "vec", F.explode(further("vec", "most")).alias("list")))
+    asked = _asked(index, asked.select("idx", "vec", further("vec", "most").alias("lists")))
+    if asked is None:
+        return _by_grid(index, k)
     if asked.isEmpty():
         return found
     return stored(_merged(found.unionByName(_merged(_meet(index.rows, asked, _few(k, metric), _FOUND), k)), k))
@@ -244,7 +282,10 @@ def _search(index: Index, asked: DataFrame, state: DataFrame) -> DataFrame:
         out = out[np.isfinite(w)].sort_values(["w", "a", "b"])
         return out.drop_duplicates("c")  # one edge a component and task
 
-    asks = stored(points.withColumn("list", F.explode(may("vec", "c", "core", "most"))).drop("most"))
+    asks = _asked(index, points.withColumn("lists", may("vec", "c", "core", "most")).drop("most"))
+    if asks is None:  # all pairs
+        edges = on_grid(rows.drop("list"), _own(index), index.bands, "idx", BLOCK, lambda pairs: lightest(pairs, metric), "c long, w double, a long, b long, to long")
+        return edges.groupBy("c").agg(F.min(F.struct("w", "a", "b", "to")).alias("m")).select("m.w", "m.a", "m.b", F.col("c").alias("ca"), F.col("m.to").alias("cb"))
     edges = _meet(rows.select("list", "idx", "vec", "c", "core"), asks, run, "w double, a long, b long, ca long, cb long, c long")
     return edges.groupBy("c").agg(F.min(F.struct("w", "a", "b", "ca", "cb")).alias("m")).select("m.*").distinct()
 

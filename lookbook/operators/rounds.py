@@ -60,7 +60,7 @@ class _Band:
             self.chunks.append(slice(begin, end))
 
 
-def _on_grid(rows: DataFrame, own, n_bands: int, by: str, block: int, run: Callable[[Iterator], pd.DataFrame], schema: str) -> DataFrame:
+def on_grid(rows: DataFrame, own, n_bands: int, by: str, block: int, run: Callable[[Iterator], pd.DataFrame], schema: str) -> DataFrame:
     """``run(pairs)`` of each pair of bands; pairs are (band, chunk, band, chunk, same)."""
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -140,7 +140,7 @@ def merges(points: DataFrame, n: int, linkage: str, metric: str, cap: int, block
     ward = F.sqrt(F.greatest(2 * F.col("wa") * F.col("wb") / (F.col("wa") + F.col("wb")) * (mean - F.col("sa") / F.col("wa") - F.col("sb") / F.col("wb")), F.lit(0.0)))
     height = {"ward": ward, "average": mean, "complete": F.col("raw")}[linkage]
     while live > max(1, cap):
-        found = _on_grid(rows(), own, n_bands, "c", block, lambda pairs: _nearest(pairs, linkage, metric, block), "a long, b long, d double, raw double")
+        found = on_grid(rows(), own, n_bands, "c", block, lambda pairs: _nearest(pairs, linkage, metric, block), "a long, b long, d double, raw double")
         found = stored(found)
         parts = found.where("raw is not null").groupBy("a", "b").agg((F.max if linkage == "complete" else F.sum)("raw").alias("raw"))
         for k in ("a", "b"):
@@ -202,7 +202,7 @@ def _last_merges(rows: DataFrame, own, n_bands: int, block: int, linkage: str, m
         return pd.DataFrame(out, columns=[c.split()[0] for c in _MERGE.split(", ")]).astype({"left": "Int64", "right": "Int64"})
 
     named = rows.withColumn("last", F.coalesce("last", F.lit(-1)))
-    packed = _on_grid(named, own, n_bands, "c", block, pairs_of, "ca binary, cb binary, ia binary, ib binary, same boolean, raw binary")
+    packed = on_grid(named, own, n_bands, "c", block, pairs_of, "ca binary, cb binary, ia binary, ib binary, same boolean, raw binary")
     return packed.groupBy(F.lit("")).applyInPandas(finish, _MERGE)
 
 
@@ -257,6 +257,23 @@ def cut_labels(points: DataFrame, found: DataFrame, n: int, ks: list[int]) -> Da
     return own.join(F.broadcast(table) if most <= 10_000 else table, "root").select("idx", "labels")
 
 
+def lightest(pairs, metric: str) -> pd.DataFrame:
+    """The lightest edge out of each component (c, w, a, b, to), a < b, over mutual reachability."""
+    best: dict[int, tuple] = {}
+    for a, p, b, q, same in pairs:
+        (ia, ca, ra), (ib, cb, rb) = ((x.rows["idx"][s], x.rows["c"][s], x.rows["core"][s]) for x, s in ((a, p), (b, q)))
+        w = np.maximum(_distances(a, p, b, q, same, metric), np.maximum(ra[:, None], rb[None, :]))
+        w[ca[:, None] == cb[None, :]] = np.inf
+        for mine, mc, theirs, tc, m in ((ia, ca, ib, cb, w), (ib, cb, ia, ca, w.T))[: 1 if same else 2]:
+            to = m.argmin(1)
+            v = m[np.arange(len(mine)), to]
+            rows = zip(mc.tolist(), v.tolist(), np.minimum(mine, theirs[to]).tolist(), np.maximum(mine, theirs[to]).tolist(), tc[to].tolist(), strict=True)
+            for c, *edge in rows:
+                if edge[0] < np.inf and (c not in best or tuple(edge) < best[c]):
+                    best[c] = tuple(edge)
+    return pd.DataFrame([(c, *e) for c, e in best.items()], columns=["c", "w", "a", "b", "to"])
+
+
 def spanning_tree(points: DataFrame, n: int, min_samples: int, metric: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(w, a, b), the edges of the least spanning tree over mutual reachability, and (idx, core); equal edges go by (a, b)."""
     spark, near = points.sparkSession, min(min_samples, n - 1)
@@ -274,29 +291,14 @@ def spanning_tree(points: DataFrame, n: int, min_samples: int, metric: str, bloc
                     held[i] = np.sort(np.concatenate([held[i], row]))[: near + 1] if i in held else np.sort(row)
         return pd.DataFrame({"idx": list(held), "few": list(held.values())}, columns=["idx", "few"])
 
-    found = _on_grid(points.select("idx", "vec"), own, n_bands, "idx", block, few, "idx long, few array<double>")
+    found = on_grid(points.select("idx", "vec"), own, n_bands, "idx", block, few, "idx long, few array<double>")
     core = keep(found.groupBy("idx").agg(F.get(F.sort_array(F.flatten(F.collect_list("few"))), F.lit(near)).alias("core")).repartition("idx"))
     member, edges, parts = points.select("idx", F.col("idx").alias("c")), None, n
     least = F.min(F.struct("w", "a", "b", "to")).alias("m")
 
-    def lightest(pairs) -> pd.DataFrame:
-        best: dict[int, tuple] = {}
-        for a, p, b, q, same in pairs:
-            (ia, ca, ra), (ib, cb, rb) = ((x.rows["idx"][s], x.rows["c"][s], x.rows["core"][s]) for x, s in ((a, p), (b, q)))
-            w = np.maximum(_distances(a, p, b, q, same, metric), np.maximum(ra[:, None], rb[None, :]))
-            w[ca[:, None] == cb[None, :]] = np.inf
-            for mine, mc, theirs, tc, m in ((ia, ca, ib, cb, w), (ib, cb, ia, ca, w.T))[: 1 if same else 2]:
-                to = m.argmin(1)
-                v = m[np.arange(len(mine)), to]
-                rows = zip(mc.tolist(), v.tolist(), np.minimum(mine, theirs[to]).tolist(), np.maximum(mine, theirs[to]).tolist(), tc[to].tolist(), strict=True)
-                for c, *edge in rows:
-                    if edge[0] < np.inf and (c not in best or tuple(edge) < best[c]):
-                        best[c] = tuple(edge)
-        return pd.DataFrame([(c, *e) for c, e in best.items()], columns=["c", "w", "a", "b", "to"])
-
     while parts > 1:
         rows = points.select("idx", "vec").join(core, "idx").join(member, "idx")
-        best = stored(_on_grid(rows, own, n_bands, "idx", block, lightest, "c long, w double, a long, b long, to long").groupBy("c").agg(least).select("c", "m.*"))
+        best = stored(on_grid(rows, own, n_bands, "idx", block, lambda pairs: lightest(pairs, metric), "c long, w double, a long, b long, to long").groupBy("c").agg(least).select("c", "m.*"))
         edges = best.select("w", "a", "b").distinct() if edges is None else edges.union(best.select("w", "a", "b").distinct())
         back = best.select(F.col("to").alias("c"), F.col("c").alias("to"))
         ends = best.join(back, ["c", "to"]).where("c < to").select("c")  # two that take the same edge: the smaller is the end of the chain
