@@ -77,11 +77,8 @@ def _numbered(rows: DataFrame, order: str, amount: str) -> DataFrame:
 
 def radical_inverse(slot: Column, bits: int) -> Column:
     """The van der Corput point of ``slot`` times 2^bits: its lowest ``bits`` bits in reverse order."""
-    x = slot.cast("long")
-    for shift, mask in ((1, 0x5555555555555555), (2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
-        keep = F.lit(mask).cast("long")
-        x = F.shiftleft(x.bitwiseAND(keep), shift).bitwiseOR(F.shiftrightunsigned(x, shift).bitwiseAND(keep))
-    return F.shiftrightunsigned(x, 64 - bits) if bits else F.lit(0).cast("long")
+    # by digits: the usual swaps of masked bits name the slot twice in each of six steps, so 64 times in all, wherever a plan has the point
+    return F.conv(F.rpad(F.reverse(F.bin(slot)), bits, "0"), 2, 10).cast("long") if bits else F.lit(0).cast("long")
 
 
 def schedule(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -135,8 +132,9 @@ def _mixed(sized: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     first, last = F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)
     pieces = placed.withColumn("block", F.explode(F.sequence(first, last)))
     words = F.least("end", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    pieces = pieces.select("sid", "block", "rid", words.alias("words"))
-    return named, pieces.join(schedule(goals, block), ["sid", "block"]).select("slot", "sid", "block", "rid", "words")
+    # cut: each half of the join is planned by itself, and the driver holds no plan of all steps
+    pieces = cut(pieces.select("sid", "block", "rid", words.alias("words")))
+    return named, pieces.join(cut(schedule(goals, block)), ["sid", "block"]).select("slot", "sid", "block", "rid", "words")
 
 
 def _taken(named: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -168,7 +166,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     rows = docs.select("doc_id", "source", "text", packed(docs), F.xxhash64(F.lit(1), *hashed).alias("h1"), F.xxhash64(F.lit(2), *hashed).alias("h2"))
     key = ["h1", "h2"]
     sized = cut(word_counts(rows, *key).withColumn("rid", F.monotonically_increasing_id()))
-    found = _taken(*_mixed(sized, block_words)).join(sized.select("rid", *key), "rid").select(*key, *new)
+    found = cut(_taken(*_mixed(sized, block_words)).join(sized.select("rid", *key), "rid").select(*key, *new))
     again = cut(sized.groupBy(*key).count().where("count > 1").select(*key))
     rows = rows.select(*key, "row")
     if (n := again.count()) > 0:

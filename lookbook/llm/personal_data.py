@@ -100,19 +100,31 @@ def _valid(kind: str, m: Column) -> Column:
     return n.between(8, 15) if kind == "phone" else F.lit(True)
 
 
-_EMPTY = "array<struct<s:int,e:int,m:string>>"
+def _by_kind(kind: Column, values: dict[str, Column]) -> Column:
+    """The value of the kind; null for other kinds."""
+    (first, value), *rest = values.items()
+    out = F.when(kind == first, value)
+    for k, v in rest:
+        out = out.when(kind == k, v)
+    return out
 
 
-def _matches(text: Column, pattern: str, needs: str) -> Column:
-    """array<struct<s, e, m>>: leftmost non-overlapping matches; offsets in code points from the lengths of what lies between."""
-    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+def _hits(text: Column, kind: str, pattern: str, needs: str, base: bool, plain: bool = False) -> Column:
+    """Leftmost non-overlapping matches and the lengths of what lies between them; null where ``needs`` isn't found."""
+    gaps, hits = F.transform(F.split(text, pattern, -1), F.length), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    labels = F.lit(kind).alias("kind"), F.lit(base).alias("base"), F.lit(1 if base or plain else 0).alias("l_regex")
+    return F.when(text.rlike(needs), F.struct(*labels, gaps.alias("gaps"), hits.alias("hits")))
 
-    def found(x: Column) -> Column:  # x: both, searched once
-        n = F.size(x["hits"])
-        sizes = F.zip_with(F.slice(x["gaps"], 1, n), x["hits"], lambda g, h: F.length(g) + F.length(h))
-        return F.zip_with(x["hits"], running(sizes, n, plus), lambda h, e: F.struct((e - F.length(h)).alias("s"), e.alias("e"), h.alias("m")))
 
-    return F.when(text.rlike(needs), let(both, found)).otherwise(F.array().cast(_EMPTY))
+def _matches(x: Column) -> Column:
+    """The matches of ``_hits`` one by one; offsets in code points from the lengths of what lies between."""
+    n = F.size(x["hits"])
+    sizes = F.zip_with(F.slice(x["gaps"], 1, n), x["hits"], lambda g, h: g + F.length(h))
+
+    def match(h: Column, e: Column) -> Column:
+        return F.struct(x["kind"].alias("kind"), x["base"].alias("base"), x["l_regex"].alias("l_regex"), (e - F.length(h)).alias("s"), e.alias("e"), h.alias("m"))
+
+    return F.zip_with(x["hits"], running(sizes, n, plus), match)
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -133,12 +145,12 @@ def _rest97(m: Column) -> Column:
 def _seen(x: Column, of: Column) -> Column:
     """The match with its digits and what stands before and after it; ``of``: chunks of the text."""
     before, after = between(of, F.greatest(x["s"] - AROUND, F.lit(0)), x["s"]), between(of, x["e"], x["e"] + 1)
-    return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), _digits(x["m"]).alias("digits"), before.alias("before"), after.alias("after"))
+    same = (x[c].alias(c) for c in ("kind", "base", "l_regex", "s", "e", "m"))
+    return F.struct(*same, _digits(x["m"]).alias("digits"), before.alias("before"), after.alias("after"))
 
 
-def _labels(kind: str, x: Column, base: bool, plain: bool) -> Column:
-    """The candidate with its votes."""
-    before, after, m, digits = x["before"], x["after"], x["m"], x["digits"]
+def _votes(kind: str, m: Column, digits: Column) -> tuple[Column, Column, Column]:
+    """The votes that depend on the kind: check, gazetteer and variety."""
     n, never = F.length(digits), F.lit(False)
     if kind == "email":
         domain = F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1))
@@ -167,28 +179,34 @@ def _labels(kind: str, x: Column, base: bool, plain: bool) -> Column:
         check = _vote((n >= 4) & (letters >= 4) & (F.length(m) >= 20), (n < 3) | (letters < 2))
         gazetteer = _vote(F.exists(F.array(*map(F.lit, KEY_PREFIXES)), lambda p: F.startswith(m, p)), m.rlike("[-_][A-Za-z]*[-_]"))
         varied = _vote(F.size(F.array_distinct(F.split(m, ""))) >= 12, F.size(F.array_distinct(F.split(m, ""))) < 8)
+    return check, gazetteer, varied
+
+
+def _labels(x: Column) -> Column:
+    """The candidate with its votes."""
+    before, after, kind = x["before"], x["after"], x["kind"]
+    votes = {k: _votes(k, x["m"], x["digits"]) for k in ALL_KINDS}
+    check, gazetteer, varied = (_by_kind(kind, {k: v[i] for k, v in votes.items()}) for i in range(3))
     touch = before.rlike(r"[\p{L}\p{N}_=/#.-]$") | after.rlike(r"^[\p{L}\p{N}_=/#-]")
+    cue = _by_kind(kind, {k: before.rlike(CUES[k]) for k in ALL_KINDS})
     return F.struct(
-        F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(base).alias("base"), F.lit(1 if base or plain else 0).alias("l_regex"), check.alias("l_check"), gazetteer.alias("l_gazetteer"),
-        _vote(before.rlike(CUES[kind]), before.rlike(COUNTER_CUES)).alias("l_context"), _vote(never, touch).alias("l_edges"), varied.alias("l_variety"), F.least(n, F.lit(20)).alias("digits"),
+        kind.alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["base"].alias("base"), x["l_regex"].alias("l_regex"), check.alias("l_check"), gazetteer.alias("l_gazetteer"),
+        _vote(cue, before.rlike(COUNTER_CUES)).alias("l_context"), _vote(F.lit(False), touch).alias("l_edges"), varied.alias("l_variety"), F.least(F.length(x["digits"]), F.lit(20)).alias("digits"),
     )
 
 
 def candidates(text: Column) -> Column:
-    """All candidates of a text, base spans first, each kind in text order."""
-    text = F.coalesce(text, F.lit(""))
-
-    def label(kind: str, found: Column, of: Column, base: bool, plain: bool = False) -> Column:
-        return F.transform(F.transform(found, lambda x: _seen(x, of)), lambda x: _labels(kind, x, base, plain))
-
-    def checked(kind: str) -> Column:
-        return F.filter(_matches(text, BASE[kind], NEEDS[kind]), lambda x: _valid(kind, x["m"]))
+    """All candidates of a text, by kind and form.
 
-    def every(of: Column) -> Column:
-        base = [label(k, checked(k), of, True) for k in KINDS]
-        return F.concat(*base, *(label(k, _matches(text, form, needs), of, False, plain) for k in ALL_KINDS for plain, needs, form in LOOSE[k]))
-
-    return let(chunks(text), every)
+    The forms' matches are put into one array first, so that spans, surroundings and votes are written once in the plan and not
+    once a form: the driver builds, analyses and keeps the plan.
+    """
+    text = F.coalesce(text, F.lit(""))
+    base = [_hits(text, k, BASE[k], NEEDS[k], True) for k in KINDS]
+    loose = [_hits(text, k, form, needs, False, plain) for k in ALL_KINDS for plain, needs, form in LOOSE[k]]
+    found = F.flatten(F.transform(F.array_compact(F.array(*base, *loose)), _matches))
+    checked = F.filter(found, lambda x: ~x["base"] | _by_kind(x["kind"], {k: _valid(k, x["m"]) for k in KINDS}))
+    return let(chunks(text), lambda of: F.transform(F.transform(checked, lambda x: _seen(x, of)), _labels))
 
 
 def with_candidates(docs: DataFrame, text: Column) -> DataFrame:

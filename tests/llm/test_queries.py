@@ -67,6 +67,25 @@ def test_stages_take_odd_tables(spark):
     assert len(by["mixture"]) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in by["mixture"])
 
 
+def test_plans_that_the_driver_holds_stay_small(spark, capsys):
+    """The driver keeps and prints each plan again and again, so a plan names a step once."""
+    from pyspark.sql import functions as F
+
+    from lookbook.llm import mixture, personal_data
+
+    def size(df):
+        capsys.readouterr()
+        df.explain("extended")
+        return len(capsys.readouterr().out)
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert size(personal_data.with_candidates(docs, F.col("text"))) < 150_000
+    assert size(mixture.mixed_documents(docs)) < 20_000
+    points = spark.range(4096).select("id", mixture.radical_inverse(F.col("id"), 40).alias("point"))
+    assert size(points) < 2_000
+    assert all(r["point"] == int(f"{r['id']:040b}"[::-1], 2) for r in points.collect())
+
+
 def test_pipeline_of_empty_tables(spark, tmp_path):
     import corpus_pipeline
 
