@@ -1,7 +1,8 @@
 """Clustering: k-means, agglomerative with merge table, density based; each with its search over k.
 
 Agglomerative and density clustering need all distances of a group, and are exact at every size: a group of up to ``CAP``
-points is done in one task, a larger one by the rounds of ``rounds``. Only a caller who gives ``cap`` gets an approximation:
+points (a hierarchy: some times as many, without a matrix, see ``lists``) is done in one task, a larger one by the passes of
+``passes`` or the rounds of ``rounds``. Only a caller who gives ``cap`` gets an approximation:
 a group of over ``cap`` points is then first cut into micro-clusters by k-means (``cap`` / 2 of them), whose weighted centroids
 stand for the points. ``mode`` in the result says which it was.
 """
@@ -20,14 +21,17 @@ from pyspark.sql import functions as F
 
 from .distance import cluster_sums, matrix, silhouette, with_labels
 from .keep import keep
+from .lists import by_means, tree_of
 from .lloyd import fit, squares
 from .rank import strict_k, tolerant_k
 from .neighbours import density_by_graph
 from .rounds import cut_labels, density_of, merge_steps, merges, numbered
-from .trees import cut_tree, density_labels, merge_tree
+from .trees import cut_tree, density_labels
 
 #: Points of a group, or clusters left of one, whose distances one task holds.
 CAP = 4000
+#: Times as many points (and doubles of vectors) of a group have their hierarchy made by one task, which then holds no matrix: by means, by points.
+ALONE, ALONE_CELLS = (8, 4), 4_000_000
 #: Restarts of a k-means model.
 RESTARTS = 10
 #: Large groups that go by rounds at the same time.
@@ -80,12 +84,11 @@ def scored_sets(labels: DataFrame, ks: list[int], group: str | None = None) -> D
     return sil.select("group", F.get(F.array(*map(F.lit, ks)), F.col("run")).alias("k"), F.col("silhouette").alias("score"))
 
 
-def _representatives(df: DataFrame, group: str | None, cap: int) -> tuple[DataFrame, DataFrame]:
+def _representatives(df: DataFrame, group: str | None, cap: int | None) -> tuple[DataFrame, DataFrame]:
     """(group, rep, vec, weight, mode) and (group, key, rep)."""
     name = F.col(group).cast("string") if group else F.lit("")
     points = df.select(name.alias("group"), F.col("key").cast("string").alias("key"), "vec")
-    sizes = points.groupBy("group").count().where(F.col("count") > cap)
-    large = [r["group"] for r in sizes.collect()]  # groups of over ``cap`` points
+    large = [] if cap is None else [r["group"] for r in points.groupBy("group").count().where(F.col("count") > cap).collect()]  # groups of over ``cap`` points
     exact = points.where(~F.col("group").isin(*large)) if large else points
     reps = exact.select("group", F.col("key").alias("rep"), "vec", F.lit(1.0).alias("weight"), F.lit("exact").alias("mode"))
     members = exact.select("group", "key", F.col("key").alias("rep"))
@@ -99,16 +102,23 @@ def _representatives(df: DataFrame, group: str | None, cap: int) -> tuple[DataFr
     return reps, members
 
 
-def _parted(df: DataFrame, group: str | None, cap: int | None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    """``_representatives``, and the points of each group that goes by rounds: those of over ``CAP`` points, without a ``cap``."""
+def _parted(df: DataFrame, group: str | None, cap: int | None, alone: int = 1) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """``_representatives``, and the points of each group that goes by rounds: without a ``cap``, those of over ``CAP`` points, or ``alone`` times as many
+    if their vectors are within the bound."""
     if cap is not None:
         return *_representatives(df, group, cap), {}
     name = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")
-    sizes = df.groupBy(name.alias("group")).count().where(F.col("count") > CAP)
-    large = [r["group"] for r in sizes.collect()]  # groups of over ``CAP`` points
+    n, width = F.count("*").alias("n"), F.max(F.size("vec")).alias("width")
+    over = (F.col("n") > CAP * alone) | ((F.col("n") > CAP) & (F.col("n") * F.col("width") > ALONE_CELLS))
+    large = [r["group"] for r in df.groupBy(name.alias("group")).agg(n, width).where(over).collect()]  # few: groups of over ``CAP`` points
     rest = df.where(~name.isin(*large)) if large else df
     points = {g: df.where(name == g).select(F.col("key").cast("string").alias("key"), "vec") for g in large}
-    return *_representatives(rest, group, CAP), points
+    return *_representatives(rest, group, None), points
+
+
+def _tree(linkage: str, metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    most = CAP
+    return lambda x, w: tree_of(x, w, linkage, metric, most)
 
 
 def _side_by_side(large: dict[str, DataFrame], run: Callable[[str, DataFrame], DataFrame], out: DataFrame) -> DataFrame:
@@ -127,11 +137,12 @@ def _arrays(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
 
 def merge_table(df: DataFrame, linkage: str = "ward", metric: str = "euclidean", group: str | None = None, cap: int | None = None) -> DataFrame:
     """(group, step, left, right, height, size, mode): the hierarchy of each group, heights rising."""
-    reps, _, large = _parted(df, group, cap)
+    reps, _, large = _parted(df, group, cap, ALONE[not by_means(linkage, metric)])
+    tree = _tree(linkage, metric)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, x, w = _arrays(pdf)
-        m = merge_tree(x, matrix(x, x, metric), w, linkage)
+        m = tree(x, w)
         return pd.DataFrame({"group": pdf["group"].iloc[0], "step": range(len(m)), "left": m[:, 0].astype(int), "right": m[:, 1].astype(int), "height": m[:, 2], "size": m[:, 3].astype(int), "mode": pdf["mode"].iloc[0]})
 
     out = reps.groupBy("group").applyInPandas(run, "group string, step int, left int, right int, height double, size long, mode string")
@@ -148,11 +159,12 @@ def agglomerative(df: DataFrame, ks: list[int], linkage: str = "ward", metric: s
     """(group, key, labels, mode): the tree of each group, built once and cut at every k."""
     if linkage == "ward" and metric != "euclidean":
         raise ValueError("ward needs euclidean distances")
-    reps, members, large = _parted(df, group, cap)
+    reps, members, large = _parted(df, group, cap, ALONE[not by_means(linkage, metric)])
+    tree = _tree(linkage, metric)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, x, w = _arrays(pdf)
-        m = merge_tree(x, matrix(x, x, metric), w, linkage)
+        m = tree(x, w)
         cuts = np.stack([cut_tree(m, len(x), k) for k in ks], axis=1)
         return pd.DataFrame({"group": pdf["group"], "rep": pdf["rep"], "labels": list(cuts), "mode": pdf["mode"]})
 
