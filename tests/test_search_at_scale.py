@@ -229,3 +229,35 @@ def test_failed_rows_keep_key_and_reason(spark):
     with pytest.raises(Exception, match="no weights"):
         scoring.score_rows(rows, "k", "x", broken, 4).collect()
     assert scoring.score_rows(rows.limit(0), "k", "x", make).collect() == []
+
+
+def test_distances_are_made_in_tiles(spark, monkeypatch):
+    x = np.random.default_rng(11).normal(size=(150, 5))
+    labels = [[i % 3, -1 if i % 7 == 0 else i % 90] for i in range(150)]  # few and many clusters
+    df = spark.createDataFrame([(i, [float(t) for t in p], labels[i]) for i, p in enumerate(x)], "key long, vec array<double>, labels array<int>")
+    d, got = np.linalg.norm(x[:, None] - x[None], axis=2), {}
+    monkeypatch.setattr(distance, "BATCH", 16)
+    for block in (2000, 40):
+        rows = distance.cluster_sums(df, block=block).collect()
+        got = {(r["run"], int(r["key"]), r["other"]): (r["dist_sum"], r["n_pairs"]) for r in rows}
+        assert len(got) == len(rows)
+        for run in (0, 1):
+            y = np.array([s[run] for s in labels])
+            for i in np.flatnonzero(y >= 0):
+                for c in set(y[y >= 0].tolist()):
+                    member = (y == c) & (np.arange(150) != i)
+                    assert ((run, i, c) in got) == bool(member.any())
+                    if member.any():
+                        assert np.isclose(got[run, i, c][0], d[i, member].sum()) and got[run, i, c][1] == member.sum()
+
+
+def test_no_tile_is_larger_than_a_batch(monkeypatch):
+    import pandas as pd
+
+    seen, real = [], distance.matrix
+    monkeypatch.setattr(distance, "matrix", lambda a, b, metric="euclidean": seen.append((len(a), len(b))) or real(a, b, metric))
+    n, x = 5000, np.random.default_rng(12).normal(size=(5000, 3))
+    part = pd.DataFrame({"own": [0] * (n // 2) + [1] * (n // 2), "key": [str(i) for i in range(n)], "vec": list(x), "labels": [[i % 4] for i in range(n)]})
+    pair = distance._BandSums(("", 0, 1), "euclidean")
+    rows = pd.concat([*pair.add(part), *pair.rows()])
+    assert max(max(s) for s in seen) <= distance.BATCH and rows["n_pairs"].sum() == 2 * (n // 2) ** 2
