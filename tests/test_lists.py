@@ -39,3 +39,20 @@ def test_passes_give_the_same_tree(spark, monkeypatch, kind):
     assert np.allclose([r["height"] for r in got], [r["height"] for r in want], atol=1e-6) and len(got) == len(want)
     assert searched and got[-1]["size"] == df.count() and {r["mode"] for r in got} == {"exact"}
     assert by_key(cluster.agglomerative(df, [2, 3, 9], *kind).collect(), "labels") == labels
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("near", [1, 5])
+def test_density_without_a_matrix(metric, near):
+    x = blobs()
+    w = np.ones(len(x))
+    want = trees.density_labels(np.maximum(distance.matrix(x, x, metric), 0), w, 5, near)
+    assert (lists.density_rows(x, w, 5, near, 0.0, metric) == want).all() and len(set(want.tolist())) > 1
+
+
+def test_density_of_some_times_cap_is_one_task(spark, monkeypatch):
+    df = frame(spark, blobs())
+    want = by_key(cluster.density(df, 5, 5, metric="euclidean").collect(), "cluster")
+    monkeypatch.setattr(cluster, "CAP", 40)
+    monkeypatch.setattr(cluster, "density_of", None)
+    assert by_key(cluster.density(df, 5, 5, metric="euclidean").collect(), "cluster") == want
